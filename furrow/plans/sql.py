@@ -48,7 +48,7 @@ def rs(expr: str) -> str:
 
 def initcap(expr: str) -> str:
     return (f"array_to_string(list_transform(string_split({expr}, ' '), "
-            f"w -> upper(w[1]) || lower(w[2:])), ' ')")
+            f"lambda w: upper(w[1]) || lower(w[2:])), ' ')")
 
 
 QUOTE_LINES = """quote_lines AS (
