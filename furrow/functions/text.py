@@ -64,7 +64,7 @@ def contained_crop(c: Column) -> Column:
 
 def first_named(text: Column, names: Sequence[str], default: str | None = None) -> Column:
     """First name, in list order, that occurs as a whole word in any case."""
-    rules = [F.when(text.rlike(rf"(?i)\b{re.escape(n)}\b"), F.lit(n)) for n in names]
+    rules = [F.when(text.rlike(rf"(?iU)\b{re.escape(n)}\b"), F.lit(n)) for n in names]
     if default is not None:
         rules.append(F.lit(default))
     return F.coalesce(*rules)
@@ -78,7 +78,7 @@ def keyword_class(text: Column, table: Mapping[str, Sequence[str]], other: str =
     for name, words in table.items():
         hit = None
         for w in words:
-            one = low.rlike(rf"\b{re.escape(w)}\b") if word_bounded else low.contains(w)
+            one = low.rlike(rf"(?U)\b{re.escape(w)}\b") if word_bounded else low.contains(w)
             hit = one if hit is None else hit | one
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out.otherwise(F.lit(other))

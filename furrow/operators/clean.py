@@ -35,6 +35,16 @@ def unify_fields(raw: DataFrame, spellings: Mapping[str, Sequence[str]] = FIELD_
     return raw.select(*out)
 
 
+def settle(df: DataFrame, *cols: Column) -> DataFrame:
+    """Project ``cols`` so that each is computed once per row.
+
+    A later filter on a plain projection is pushed below it with every
+    expression copied into the predicate; for parsing chains that multiplies
+    the work.  Emitting the row through a generator keeps the filter above.
+    """
+    return df.select(F.explode(F.array(F.struct(*cols))).alias("row")).select("row.*")
+
+
 def _reason(rules: Sequence[tuple[str, Column]]) -> Column:
     out = None
     for label, failed in rules:
@@ -59,8 +69,8 @@ def check_quotes(raw: DataFrame, keep: Sequence[str] = (), bounds: tuple[float,
         return (F.coalesce(F.trim(c), F.lit("")) != "") & F.col(c).try_cast("double").isNull()
 
     modal = F.coalesce(number("modal_price"), F.lit(0.0))
-    parsed = r.select(
-        *keep, X.exact_crop(F.col("commodity")).alias("crop"),
+    parsed = settle(
+        r, *[F.col(k) for k in keep], X.exact_crop(F.col("commodity")).alias("crop"),
         X.normalize_state(F.col("state")).alias("state"),
         D.parse_date(F.col("arrival_date")).alias("ds"), modal.alias("modal"),
         F.coalesce(number("min_price"), modal).alias("lo"), F.coalesce(number("max_price"), modal).alias("hi"),
@@ -81,8 +91,8 @@ def check_archive(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Normalize and judge rows of the yearly archive (positive price, contained crop name)."""
     r = unify_fields(raw, keep=keep)
     modal = F.trim("modal_price").try_cast("double")
-    parsed = r.select(
-        *keep, X.contained_crop(F.col("commodity")).alias("crop"),
+    parsed = settle(
+        r, *[F.col(k) for k in keep], X.contained_crop(F.col("commodity")).alias("crop"),
         X.normalize_state(F.col("state"), title_on_miss=False).alias("state"),
         D.parse_date(F.col("arrival_date"), dims.ARCHIVE_DATE_FORMATS).alias("ds"), modal.alias("modal"),
         N.lenient_double(F.col("min_price")).alias("lo"), N.lenient_double(F.col("max_price")).alias("hi"))

@@ -81,29 +81,30 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_text(c: Column) -> Column:
     """Cents as text with two decimals."""
-    return F.concat((F.floor(c / 100)).cast("string"), F.lit("."),
-                    F.lpad((c % 100).cast("string"), 2, "0"))
+    return F.format_string("%d.%02d", F.floor(c / 100), c % 100)
 
 
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes as they arrive: all text, three date formats, blanks, bad signs, swapped bounds."""
-    q = quote_lines(spark, sf_dir)
+    swapped = F.col("l_orderkey") % 83 == 0
+    commodity = F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_COMMODITIES.items() for x in kv]), F.col("p_type"))
+    # Cents are settled one level below their text, so each is computed once.
+    q = quote_lines(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", "p_brand", "n_nationkey", "ds", commodity.alias("Commodity"), "modal_cents",
+        F.when(swapped, F.col("max_cents")).otherwise(F.col("min_cents")).alias("low"),
+        F.when(swapped, F.col("min_cents")).otherwise(F.col("max_cents")).alias("high"))
     day = (F.when(F.col("l_linenumber") % 3 == 0, F.date_format("ds", "yyyy-MM-dd"))
            .when(F.col("l_linenumber") % 3 == 1, F.date_format("ds", "dd/MM/yyyy"))
            .otherwise(F.date_format("ds", "dd-MM-yyyy")))
-    swapped = F.col("l_orderkey") % 83 == 0
-    low = F.when(swapped, F.col("max_cents")).otherwise(F.col("min_cents"))
-    high = F.when(swapped, F.col("min_cents")).otherwise(F.col("max_cents"))
     modal = (F.when(F.col("l_orderkey") % 97 == 0, F.lit(""))
              .when(F.col("l_orderkey") % 89 == 0, F.concat(F.lit("-"), price_text(F.col("modal_cents"))))
              .otherwise(price_text(F.col("modal_cents"))))
-    commodity = F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_COMMODITIES.items() for x in kv]), F.col("p_type"))
     return q.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("quote_id"),
         F.concat(F.lit("  "), F.upper(pick(F.col("n_nationkey"), NATION_SPELLINGS)), F.lit(" ")).alias("State"),
-        commodity.alias("Commodity"), F.col("p_brand").alias("Market"), day.alias("Arrival_Date"),
-        F.when(F.col("l_orderkey") % 79 == 0, F.lit("")).otherwise(price_text(low)).alias("Min_Price"),
-        price_text(high).alias("Max_Price"), modal.alias("Modal_Price"))
+        "Commodity", F.col("p_brand").alias("Market"), day.alias("Arrival_Date"),
+        F.when(F.col("l_orderkey") % 79 == 0, F.lit("")).otherwise(price_text(F.col("low"))).alias("Min_Price"),
+        price_text(F.col("high")).alias("Max_Price"), modal.alias("Modal_Price"))
 
 
 def climate_history(spark: SparkSession, sf_dir: str, before_year: int = 2001) -> DataFrame:
