@@ -49,7 +49,7 @@ def lookup(c: Column, table: Mapping[str, object]) -> Column:
 def normalize_state(c: Column, title_on_miss: bool = True) -> Column:
     """Known spelling to canonical name; otherwise title case, or the trimmed text."""
     raw = F.trim(c)
-    miss = F.initcap(raw) if title_on_miss else raw
+    miss = title_case(raw) if title_on_miss else raw
     return F.when(raw != "", F.coalesce(lookup(F.lower(raw), dims.STATE_SPELLINGS), miss))
 
 
@@ -90,8 +90,13 @@ def fold_place(c: Column) -> Column:
     text = F.trim(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
     for word, to in dims.PLACE_REWRITES:
         text = F.regexp_replace(text, rf"\b{word}\b", to)
-    text = F.regexp_replace(text, r"[^a-z0-9\s]", " ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+
+
+def title_case(c: Column) -> Column:
+    """Every run of letters capitalized, whatever separates the runs."""
+    parts = F.split(c, r"(?<=\P{L})(?=\p{L})")
+    return F.array_join(F.transform(parts, F.initcap), "")
 
 
 def clean_place(c: Column) -> Column:
