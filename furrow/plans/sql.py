@@ -144,11 +144,12 @@ REQUESTS = f"""requests AS (
   CAST(8.0 AS DOUBLE) + (c_custkey % 27) AS lat, CAST(69.0 AS DOUBLE) + (c_custkey % 28) AS lon FROM customer)"""
 
 CULTIVATION = f"""cultivation AS (
+ SELECT district, state, crop, crop_year, CASE WHEN crop IN ('Wheat', 'Potato') THEN 'Rabi' WHEN crop = 'Rice' THEN 'Kharif' ELSE season END AS season, production FROM (
  SELECT {case_map('c_mktsegment', T.SEGMENT_PLACES)} AS district, {pick('c_nationkey', T.NATION_SPELLINGS)} AS state,
   {case_map('p_type', T.TYPE_CROPS)} AS crop, CAST(year(o_orderdate) AS BIGINT) AS crop_year,
   CASE WHEN month(o_orderdate) IN (6,7,8,9,10) THEN 'Kharif' WHEN month(o_orderdate) IN (4,5) THEN 'Summer' ELSE 'Rabi' END AS season,
   CAST(l_quantity AS BIGINT) AS production
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)"""
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey))"""
 
 STATE_MAP = values("state_map", "spelling, canonical", dims.STATE_SPELLINGS.items())
 CROP_MAP = values("crop_map", "commodity, crop", dims.COMMODITY_CROPS.items())

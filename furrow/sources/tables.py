@@ -183,18 +183,19 @@ def cultivation(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     month = F.month("o_orderdate")
-    season = (F.when(month.isin(6, 7, 8, 9, 10), "Kharif").when(month.isin(4, 5), "Summer").otherwise("Rabi"))
-    return (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    crop = F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_CROPS.items() for x in kv]), F.col("p_type"))
+    by_month = F.when(month.isin(6, 7, 8, 9, 10), "Kharif").when(month.isin(4, 5), "Summer").otherwise("Rabi")
+    season = F.when(F.col("crop").isin("Wheat", "Potato"), "Rabi").when(F.col("crop") == "Rice", "Kharif").otherwise(F.col("by_month"))
+    rows = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
             .join(cust, orders.o_custkey == cust.c_custkey)
             .join(part, lines.l_partkey == part.p_partkey)
             .select(
                 F.element_at(F.create_map(*[F.lit(x) for kv in SEGMENT_PLACES.items() for x in kv]),
                              F.col("c_mktsegment")).alias("district"),
-                pick(F.col("c_nationkey"), NATION_SPELLINGS).alias("state"),
-                F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_CROPS.items() for x in kv]),
-                             F.col("p_type")).alias("crop"),
-                F.year("o_orderdate").cast("bigint").alias("crop_year"), season.alias("season"),
+                pick(F.col("c_nationkey"), NATION_SPELLINGS).alias("state"), crop.alias("crop"),
+                F.year("o_orderdate").cast("bigint").alias("crop_year"), by_month.alias("by_month"),
                 F.col("l_quantity").cast("bigint").alias("production")))
+    return rows.select("district", "state", "crop", "crop_year", season.alias("season"), "production")
 
 
 def class_rows(spark: SparkSession, sf_dir: str, features: int = 7) -> DataFrame:
