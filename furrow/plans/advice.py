@@ -482,7 +482,7 @@ ORACLES = {
  per AS (SELECT state, crop, count(*) AS n, max(event_id) AS latest FROM e GROUP BY 1, 2),
  k AS (SELECT DISTINCT crop FROM e), m AS (SELECT name, crop FROM (SELECT lower(previous_crop) AS name, k.crop, row_number() OVER (PARTITION BY lower(previous_crop) ORDER BY CASE WHEN lower(previous_crop) = k.crop THEN 0 ELSE 1 END, k.crop) AS rn
   FROM (SELECT DISTINCT previous_crop FROM req WHERE previous_crop IS NOT NULL) r JOIN k ON contains(lower(previous_crop), k.crop) OR contains(k.crop, lower(previous_crop))) WHERE rn = 1)
- SELECT request_id, r.state, previous_crop AS crop, coalesce(n, 0) AS events, latest AS latest_event FROM req r LEFT JOIN m ON m.name = lower(previous_crop) LEFT JOIN per ON per.state = r.state AND per.crop = m.crop""",
+ SELECT request_id, r.state, previous_crop AS crop, coalesce(per.n, 0) AS events, latest AS latest_event FROM req r LEFT JOIN m ON m.name = lower(previous_crop) LEFT JOIN per ON per.state = r.state AND per.crop = m.crop""",
     "suitability_top3": SUIT,
     "labels_outside_candidates": f"""WITH {FACTS}, {REQ}, {S.values('lab', 'crop, label', _LABEL.items())},
  tc AS (SELECT state, district, crop, row_number() OVER (PARTITION BY state, district ORDER BY count(*) DESC, crop) AS pos FROM facts GROUP BY 1, 2, 3)
