@@ -1,30 +1,30 @@
-"""All named queries."""
+"""All named queries and the SQL they must agree with."""
 
 from __future__ import annotations
 
-import importlib
+from collections.abc import Callable
+from functools import wraps
 
-MODULES = ["prices", "features", "news", "places", "advice", "outlook", "models", "reports", "streams"]
+from pyspark.sql import DataFrame, SparkSession
 
+from furrow.plans import advice, features, models, news, outlook, places, prices, reports, streams
 
-def _modules():
-    for name in MODULES:
-        try:
-            yield importlib.import_module(f"furrow.plans.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"furrow.plans.{name}":
-                raise
+MODULES = (prices, features, news, places, advice, outlook, models, reports, streams)
 
 
-def queries() -> dict:
-    out = {}
-    for m in _modules():
-        out.update(m.QUERIES)
-    return out
+def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Timestamps mean UTC throughout, whatever zone the session was started with."""
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf_dir)
 
+    return run
 
-def oracle_sql() -> dict:
-    out = {}
-    for m in _modules():
-        out.update(m.ORACLES)
-    return out
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _in_utc(q) for m in MODULES for name, q in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: text for m in MODULES for name, text in m.ORACLES.items()}

@@ -53,9 +53,9 @@ def pick(value: Column, choices: list) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in choices]), (value + F.lit(1)).cast("int"))
 
 
-def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per quote with the keys the other views derive from."""
-    lines = table(spark, sf_dir, "lineitem").select(
+def quote_lines(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """One row per quote with the keys the other views derive from; ``lines`` may be a stream."""
+    lines = (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
@@ -72,9 +72,9 @@ def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("max_cents", N.whole(F.col("modal_cents") * (1 + F.col("l_tax")))))
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quotes(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Clean quotes: ds, crop, state, market and prices in whole cents."""
-    return quote_lines(spark, sf_dir).select(
+    return quote_lines(spark, sf_dir, lines).select(
         "ds", F.lower("p_type").alias("crop"), F.col("n_name").alias("state"),
         F.col("p_brand").alias("market"), "modal_cents", "min_cents", "max_cents")
 
@@ -119,9 +119,9 @@ def climate_history(spark: SparkSession, sf_dir: str, before_year: int = 2001) -
                     F.col("n").cast("double").alias("total_rainfall")))
 
 
-def articles_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles_raw(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """Documents as feed items: first line is the headline, the rest the description."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = (table(spark, sf_dir, "documents") if documents is None else documents).select("doc_id", "text", "source")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int"))
     ts = F.timestamp_seconds(F.unix_date(day).cast("bigint") * 86400 + (F.col("doc_id") % 24) * 3600)
     stamp = (F.when(F.col("doc_id") % 17 == 0, F.lit("n/a"))
@@ -140,9 +140,9 @@ def articles_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("TIER_"), (F.regexp_extract("source", "([0-9]+)", 1).cast("bigint") % 4 + 1).cast("string")).alias("tier"))
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signals(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Event stream as news signals of a state and a crop."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    e = (table(spark, sf_dir, "events") if events is None else events).select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("bigint")
     source = F.col("user_id") % 7
     return e.select(
