@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from furrow import dims
 
-# Every character Unicode counts as white space, spelled out so that each regex
-# dialect agrees.  Fixed value.
-BLANKS = (r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+# Every character Unicode counts as white space besides the plain blank, spelled
+# out so that each regex dialect agrees.  Fixed value.
+OTHER_BLANKS = (r"\t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+                r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+# Runs of white space that are not already one plain blank: those need no rewrite.
+BLANK_RUNS = rf" [ {OTHER_BLANKS}]+|[{OTHER_BLANKS}][ {OTHER_BLANKS}]*"
 
 
 def key(c: Column) -> Column:
@@ -32,7 +34,7 @@ def first_present(*cols: Column) -> Column:
 def strip_markup(c: Column) -> Column:
     """Tags become blanks, runs of white space become one blank."""
     plain = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(plain, BLANKS, " "))
+    return F.trim(F.regexp_replace(plain, BLANK_RUNS, " "))
 
 
 def content_id(prefix: str, *parts: Column) -> Column:
@@ -62,23 +64,30 @@ def contained_crop(c: Column) -> Column:
     return F.coalesce(*[F.when(text.contains(part), F.lit(crop)) for part, crop in dims.COMMODITY_FRAGMENTS])
 
 
-def first_named(text: Column, names: Sequence[str], default: str | None = None) -> Column:
-    """First name, in list order, that occurs as a whole word in any case."""
-    rules = [F.when(text.rlike(rf"(?iU)\b{re.escape(n)}\b"), F.lit(n)) for n in names]
+def first_named(text: Column, names: Sequence[str], default: str | None = None, low: Column | None = None) -> Column:
+    """First name, in list order, that occurs as a whole word in any case.
+
+    A plain containment test on the lower-case text guards each pattern, so the
+    regex engine only sees texts that can match.  Pass ``low`` when the caller
+    already has the lower-case text as a column.
+    """
+    low = F.lower(text) if low is None else low
+    rules = [F.when(low.contains(n.lower()) & text.rlike(rf"(?iU)\b{re.escape(n)}\b"), F.lit(n)) for n in names]
     if default is not None:
         rules.append(F.lit(default))
     return F.coalesce(*rules)
 
 
-def keyword_class(text: Column, table: Mapping[str, Sequence[str]], other: str = "OTHER",
+def keyword_class(low: Column, table: Mapping[str, Sequence[str]], other: str = "OTHER",
                   word_bounded: bool = False) -> Column:
-    """First class, in table order, with a keyword contained in the text."""
-    low = F.lower(text)
+    """First class, in table order, with a keyword contained in the lower-case text."""
     out = None
     for name, words in table.items():
         hit = None
         for w in words:
-            one = low.rlike(rf"(?U)\b{re.escape(w)}\b") if word_bounded else low.contains(w)
+            one = low.contains(w)
+            if word_bounded:
+                one = one & low.rlike(rf"(?U)\b{re.escape(w)}\b")
             hit = one if hit is None else hit | one
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out.otherwise(F.lit(other))

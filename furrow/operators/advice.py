@@ -18,6 +18,7 @@ from furrow.functions import numeric as N
 from furrow.functions import scoring as R
 from furrow.functions import text as X
 from furrow.operators import places
+from furrow.operators.clean import settle
 
 PLACE = ["state", "district"]
 ALL_SEASONS = ["Kharif", "Rabi", "Summer", "Whole Year"]
@@ -401,7 +402,7 @@ def vegetation_latest(series: DataFrame, values: str = "series") -> DataFrame:
 def weather_summary(payloads: DataFrame, payload: str = "payload", keep: Sequence[str] = ("point_id",)) -> DataFrame:
     """Means and totals of hourly arrays; without temperatures the row stays null, never a default."""
     schema = "hourly struct<temperature_2m: array<double>, relativehumidity_2m: array<double>, precipitation: array<double>>"
-    d = payloads.select(*keep, F.from_json(payload, schema).alias("doc"))
+    d = settle(payloads, *[F.col(k) for k in keep], F.from_json(payload, schema).alias("doc"))
 
     def total(path: str) -> Column:
         return F.aggregate(F.col(f"doc.hourly.{path}"), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
@@ -411,13 +412,16 @@ def weather_summary(payloads: DataFrame, payload: str = "payload", keep: Sequenc
         return F.when(n > 0, N.round_to(total(path) / n, 2))
 
     ok = F.coalesce(F.size("doc.hourly.temperature_2m") > 0, F.lit(False))
-    rain = N.round_to(total("precipitation"), 2)
+    raw = settle(d, *[F.col(k) for k in keep], ok.alias("ok"), mean("temperature_2m").alias("t"), mean("relativehumidity_2m").alias("h"),
+                 N.round_to(total("precipitation"), 2).alias("r"))
+    rain = F.coalesce("r", F.lit(0.0))
     daily = N.round_to(rain / F.lit(7.0), 2)
-    return d.select(
-        *keep, F.when(ok, mean("temperature_2m")).alias("avg_temp"), F.when(ok, F.coalesce(mean("relativehumidity_2m"), F.lit(0.0))).alias("avg_humidity"),
-        F.when(ok, F.coalesce(rain, F.lit(0.0))).alias("total_rainfall"), F.when(ok, F.coalesce(daily, F.lit(0.0))).alias("avg_daily_rainfall"),
-        F.when(ok, N.round_to(F.coalesce(daily, F.lit(0.0)) * F.lit(30.0), 2)).alias("monthly_rainfall"),
-        F.when(ok, "OBSERVED_LIVE").otherwise("UNAVAILABLE").alias("weather_status"))
+    seen = F.col("ok")
+    return raw.select(
+        *keep, F.when(seen, F.col("t")).alias("avg_temp"), F.when(seen, F.coalesce("h", F.lit(0.0))).alias("avg_humidity"),
+        F.when(seen, rain).alias("total_rainfall"), F.when(seen, daily).alias("avg_daily_rainfall"),
+        F.when(seen, N.round_to(daily * F.lit(30.0), 2)).alias("monthly_rainfall"),
+        F.when(seen, "OBSERVED_LIVE").otherwise("UNAVAILABLE").alias("weather_status"))
 
 
 def weather_cascade(points: DataFrame, first: DataFrame, second: DataFrame, normals: DataFrame, key: str = "point_id",

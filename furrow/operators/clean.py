@@ -119,14 +119,18 @@ def ingest_accounting(checked: DataFrame, existing: DataFrame) -> DataFrame:
     """One row: raw, valid, rejected, duplicate and added counts of an ingest."""
     keys = ["ds", "crop", "state"]
     known = existing.select(*keys, F.lit(True).alias("known"))
-    per_key = checked.where("reject_reason IS NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    added = (per_key.join(known, keys, "left")
-             .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("valid"),
-                  F.count_if(F.col("known").isNull()).alias("added")))
-    totals = checked.agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"))
-    # Two one-row frames side by side.
-    return (totals.withColumn("one", F.lit(1)).join(added.withColumn("one", F.lit(1)), "one")
-            .select("raw", "valid", "rejected", (F.col("valid") - F.col("added")).alias("duplicate"), "added"))
+    good = F.col("reject_reason").isNull()
+    # Rejected rows share one key, so the table shrinks to the distinct keys plus one row.
+    per_key = checked.groupBy(*[F.when(good, F.col(k)).alias(k) for k in keys], good.alias("good")).agg(F.count(F.lit(1)).alias("n"))
+    ok, new = F.col("good"), F.col("good") & F.col("known").isNull()
+    zero = F.lit(0).cast("bigint")
+
+    def total(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col("n")).otherwise(zero)), zero)
+
+    return per_key.join(known, keys, "left").agg(
+        total(F.lit(True)).alias("raw"), total(ok).alias("valid"), total(~ok).alias("rejected"), F.count_if(new).alias("added")).select(
+        "raw", "valid", "rejected", (F.col("valid") - F.col("added")).alias("duplicate"), "added")
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:

@@ -73,18 +73,21 @@ def lag_features(daily: DataFrame, disruptions: Sequence[tuple[str, str]], min_r
         F.when(D.in_any(F.col("ds"), disruptions), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("black_swan"))
 
 
-def state_codes(features: DataFrame) -> DataFrame:
+def state_codes(daily: DataFrame, min_rows: int = 15, longest_lag: int = max(LAGS)) -> DataFrame:
     """Alphabetical code of each state within its crop, from zero.
 
-    Computed on the distinct pairs (a bounded list of states), not on the rows.
+    A series has feature rows exactly when it is longer than the longest lag, so
+    row counts of the daily series are enough; no feature is computed for this.
     """
-    pairs = features.select(*SERIES).distinct()
+    counts = daily.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"))
+    pairs = counts.where(F.col("n") >= max(min_rows, longest_lag + 1))
     code = F.row_number().over(W.partitionBy("crop").orderBy("state")) - 1
     return pairs.select(*SERIES, code.cast("bigint").alias("state_enc"))
 
 
-def with_state_codes(features: DataFrame) -> DataFrame:
-    return features.join(state_codes(features), SERIES)
+def encoded_features(daily: DataFrame, disruptions: Sequence[tuple[str, str]], min_rows: int = 15) -> DataFrame:
+    """Lag features with the state code; give it a stored daily series, which is read twice."""
+    return lag_features(daily, disruptions, min_rows).join(state_codes(daily, min_rows), SERIES)
 
 
 def leakage_check(features: DataFrame) -> DataFrame:

@@ -66,14 +66,15 @@ def detect_events(articles: DataFrame, run_ts: Column, keep: Sequence[str] = (),
                   states: Sequence[str] = tuple(dims.NEWS_STATES), crops: Sequence[str] = tuple(dims.NEWS_CROPS),
                   keywords: Mapping[str, Sequence[str]] = dims.EVENT_KEYWORDS, word_bounded: bool = False) -> DataFrame:
     """One event per article: place, crop, class, confidence, age and freshness."""
-    full = F.concat("title", F.lit(". "), "description")
+    full = articles.withColumn("full_text", F.concat("title", F.lit(". "), "description"))
+    text, low = F.col("full_text"), F.col("low_text")
     e = settle(
-        articles.withColumn("full_text", full), *[F.col(k) for k in keep], F.col("article_id"), F.col("title"),
+        full.withColumn("low_text", F.lower("full_text")), *[F.col(k) for k in keep], F.col("article_id"), F.col("title"),
         F.coalesce("source_id", F.lit("unknown")).alias("source_id"),
         F.coalesce("source_name", F.lit("Unknown")).alias("source_name"), F.coalesce("tier", F.lit("TIER_4")).alias("tier"),
-        X.first_named(F.col("full_text"), states, "National").alias("state"),
-        X.first_named(F.col("full_text"), crops, "General Agriculture").alias("crop"),
-        X.keyword_class(F.col("full_text"), keywords, word_bounded=word_bounded).alias("event_type"),
+        X.first_named(text, states, "National", low).alias("state"),
+        X.first_named(text, crops, "General Agriculture", low).alias("crop"),
+        X.keyword_class(low, keywords, word_bounded=word_bounded).alias("event_type"),
         D.parse_published(F.col("pub_date"), run_ts).alias("published_at"))
     weight = F.coalesce(X.lookup(F.col("tier"), dims.TIER_WEIGHTS), F.lit(dims.TIER_WEIGHT_DEFAULT))
     age = D.fractional_age_days(run_ts, F.col("published_at"))

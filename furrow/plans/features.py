@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from furrow.operators import features as ft
 from furrow.operators import prices
 from furrow.plans import sql as S
-from furrow.plans.prices import daily
+from furrow.plans.prices import daily, stored_daily
 from furrow.sources import tables as T
 
 SPANS = [(a, b) for _, a, b, _ in T.FIXTURE_DISRUPTIONS]
@@ -18,7 +18,7 @@ EXTERNAL_EVENTS = [("E1", "EXPORT_RESTRICTION", ["promo", "small"], "NATIONAL",
 
 
 def series_features(spark, sf):
-    return ft.with_state_codes(ft.lag_features(daily(spark, sf), SPANS))
+    return ft.encoded_features(stored_daily(spark, sf), SPANS)
 
 
 def leakage_check(spark, sf):

@@ -10,7 +10,7 @@ from furrow.operators import models as md
 from furrow.plans import features as PF
 from furrow.plans import outlook as PO
 from furrow.plans import sql as S
-from furrow.plans.prices import daily
+from furrow.plans.prices import stored_daily
 from furrow.sources import tables as T
 
 CROPS = [t.lower() for t in T.TYPE_CROPS]
@@ -19,11 +19,11 @@ COLUMNS = [f"f{i}" for i in range(7)]
 
 
 def _features(spark, sf):
-    return ft.with_state_codes(ft.lag_features(daily(spark, sf), PF.SPANS))
+    return ft.encoded_features(stored_daily(spark, sf), PF.SPANS)
 
 
 def _ridge(spark, sf):
-    f = ft.lag_features(daily(spark, sf), PF.SPANS)
+    f = ft.lag_features(stored_daily(spark, sf), PF.SPANS)
     return f, fc.ridge_by_crop(f.where(F.col("ds") < F.lit(T.SPLIT_DATE).cast("date")))
 
 
@@ -54,7 +54,7 @@ def tree_forecast(spark, sf):
     rows = spark.read.parquet(path)
     cut = F.lit(T.SPLIT_DATE).cast("date")
     fitted = md.per_crop(CROPS, lambda c: md.fit_trees(rows.where((F.col("crop") == c) & (F.col("ds") < cut)), rounds=8, depth=4, step=0.3))
-    s = PO.seeds(spark, sf).join(ft.state_codes(rows), ["crop", "state"])
+    s = PO.seeds(spark, sf).join(rows.select("crop", "state", "state_enc").distinct(), ["crop", "state"])
     paths = md.tree_forecast(s, md.tree_nodes(spark, dict(zip(CROPS, fitted))), T.SPLIT_DATE, 30, PF.SPANS)
     return fc.dated_path(paths, cut)
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from furrow import dims
 from furrow.functions import text as X
 from furrow.operators import news
+from furrow.operators.clean import settle
 from furrow.plans import sql as S
+from furrow.session import cut_lineage
 from furrow.sources import tables as T
 
 RUN_TS = "2024-05-01 00:00:00"
@@ -46,11 +48,11 @@ def article_store(spark, sf):
 
 def event_classes(spark, sf):
     """Published keyword table over whole articles, by containment and by whole words."""
-    full = F.concat("title", F.lit(". "), "description")
-    a = articles(spark, sf).withColumn("full_text", full)
-    return a.select("doc_id", X.keyword_class(F.col("full_text"), dims.EVENT_KEYWORDS).alias("event_type"),
-                    X.keyword_class(F.col("full_text"), T.CORPUS_EVENTS).alias("corpus_type"),
-                    X.keyword_class(F.col("full_text"), T.CORPUS_EVENTS, word_bounded=True).alias("corpus_type_bounded"))
+    a = articles(spark, sf).select("doc_id", F.lower(F.concat("title", F.lit(". "), "description")).alias("low"))
+    low = F.col("low")
+    return settle(a, F.col("doc_id"), X.keyword_class(low, dims.EVENT_KEYWORDS).alias("event_type"),
+                  X.keyword_class(low, T.CORPUS_EVENTS).alias("corpus_type"),
+                  X.keyword_class(low, T.CORPUS_EVENTS, word_bounded=True).alias("corpus_type_bounded"))
 
 
 def news_events(spark, sf):
@@ -64,8 +66,10 @@ def event_clusters(spark, sf):
 
 
 def tagged_events(spark, sf):
+    # Text classification is the expensive part and is needed twice: written once.
+    events = cut_lineage(corpus_events(spark, sf), "events")
     bound = (len(T.CORPUS_STATES) + 1) * (len(T.CORPUS_CROPS) + 1) * (len(T.CORPUS_EVENTS) + 1)
-    return news.tag_events(corpus_events(spark, sf), "doc_id", bound).select("event_id", "doc_id", "state", "crop", "event_type", "verification_status")
+    return news.tag_events(events, "doc_id", bound).select("event_id", "doc_id", "state", "crop", "event_type", "verification_status")
 
 
 def verification_totals(spark, sf):

@@ -8,6 +8,7 @@ from furrow import dims
 from furrow.functions import numeric as N
 from furrow.operators import clean, features, prices
 from furrow.plans import sql as S
+from furrow.session import cut_lineage
 from furrow.sources import tables as T
 
 GRID_CROPS = [t.lower() for t in T.TYPE_CROPS] + ["cotton"]
@@ -20,6 +21,15 @@ def daily(spark, sf):
     return prices.daily_rollup(T.quotes(spark, sf))
 
 
+def stored_daily(spark, sf):
+    """The daily series written once, for queries that read it more than once.
+
+    Its size is bounded by days x crops x states, so writing it is far cheaper
+    than joining and rolling up all quotes again.
+    """
+    return cut_lineage(daily(spark, sf), "daily")
+
+
 def history(spark, sf):
     """Stored series: days before the split, plus a few later days that overlap the increment."""
     d = daily(spark, sf)
@@ -109,11 +119,11 @@ def monthly_seasonality(spark, sf):
 
 
 def price_distribution(spark, sf):
-    return prices.distribution(daily(spark, sf))
+    return prices.distribution(stored_daily(spark, sf))
 
 
 def price_outliers(spark, sf):
-    return prices.iqr_outliers(daily(spark, sf))
+    return prices.iqr_outliers(stored_daily(spark, sf))
 
 
 def latest_price(spark, sf):

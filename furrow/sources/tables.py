@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from furrow import dims
 from furrow.functions import numeric as N
+from furrow.session import spread
 
 # ---------------------------------------------------------------- fixed values
 # How generic part types, nation keys and market segments stand for crops,
@@ -53,11 +54,16 @@ def pick(value: Column, choices: list) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in choices]), (value + F.lit(1)).cast("int"))
 
 
-def quote_lines(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    """One row per quote with the keys the other views derive from; ``lines`` may be a stream."""
+def quote_lines(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, heavy: bool = False) -> DataFrame:
+    """One row per quote with the keys the other views derive from; ``lines`` may be a stream.
+
+    ``heavy`` says that costly per-row work follows, so few large files are spread first.
+    """
     lines = (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    if heavy:
+        lines = spread(lines, "l_orderkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -89,7 +95,7 @@ def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     swapped = F.col("l_orderkey") % 83 == 0
     commodity = F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_COMMODITIES.items() for x in kv]), F.col("p_type"))
     # Cents are settled one level below their text, so each is computed once.
-    q = quote_lines(spark, sf_dir).select(
+    q = quote_lines(spark, sf_dir, heavy=True).select(
         "l_orderkey", "l_linenumber", "p_brand", "n_nationkey", "ds", commodity.alias("Commodity"), "modal_cents",
         F.when(swapped, F.col("max_cents")).otherwise(F.col("min_cents")).alias("low"),
         F.when(swapped, F.col("min_cents")).otherwise(F.col("max_cents")).alias("high"))
@@ -122,6 +128,7 @@ def climate_history(spark: SparkSession, sf_dir: str, before_year: int = 2001) -
 def articles_raw(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """Documents as feed items: first line is the headline, the rest the description."""
     d = (table(spark, sf_dir, "documents") if documents is None else documents).select("doc_id", "text", "source")
+    d = spread(d, "doc_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int"))
     ts = F.timestamp_seconds(F.unix_date(day).cast("bigint") * 86400 + (F.col("doc_id") % 24) * 3600)
     stamp = (F.when(F.col("doc_id") % 17 == 0, F.lit("n/a"))
