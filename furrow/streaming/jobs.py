@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from furrow.functions import numeric as N
 from furrow.operators import news, prices
@@ -25,14 +26,17 @@ def read_files(spark: SparkSession, folder: str, pattern: str, schema, files_per
             .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 
 
-def read_batches(spark: SparkSession, table: str, schema, before: int | None = None) -> DataFrame:
-    """Rows of a table written batch by batch; ``before`` leaves later batches out."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema.add("batch_id", "bigint") if "batch_id" not in schema.fieldNames() else schema).parquet(table)
-    return rows if before is None else rows.where(F.col("batch_id") < before)
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_batches(spark: SparkSession, table: str, schema: StructType, before: int) -> DataFrame:
+    """Rows of a table written batch by batch, only of batches before ``before``."""
+    full = StructType([*schema.fields, StructField("batch_id", LongType())])
+    if not _exists(spark, table):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(table).where(F.col("batch_id") < before)
 
 
 def _finish(query) -> None:
@@ -88,9 +92,7 @@ LATEST_SCHEMA = "crop string, state string, ds date, market string, modal_cents
 def _version(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
     """State after the batch before ``batch_id``; empty at the start."""
     path = f"{table}/version={batch_id - 1}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(LATEST_SCHEMA).parquet(path) if exists else spark.createDataFrame([], LATEST_SCHEMA)
+    return spark.read.schema(LATEST_SCHEMA).parquet(path) if _exists(spark, path) else spark.createDataFrame([], LATEST_SCHEMA)
 
 
 def latest_prices(quotes: DataFrame, table: str, checkpoint: str) -> None:
