@@ -460,7 +460,8 @@ def fuse_weather(requests: DataFrame, seasonal: DataFrame, live: DataFrame, key:
     A missing live value leaves the history alone; a missing season uses 26.5 and 150.
     """
     c = F.col
-    j = requests.select(key, "canonical_season").join(seasonal, c("canonical_season") == c("season"), "left").join(
+    # One row per season of the fixed list.
+    j = requests.select(key, "canonical_season").join(F.broadcast(seasonal), c("canonical_season") == c("season"), "left").join(
         live.select(key, c("avg_temp").alias("live_temp"), c("total_rainfall").alias("live_rain"), "weather_status"), key, "left")
     w = F.when(c("weather_status") == "OBSERVED_LIVE", F.lit(0.6)).otherwise(F.lit(0.9))
     ht, hr = F.coalesce("hist_temp", F.lit(26.5)), F.coalesce("hist_rain", F.lit(150.0))

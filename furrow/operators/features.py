@@ -152,7 +152,9 @@ def climate_lookup(rows: DataFrame, climate: DataFrame) -> DataFrame:
     """Climate of (year, month), else that month's mean, else the overall mean.
 
     The two fallback levels are folded into one table of twelve months, so the
-    rows meet two small equi joins and no chain of lookups.
+    rows meet two equi joins and no chain of lookups.  Both tables have at most
+    one row per calendar month, a bound set by the calendar and not by the data,
+    so they are broadcast and the rows stay where they are.
     """
     levels = climate_levels(climate)
     scale = F.lit(1000000.0)
@@ -160,11 +162,11 @@ def climate_lookup(rows: DataFrame, climate: DataFrame) -> DataFrame:
                             (F.col("r").cast("double") / F.col("n") / scale).alias("m_rain"))
     overall = levels.agg((F.sum("t").cast("double") / F.sum("n") / scale).alias("g_temp"),
                          (F.sum("r").cast("double") / F.sum("n") / scale).alias("g_rain"))
-    exact = climate.select("year", "month", F.col("avg_temp").alias("e_temp"), F.col("total_rainfall").alias("e_rain"))
+    exact = climate.groupBy("year", "month").agg(F.first("avg_temp").alias("e_temp"), F.first("total_rainfall").alias("e_rain"))
     months = (rows.sparkSession.range(1, 13).select(F.col("id").alias("month"), F.lit(1).alias("one"))
               .join(monthly, "month", "left").join(overall.withColumn("one", F.lit(1)), "one")
               .select("month", F.coalesce("m_temp", "g_temp").alias("m_temp"), F.coalesce("m_rain", "g_rain").alias("m_rain")))
-    return (rows.join(exact, ["year", "month"], "left").join(months, "month", "left")
+    return (rows.join(F.broadcast(exact), ["year", "month"], "left").join(F.broadcast(months), "month", "left")
             .withColumn("avg_temp", F.coalesce("e_temp", "m_temp"))
             .withColumn("total_rainfall", F.coalesce("e_rain", "m_rain"))
             .withColumn("climate_level", F.when(F.col("e_temp").isNotNull(), "YEAR_MONTH").otherwise("MONTH"))
@@ -221,6 +223,7 @@ def chronological_split(rows: DataFrame, cut: str, fallback: float = 0.8) -> Dat
         F.sum("c").over(upto).alias("upto"), F.sum("c").over(by_crop).alias("n"))
     late = F.when(F.col("has_test"), F.col("ds") >= cut_day).otherwise(
         F.col("upto") > F.floor(F.col("n") * F.lit(float(fallback))))
+    # One row per crop and calendar day.
     parts = marked.select("crop", "ds", F.when(late, "test").otherwise("train").alias("part"))
     return rows.join(parts, ["crop", "ds"])
 
