@@ -51,13 +51,16 @@ def top_crops(facts: DataFrame, by: Sequence[str] = tuple(PLACE), n: int = 10) -
     return counts.withColumn("position", pos).where(F.col("position") <= n)
 
 
-def candidate_matrix(facts: DataFrame, span_years: int) -> DataFrame:
-    """Candidates per (state, district, season): share of years grown is the evidence score."""
+def candidate_matrix(facts: DataFrame, span_years: int, least_facts: int = 25) -> DataFrame:
+    """Candidates per (state, district, season): share of years grown is the evidence score.
+
+    The confidence grows with the number of facts and is unknown below ``least_facts``.
+    """
     per = facts.groupBy(*PLACE, "season", "crop").agg(F.size(F.collect_set("crop_year")).alias("y"), _fact_count(facts).alias("n"))
     return per.select(
         F.concat("state", F.lit("::"), "district").alias("canonical_id"), *PLACE, "season", "crop",
         N.round_to(F.col("y") / F.lit(float(span_years)), 4).alias("evidence_score"),
-        F.when(F.col("n") % 3 != 0, N.round_to(F.least(F.col("n") / F.lit(100.0), F.lit(1.0)), 4)).alias("data_confidence"))
+        F.when(F.col("n") >= least_facts, N.round_to(F.least(F.col("n") / F.lit(100.0), F.lit(1.0)), 4)).alias("data_confidence"))
 
 
 def _lists(matrix: DataFrame, *by: Column) -> DataFrame:

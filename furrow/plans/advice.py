@@ -30,6 +30,8 @@ TOLERANCES = [
 DISTRICT_SOILS = [("nagpur", 1, "Black Soil"), ("east godavari", 2, "Coastal Alluvial Soil"), ("kutch", 3, "Desert Soil"), ("mysore", 4, "Red Soil")]
 SIGNAL_STATES = [(f"S{i}", dims.STATE_SPELLINGS.get(n, n.title())) for i, n in enumerate(T.NATION_SPELLINGS[:20])]
 CUTS, MUCH, YEARS = (7, 6, 1), 1000, 7
+# Traded volume from which a district or state counts as having a market for a crop.
+TRADED_DISTRICT, TRADED_STATE = 50_000, 10_000
 
 
 def _spots(spark, sf):
@@ -68,8 +70,8 @@ def scored(spark, sf):
     # Four lookups derive from the rolled-up facts, so those are written once.
     f = cut_lineage(facts(spark, sf), "facts")
     req = spark.createDataFrame([(c, (lo, hi)) for c, lo, hi in REQUIREMENTS], "crop string, soil_ph struct<min: double, max: double>")
-    md = f.groupBy("district", "crop").agg(F.sum("production").alias("t")).where("t % 2 = 0")
-    ms = f.groupBy("state", "crop").agg(F.sum("production").alias("t")).where("t % 3 = 0")
+    md = f.groupBy("district", "crop").agg(F.sum("production").alias("t")).where(F.col("t") >= TRADED_DISTRICT)
+    ms = f.groupBy("state", "crop").agg(F.sum("production").alias("t")).where(F.col("t") >= TRADED_STATE)
     pairs = ad.expand_candidates(_requests(spark, sf), matrix(spark, sf, f))
     return ad.score(pairs, ad.evidence(f), F.broadcast(req), CALENDAR, _news(spark, sf), md, ms, CUTS, MUCH)
 
@@ -211,8 +213,9 @@ def weather_summary(spark, sf):
 def weather_cascade(spark, sf):
     p = _live(spark, sf)
     first = ad.weather_summary(p)
-    second = p.where(F.col("point_id") % 4 == 0).select("point_id", (F.lit(20.0) + F.col("point_id") % 9).alias("avg_temp"), F.lit(3.5).alias("total_rainfall"))
-    normals = p.groupBy("state").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0").select("state", F.lit(26.0).alias("avg_temp"), F.col("n").cast("double").alias("total_rainfall"))
+    # The second provider and the normals each cover a part of the states.
+    second = p.where(F.col("state") < "K").select("point_id", (F.lit(20.0) + F.col("point_id") % 9).alias("avg_temp"), F.lit(3.5).alias("total_rainfall"))
+    normals = p.groupBy("state").agg(F.count(F.lit(1)).alias("n")).where(F.col("state") < "R").select("state", F.lit(26.0).alias("avg_temp"), F.col("n").cast("double").alias("total_rainfall"))
     return ad.weather_cascade(p.select("point_id", "state"), first, second, normals)
 
 
@@ -344,7 +347,7 @@ FACTS = f"{S.CULTIVATION}, {_AL}, " + _canon("cultivation", "facts", "crop, crop
 REQ = f"{S.REQUESTS}, " + _canon("requests", "req0", "request_id, season, soil_ph, water_available_mm, previous_crop, n, p, k, lat, lon") + """,
 req AS (SELECT *, state || '::' || district AS canonical_id, CASE season WHEN 'Kharif' THEN 'Kharif' WHEN 'winter season' THEN 'Rabi' WHEN 'Zaid' THEN 'Summer' ELSE 'Whole Year' END AS canonical_season FROM req0)"""
 MATRIX = f"""mx0 AS (SELECT state, district, season, crop, {S.rnd('count(DISTINCT crop_year) / ' + D(7), 4)} AS evidence_score,
- CASE WHEN count(*) % 3 <> 0 THEN {S.rnd('least(count(*) / CAST(100.0 AS DOUBLE), 1)', 4)} END AS data_confidence FROM facts GROUP BY 1, 2, 3, 4),
+ CASE WHEN count(*) >= 25 THEN {S.rnd('least(count(*) / CAST(100.0 AS DOUBLE), 1)', 4)} END AS data_confidence FROM facts GROUP BY 1, 2, 3, 4),
 mx AS (SELECT *, CASE WHEN district <> 'Nagpur' THEN state || '::' || district END AS canonical_id FROM mx0 WHERE NOT (district = 'Kutch' AND season = 'Kharif')),
 combos AS (SELECT DISTINCT canonical_id, state, district, season, canonical_season FROM req),
 hits AS (SELECT c.canonical_id, c.state, c.district, c.season, c.canonical_season, m.crop, m.evidence_score, m.data_confidence, m.season AS ms,
@@ -364,7 +367,7 @@ _WATERPTS = f"CASE water_status WHEN 'SUITABLE' THEN {D(10)} WHEN 'LIMITED' THEN
 SCORED = f"""{FACTS}, {REQ}, {MATRIX}, {S.SIGNALS}, {_NEWSV('state, crop')}, {S.values('sigst', 's, name', SIGNAL_STATES)}, {_fam},
 {S.values('reqs', 'crop, lo, hi', REQUIREMENTS)}, {S.values('cal', 'crop, cs', [(c, s) for c, ss in CALENDAR.items() for s in ss])},
 evd AS (SELECT state, district, crop, count(DISTINCT crop_year) AS yrs, CAST(sum(production) AS BIGINT) AS prod, list(DISTINCT season) AS sp FROM facts GROUP BY 1, 2, 3),
-md AS (SELECT district, crop FROM facts GROUP BY 1, 2 HAVING sum(production) % 2 = 0), ms AS (SELECT state, crop FROM facts GROUP BY 1, 2 HAVING sum(production) % 3 = 0),
+md AS (SELECT district, crop FROM facts GROUP BY 1, 2 HAVING sum(production) >= {TRADED_DISTRICT}), ms AS (SELECT state, crop FROM facts GROUP BY 1, 2 HAVING sum(production) >= {TRADED_STATE}),
 st AS (SELECT r.request_id, c.crop, CAST(c.level AS BIGINT) AS level, r.soil_ph, r.season, r.canonical_season, yrs,
  list_distinct(list_concat(coalesce(sp, []), CASE WHEN c.crop IN ('Wheat', 'Potato') THEN ['Rabi'] WHEN c.crop = 'Rice' THEN ['Kharif'] ELSE ['Kharif', 'Rabi', 'Summer', 'Whole Year'] END)) AS seasons,
  coalesce(q.lo, 5.5) AS lo, coalesce(q.hi, 7.5) AS hi,
@@ -501,11 +504,11 @@ ORACLES = {
   WHEN lat BETWEEN 13 AND 22 AND lon BETWEEN 73 AND 80 THEN 'Black Soil' WHEN lon < 77 AND lat < 20 THEN 'Laterite Soil' WHEN lon > 79 AND lat < 18 THEN 'Coastal Alluvial Soil' ELSE 'Alluvial Soil' END END AS soil_type,
  CASE WHEN sand_pct IS NOT NULL THEN 'high' ELSE 'low' END AS confidence FROM sl""",
     "weather_summary": f"WITH {_LIVE} SELECT point_id, avg_temp, avg_humidity, total_rainfall, avg_daily_rainfall, {S.rnd('avg_daily_rainfall * ' + D(30), 2)} AS monthly_rainfall, weather_status FROM wx",
-    "weather_cascade": f"""WITH {_LIVE}, nm AS (SELECT state, {D('count(*)')} AS n FROM wx GROUP BY 1 HAVING count(*) % 2 = 0)
- SELECT point_id, wx.state, CASE WHEN avg_temp IS NOT NULL THEN avg_temp WHEN point_id % 4 = 0 THEN {D(20)} + point_id % 9 WHEN n IS NOT NULL THEN {D(26)} END AS avg_temp,
- CASE WHEN avg_temp IS NOT NULL THEN total_rainfall WHEN point_id % 4 = 0 THEN {D(3.5)} ELSE n END AS total_rainfall,
- CASE WHEN avg_temp IS NOT NULL THEN 'live-1' WHEN point_id % 4 = 0 THEN 'live-2' WHEN n IS NOT NULL THEN 'historical-climate' ELSE 'unavailable' END AS provider,
- CASE WHEN avg_temp IS NOT NULL OR point_id % 4 = 0 THEN 'OBSERVED_LIVE' WHEN n IS NOT NULL THEN 'HISTORICAL_CLIMATE' ELSE 'UNAVAILABLE' END AS weather_status FROM wx LEFT JOIN nm ON nm.state = wx.state""",
+    "weather_cascade": f"""WITH {_LIVE}, nm AS (SELECT state, {D('count(*)')} AS n FROM wx WHERE state < 'R' GROUP BY 1)
+ SELECT point_id, wx.state, CASE WHEN avg_temp IS NOT NULL THEN avg_temp WHEN wx.state < 'K' THEN {D(20)} + point_id % 9 WHEN n IS NOT NULL THEN {D(26)} END AS avg_temp,
+ CASE WHEN avg_temp IS NOT NULL THEN total_rainfall WHEN wx.state < 'K' THEN {D(3.5)} ELSE n END AS total_rainfall,
+ CASE WHEN avg_temp IS NOT NULL THEN 'live-1' WHEN wx.state < 'K' THEN 'live-2' WHEN n IS NOT NULL THEN 'historical-climate' ELSE 'unavailable' END AS provider,
+ CASE WHEN avg_temp IS NOT NULL OR wx.state < 'K' THEN 'OBSERVED_LIVE' WHEN n IS NOT NULL THEN 'HISTORICAL_CLIMATE' ELSE 'UNAVAILABLE' END AS weather_status FROM wx LEFT JOIN nm ON nm.state = wx.state""",
     "season_climate": f"WITH {_SC} SELECT season, hist_temp, hist_rain FROM sclim",
     "weather_fusion": f"""WITH {_LIVE}, {_SC}, f AS (SELECT r.request_id, {S.case_map('r.season', {'Kharif': 'Kharif', 'winter season': 'Rabi', 'Zaid': 'Summer', 'whole year': 'Whole Year'})} AS canonical_season, avg_temp, total_rainfall,
  CASE WHEN weather_status = 'OBSERVED_LIVE' THEN {D(0.6)} ELSE {D(0.9)} END AS w FROM requests r JOIN wx ON point_id = r.request_id)

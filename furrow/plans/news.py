@@ -40,10 +40,11 @@ def clean_articles(spark, sf):
 
 
 def article_store(spark, sf):
-    a = articles(spark, sf).select("article_id", "doc_id", "title", F.col("doc_id").alias("arrival"))
-    old = a.where("doc_id % 2 = 0")
-    new = a.where("doc_id % 3 <> 0").withColumn("arrival", F.col("arrival") + 1_000_000)
-    return news.article_store(old, new, keep=500)
+    a = articles(spark, sf).select("article_id", "doc_id", "title", "tier", F.col("doc_id").alias("arrival"))
+    # The official and research tiers are stored already; every article is fetched again.
+    old = a.where(F.col("tier").isin("TIER_1", "TIER_2"))
+    new = a.withColumn("arrival", F.col("arrival") + 1_000_000)
+    return news.article_store(old.drop("tier"), new.drop("tier"), keep=500)
 
 
 def event_classes(spark, sf):
@@ -96,7 +97,7 @@ def source_targets(spark, sf):
 
 def _audit(spark, sf):
     a = articles(spark, sf).withColumn("arrival", F.col("doc_id"))
-    return news.source_audit(news.source_targets(_registry(spark)), a, a.where("doc_id % 5 = 0").select("article_id"))
+    return news.source_audit(news.source_targets(_registry(spark)), a, a.where(F.col("tier") == "TIER_1").select("article_id"))
 
 
 def source_audit(spark, sf):
@@ -206,7 +207,7 @@ _PUB = """CASE WHEN doc_id % 17 = 0 THEN 'n/a' WHEN doc_id % 4 = 0 THEN strftime
  WHEN doc_id % 4 = 2 THEN strftime(TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 90 AS INTEGER)) + to_hours(doc_id % 24), '%Y-%m-%dT%H:%M:%S+00:00')
  ELSE strftime(TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 90 AS INTEGER)), '%Y-%m-%d') END"""
 _AUDIT = ARTICLES + ", " + _TARGETS + f""",
-per AS (SELECT source_id, count(*) AS n, count(*) FILTER (doc_id % 5 <> 0) AS fresh, min_by({_PUB}, doc_id) AS latest_date FROM articles GROUP BY 1),
+per AS (SELECT source_id, count(*) AS n, count(*) FILTER (tier <> 'TIER_1') AS fresh, min_by({_PUB}, doc_id) AS latest_date FROM articles GROUP BY 1),
 audit AS (SELECT t.source_id, t.source_name, t.tier, CASE WHEN target_url IS NULL THEN 'NO_FEED_CONFIGURED' WHEN n > 0 THEN 'SUCCESS' ELSE 'EMPTY_OR_UNAVAILABLE' END AS status,
  CASE WHEN target_url IS NULL THEN 0 ELSE coalesce(n, 0) END AS articles_fetched, CASE WHEN target_url IS NULL THEN 0 ELSE coalesce(fresh, 0) END AS new_articles_added,
  CASE WHEN target_url IS NOT NULL THEN latest_date END AS latest_date FROM targets t LEFT JOIN per p ON p.source_id = t.source_id)"""
@@ -239,8 +240,8 @@ _CRED = [(o, u, *next(((t, w, t == "TIER_1_OFFICIAL") for t, w, ks in [*dims.SOU
 
 ORACLES = {
     "clean_articles": f"WITH {ARTICLES} SELECT doc_id, article_id, title, md5(description) AS description_md5, link, source_id, tier FROM articles",
-    "article_store": f"""WITH {ARTICLES}, b AS (SELECT article_id, doc_id, title, doc_id AS arrival FROM articles WHERE doc_id % 2 = 0 UNION ALL
- SELECT article_id, doc_id, title, doc_id + 1000000 FROM articles WHERE doc_id % 3 <> 0),
+    "article_store": f"""WITH {ARTICLES}, b AS (SELECT article_id, doc_id, title, doc_id AS arrival FROM articles WHERE tier IN ('TIER_1', 'TIER_2') UNION ALL
+ SELECT article_id, doc_id, title, doc_id + 1000000 FROM articles),
  f AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY arrival) AS rn FROM b)
  SELECT article_id, doc_id, title, arrival FROM f WHERE rn = 1 ORDER BY arrival DESC, article_id LIMIT 500""",
     "event_classes": f"WITH {ARTICLES} SELECT doc_id, {_classed(dims.EVENT_KEYWORDS)} AS event_type, {_classed(T.CORPUS_EVENTS)} AS corpus_type, {_classed(T.CORPUS_EVENTS, True)} AS corpus_type_bounded FROM full_texts",

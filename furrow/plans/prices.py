@@ -14,6 +14,7 @@ from furrow.sources import tables as T
 GRID_CROPS = [t.lower() for t in T.TYPE_CROPS] + ["cotton"]
 CHAIN_CROPS = ["wheat", "rice", "maize", "potato", "onion", "soybean", "cotton", "barley"]
 FUTURES = [("wheat", 560.25), ("soybean", 1040.5), ("maize", 0.0)]
+BATCH_CROPS = ["rice", "wheat"]
 BATCH_FROM, CACHE_FROM, RUN_TS = "2001-10-20", "2001-11-01", "2001-11-05 00:00:00"
 
 
@@ -134,8 +135,9 @@ def price_source_chain(spark, sf):
     good = clean.accepted(checked(spark, sf))
     keys = prices.grid(spark.createDataFrame([(s,) for s in dims.ALL_STATES], "state string"), CHAIN_CROPS)
     recent = good.where(F.col("ds") >= F.lit(BATCH_FROM).cast("date"))
-    batch = prices.latest_batch(recent.where(F.col("quote_id") % 4 == 0))
-    stored = recent.where((F.col("ds") >= F.lit(CACHE_FROM).cast("date")) & (F.col("quote_id") % 4 == 1))
+    # The batch service covers two staples; the cache holds what was seen in the last days.
+    batch = prices.latest_batch(recent.where(F.col("crop").isin(BATCH_CROPS)))
+    stored = recent.where(F.col("ds") >= F.lit(CACHE_FROM).cast("date"))
     per = stored.groupBy("crop", "state", "ds").agg(F.max("modal_cents").alias("m"))
     own = per.groupBy("crop", "state").agg(F.max_by(F.struct("ds", "m"), "ds").alias("b"))
     every = per.groupBy("crop").agg(F.max(F.struct("ds", "m")).alias("b")).select("crop", F.lit("All").alias("state"), "b")
@@ -265,9 +267,9 @@ ORACLES = {
   date_diff('day', ds, DATE '2001-11-05') >= 3 AS stale FROM r WHERE rn = 1""",
     "price_source_chain": f"""WITH {CHECKED}, {CHAIN_KEYS},
  recent AS (SELECT * FROM checked WHERE reject_reason IS NULL AND ds >= DATE '{BATCH_FROM}'),
- br AS (SELECT *, rank() OVER (PARTITION BY crop, state ORDER BY ds DESC) AS rk FROM recent WHERE quote_id % 4 = 0),
+ br AS (SELECT *, rank() OVER (PARTITION BY crop, state ORDER BY ds DESC) AS rk FROM recent WHERE crop IN ('rice', 'wheat')),
  batch AS (SELECT crop, state, {S.rnd('CAST(CAST(sum(modal_cents) AS BIGINT) AS DOUBLE) / count(*) / 100.0', 2)} AS price FROM br WHERE rk = 1 GROUP BY 1, 2),
- st AS (SELECT * FROM recent WHERE ds >= DATE '{CACHE_FROM}' AND quote_id % 4 = 1),
+ st AS (SELECT * FROM recent WHERE ds >= DATE '{CACHE_FROM}'),
  own AS (SELECT crop, state, {S.rs('modal_cents')} AS price, date_diff('hour', CAST(ds AS TIMESTAMP), TIMESTAMP '{RUN_TS}') AS h
   FROM (SELECT *, row_number() OVER (PARTITION BY crop, state ORDER BY ds DESC, modal_cents DESC) AS rn FROM st) WHERE rn = 1),
  every AS (SELECT crop, {S.rs('modal_cents')} AS price, date_diff('hour', CAST(ds AS TIMESTAMP), TIMESTAMP '{RUN_TS}') AS h
