@@ -127,12 +127,18 @@ def extreme_values(daily: DataFrame, above_cents: int) -> DataFrame:
     return daily.groupBy("crop").agg(F.count_if(F.col("y_cents") > above_cents).alias("extreme_values"))
 
 
+def day_sums(quotes: DataFrame) -> DataFrame:
+    """Sum, count and highest modal price per series and day: a busy key shrinks to one row per day and task."""
+    return quotes.groupBy(*SERIES, "ds").agg(
+        F.sum("modal_cents").alias("s"), F.count(F.lit(1)).alias("n"), F.max("modal_cents").alias("m"))
+
+
 def latest_batch(quotes: DataFrame) -> DataFrame:
-    """Mean modal price of the most recent arrival date of each series.
+    """Mean modal price of the most recent arrival date of each series."""
+    return latest_of_days(day_sums(quotes))
 
-    Day sums come first, so a busy key shrinks to one row per day and task.
-    """
-    per_day = quotes.groupBy(*SERIES, "ds").agg(F.sum("modal_cents").alias("s"), F.count(F.lit(1)).alias("n"))
+
+def latest_of_days(per_day: DataFrame) -> DataFrame:
     last = per_day.groupBy(*SERIES).agg(F.max_by(F.struct("ds", "s", "n"), "ds").alias("b"))
     return last.select(*SERIES, F.col("b.ds").alias("arrival_date"), F.col("b.n").alias("quotes"),
                        N.round_to(F.col("b.s").cast("double") / F.col("b.n") / F.lit(100.0), 2).alias("price"))

@@ -134,11 +134,11 @@ def latest_price(spark, sf):
 def price_source_chain(spark, sf):
     good = clean.accepted(checked(spark, sf))
     keys = prices.grid(spark.createDataFrame([(s,) for s in dims.ALL_STATES], "state string"), CHAIN_CROPS)
-    recent = good.where(F.col("ds") >= F.lit(BATCH_FROM).cast("date"))
+    # Three sources derive from the recent days, so their sums are written once.
+    days = cut_lineage(prices.day_sums(good.where(F.col("ds") >= F.lit(BATCH_FROM).cast("date"))), "days")
     # The batch service covers two staples; the cache holds what was seen in the last days.
-    batch = prices.latest_batch(recent.where(F.col("crop").isin(BATCH_CROPS)))
-    stored = recent.where(F.col("ds") >= F.lit(CACHE_FROM).cast("date"))
-    per = stored.groupBy("crop", "state", "ds").agg(F.max("modal_cents").alias("m"))
+    batch = prices.latest_of_days(days.where(F.col("crop").isin(BATCH_CROPS)))
+    per = days.where(F.col("ds") >= F.lit(CACHE_FROM).cast("date"))
     own = per.groupBy("crop", "state").agg(F.max_by(F.struct("ds", "m"), "ds").alias("b"))
     every = per.groupBy("crop").agg(F.max(F.struct("ds", "m")).alias("b")).select("crop", F.lit("All").alias("state"), "b")
     cache = own.unionByName(every).select("crop", "state", N.rupees(F.col("b.m")).alias("price"),
