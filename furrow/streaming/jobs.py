@@ -54,9 +54,12 @@ def ingest_quotes(quotes: DataFrame, history: Callable[[], DataFrame], table: st
 
     def write(batch: DataFrame, batch_id: int) -> None:
         daily = prices.daily_rollup(batch)
+        # Two dates come back; with them the stored files are pruned by their statistics.
+        span = batch.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi")).first()
+        near = F.col("ds").between(F.lit(span["lo"]).cast("date"), F.lit(span["hi"]).cast("date"))
         seen = history().select(*KEYS)
         earlier = read_batches(spark, table, daily.schema, before=batch_id)
-        fresh = prices.new_rows(seen.unionByName(earlier.select(*KEYS)), daily)
+        fresh = prices.new_rows(seen.unionByName(earlier.select(*KEYS)).where(near), daily)
         fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     _finish(quotes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
