@@ -6,20 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import simhash
+from furrow.llm import mixing, simhash
 from furrow.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, weights 1, 2, 3 by source, at most three epochs."""
+    return mixing.mix_plan(read_table(spark, sf_dir, "documents"), cycle=(1, 2, 3), cap=3)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_simhash": op8_simhash}
+    return {"op1_mixing": op1_mixing, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.MIX_SQL}
