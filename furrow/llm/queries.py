@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import mixing, simhash
+from furrow.llm import mixing, simhash, tokens
 from furrow.llm.common import read_table
+from furrow.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,13 +18,27 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf_dir, "documents"), cycle=(1, 2, 3), cap=3)
 
 
+def vocabulary() -> str:
+    """Place of the public vocabulary that the token query is defined with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as seekable files and read back from them."""
+    folder = scratch_path(spark, "tokens")
+    tokens.write_tokens(read_table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=2)
+    return tokens.read_tokens(spark, folder)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_mixing": op1_mixing, "op8_simhash": op8_simhash}
+    return {"op1_mixing": op1_mixing, "op6_tokens": op6_tokens, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
