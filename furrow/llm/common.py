@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from furrow.session import shared_folder
 
 #: Text bytes that one numpy step works on; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
