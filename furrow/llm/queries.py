@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import mixing, simhash, tokens
+from furrow.llm import langid, mixing, quality, simhash, tokens, toxicity
 from furrow.llm.common import read_table
 from furrow.session import scratch_path
 
@@ -18,6 +18,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf_dir, "documents"), cycle=(1, 2, 3), cap=3)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by rank-order profiles."""
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chained category probabilities and the toxic flag of every document."""
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def vocabulary() -> str:
     """Place of the public vocabulary that the token query is defined with."""
     import public_tokenizers
@@ -37,8 +47,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by supervised subword embeddings."""
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mixing": op1_mixing, "op6_tokens": op6_tokens, "op8_simhash": op8_simhash}
+    return {
+        "op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op6_tokens": op6_tokens,
+        "op8_simhash": op8_simhash, "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
