@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import langid, mixing, quality, simhash, tokens, toxicity
+from furrow.llm import langid, minhash, mixing, quality, simhash, tokens, toxicity
 from furrow.llm.common import read_table
 from furrow.session import scratch_path
 
@@ -35,6 +35,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, of its edited text, and their likeness."""
+    return minhash.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as seekable files and read back from them."""
     folder = scratch_path(spark, "tokens")
@@ -54,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op6_tokens": op6_tokens,
+        "op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op5_minhash": op5_minhash, "op6_tokens": op6_tokens,
         "op8_simhash": op8_simhash, "op10_quality": op10_quality,
     }
 
