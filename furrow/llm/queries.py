@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import langid, minhash, mixing, quality, simhash, tokens, toxicity
+from furrow.llm import langid, minhash, mixing, quality, simhash, tiling, tokens, toxicity
 from furrow.llm.common import read_table
 from furrow.session import scratch_path
 
@@ -47,6 +47,11 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, folder)
 
 
+def op7_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they contain, in whatever order of passages."""
+    return tiling.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=4, radius=4)
@@ -59,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op5_minhash": op5_minhash, "op6_tokens": op6_tokens,
+        "op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op5_minhash": op5_minhash, "op6_tokens": op6_tokens, "op7_tiling": op7_tiling,
         "op8_simhash": op8_simhash, "op10_quality": op10_quality,
     }
 
