@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import langid, minhash, mixing, quality, simhash, tiling, tokens, toxicity
+from furrow.llm import chunking, langid, minhash, mixing, quality, simhash, tiling, tokens, toxicity
 from furrow.llm.common import read_table
 from furrow.session import scratch_path
 
@@ -57,6 +57,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op9_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that occur more than once, in every document that has them."""
+    return chunking.repeated_passages(read_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by supervised subword embeddings."""
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -65,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op5_minhash": op5_minhash, "op6_tokens": op6_tokens, "op7_tiling": op7_tiling,
-        "op8_simhash": op8_simhash, "op10_quality": op10_quality,
+        "op8_simhash": op8_simhash, "op9_chunking": op9_chunking, "op10_quality": op10_quality,
     }
 
 
