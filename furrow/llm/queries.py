@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import chunking, langid, minhash, mixing, quality, simhash, tiling, tokens, toxicity
+from furrow.llm import chunking, langid, minhash, mixing, pii, quality, simhash, tiling, tokens, toxicity
 from furrow.llm.common import read_table
 from furrow.session import scratch_path
 
@@ -35,6 +35,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that the boosted trees add."""
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, of its edited text, and their likeness."""
     return minhash.compare_with_next(read_table(spark, sf_dir, "documents"))
@@ -69,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op5_minhash": op5_minhash, "op6_tokens": op6_tokens, "op7_tiling": op7_tiling,
+        "op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_minhash": op5_minhash, "op6_tokens": op6_tokens, "op7_tiling": op7_tiling,
         "op8_simhash": op8_simhash, "op9_chunking": op9_chunking, "op10_quality": op10_quality,
     }
 
