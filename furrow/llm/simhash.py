@@ -25,14 +25,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import byte_steps, checkpointed, connected_components, with_columns
+from furrow.llm import hashing
+from furrow.llm.common import byte_steps, checkpointed, connected_components, text_bytes, with_columns
 
 BITS = 64
 #: Rows of a bucket that one task compares with as many others.
 BLOCK_ROWS = 2048
+#: Rows up to which the documents to verify are broadcast; beyond it the join is left to Spark.
+BROADCAST_ROWS = 1_000_000
+#: Place of a null id.
+LOWEST = -(1 << 63)
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -74,27 +79,43 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
+def shifted(stack: np.ndarray, by: int, words: int) -> np.ndarray:
+    """The first ``words`` words of planes moved so that bit i is bit i + ``by``; the planes must reach that far."""
+    whole, part = divmod(by, 64)
+    low = stack[..., whole : whole + words]
+    if not part:
+        return low
+    return low >> np.uint64(part) | stack[..., whole + 1 : whole + 1 + words] << np.uint64(64 - part)
+
+
 def within(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     """Words of bits that are 1 where two stacks of planes differ in at most ``radius`` bits.
 
-    ``left`` and ``right`` broadcast against each other plane by plane.  Carry-save
-    counters: word k of ``count`` holds bit k of many distances; a distance that
-    passes the counters' range stays marked in ``over``.  The block is abandoned
-    once every distance is past the radius.
+    Carry-save counters: word k of ``count`` holds bit k of many distances; a distance that
+    passes the counters' range stays marked in ``over``.  A block of 64 distances is
+    abandoned once all of them are past the radius, the whole once all blocks are.
     """
     width = max(1, int(radius).bit_length())
-    shape = np.broadcast_shapes(left.shape[1:], right.shape[1:])
-    count = [np.zeros(shape, np.uint64) for _ in range(width)]
-    over = np.zeros(shape, np.uint64)
+    alive = np.arange(left.shape[1])
+    count = [np.zeros(len(alive), np.uint64) for _ in range(width)]
+    over = np.zeros(len(alive), np.uint64)
+    out = np.zeros(left.shape[1], np.uint64)
     for b in range(BITS):
         carry = left[b] ^ right[b]
         for k in range(width):
-            count[k], carry = count[k] ^ carry, count[k] & carry
+            here = count[k]
+            count[k] = here ^ carry
+            carry &= here
         over |= carry
-        if b % 8 == 7 and b < BITS - 1:
-            if not np.any(~(over | above(count, radius))):
-                return np.zeros(shape, np.uint64)
-    return ~(over | above(count, radius))
+        if b % 8 == 7 and 24 <= b < BITS - 1:
+            near = ~(over | above(count, radius)) != 0
+            if not near.any():
+                return out
+            if 2 * np.count_nonzero(near) < len(alive):
+                alive, over, left, right = alive[near], over[near], left[:, near], right[:, near]
+                count = [c[near] for c in count]
+    out[alive] = ~(over | above(count, radius))
+    return out
 
 
 def above(count: list[np.ndarray], radius: int) -> np.ndarray:
@@ -110,42 +131,43 @@ def above(count: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def set_bits(words: np.ndarray, length: int) -> np.ndarray:
-    """Positions of the set bits among the first ``length``."""
-    return np.flatnonzero(np.unpackbits(np.ascontiguousarray(words).view(np.uint8), bitorder="little")[:length])
-
-
-def pairs_within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Positions at which a[i] and b[i] are within the radius."""
-    return set_bits(within(planes(a), planes(b), radius), len(a)) if len(a) else np.zeros(0, np.int64)
+def forest(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links within groups that connect all that the radius connects, none between what is connected already.
 
-
-def forest(values: np.ndarray, radius: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the radius connects, at most one per value that joins a tree.
-
-    Within ``values``, or between ``values`` and ``other`` if given.  The values not
-    yet reached are compared with the frontier, 64 at a time; each is dropped
-    from the planes as soon as it is reached, so a tight group costs one sweep.
+    ``group`` numbers the rows' groups; a group's rows stand together.  Rows are put in
+    the order of falling group size and compared with the row 1, 2, 3, ... places on, all at
+    once, as long as a group is that long.
     """
-    pool = values if other is None else np.concatenate([values, other])
-    side = np.zeros(len(pool), bool) if other is None else np.arange(len(pool)) >= len(values)
-    left, a, b = np.arange(len(pool)), [], []
-    while len(left) > 1:
-        frontier, left = left[:1], left[1:]
-        while len(frontier) and len(left):
-            now, frontier = frontier[:64], frontier[64:]
-            near = within(planes(pool[left])[:, None, :], (-((pool[now][None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]) & np.uint64(1))).astype(np.uint64)[:, :, None], radius)
-            hit = np.zeros(len(left), bool)
-            for k in range(len(now)):
-                got = set_bits(near[k], len(left))
-                if other is not None:
-                    got = got[side[left[got]] != side[now[k]]]
-                got = got[~hit[got]]
-                hit[got] = True
-                a.append(np.full(len(got), pool[now[k]]))
-                b.append(pool[left[got]])
-            frontier, left = np.concatenate([frontier, left[hit]]), left[~hit]
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    size = np.bincount(group)[group]
+    order = np.lexsort((group, -size))
+    values, group, size = values[order], group[order], size[order]
+    stack = planes(np.concatenate([values, np.zeros(128 + int(size[0]), np.uint64)]))
+    label = np.arange(len(values))
+    a, b = [], []
+    for by in range(1, int(size[0])):
+        rows = int(np.searchsorted(-size, -by, side="left"))  # rows of groups of more than ``by``
+        words = -(-rows // 64)
+        near = np.flatnonzero(np.unpackbits(within(stack[:, :words], shifted(stack, by, words), radius).view(np.uint8), bitorder="little")[:rows])
+        near = near[near + by < len(values)]
+        near = near[(group[near] == group[near + by]) & (label[near] != label[near + by])]
+        for i in near.tolist():
+            x, y = root(label, i), root(label, i + by)
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                a.append(i)
+                b.append(i + by)
+        if len(near):
+            flat = label[label]
+            while not np.array_equal(flat, label):
+                label, flat = flat, flat[flat]
+    return order[np.array(a, np.int64)], order[np.array(b, np.int64)]
+
+
+def root(label: np.ndarray, i: int) -> int:
+    """Least row connected with row i so far."""
+    while label[i] != i:
+        i = int(label[i])
+    return i
 
 
 def block_pairs(radius: int) -> list[int]:
@@ -172,66 +194,43 @@ def links(distinct: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS) ->
     large = keyed.groupBy("way", "key").count().filter(F.col("count") > 1).withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("int"))
     own = keyed.join(large.drop("count"), ["way", "key"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    dealt = own.withColumn("pair", F.explode(others)).select("way", "key", "pair.i", "pair.j", "block", "fp")
+    dealt = own.withColumn("pair", F.explode(others)).select("way", "key", "pair.i", "pair.j", "fp")
+
+    groups_of = ["way", "key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["way", "key", "i", "j"]):
-            yield from compare(group, radius)
+        for fp, group in grouped(batches, groups_of):
+            a, b = forest(fp, group, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    groups_of = ["way", "key", "i", "j"]
     placed = dealt.repartition(*groups_of).sortWithinPartitions(*groups_of)
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted rows in pieces of whole groups: fingerprint, group number, block, and whether the task pairs two blocks."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted rows in pieces of whole groups, of about ``rows`` rows: fingerprints and group numbers."""
     held: list[pa.RecordBatch] = []
+    count = 0
 
-    def piece(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def cut(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal held, count
+        table = pa.Table.from_batches(held)
         columns = [table.column(k).to_numpy() for k in keys]
         new = np.concatenate(([False], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
-        return table.column("fp").to_numpy().view(np.uint64), np.cumsum(new), table.column("block").to_numpy(), columns[2] != columns[3]
+        stop = table.num_rows if last else int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if stop:
+            yield table.column("fp").to_numpy()[:stop].view(np.uint64), np.cumsum(new[:stop])
+        held = table.slice(stop).to_batches()
+        count = table.num_rows - stop
 
     for batch in batches:
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        columns = [table.column(k).to_numpy() for k in keys]
-        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
-        if len(change):
-            cut = int(change[-1]) + 1
-            yield piece(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-    if held and sum(x.num_rows for x in held):
-        yield piece(pa.Table.from_batches(held))
-
-
-def compare(group: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], radius: int, small: int = 16) -> Iterator[pa.RecordBatch]:
-    """Links of a piece: small groups pair by pair in one bit-sliced step, larger ones as forests."""
-    fp, number, block, two = group
-    size = np.bincount(number)
-    a, b = [], []
-    few = size[number] <= small
-    values, where = fp[few & ~two], number[few & ~two]
-    for shift in range(1, small):
-        same = np.flatnonzero(where[shift:] == where[:-shift]) if len(where) > shift else np.zeros(0, np.int64)
-        if not len(same):
-            break
-        for at in range(0, len(same), 1 << 18):
-            i = same[at : at + (1 << 18)]
-            got = i[pairs_within(values[i], values[i + shift], radius)]
-            a.append(values[got])
-            b.append(values[got + shift])
-    rest = np.flatnonzero(~(few & ~two))
-    for rows in np.split(rest, np.flatnonzero(np.diff(number[rest])) + 1) if len(rest) else []:
-        if two[rows[0]]:
-            first = block[rows] == block[rows].min()
-            x, y = forest(fp[rows[first]], radius, fp[rows[~first]])
-        else:
-            x, y = forest(fp[rows], radius)
-        a.append(x)
-        b.append(y)
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= rows:
+            yield from cut(False)
+    if count:
+        yield from cut(True)
 
 
 def near_classes(prints: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -257,3 +256,44 @@ def hex_digits(fp) -> F.Column:
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return near_classes(fingerprints(docs, words), radius).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc columns ``a`` (the key) and the distinct shingle hashes of ``text``, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in byte_steps(batches):
+            raw, bounds = text_bytes(piece.column("text"))
+            tokens, _, ends = hashing.word_hashes(raw, bounds)
+            found, runs = hashing.shingles(tokens, ends, words)
+            sets = [np.unique(found[s:e]).view(np.int64) for s, e in zip(runs[:-1], runs[1:], strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))), pa.int32()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([piece.column("fp"), lists], ["fp", "shingles"])
+
+    return docs.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+
+
+def near_unique(docs: DataFrame, words: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near duplicates: the one of the least id.  Columns as in ``docs``.
+
+    SimHash links within ``radius`` are verified by the Jaccard similarity of the
+    shingle sets (equal fingerprints are taken as alike).  Of rows alike in id and text one stays.
+    """
+    keyed = docs.withColumns({"_place": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_text": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    prints = checkpointed(fingerprints(keyed.select(F.struct("_place", "_text").alias("doc_id"), "text"), words).select("doc_id._place", "doc_id._text", "fp"))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("_place").alias("least")))
+    found = checkpointed(links(classes.select("fp"), radius))
+    linked = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    # The texts to verify with: of every linked fingerprint one row of its least id.
+    shown = checkpointed(linked.join(classes, "fp").withColumnRenamed("least", "_place").join(prints, ["fp", "_place"]).groupBy("fp", "_place").agg(F.min("_text").alias("_text")))
+    few = F.broadcast(shown) if shown.count() <= BROADCAST_ROWS else shown
+    sets = checkpointed(shingle_sets(keyed.join(few, ["_place", "_text"]).select("fp", "text").dropDuplicates(["fp"]), words))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = (found.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+             .filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"))
+    named = connected_components(alike).withColumnRenamed("node", "fp")
+    rooted = prints.join(named, "fp", "left").select("_place", "_text", F.coalesce("component", "fp").alias("component"))
+    least = rooted.groupBy("component").agg(F.min("_place").alias("_place"))
+    stay = rooted.join(least, ["component", "_place"]).groupBy("component", "_place").agg(F.min("_text").alias("_text")).select("_place", "_text")
+    only = F.row_number().over(Window.partitionBy("_place", "_text").orderBy("_place"))
+    return keyed.join(stay.distinct(), ["_place", "_text"]).withColumn("_only", only).filter("_only = 1").select(*docs.columns)
