@@ -27,6 +27,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +49,18 @@ SEEK_MAGIC = 0x8F92EAB1
 FRAME_IDS = 1 << 16
 LEVEL = 3
 #: Words whose ids a task remembers before it starts afresh.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 700_000
 
 #: str.split parts words at these, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Letters that lower-casing and normalizing keep single, then ASCII punctuation.
 LETTERS_THEN_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+PLAIN_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: The byte-level alphabet's spelling of these letters: bytes that are printable Latin-1 stand for themselves, the others
+#: for the characters from 256 on in the order of the bytes.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+BYTE_LETTERS = {c: "".join(SPELLED[b] for b in chr(c).encode()) for c in range(0xDF, 0x100) if chr(c).isalpha()}
 ASCII_WORD = re.compile(r"[^ \t-\r]+")
 
 MANIFEST = "file string, number int, docs long, ids long, bytes long"
@@ -83,22 +90,28 @@ class WordEncoder:
         self.bounds = np.zeros(1, np.int64)
 
     def part(self, text: str) -> bytes:
-        """Ids of a word's part, 4 bytes each.  Lower-case ASCII letters need no more than the tokenizer's model."""
-        if text.isascii() and text.isalpha():
-            return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        """Ids of a word's part, 4 bytes each.  Plain lower-case letters need no more than the tokenizer's model."""
+        if PLAIN_LETTERS.fullmatch(text):
+            return array("I", [t.id for t in self.model.tokenize(text.translate(BYTE_LETTERS))]).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def new_words(self, words: list[str]) -> list[bytes]:
-        split = [LETTERS_THEN_MARKS.fullmatch(w) for w in words]
-        pieces = [(m[1].lower(), m[2]) if m else (w, "") for m, w in zip(split, words, strict=True)]
         if len(self.parts) > REMEMBERED_WORDS:
             self.parts = {}
-        known = self.parts
-        for pair in pieces:
-            for p in pair:
-                if p not in known:
-                    known[p] = self.part(p)
-        return [known[letters] + known[marks] if marks else known[letters] for letters, marks in pieces]
+        known, out = self.parts, []
+        for word in words:
+            match = LETTERS_THEN_MARKS.fullmatch(word)
+            letters, marks = (match[1].lower(), match[2]) if match else (word, "")
+            ids = known.get(letters)
+            if ids is None:
+                ids = known[letters] = self.part(letters)
+            if marks:
+                more = known.get(marks)
+                if more is None:
+                    more = known[marks] = self.part(marks)
+                ids += more
+            out.append(ids)
+        return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the n + 1 bounds."""
@@ -107,14 +120,16 @@ class WordEncoder:
         words = [ASCII_WORD.findall(t) if SEPARATORS.search(t) else t.split() for t in (t or "" for t in texts)]
         flat = [w for of in words for w in of]
         known = self.place
-        new = [w for w in dict.fromkeys(flat) if w not in known]
-        if new:
+        at = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(flat[i] for i in missing))
             found = self.new_words(new)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
             self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
-        at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+            at[missing] = [known[flat[i]] for i in missing]
         start, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -140,13 +155,15 @@ class FrameWriter:
         self.held: list[bytes] = []
         self.held_ids = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        if self.held_ids and self.held_ids + len(ids) > FRAME_IDS:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """Append a document's ids, 4 bytes each in little-endian order."""
+        count = len(ids) // 4
+        if self.held_ids and self.held_ids + count > FRAME_IDS:
             self.close_frame()
         self.doc_ids.append(doc_id)
-        self.counts.append(len(ids))
-        self.held.append(ids.astype("<u4").tobytes())
-        self.held_ids += len(ids)
+        self.counts.append(count)
+        self.held.append(ids)
+        self.held_ids += count
 
     def close_frame(self) -> None:
         raw = b"".join(self.held)
@@ -237,8 +254,10 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
                 sink = store.open_output_stream(f"{base}/{name}", compression=None)
                 writer = FrameWriter(sink)
             ids, bounds = encoder.encode(piece.column("text").to_pylist())
+            raw = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4").tobytes()
+            ends = (bounds + np.arange(len(bounds))).tolist()
             for k, doc_id in enumerate(piece.column("doc_id").to_pylist()):
-                writer.add(doc_id, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)))
+                writer.add(doc_id, raw[4 * ends[k] : 4 * ends[k + 1]])
         if writer is not None:
             writer.finish()
             size = sink.tell()
