@@ -174,9 +174,9 @@ def repeated_passages(docs: DataFrame, across: bool = True) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with every passage to remove cut out of ``text``; all other columns and all rows stay."""
     cuts = (repeated_passages(docs).filter("action = 'remove'").groupBy(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"))
-            .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts")))
+            .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts")))
     joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(cuts["cut_id"]) & (F.xxhash64(docs["text"]) == cuts["cut_hash"]), "left")
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("cuts", lambda c: F.array(c["start"], c["stop"]))), F.array(F.length(docs["text"])))
-    kept = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda k: F.substring(docs["text"], F.element_at(edges, k * 2 + 1) + 1, F.element_at(edges, k * 2 + 2) - F.element_at(edges, k * 2 + 1)))
-    text = F.when(F.col("cuts").isNull(), docs["text"]).otherwise(F.array_join(kept, "")).alias("text")
+    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("_cuts", lambda c: F.array(c["start"], c["stop"]))), F.array(F.length(docs["text"])))
+    kept = F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda k: F.substring(docs["text"], F.element_at(edges, k * 2 + 1) + 1, F.element_at(edges, k * 2 + 2) - F.element_at(edges, k * 2 + 1)))
+    text = F.when(F.col("_cuts").isNull(), docs["text"]).otherwise(F.array_join(kept, "")).alias("text")
     return joined.select(*[text if c == "text" else docs[c] for c in docs.columns])

@@ -54,7 +54,7 @@ def text_lengths(texts: pa.Array) -> np.ndarray:
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a piece end to end, and the n + 1 bounds of its texts (null counts as empty)."""
-    whole = pa.array(pc.fill_null(texts, ""), type=pa.large_string()) if texts.null_count else texts.cast(pa.large_string())
+    whole = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_string())
     offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1]
     data = whole.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)

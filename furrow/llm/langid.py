@@ -94,7 +94,7 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE
         for piece in byte_steps(batches):
             for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").to_pylist(), strict=True):
                 grams, counts = gram_counts(text)
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": grams, "n": counts})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": grams, "n": counts.astype(np.int64)})
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -109,18 +109,18 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE
     return Profiles(languages, grams, ranks, size)
 
 
-def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1) for every whole text."""
+def predict(docs: DataFrame, profiles: Profiles, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``label`` and ``score`` (0 to 1) for every whole text; columns so named before are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in byte_steps(batches):
             found = [profiles.closest(t) for t in piece.column("text").to_pylist()]
-            yield with_columns(piece, names, lang_pred=pa.array([x for x, _ in found], pa.string()), score=pa.array([y for _, y in found], pa.float64()))
+            yield with_columns(piece, names, **{label: pa.array([x for x, _ in found], pa.string()), score: pa.array([y for _, y in found], pa.float64())})
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c not in (label, score)]
     slim = docs.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    return slim.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return slim.mapInArrow(run, f"{schema}, {label} string, {score} double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -143,4 +143,5 @@ def drop_text(scored: DataFrame) -> DataFrame:
 def with_language(docs: DataFrame, train_docs: int = TRAIN_DOCS, least: float = 0.0) -> DataFrame:
     """The documents of a known language: not ``und``, and with a score of at least ``least``.  Same columns as ``docs``."""
     profiles = learn(training_rows(docs), train_docs)
-    return predict(docs, profiles).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    known = predict(docs, profiles, "_lang_pred", "_lang_score")
+    return known.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)

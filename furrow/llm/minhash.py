@@ -130,8 +130,9 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def ranges(ids: DataFrame, pieces: int) -> list[int]:
     """Ids that part the documents into about ``pieces`` ranges of like size."""
-    found = ids.approxQuantile("doc_id", [k / pieces for k in range(1, pieces)], 0.2 / pieces)
-    return sorted({int(x) for x in found})
+    shares = [k / pieces for k in range(1, pieces)]
+    found = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 5 * pieces)).alias("at")).first()["at"] if shares else None
+    return sorted(set(found or []))
 
 
 def compare_with_next(docs: DataFrame, pieces: int | None = None) -> DataFrame:

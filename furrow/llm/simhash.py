@@ -287,7 +287,7 @@ def near_unique(docs: DataFrame, words: int = 5, radius: int = 10, similarity: f
     # The texts to verify with: of every linked fingerprint one row of its least id.
     shown = checkpointed(linked.join(classes, "fp").withColumnRenamed("least", "_place").join(prints, ["fp", "_place"]).groupBy("fp", "_place").agg(F.min("_text").alias("_text")))
     few = F.broadcast(shown) if shown.count() <= BROADCAST_ROWS else shown
-    sets = checkpointed(shingle_sets(keyed.join(few, ["_place", "_text"]).select("fp", "text").dropDuplicates(["fp"]), words))
+    sets = checkpointed(shingle_sets(keyed.select("_place", "_text", "text").join(few, ["_place", "_text"]).select("fp", "text").dropDuplicates(["fp"]), words))
     both = F.size(F.array_intersect("x", "y"))
     alike = (found.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
              .filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"))
