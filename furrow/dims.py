@@ -1,9 +1,7 @@
 """Small reference tables.
 
 Every table in this module is a set of fixed values: results are only right
-when these agree with the published rules, so they are stated plainly.  All of
-them are bounded by construction (tens of rows), which is what makes
-``broadcast`` safe for the frames built from them with :func:`frame`.
+when these agree with the published rules, so they are stated plainly.
 """
 
 from __future__ import annotations
@@ -11,17 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-MAX_BROADCAST_ROWS = 10_000
-
 
 def frame(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
-    """Broadcastable frame of a fixed table; refuses anything not small."""
-    rows = [tuple(r) for r in rows]
-    if len(rows) > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{len(rows)} rows is not a fixed small table")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """Frame of a fixed table; Spark knows its size and broadcasts it by that."""
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
 # ---------------------------------------------------------------- fixed values

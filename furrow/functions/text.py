@@ -121,7 +121,7 @@ def normalize_season(c: Column, current: Column | None = None) -> Column:
     """Season alias to canonical name; blank falls back to ``current``."""
     text = F.trim(c)
     named = F.coalesce(lookup(F.lower(text), dims.SEASON_ALIASES),
-                       F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000_000))))
+                       F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text)))))
     fallback = current if current is not None else F.lit(None).cast("string")
     return F.when(F.coalesce(text, F.lit("")) != "", named).otherwise(fallback)
 

@@ -179,19 +179,21 @@ def tree_forecast(seeds: DataFrame, nodes: pd.DataFrame, start: str, horizon: in
 
 
 # ------------------------------------------------------------------ classifier
-def fold_position(df: DataFrame, label: str, key: str, buckets: int = 1024) -> DataFrame:
+def fold_position(df: DataFrame, label: str, key: str, bucket_rows: int = 20_000) -> DataFrame:
     """Exact running number of each row within its label, in hashed order.
 
-    Rows are numbered inside (label, bucket) and shifted by the bucket totals,
-    so a label with most of the rows is never numbered in one task.
+    Rows are numbered inside (label, range of hashes) and shifted by the totals of
+    the ranges before, so a label with most of the rows is never numbered in one
+    task.  The number of ranges follows the row count; the numbers do not depend on it.
     """
-    mark = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 6), 16, 10).cast("bigint") % buckets
-    b = df.withColumn("bucket", mark)
+    bits = (df.count() // bucket_rows).bit_length()
+    mark = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("bigint")
+    b = df.withColumn("mark", mark).withColumn("bucket", F.shiftright("mark", 48 - bits))
     totals = b.groupBy(label, "bucket").agg(F.count(F.lit(1)).alias("c"))
     before = F.sum("c").over(W.partitionBy(label).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = totals.select(label, "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
-    rn = F.row_number().over(W.partitionBy(label, "bucket").orderBy(key))
-    return b.withColumn("rn", rn).join(offsets, [label, "bucket"]).withColumn("position", F.col("offset") + F.col("rn")).drop("rn", "offset", "bucket")
+    rn = F.row_number().over(W.partitionBy(label, "bucket").orderBy("mark", key))
+    return b.withColumn("rn", rn).join(offsets, [label, "bucket"]).withColumn("position", F.col("offset") + F.col("rn")).drop("rn", "offset", "bucket", "mark")
 
 
 def stratified_folds(df: DataFrame, label: str = "label", key: str = "vec_id", folds: int = 5) -> DataFrame:

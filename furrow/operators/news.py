@@ -102,17 +102,9 @@ def clusters(events: DataFrame, order: str = "article_id") -> DataFrame:
         status.alias("verification_status"), "sources_involved", F.col("first.title").alias("sample_title"))
 
 
-def tag_events(events: DataFrame, order: str = "article_id", lexicon_clusters: int | None = None) -> DataFrame:
-    """Events with the verdict of their cluster.
-
-    The number of clusters is at most states x crops x classes of the lexicons;
-    when the caller states that bound and it is small, the verdicts are
-    broadcast and the events keep their partitioning.  Otherwise it is an
-    ordinary join, which adaptive execution may still convert or split.
-    """
+def tag_events(events: DataFrame, order: str = "article_id") -> DataFrame:
+    """Events with the verdict of their cluster."""
     verdict = clusters(events, order).select(*CLUSTER, "verification_status")
-    if lexicon_clusters is not None and lexicon_clusters <= dims.MAX_BROADCAST_ROWS * 10:
-        verdict = F.broadcast(verdict)
     return events.join(verdict, CLUSTER)
 
 

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def judge_versions(versions: DataFrame, slack: float = 1.10) -> DataFrame:
-    """Status of each version: promoted unless its error exceeds the previous one's by the slack.
+    """Status of each version: promoted unless its error exceeds the production model's by the slack.
 
-    ``versions``: crop, version, trained_on, mae.
+    The production model is the last promoted version, so a rejected one is no
+    yardstick for those after it.  ``versions``: crop, version, trained_on, mae;
+    a crop's few versions are folded in order.
     """
-    before = F.lag("mae").over(W.partitionBy("crop").orderBy("version"))
-    worse = F.coalesce(F.col("mae") > before * F.lit(slack), F.lit(False))
-    return versions.withColumn("status", F.when(worse, "REJECTED").otherwise("PROMOTED"))
+    def step(done: Column, v: Column) -> Column:
+        worse = F.coalesce(v["mae"] > done["mae"] * F.lit(slack), F.lit(False))
+        judged = F.struct(v["version"].alias("version"), v["trained_on"].alias("trained_on"), v["mae"].alias("mae"),
+                          F.when(worse, "REJECTED").otherwise("PROMOTED").alias("status"))
+        return F.struct(F.when(worse, done["mae"]).otherwise(v["mae"]).alias("mae"), F.concat(done["rows"], F.array(judged)).alias("rows"))
+
+    kinds = {f.name: f.dataType.simpleString() for f in versions.schema}
+    none = F.array().cast(f"array<struct<version:{kinds['version']},trained_on:{kinds['trained_on']},mae:{kinds['mae']},status:string>>")
+    start = F.struct(F.lit(None).cast(kinds["mae"]).alias("mae"), none.alias("rows"))
+    ordered = versions.groupBy("crop").agg(F.array_sort(F.collect_list(F.struct("version", "trained_on", "mae"))).alias("v"))
+    return ordered.select("crop", F.explode(F.aggregate("v", start, step)["rows"]).alias("r")).select("crop", "r.*")
 
 
 def current_models(history: DataFrame, as_of: Column | None = None, rolled_back: DataFrame | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ TOLERANCES = [
 ]
 DISTRICT_SOILS = [("nagpur", 1, "Black Soil"), ("east godavari", 2, "Coastal Alluvial Soil"), ("kutch", 3, "Desert Soil"), ("mysore", 4, "Red Soil")]
 SIGNAL_STATES = [(f"S{i}", dims.STATE_SPELLINGS.get(n, n.title())) for i, n in enumerate(T.NATION_SPELLINGS[:20])]
-CUTS, MUCH, YEARS = (7, 6, 1), 1000, 7
+CUTS, MUCH, YEARS = (10, 5, 1), 10_000, 7
 # Traded volume from which a district or state counts as having a market for a crop.
 TRADED_DISTRICT, TRADED_STATE = 50_000, 10_000
 
@@ -50,10 +50,8 @@ def facts(spark, sf):
 
 
 def matrix(spark, sf, f=None):
-    """Candidate table in which one district lacks ids and another lacks its Kharif rows."""
-    m = ad.candidate_matrix(facts(spark, sf) if f is None else f, YEARS)
-    return m.where(~((F.col("district") == "Kutch") & (F.col("season") == "Kharif"))).withColumn(
-        "canonical_id", F.when(F.col("district") != "Nagpur", F.col("canonical_id")))
+    """Candidates of every place and season."""
+    return ad.candidate_matrix(facts(spark, sf) if f is None else f, YEARS)
 
 
 def _requests(spark, sf):
@@ -159,7 +157,7 @@ def suitability_top3(spark, sf):
 
 
 def labels_outside_candidates(spark, sf):
-    t = ad.top_crops(facts(spark, sf), n=3)
+    t = facts(spark, sf).select("state", "district", "crop").distinct()
     labels = pl.crop_labels(t.select("crop")).select("crop", "label")
     have = _requests(spark, sf).join(t.join(labels, "crop").select("state", "district", "label"), ["state", "district"]).select("request_id", "label")
     asked = T.requests(spark, sf).select("request_id", F.explode(F.array(*[F.lit(x) for x in ("rice", "wheat", "mungbean", "coffee")])).alias("label"))
@@ -286,7 +284,7 @@ def _topped(spark, sf):
         "request_id", "name", F.struct("o", "crop").alias("ord"))
     first = T.requests(spark, sf).select("request_id", F.posexplode(F.array(F.lit("Tomato"), F.lit("Wheat"), F.col("previous_crop"))).alias("i", "name")).where(
         F.col("name").isNotNull()).select("request_id", "name", F.struct(F.col("i").cast("bigint").alias("o"), F.lit("").alias("crop")).alias("ord"))
-    return ad.top_up(first, second, 6)
+    return ad.top_up(first, second, 25)
 
 
 def top_up_list(spark, sf):
@@ -348,7 +346,7 @@ REQ = f"{S.REQUESTS}, " + _canon("requests", "req0", "request_id, season, soil_p
 req AS (SELECT *, state || '::' || district AS canonical_id, CASE season WHEN 'Kharif' THEN 'Kharif' WHEN 'winter season' THEN 'Rabi' WHEN 'Zaid' THEN 'Summer' ELSE 'Whole Year' END AS canonical_season FROM req0)"""
 MATRIX = f"""mx0 AS (SELECT state, district, season, crop, {S.rnd('count(DISTINCT crop_year) / ' + D(7), 4)} AS evidence_score,
  CASE WHEN count(*) >= 25 THEN {S.rnd('least(count(*) / CAST(100.0 AS DOUBLE), 1)', 4)} END AS data_confidence FROM facts GROUP BY 1, 2, 3, 4),
-mx AS (SELECT *, CASE WHEN district <> 'Nagpur' THEN state || '::' || district END AS canonical_id FROM mx0 WHERE NOT (district = 'Kutch' AND season = 'Kharif')),
+mx AS (SELECT *, state || '::' || district AS canonical_id FROM mx0),
 combos AS (SELECT DISTINCT canonical_id, state, district, season, canonical_season FROM req),
 hits AS (SELECT c.canonical_id, c.state, c.district, c.season, c.canonical_season, m.crop, m.evidence_score, m.data_confidence, m.season AS ms,
  CASE WHEN m.canonical_id = c.canonical_id AND lower(m.season) = lower(c.canonical_season) THEN 1 WHEN m.canonical_id = c.canonical_id AND lower(m.season) = lower(c.season) THEN 2
@@ -371,7 +369,7 @@ md AS (SELECT district, crop FROM facts GROUP BY 1, 2 HAVING sum(production) >=
 st AS (SELECT r.request_id, c.crop, CAST(c.level AS BIGINT) AS level, r.soil_ph, r.season, r.canonical_season, yrs,
  list_distinct(list_concat(coalesce(sp, []), CASE WHEN c.crop IN ('Wheat', 'Potato') THEN ['Rabi'] WHEN c.crop = 'Rice' THEN ['Kharif'] ELSE ['Kharif', 'Rabi', 'Summer', 'Whole Year'] END)) AS seasons,
  coalesce(q.lo, 5.5) AS lo, coalesce(q.hi, 7.5) AS hi,
- CASE WHEN yrs IS NULL THEN {S.rnd('c.evidence_score * ' + D(6), 1)} WHEN yrs >= 7 THEN CASE WHEN prod > 1000 THEN {D(25)} ELSE {D(20)} END WHEN yrs >= 6 THEN {D(15)} WHEN yrs >= 1 THEN {D(8)} ELSE {D(4)} END AS evidence_points,
+ CASE WHEN yrs IS NULL THEN {S.rnd('c.evidence_score * ' + D(6), 1)} WHEN yrs >= 10 THEN CASE WHEN prod > 10000 THEN {D(25)} ELSE {D(20)} END WHEN yrs >= 5 THEN {D(15)} WHEN yrs >= 1 THEN {D(8)} ELSE {D(4)} END AS evidence_points,
  CASE WHEN soil_ph IS NULL THEN 'UNKNOWN' WHEN soil_ph BETWEEN coalesce(q.lo, 5.5) AND coalesce(q.hi, 7.5) THEN 'SUITABLE'
   WHEN soil_ph BETWEEN {D('coalesce(q.lo, 5.5)')} - {D(0.5)} AND {D('coalesce(q.hi, 7.5)')} + {D(0.5)} THEN 'PARTIALLY_SUITABLE' ELSE 'UNSUITABLE' END AS soil_status,
  CASE WHEN water_available_mm IS NULL THEN 'UNKNOWN' WHEN water_available_mm >= 800 THEN 'SUITABLE' WHEN water_available_mm >= 400 THEN 'LIMITED' ELSE 'UNSUITABLE' END AS water_status,
@@ -442,7 +440,7 @@ _TOP = f"""{_TOL}, f1 AS (SELECT request_id, 'Tomato' AS name, 0 AS src, 0 AS o,
  UNION ALL SELECT request_id, previous_crop, 0, 2, '' FROM requests WHERE previous_crop IS NOT NULL UNION ALL SELECT request_id, crop, 1, -score, crop FROM tolk),
 u1 AS (SELECT *, row_number() OVER (PARTITION BY request_id, lower(name) ORDER BY src, o, c, name) AS rn FROM f1),
 topped AS (SELECT request_id, name, CASE WHEN src = 0 THEN 'mandi_data' ELSE 'soil_weather_model' END AS source, row_number() OVER (PARTITION BY request_id ORDER BY src, o, c, lower(name)) AS position FROM u1 WHERE rn = 1),
-topk AS (SELECT * FROM topped WHERE position <= 6)"""
+topk AS (SELECT * FROM topped WHERE position <= 25)"""
 _pos = "CASE season " + " ".join(f"WHEN '{s}' THEN coalesce(list_position([{', '.join(S.lit(x.lower()) for x in v)}], lower(name)), 0)" for s, v in dims.SEASON_PRIORITY.items()) + " END"
 _HOURS = "list_transform(range(168), lambda i: ((request_id * 31 + i * {0}) % {1}) / CAST(4.0 AS DOUBLE))"
 _LIVE = f"""{S.REQUESTS}, hr AS (SELECT request_id, trim(state) AS state, request_id % 10 <> 0 AS ok, list_sum({_HOURS.format(17, 160)}) AS t, list_sum({_HOURS.format(13, 400)}) AS h, list_sum({_HOURS.format(7, 12)}) AS r FROM requests),
@@ -488,9 +486,9 @@ ORACLES = {
  SELECT request_id, r.state, previous_crop AS crop, coalesce(per.n, 0) AS events, latest AS latest_event FROM req r LEFT JOIN m ON m.name = lower(previous_crop) LEFT JOIN per ON per.state = r.state AND per.crop = m.crop""",
     "suitability_top3": SUIT,
     "labels_outside_candidates": f"""WITH {FACTS}, {REQ}, {S.values('lab', 'crop, label', _LABEL.items())},
- tc AS (SELECT state, district, crop, row_number() OVER (PARTITION BY state, district ORDER BY count(*) DESC, crop) AS pos FROM facts GROUP BY 1, 2, 3)
+ tc AS (SELECT DISTINCT state, district, crop FROM facts)
  SELECT r.request_id, a.label FROM req r, (VALUES ('rice'), ('wheat'), ('mungbean'), ('coffee')) a(label) WHERE NOT EXISTS
- (SELECT 1 FROM tc JOIN lab ON lab.crop = tc.crop WHERE tc.pos <= 3 AND tc.state = r.state AND tc.district = r.district AND lab.label = a.label)""",
+ (SELECT 1 FROM tc JOIN lab ON lab.crop = tc.crop WHERE tc.state = r.state AND tc.district = r.district AND lab.label = a.label)""",
     "soil_resolution": f"""WITH {S.REQUESTS}, r AS (SELECT request_id, CASE WHEN request_id % 3 = 0 THEN n END AS n, p, k, soil_ph, {S.case_map('district', {'Nagpur': 'Black Soil', 'East Godavari': 'Coastal Alluvial Soil', 'Kutch': 'Desert Soil', 'Mysore District': 'Red Soil'})} AS soil_type FROM requests),
  u AS (SELECT *, n IS NOT NULL AND soil_ph IS NOT NULL AS usr FROM r)
  SELECT request_id, CASE WHEN usr THEN n ELSE {_soil(0)} END AS n, CASE WHEN usr THEN p ELSE {_soil(1)} END AS p, CASE WHEN usr THEN k ELSE {_soil(2)} END AS k, CASE WHEN usr THEN soil_ph ELSE {_soil(3)} END AS ph,

@@ -111,8 +111,8 @@ rep0 AS (SELECT coalesce(s.class, c.class) AS class, coalesce(support, 0) AS sup
 rep AS (SELECT class, support, hit, precision, recall, coalesce(CAST(2.0 AS DOUBLE) * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM rep0)"""
 
 ORACLES = {
-    "stratified_folds": """WITH b AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 6) AS BIGINT) % 1024 AS bucket FROM embeddings)
- SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY bucket, vec_id) - 1) % 5 AS fold FROM b""",
+    "stratified_folds": """WITH b AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 12) AS BIGINT) AS mark FROM embeddings)
+ SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY mark, vec_id) - 1) % 5 AS fold FROM b""",
     "classification_report": f"WITH {_CALLED} SELECT * FROM rep",
     "classification_summary": f"""WITH {_CALLED} SELECT CAST(sum(support) AS BIGINT) AS row_count, {S.rnd('sum(hit) / CAST(sum(support) AS DOUBLE)', 4)} AS accuracy,
  {', '.join(f"{S.rnd(f'sum({c} * support) / CAST(sum(support) AS DOUBLE)', 4)} AS weighted_{c}" for c in ('precision', 'recall', 'f1'))} FROM rep""",

@@ -44,7 +44,7 @@ def article_store(spark, sf):
     # The official and research tiers are stored already; every article is fetched again.
     old = a.where(F.col("tier").isin("TIER_1", "TIER_2"))
     new = a.withColumn("arrival", F.col("arrival") + 1_000_000)
-    return news.article_store(old.drop("tier"), new.drop("tier"), keep=500)
+    return news.article_store(old.drop("tier"), new.drop("tier"), keep=5000)
 
 
 def event_classes(spark, sf):
@@ -69,8 +69,7 @@ def event_clusters(spark, sf):
 def tagged_events(spark, sf):
     # Text classification is the expensive part and is needed twice: written once.
     events = cut_lineage(corpus_events(spark, sf), "events")
-    bound = (len(T.CORPUS_STATES) + 1) * (len(T.CORPUS_CROPS) + 1) * (len(T.CORPUS_EVENTS) + 1)
-    return news.tag_events(events, "doc_id", bound).select("event_id", "doc_id", "state", "crop", "event_type", "verification_status")
+    return news.tag_events(events, "doc_id").select("event_id", "doc_id", "state", "crop", "event_type", "verification_status")
 
 
 def verification_totals(spark, sf):
@@ -243,7 +242,7 @@ ORACLES = {
     "article_store": f"""WITH {ARTICLES}, b AS (SELECT article_id, doc_id, title, doc_id AS arrival FROM articles WHERE tier IN ('TIER_1', 'TIER_2') UNION ALL
  SELECT article_id, doc_id, title, doc_id + 1000000 FROM articles),
  f AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY arrival) AS rn FROM b)
- SELECT article_id, doc_id, title, arrival FROM f WHERE rn = 1 ORDER BY arrival DESC, article_id LIMIT 500""",
+ SELECT article_id, doc_id, title, arrival FROM f WHERE rn = 1 ORDER BY arrival DESC, article_id LIMIT 5000""",
     "event_classes": f"WITH {ARTICLES} SELECT doc_id, {_classed(dims.EVENT_KEYWORDS)} AS event_type, {_classed(T.CORPUS_EVENTS)} AS corpus_type, {_classed(T.CORPUS_EVENTS, True)} AS corpus_type_bounded FROM full_texts",
     "news_events": f"""WITH {EVENTS} SELECT event_id, doc_id, article_id, title, source_id, source_name, tier,
  CASE tier WHEN 'TIER_1' THEN CAST(1.0 AS DOUBLE) WHEN 'TIER_2' THEN CAST(0.8 AS DOUBLE) WHEN 'TIER_3' THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END AS source_credibility_weight,

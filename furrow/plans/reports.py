@@ -23,7 +23,7 @@ def versions(spark, sf):
 
 
 def registry_history(spark, sf):
-    return rg.judge_versions(versions(spark, sf), 1.02)
+    return rg.judge_versions(versions(spark, sf), 1.10)
 
 
 def registry_current(spark, sf):
@@ -60,12 +60,16 @@ QUERIES = {f.__name__: f for f in [registry_history, registry_current, registry_
 
 # ------------------------------------------------------------------ check SQL
 _HIST = PF.FEATURES + f""", vers AS (SELECT crop, year AS version, make_date(year, 12, 31) AS trained_on, {S.rnd('avg(abs(y - lag_1))', 2)} AS mae FROM feats GROUP BY 1, 2),
-hist AS (SELECT *, CASE WHEN mae > lag(mae) OVER (PARTITION BY crop ORDER BY version) * CAST(1.02 AS DOUBLE) THEN 'REJECTED' ELSE 'PROMOTED' END AS status FROM vers)"""
+nv AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY version) AS k FROM vers),
+walk AS (SELECT crop, version, trained_on, mae, 'PROMOTED' AS status, mae AS live, k FROM nv WHERE k = 1
+ UNION ALL SELECT n.crop, n.version, n.trained_on, n.mae, CASE WHEN n.mae > w.live * CAST(1.10 AS DOUBLE) THEN 'REJECTED' ELSE 'PROMOTED' END,
+  CASE WHEN n.mae > w.live * CAST(1.10 AS DOUBLE) THEN w.live ELSE n.mae END, n.k FROM walk w JOIN nv n ON n.crop = w.crop AND n.k = w.k + 1),
+hist AS (SELECT crop, version, trained_on, mae, status FROM walk)"""
 
 ORACLES = {
-    "registry_history": f"WITH {_HIST} SELECT * FROM hist",
-    "registry_current": f"WITH {_HIST} SELECT crop, version, trained_on, mae FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY version DESC) AS rn FROM hist WHERE status = 'PROMOTED') WHERE rn = 1",
-    "registry_as_of": f"""WITH {_HIST} SELECT crop, version, trained_on, mae FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY version DESC) AS rn FROM hist
+    "registry_history": f"WITH RECURSIVE {_HIST} SELECT * FROM hist",
+    "registry_current": f"WITH RECURSIVE {_HIST} SELECT crop, version, trained_on, mae FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY version DESC) AS rn FROM hist WHERE status = 'PROMOTED') WHERE rn = 1",
+    "registry_as_of": f"""WITH RECURSIVE {_HIST} SELECT crop, version, trained_on, mae FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY version DESC) AS rn FROM hist
  WHERE status = 'PROMOTED' AND trained_on <= DATE '1998-12-31' AND NOT (crop IN ('promo', 'small') AND version = 1998)) WHERE rn = 1""",
     "stage_status": """WITH g AS (SELECT o_custkey AS run_id, count(*) AS stages, count(*) FILTER (o_orderstatus = 'F') AS failed_stages FROM orders GROUP BY 1)
  SELECT *, CASE WHEN failed_stages = 0 THEN 'SUCCESS' WHEN failed_stages < 4 THEN 'PARTIAL' ELSE 'FAILED' END AS pipeline_status FROM g""",

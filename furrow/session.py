@@ -61,18 +61,6 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows over the cores when the input has fewer pieces than there are cores.
-
-    Meant for heavy per-row work on few unsplittable files.  Input that already
-    has a piece per core, as any large input has, is returned as it is.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def local_parallelism() -> int:
     """Cores to use for local test and bench sessions."""
     return int(os.environ.get("BENCH_CPUS", "8"))

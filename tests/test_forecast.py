@@ -123,3 +123,23 @@ def test_recommendations_come_from_candidates(spark, sf):
     from furrow.plans import advice as PA
     pairs = PA.advice_scores(spark, sf).select("request_id", "crop")
     assert PA.advice_top5(spark, sf).join(pairs, ["request_id", "crop"], "left_anti").count() == 0
+
+
+def test_versions_are_judged_by_the_production_model(spark):
+    from furrow.operators import registry
+
+    rows = [("a", 1, "2020-12-31", 100.0), ("a", 2, "2021-12-31", 200.0), ("a", 3, "2022-12-31", 190.0), ("a", 4, "2023-12-31", 109.0), ("b", 1, "2020-12-31", 5.0), ("b", 2, "2021-12-31", 4.0), ("b", 3, "2022-12-31", 4.41)]
+    df = spark.createDataFrame(rows, "crop string, version bigint, trained_on string, mae double")
+    got = {(r["crop"], r["version"]): r["status"] for r in registry.judge_versions(df).collect()}
+    assert got == {("a", 1): "PROMOTED", ("a", 2): "REJECTED", ("a", 3): "REJECTED", ("a", 4): "PROMOTED", ("b", 1): "PROMOTED", ("b", 2): "PROMOTED", ("b", 3): "REJECTED"}
+
+
+def test_evidence_points_take_every_arm(spark):
+    from pyspark.sql import functions as F
+
+    from furrow.functions import scoring
+
+    rows = [(12, 20000.0, 0.5), (10, 9000.0, 0.5), (7, 1.0, 0.5), (5, 1.0, 0.5), (1, 1.0, 0.5), (0, 1.0, 0.5), (None, None, 0.5)]
+    df = spark.createDataFrame(rows, "years bigint, production double, score double")
+    got = [r[0] for r in df.select(scoring.evidence_points(F.col("years"), F.col("production"), F.col("score"))).collect()]
+    assert got == [25.0, 20.0, 15.0, 15.0, 8.0, 4.0, 3.0]
