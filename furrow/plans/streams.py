@@ -8,7 +8,7 @@ from furrow.operators import prices
 from furrow.plans import news as PN
 from furrow.plans import prices as PR
 from furrow.plans import sql as S
-from furrow.session import scratch_path
+from furrow.session import cut_lineage, scratch_path
 from furrow.sources import tables as T
 from furrow.streaming import jobs
 
@@ -26,7 +26,7 @@ def _paths(spark, label):
 def streaming_quote_ingest(spark, sf):
     """All quotes as a stream over a stored history: only later days are appended."""
     table, checkpoint = _paths(spark, "quotes")
-    known = PR.daily(spark, sf).where(F.col("ds") < F.lit(T.SPLIT_DATE).cast("date"))
+    known = cut_lineage(PR.daily(spark, sf).where(F.col("ds") < F.lit(T.SPLIT_DATE).cast("date")).select("ds", "crop", "state"), "history")
     jobs.ingest_quotes(T.quotes(spark, sf, _stream(spark, sf, "lineitem")), lambda: known, table, checkpoint)
     return prices.in_rupees(spark.read.parquet(table))
 
@@ -40,7 +40,7 @@ def streaming_article_ingest(spark, sf):
 def streaming_clusters(spark, sf):
     table, checkpoint = _paths(spark, "clusters")
     jobs.running_clusters(T.signals(spark, sf, _stream(spark, sf, "events")), table, checkpoint)
-    return spark.read.parquet(table).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    return jobs.read_clusters(spark, table).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 def streaming_latest_price(spark, sf):
@@ -54,9 +54,9 @@ QUERIES = {f.__name__: f for f in [streaming_quote_ingest, streaming_article_ing
 ORACLES = {
     "streaming_quote_ingest": f"WITH {S.DAILY} SELECT {PR.RUPEES} FROM daily WHERE ds >= {PR.SPLIT}",
     "streaming_article_ingest": f"WITH {PN.ARTICLES} SELECT doc_id, article_id, title, source_id, tier FROM articles",
-    "streaming_clusters": f"""WITH {S.SIGNALS}, w AS (SELECT *, CAST(floor(epoch(ts) / 1209600) AS BIGINT) AS k FROM signals), m AS (SELECT max(epoch(ts)) - 86400 AS mark FROM events)
+    "streaming_clusters": f"""WITH {S.SIGNALS}, w AS (SELECT *, CAST(floor(epoch(ts) / 1209600) AS BIGINT) AS k FROM signals)
  SELECT strftime(make_timestamp(k * 1209600 * 1000000), '%Y-%m-%d') AS window_start, state, crop, direction, count(*) AS event_count, count(DISTINCT source_name) AS unique_sources,
- CASE WHEN count(DISTINCT source_name) >= 2 THEN 'VERIFIED' ELSE 'SINGLE_SOURCE' END AS verification_status FROM w, m WHERE (k + 1) * 1209600 <= mark GROUP BY k, state, crop, direction""",
+ CASE WHEN count(DISTINCT source_name) >= 2 THEN 'VERIFIED' ELSE 'SINGLE_SOURCE' END AS verification_status FROM w GROUP BY k, state, crop, direction""",
     "streaming_latest_price": f"""WITH {S.QUOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY crop, state ORDER BY ds DESC, market DESC, modal_cents DESC) AS rn FROM quotes)
  SELECT crop, state, ds, market, {S.rs('modal_cents')} AS price, greatest(date_diff('day', ds, DATE '2001-11-05'), 0) AS data_age_days, date_diff('day', ds, DATE '2001-11-05') >= 3 AS expired FROM r WHERE rn = 1""",
 }

@@ -1,18 +1,21 @@
 """Incremental ingest, running clusters and latest prices as streaming jobs.
 
 Each job reads what is new, writes, and stops (``availableNow``), so it can be
-scheduled; a long-running trigger works with the same code.  Batches are written
-under their batch number and overwritten on replay, so losing an executor or the
-driver in mid-batch never adds a row twice.
+scheduled; a long-running trigger works with the same code.  A job has a run id
+that lives in its checkpoint; what a batch writes goes under run and batch
+number and is overwritten on replay, so losing an executor or the driver in
+mid-batch never adds a row twice, and a job with a new checkpoint adds to what
+others stored instead of replacing it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from furrow.functions import numeric as N
 from furrow.operators import news, prices
@@ -31,94 +34,142 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_batches(spark: SparkSession, table: str, schema: StructType, before: int) -> DataFrame:
-    """Rows of a table written batch by batch, only of batches before ``before``."""
-    full = StructType([*schema.fields, StructField("batch_id", LongType())])
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The run that a checkpoint belongs to, made with the checkpoint."""
+    path = f"{checkpoint}/run"
+    if not _exists(spark, path):
+        spark.createDataFrame([(f"r{uuid.uuid4().hex}",)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).first()[0]
+
+
+def batch_path(table: str, run: str, batch_id: int) -> str:
+    return f"{table}/run={run}/batch_id={batch_id}"
+
+
+def read_batches(spark: SparkSession, table: str, schema: StructType, run: str | None = None, batch_id: int | None = None) -> DataFrame:
+    """All stored rows, but for those of one batch if it is named."""
+    full = StructType([*schema.fields, StructField("run", StringType()), StructField("batch_id", LongType())])
     if not _exists(spark, table):
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(table).where(F.col("batch_id") < before)
+    rows = spark.read.schema(full).parquet(table)
+    return rows if run is None else rows.where((F.col("run") != run) | (F.col("batch_id") != batch_id))
 
 
-def _finish(query) -> None:
-    query.awaitTermination()
+def _each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def ingest_quotes(quotes: DataFrame, history: Callable[[], DataFrame], table: str, checkpoint: str) -> None:
     """Average the new quotes per (ds, crop, state) and append the keys not seen before.
 
     ``quotes`` is a stream of cleaned quotes (cents); ``history`` gives the keys
-    already stored elsewhere.  Keys of earlier batches of this table count too;
-    the batch itself is excluded, so a replay gives the same rows.
+    already stored elsewhere, best as a table partitioned by month.  Keys that any
+    other batch of this table stored count too, whatever run it was.
     """
     spark = quotes.sparkSession
+    run = run_id(spark, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        daily = prices.daily_rollup(batch)
+        daily = prices.daily_rollup(batch).persist()
         # Two dates come back; with them the stored files are pruned by their statistics.
-        span = batch.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi")).first()
+        span = daily.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi")).first()
         near = F.col("ds").between(F.lit(span["lo"]).cast("date"), F.lit(span["hi"]).cast("date"))
-        seen = history().select(*KEYS)
-        earlier = read_batches(spark, table, daily.schema, before=batch_id)
-        fresh = prices.new_rows(seen.unionByName(earlier.select(*KEYS)).where(near), daily)
-        fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        stored = read_batches(spark, table, daily.schema, run, batch_id)
+        fresh = prices.new_rows(history().select(*KEYS).unionByName(stored.select(*KEYS)).where(near), daily)
+        fresh.write.mode("overwrite").parquet(batch_path(table, run, batch_id))
+        daily.unpersist()
+
+    _each_batch(quotes, write, checkpoint)
 
-    _finish(quotes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
+def ingest_articles(raw: DataFrame, run_ts: str, table: str, checkpoint: str, keep: Sequence[str] = ()) -> None:
+    """Clean article payloads and append those whose id is not stored yet, however old the stored one is."""
+    spark = raw.sparkSession
+    run = run_id(spark, checkpoint)
+    clean = news.clean_articles(raw, keep=list(keep)).withColumn("fetched_at", F.lit(run_ts).cast("timestamp"))
 
-def ingest_articles(raw: DataFrame, run_ts: str, table: str, checkpoint: str, keep: Sequence[str] = (), delay: str = "30 days") -> None:
-    """Clean article payloads, drop ids already seen within the watermark, append to files."""
-    a = news.clean_articles(raw, keep=list(keep)).withColumn("fetched_at", F.lit(run_ts).cast("timestamp"))
-    unique = a.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["article_id"])
-    _finish(unique.writeStream.format("parquet").outputMode("append").option("path", table)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stored = read_batches(spark, table, batch.schema, run, batch_id).select("article_id")
+        fresh = batch.dropDuplicates(["article_id"]).join(stored, "article_id", "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(batch_path(table, run, batch_id))
+
+    _each_batch(clean, write, checkpoint)
 
 
 def running_clusters(events: DataFrame, table: str, checkpoint: str, by: Sequence[str] = ("state", "crop", "direction"),
-                     source: str = "source_name", window: str = "14 days", delay: str = "1 day") -> None:
-    """Events and sources of each cluster in tumbling windows, written once a window is complete.
+                     source: str = "source_name", window: str = "14 days") -> None:
+    """Add each batch's events per tumbling window, key and source to the stored counts.
 
-    The source set is bounded by the source registry, so an exact set is kept in
-    state where a streaming distinct count is not allowed.
+    Counts add up over batches, so windows show from their first event on, late
+    events still count, and no state has to be kept; see ``read_clusters``.
     """
-    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", window), *by).agg(
-        F.count(F.lit(1)).alias("event_count"), F.collect_set(source).alias("sources"))
-    n = F.size("sources").cast("bigint")
-    out = g.select(F.col("window.start").alias("window_start"), *by, "event_count", n.alias("unique_sources"),
-                   F.when(n >= 2, "VERIFIED").otherwise("SINGLE_SOURCE").alias("verification_status"))
-    _finish(out.writeStream.format("parquet").outputMode("append").option("path", table)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    run = run_id(events.sparkSession, checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        at = F.window(F.col("ts").cast("timestamp"), window)
+        parts = batch.groupBy(at.alias("w"), *by, F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+        parts.select(F.col("w.start").alias("window_start"), *by, "source", "n").write.mode("overwrite").parquet(batch_path(table, run, batch_id))
+
+    _each_batch(events, write, checkpoint)
+
+
+def read_clusters(spark: SparkSession, table: str, by: Sequence[str] = ("state", "crop", "direction")) -> DataFrame:
+    """Events and different sources of every cluster so far, open windows included."""
+    parts = spark.read.parquet(table).groupBy("window_start", *by, "source").agg(F.sum("n").alias("n"))
+    n = F.count_if(F.col("source").isNotNull())
+    return parts.groupBy("window_start", *by).agg(
+        F.sum("n").alias("event_count"), n.alias("unique_sources"), F.when(n >= 2, "VERIFIED").otherwise("SINGLE_SOURCE").alias("verification_status"))
 
 
 LATEST_SCHEMA = "crop string, state string, ds date, market string, modal_cents bigint"
+COMMIT_SCHEMA = "run string, batch_id bigint, version bigint"
 
 
-def _version(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
-    """State after the batch before ``batch_id``; empty at the start."""
-    path = f"{table}/version={batch_id - 1}"
-    return spark.read.schema(LATEST_SCHEMA).parquet(path) if _exists(spark, path) else spark.createDataFrame([], LATEST_SCHEMA)
+def _commits(spark: SparkSession, table: str) -> DataFrame:
+    """Which batch of which run made each version of a state table."""
+    path = f"{table}-commits"
+    return spark.read.schema(COMMIT_SCHEMA).parquet(path) if _exists(spark, path) else spark.createDataFrame([], COMMIT_SCHEMA)
 
 
 def latest_prices(quotes: DataFrame, table: str, checkpoint: str) -> None:
     """Latest quote of each (crop, state), one state version per batch.
 
-    A batch shrinks to one row per key before it meets the previous version; a
-    version depends only on the one before it, so replays are exact.
+    A batch shrinks to one row per key before it meets the newest committed
+    version, whichever run made that.  A batch counts once its commit is written; a replay
+    of a committed batch does nothing.  Versions before the last two are removed.
     """
     spark = quotes.sparkSession
+    run = run_id(spark, checkpoint)
+    newest = F.max_by(F.struct("ds", "market", "modal_cents"), F.struct("ds", "market", "modal_cents")).alias("m")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        both = _version(spark, table, batch_id).unionByName(batch.select("crop", "state", "ds", "market", "modal_cents"))
-        top = both.groupBy("crop", "state").agg(F.max(F.struct("ds", "market", "modal_cents")).alias("m"))
-        top.select("crop", "state", "m.*").write.mode("overwrite").parquet(f"{table}/version={batch_id}")
-
-    _finish(quotes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        mine = F.coalesce(F.bool_or((F.col("run") == run) & (F.col("batch_id") == batch_id)), F.lit(False))
+        last = _commits(spark, table).agg(F.max("version").alias("version"), mine.alias("done")).first()
+        if last["done"]:
+            return
+        version = 0 if last["version"] is None else last["version"] + 1
+        # The latest day of a key first, by plain numbers; then the largest row among that day's.
+        days = batch.groupBy("crop", "state").agg(F.max("ds").alias("ds"))
+        rows = batch.select("crop", "state", "ds", "market", "modal_cents").join(days, ["crop", "state", "ds"]).select("crop", "state", "ds", "market", "modal_cents")
+        if version:  # a committed version that is gone is an error, not an empty start
+            rows = rows.unionByName(spark.read.schema(LATEST_SCHEMA).parquet(f"{table}/version={version - 1}"))
+        rows.groupBy("crop", "state").agg(newest).select("crop", "state", "m.*").write.mode("overwrite").parquet(f"{table}/version={version}")
+        spark.createDataFrame([(run, batch_id, version)], COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{table}-commits")
+        if version > 1:
+            _remove(spark, f"{table}/version={version - 2}")
+
+    _each_batch(quotes, write, checkpoint)
 
 
 def read_latest(spark: SparkSession, table: str, as_of: Column, ttl_days: int = 3) -> DataFrame:
-    """Newest state version with the age of each price; past the limit it is marked expired, not dropped."""
-    rows = spark.read.parquet(table)
-    newest = rows.agg(F.max("version").alias("version"))
-    latest = rows.join(F.broadcast(newest), "version")
+    """Newest committed state version with the age of each price; past the limit it is marked expired, not dropped."""
+    version = _commits(spark, table).agg(F.max("version")).first()[0]
+    latest = spark.createDataFrame([], LATEST_SCHEMA) if version is None else spark.read.schema(LATEST_SCHEMA).parquet(f"{table}/version={version}")
     age = F.greatest(F.datediff(as_of, "ds"), F.lit(0)).cast("bigint")
     return latest.select("crop", "state", "ds", "market", N.rupees(F.col("modal_cents")).alias("price"), age.alias("data_age_days"),
                          (age >= ttl_days).alias("expired"))

@@ -72,11 +72,69 @@ def test_quote_stream_is_idempotent(spark, landed, tmp_path):
     got = spark.read.parquet(table)
     keys = spark.read.parquet(landed).select("ds", "crop", "state").distinct().count()
     assert got.count() == keys == got.select("ds", "crop", "state").distinct().count()
-    # A fresh checkpoint replays everything under the same batch numbers.
+    # A fresh checkpoint finds all keys stored.
     jobs.ingest_quotes(jobs.read_files(spark, landed, "*.parquet", schema, 1), lambda: empty, table, str(tmp_path / "cp2"))
     assert spark.read.parquet(table).count() == keys
 
 
+QUOTE = "crop string, state string, ds string, market string, min_cents bigint, max_cents bigint, modal_cents bigint"
+
+
+def _quotes(spark, folder, rows):
+    full = [(c, s, d, m, p - 10, p + 10, p) for c, s, d, m, p in rows]
+    spark.createDataFrame(full, QUOTE).withColumn("ds", F.col("ds").cast("date")).coalesce(1).write.mode("append").parquet(str(folder))
+    schema = spark.read.parquet(str(folder)).schema
+    return lambda: jobs.read_files(spark, str(folder), "*.parquet", schema, 1)
+
+
+def test_a_new_checkpoint_with_other_files_loses_nothing(spark, tmp_path):
+    table, empty = str(tmp_path / "table"), spark.createDataFrame([], "ds date, crop string, state string")
+    first = _quotes(spark, tmp_path / "a", [("rice", "Goa", "2024-01-01", "m", 100), ("rice", "Goa", "2024-01-02", "m", 100)])
+    second = _quotes(spark, tmp_path / "b", [("rice", "Goa", "2024-01-02", "m", 300), ("wheat", "Goa", "2024-01-03", "m", 100)])
+    jobs.ingest_quotes(first(), lambda: empty, table, str(tmp_path / "cp"))
+    jobs.ingest_quotes(second(), lambda: empty, table, str(tmp_path / "cp2"))
+    got = {(r["crop"], str(r["ds"])): r["y_cents"] for r in spark.read.parquet(table).collect()}
+    assert set(got) == {("rice", "2024-01-01"), ("rice", "2024-01-02"), ("wheat", "2024-01-03")}
+    run = jobs.run_id(spark, str(tmp_path / "cp2"))
+    assert {r["run"] for r in spark.read.parquet(table).select("run").distinct().collect()} == {run, jobs.run_id(spark, str(tmp_path / "cp"))}
+
+
+def test_latest_prices_go_on_with_a_new_checkpoint(spark, tmp_path):
+    table, day = str(tmp_path / "latest"), F.lit("2024-01-05").cast("date")
+    first = _quotes(spark, tmp_path / "a", [("rice", "Goa", "2024-01-01", "m", 100)])
+    jobs.latest_prices(first(), table, str(tmp_path / "cp"))
+    second = _quotes(spark, tmp_path / "b", [("rice", "Goa", "2024-01-04", "m", 300), ("rice", "Goa", "2024-01-04", "k", 200), ("rice", "Kerala", "2024-01-02", "m", 200)])
+    third = _quotes(spark, tmp_path / "c", [("rice", "Goa", "2024-01-02", "m", 900)])
+    for stream, cp in ((second, "cp2"), (third, "cp3"), (second, "cp2")):
+        jobs.latest_prices(stream(), table, str(tmp_path / cp))
+    got = {r["state"]: (str(r["ds"]), r["price"]) for r in jobs.read_latest(spark, table, day).collect()}
+    assert got == {"Goa": ("2024-01-04", 3.0), "Kerala": ("2024-01-02", 2.0)}
+
+
+def test_an_old_article_is_not_stored_again(spark, sf, tmp_path):
+    table = str(tmp_path / "articles")
+    docs = T.table(spark, sf, "documents")
+    for k, ts in enumerate(("2024-01-01 00:00:00", "2024-03-01 00:00:00")):
+        folder = str(tmp_path / f"in{k}")
+        docs.where(F.col("doc_id") < 40 + 20 * k).coalesce(1).write.parquet(folder)
+        stream = jobs.read_files(spark, folder, "*.parquet", docs.schema)
+        jobs.ingest_articles(T.articles_raw(spark, sf, stream), ts, table, str(tmp_path / f"cp{k}"), keep=["doc_id"])
+    rows = spark.read.parquet(table)
+    assert rows.count() == rows.select("article_id").distinct().count()
+    assert rows.where("fetched_at > '2024-02-01' AND doc_id < 40").count() == 0 and rows.where("doc_id >= 40").count() > 0
+
+
+def test_clusters_add_up_over_batches_and_runs(spark, tmp_path):
+    table = str(tmp_path / "clusters")
+    for k, rows in enumerate(([("2024-01-01", "a"), ("2024-01-02", "a")], [("2024-01-03", "b"), ("2023-01-01", "c")])):
+        folder = str(tmp_path / f"in{k}")
+        df = spark.createDataFrame([(d, "Goa", "rice", "UP", s) for d, s in rows], "ts string, state string, crop string, direction string, source_name string")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(folder)
+        jobs.running_clusters(jobs.read_files(spark, folder, "*.parquet", spark.read.parquet(folder).schema), table, str(tmp_path / f"cp{k}"))
+    got = sorted((r["event_count"], r["unique_sources"], r["verification_status"]) for r in jobs.read_clusters(spark, table).collect())
+    assert got == [(1, 1, "SINGLE_SOURCE"), (3, 2, "VERIFIED")]
+
+
 def test_latest_stream_equals_batch(spark, landed, tmp_path):
     table = str(tmp_path / "latest")
     schema = spark.read.parquet(landed).schema
