@@ -1,7 +1,7 @@
 """Fitted models: boosted trees per crop, class forests, folds and reports.
 
-Features are written once, partitioned by crop, so each fit reads only its own
-partition; fits of different crops run side by side as independent Spark jobs.
+Price series are rolled up to days before, so a crop's training rows are bounded by
+days x states; its trees are fitted in one task, all crops and grid points side by side.
 """
 
 from __future__ import annotations
@@ -13,139 +13,107 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from furrow.functions import boosting
 from furrow.functions import numeric as N
-from furrow.session import scratch_path
 
 # Order of the model features.  Fixed values.
 FEATURE_COLUMNS = ["state_enc", "lag_1", "lag_7", "lag_14", "lag_30", "rolling_7", "rolling_30", "rolling_std_7", "price_range",
                    "day_of_year", "month", "day_of_week", "year", "black_swan"]
-NODE_FIELDS = ["crop", "tree", "node", "feature", "threshold", "left", "right", "value", "weight"]
+NODE_FIELDS = ["crop", "tree", "node", "feature", "threshold", "left", "right", "value"]
 
 
-def store_features(features: DataFrame) -> str:
-    """Write the feature table by crop; returns its path in the shared folder."""
-    path = scratch_path(features.sparkSession, "features")
-    features.write.partitionBy("crop").parquet(path)
-    return path
+# The price model's parameters and the grid of the older one.  Fixed values.
+ROUNDS, DEPTH, STEP, SUBSAMPLE, COLUMN_SHARE = 250, 6, 0.04, 0.8, 0.8
+GRID = {"depth": (3, 5, 7), "step": (0.03, 0.05, 0.1), "rounds": (100, 150, 200)}
+# The older model's eleven features, in order.  Fixed values.
+GRID_COLUMNS = ["lag_1", "lag_7", "lag_14", "lag_30", "rolling_mean_7", "rolling_mean_30", "month", "season", "monthly_avg_temp", "monthly_total_rainfall", "black_swan"]
 
 
-def fit_trees(train: DataFrame, columns: Sequence[str] = tuple(FEATURE_COLUMNS), rounds: int = 250, depth: int = 6,
-              step: float = 0.04, subsample: float = 0.8, seed: int = 42) -> GBTRegressionModel:
-    """Boosted regression trees on assembled features; the defaults are the published ones."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(train).select("features", "y")
-    return GBTRegressor(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=step,
-                        subsamplingRate=subsample, seed=seed).fit(vectors)
+def per_crop(crops: Sequence, job, parallel: int = 4) -> list:
+    """Run ``job`` for a short list, a few at a time."""
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return list(pool.map(job, crops))
 
 
-def predict_trees(model: GBTRegressionModel, rows: DataFrame, columns: Sequence[str] = tuple(FEATURE_COLUMNS)) -> DataFrame:
-    out = model.transform(VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows))
-    return out.withColumnRenamed("prediction", "yhat").drop("features")
+def _matrix(pdf: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
+    return pdf[list(columns)].to_numpy(float)
 
 
-def per_crop(crops: Sequence[str], job, parallel: int = 4) -> list:
-    """Run ``job(crop)`` for a short list of crops, a few at a time."""
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        return list(pool.map(job, crops))
+def tree_holdout(features: DataFrame, cut: str, rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP) -> DataFrame:
+    """Holdout predictions of the state-aware and the crop-only trees of every crop, as long rows.
 
+    A group is one crop and one of the two models.  Its rows are bounded by days x
+    states whatever the number of quotes, since the series are rolled up before.
+    """
+    sets = {"state_aware_trees": FEATURE_COLUMNS, "crop_only_trees": [c for c in FEATURE_COLUMNS if c != "state_enc"]}
 
-def tree_holdout(spark: SparkSession, path: str, crops: Sequence[str], cut: str, rounds: int, depth: int, step: float = 0.1,
-                 parallel: int = 4) -> DataFrame:
-    """Holdout predictions of the state-aware and the crop-only trees of every crop, as long rows."""
-    rows = spark.read.parquet(path)
-    plain = [c for c in FEATURE_COLUMNS if c != "state_enc"]
-
-    def one(crop: str) -> DataFrame:
-        mine = rows.where(F.col("crop") == crop)
-        train, test = mine.where(F.col("ds") < F.lit(cut).cast("date")), mine.where(F.col("ds") >= F.lit(cut).cast("date"))
-        parts = []
-        for name, columns in [("state_aware_trees", FEATURE_COLUMNS), ("crop_only_trees", plain)]:
-            model = fit_trees(train, columns, rounds=rounds, depth=depth, step=step)
-            parts.append(predict_trees(model, test, columns).select("crop", "state", "ds", "y", F.lit(name).alias("model"), "yhat"))
-        return parts[0].unionByName(parts[1])
-
-    frames = per_crop(crops, one, parallel)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ds", "state"])
+        old = (pd.to_datetime(pdf["ds"]) < pd.Timestamp(cut)).to_numpy()
+        x, test = _matrix(pdf, sets[key[1]]), pdf[~old]
+        start, trees = boosting.boost(x[old], pdf["y"].to_numpy(float)[old], rounds, depth, step, SUBSAMPLE, COLUMN_SHARE)
+        return pd.DataFrame({"crop": test["crop"], "state": test["state"], "ds": test["ds"], "y": test["y"], "model": key[1], "yhat": boosting.predict(start, trees, x[~old])})
+
+    each = features.withColumn("model", F.explode(F.array(*map(F.lit, sets))))
+    return each.groupBy("crop", "model").applyInPandas(run, "crop string, state string, ds date, y double, model string, yhat double")
 
 
-def grid_search(spark: SparkSession, path: str, crops: Sequence[str], cut: str, grid: Sequence[dict], parallel: int = 4) -> DataFrame:
-    """Holdout error of every grid point per crop on a chronological split, best one flagged.
+def grid_search(features: DataFrame, cut: str, grid: dict[str, Sequence] | None = None, columns: Sequence[str] = tuple(GRID_COLUMNS)) -> DataFrame:
+    """Holdout mean absolute error of every grid point per crop on a chronological split, the best one flagged.
 
-    Each point is one fit and one error aggregation; only one number per point
-    comes back.  The published grid has 27 points of rounds, depth and step.
+    A group is one crop, depth and step; fewer rounds are a prefix of more, so each is
+    fitted once with the most rounds and judged at all.
     """
-    rows = spark.read.parquet(path)
+    grid = grid or GRID
+    points = [(d, s) for d in grid["depth"] for s in grid["step"]]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ds", "state"])
+        old = (pd.to_datetime(pdf["ds"]) < pd.Timestamp(cut)).to_numpy()
+        x, y = _matrix(pdf, columns), pdf["y"].to_numpy(float)
+        start, trees = boosting.boost(x[old], y[old], max(grid["rounds"]), int(key[1]), float(key[2]))
+        found = []
+        for rounds in grid["rounds"]:
+            error = np.abs(boosting.predict(start, trees[:rounds], x[~old]) - y[~old])
+            found.append((key[0], rounds, int(key[1]), float(key[2]), float(error.mean()) if len(error) else None))
+        return pd.DataFrame(found, columns=["crop", "rounds", "depth", "step", "mae"])
+
+    each = features.withColumn("point", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(float(s)).alias("step")) for d, s in points])))
+    table = each.select("*", "point.depth", "point.step").drop("point").groupBy("crop", "depth", "step").applyInPandas(run, "crop string, rounds bigint, depth bigint, step double, mae double")
+    first = F.row_number().over(W.partitionBy("crop").orderBy(F.col("mae").asc_nulls_last(), "depth", "step", "rounds"))
+    return table.withColumn("is_best", first == 1)
 
-    def one(task: tuple[str, int]) -> tuple:
-        crop, i = task
-        mine = rows.where(F.col("crop") == crop)
-        train, test = mine.where(F.col("ds") < F.lit(cut).cast("date")), mine.where(F.col("ds") >= F.lit(cut).cast("date"))
-        p = predict_trees(fit_trees(train, **grid[i]), test)
-        rmse = p.agg(F.sqrt(F.avg((F.col("y") - F.col("yhat")) * (F.col("y") - F.col("yhat")))).alias("r")).first()["r"]
-        g = grid[i]
-        return (crop, i, int(g.get("rounds", 250)), int(g.get("depth", 6)), float(g.get("step", 0.04)), None if rmse is None else float(rmse))
 
-    found = per_crop([(c, i) for c in crops for i in range(len(grid))], one, parallel)
-    table = spark.createDataFrame(found, "crop string, point bigint, rounds bigint, depth bigint, step double, rmse double")
-    best = F.min_by("point", F.struct("rmse", "point")).over(W.partitionBy("crop"))
-    return table.withColumn("is_best", F.col("point") == best)
+# ----------------------------------------------------------- forecasts by trees
+def fit_nodes(train: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP) -> DataFrame:
+    """Trees of every crop as node rows (``NODE_FIELDS``): at most rounds x 2^(depth+1) per crop, and a root that holds the start value."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ds", "state"])
+        start, trees = boosting.boost(_matrix(pdf, FEATURE_COLUMNS), pdf["y"].to_numpy(float), rounds, depth, step, SUBSAMPLE, COLUMN_SHARE)
+        base = boosting.Tree(np.array([0]), np.array([0.0]), np.array([-1]), np.array([-1]), np.array([start]))
+        return pd.concat([pd.DataFrame({"crop": key[0], "tree": k, "node": np.arange(len(t.value)), "feature": t.feature, "threshold": t.threshold, "left": t.left, "right": t.right, "value": t.value})
+                          for k, t in enumerate([base, *trees])], ignore_index=True)
 
+    return train.groupBy("crop").applyInPandas(run, "crop string, tree int, node int, feature int, threshold double, left int, right int, value double")
 
-# ----------------------------------------------------------- forecasts by trees
-def tree_nodes(spark: SparkSession, models: dict[str, GBTRegressionModel]) -> pd.DataFrame:
-    """Nodes of all trees of all crops: at most rounds x 2^(depth+1) rows per crop."""
-    parts = []
-    for crop, model in models.items():
-        path = scratch_path(spark, "trees")
-        model.save(path)
-        nodes = spark.read.parquet(f"{path}/data")
-        meta = spark.read.parquet(f"{path}/treesMetadata")
-        tree, weight = ("treeID", "weights") if "treeID" in meta.columns else (meta.columns[0], meta.columns[2])
-        weights = meta.select(F.col(tree).cast("int").alias("tree"), F.col(weight).cast("double").alias("weight"))
-        n = nodes.select(
-            F.col("treeID").cast("int").alias("tree"), F.col("nodeData.id").alias("node"), F.col("nodeData.split.featureIndex").alias("feature"),
-            F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), F.col("nodeData.leftChild").alias("left"),
-            F.col("nodeData.rightChild").alias("right"), F.col("nodeData.prediction").alias("value"))
-        parts.append(n.join(weights, "tree").withColumn("crop", F.lit(crop)).select(*NODE_FIELDS).toPandas())
-    return pd.concat(parts, ignore_index=True)
-
-
-def _forest(nodes: pd.DataFrame) -> dict[str, list[tuple]]:
-    """Per crop a list of (weight, feature, threshold, left, right, value) arrays indexed by node."""
-    out: dict[str, list[tuple]] = {}
+
+def _forest(nodes: pd.DataFrame) -> dict[str, list[boosting.Tree]]:
+    """The trees of every crop in order."""
+    out: dict[str, list[boosting.Tree]] = {}
     for (crop, _), t in nodes.sort_values(["crop", "tree", "node"]).groupby(["crop", "tree"], sort=False):
-        out.setdefault(crop, []).append((float(t["weight"].iloc[0]), t["feature"].to_numpy(int), t["threshold"].to_numpy(float),
-                                         t["left"].to_numpy(int), t["right"].to_numpy(int), t["value"].to_numpy(float)))
+        out.setdefault(crop, []).append(boosting.Tree(*(t[c].to_numpy() for c in ("feature", "threshold", "left", "right", "value"))))
     return out
 
 
-def _predict(trees: list[tuple], x: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for weight, feature, threshold, left, right, value in trees:
-        at = np.zeros(len(x), dtype=int)
-        while True:
-            inner = left[at] >= 0
-            if not inner.any():
-                break
-            go_left = x[rows, np.maximum(feature[at], 0)] <= threshold[at]
-            at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-        total += weight * value[at]
-    return total
-
-
 def tree_forecast(seeds: DataFrame, nodes: pd.DataFrame, start: str, horizon: int = 30,
                   intervals: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """Recursive path of each series by its crop's trees.
+    """Recursive path of each series by its crop's trees; a series without a state code, or a crop without trees, stays at its last price.
 
     ``seeds``: crop, state, state_enc, prices, mean_range.  The nodes are bounded
     by the model size and shipped as one broadcast variable; series are
@@ -155,25 +123,29 @@ def tree_forecast(seeds: DataFrame, nodes: pd.DataFrame, start: str, horizon: in
     spans = [(pd.Timestamp(a), pd.Timestamp(b)) for a, b in intervals]
     days = pd.date_range(start, periods=horizon)
 
+    def path_of(trees: list[boosting.Tree], g: pd.DataFrame) -> np.ndarray:
+        prices = np.stack([np.asarray(p, dtype=float)[-30:] for p in g["prices"]])
+        fixed_state, fixed_range = g["state_enc"].to_numpy(float), g["mean_range"].to_numpy(float)
+        path = []
+        for d in days:
+            last7 = prices[:, -7:]
+            flag = float(any(a <= d <= b for a, b in spans))
+            cal = np.tile([d.dayofyear, d.month, d.dayofweek, d.year, flag], (len(g), 1))
+            x = np.column_stack([fixed_state, prices[:, -1], prices[:, -7], prices[:, -14], prices[:, -30], last7.mean(axis=1),
+                                 prices[:, -30:].mean(axis=1), last7.std(axis=1, ddof=1), fixed_range, cal])
+            path.append(boosting.predict(0.0, trees, x))
+            prices = np.column_stack([prices, path[-1]])
+        return np.column_stack(path)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for crop, g in pdf.groupby("crop"):
-                trees = shipped.value.get(crop)
-                if not trees:
-                    continue
-                prices = np.stack([np.asarray(p, dtype=float)[-30:] for p in g["prices"]])
-                fixed_state, fixed_range = g["state_enc"].to_numpy(float), g["mean_range"].to_numpy(float)
-                path = []
-                for d in days:
-                    last7 = prices[:, -7:]
-                    flag = float(any(a <= d <= b for a, b in spans))
-                    cal = np.tile([d.dayofyear, d.month, d.dayofweek, d.year, flag], (len(g), 1))
-                    x = np.column_stack([fixed_state, prices[:, -1], prices[:, -7], prices[:, -14], prices[:, -30], last7.mean(axis=1),
-                                         prices[:, -30:].mean(axis=1), last7.std(axis=1, ddof=1), fixed_range, cal])
-                    y = _predict(trees, x)
-                    path.append(y)
-                    prices = np.column_stack([prices, y])
-                yield pd.DataFrame({"crop": g["crop"].to_numpy(), "state": g["state"].to_numpy(), "path": list(np.column_stack(path))})
+                long = g["state_enc"].notna().to_numpy() & (g["prices"].map(len) >= 30).to_numpy() & (crop in shipped.value)
+                last = np.array([float(p[-1]) if len(p) else np.nan for p in g["prices"]])
+                path = np.repeat(last[:, None], horizon, axis=1)
+                if long.any():
+                    path[long] = path_of(shipped.value[crop], g[long])
+                yield pd.DataFrame({"crop": g["crop"].to_numpy(), "state": g["state"].to_numpy(), "path": list(path)})
 
     return seeds.select("crop", "state", "state_enc", "prices", "mean_range").mapInPandas(run, "crop string, state string, path array<double>")
 
@@ -201,33 +173,35 @@ def stratified_folds(df: DataFrame, label: str = "label", key: str = "vec_id", f
     return fold_position(df, label, key).withColumn("fold", (F.col("position") - 1) % folds).drop("position")
 
 
-def _forest_pipeline(columns: Sequence[str], label: str, trees: int, depth: int, seed: int, labels: Sequence[str]) -> Pipeline:
-    return Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=list(columns), outputCol="features"),
-        RandomForestClassifier(featuresCol="features", labelCol="label_index", numTrees=trees, maxDepth=depth, seed=seed),
-        IndexToString(inputCol="prediction", outputCol="predicted", labels=list(labels))])
+def _fit_classes(train: DataFrame, columns: Sequence[str], label: str, trees: int, depth: int, seed: int):
+    """Fitted forest and the names of the classes it was trained on, in the order of its probabilities."""
+    indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
+    stages = [indexer, VectorAssembler(inputCols=list(columns), outputCol="features"),
+              RandomForestClassifier(featuresCol="features", labelCol="label_index", numTrees=trees, maxDepth=depth, seed=seed)]
+    return Pipeline(stages=stages).fit(train), list(indexer.labels)
 
 
-def class_probabilities(train: DataFrame, rows: DataFrame, columns: Sequence[str], key: str, labels: Sequence[str], label: str = "label",
-                        trees: int = 100, depth: int = 12, seed: int = 42) -> DataFrame:
-    """Probability of every class for every row, long form, with the predicted class.
+def _with_names(scored: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Adds ``predicted``, the name of the predicted class; the place kept for unseen labels is never the name of a class."""
+    return scored.withColumn("predicted", F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int")))
 
-    ``labels`` is the alphabetical class list (a fixed vocabulary).
-    """
-    fitted = _forest_pipeline(columns, label, trees, depth, seed, sorted(labels)).fit(train)
-    out = fitted.transform(rows).select(key, label, "predicted", F.posexplode(vector_to_array("probability")).alias("i", "probability"))
-    names = F.array(*[F.lit(x) for x in sorted(labels)])
-    return out.select(key, label, "predicted", F.element_at(names, F.col("i") + 1).alias("candidate"), "probability")
+
+def class_probabilities(train: DataFrame, rows: DataFrame, columns: Sequence[str], key: str, label: str = "label",
+                        trees: int = 100, depth: int = 12, seed: int = 42) -> DataFrame:
+    """Probability of every class of the training rows for every row, long form, with the predicted class."""
+    fitted, names = _fit_classes(train, columns, label, trees, depth, seed)
+    out = _with_names(fitted.transform(rows), names)
+    known = F.arrays_zip(F.array(*map(F.lit, names)).alias("candidate"), F.slice(vector_to_array("probability"), 1, len(names)).alias("probability"))
+    return out.select(key, label, "predicted", F.explode(known).alias("c")).select(key, label, "predicted", F.col("c")["candidate"].alias("candidate"), F.col("c")["probability"].alias("probability"))
 
 
-def cross_validate(folded: DataFrame, columns: Sequence[str], labels: Sequence[str], label: str = "label", folds: int = 5, trees: int = 100,
+def cross_validate(folded: DataFrame, columns: Sequence[str], label: str = "label", folds: int = 5, trees: int = 100,
                    depth: int = 12, seed: int = 42, parallel: int = 3) -> DataFrame:
     """Accuracy per fold, then mean and deviation, as one row."""
     def one(k: int) -> tuple:
-        model = _forest_pipeline(columns, label, trees, depth, seed, sorted(labels)).fit(folded.where(F.col("fold") != k))
-        hit = model.transform(folded.where(F.col("fold") == k)).agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("a"))
-        return (k, hit.first()["a"])
+        model, names = _fit_classes(folded.where(F.col("fold") != k), columns, label, trees, depth, seed)
+        scored = _with_names(model.transform(folded.where(F.col("fold") == k)), names)
+        return (k, scored.agg(F.avg(F.coalesce(F.col("predicted") == F.col(label), F.lit(False)).cast("double")).alias("a")).first()["a"])
 
     table = folded.sparkSession.createDataFrame(per_crop(list(range(folds)), one, parallel), "fold bigint, accuracy double")
     return table.agg(F.count(F.lit(1)).alias("folds"), F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"))

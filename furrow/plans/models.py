@@ -13,7 +13,6 @@ from furrow.plans import sql as S
 from furrow.plans.prices import stored_daily
 from furrow.sources import tables as T
 
-CROPS = [t.lower() for t in T.TYPE_CROPS]
 LABELS = [str(i) for i in range(10)]
 COLUMNS = [f"f{i}" for i in range(7)]
 
@@ -44,25 +43,22 @@ def ridge_forecast(spark, sf):
 
 def tree_holdout(spark, sf):
     """State-aware and crop-only boosted trees per crop on the holdout days."""
-    path = md.store_features(_features(spark, sf))
-    return fc.regression_metrics(md.tree_holdout(spark, path, CROPS, T.SPLIT_DATE, rounds=8, depth=4, step=0.3), ["crop", "model"])
+    return fc.regression_metrics(md.tree_holdout(_features(spark, sf), T.SPLIT_DATE), ["crop", "model"])
 
 
 def tree_forecast(spark, sf):
     """Thirty days by boosted trees of every series."""
-    path = md.store_features(_features(spark, sf))
-    rows = spark.read.parquet(path)
+    rows = _features(spark, sf)
     cut = F.lit(T.SPLIT_DATE).cast("date")
-    fitted = md.per_crop(CROPS, lambda c: md.fit_trees(rows.where((F.col("crop") == c) & (F.col("ds") < cut)), rounds=8, depth=4, step=0.3))
-    s = PO.seeds(spark, sf).join(rows.select("crop", "state", "state_enc").distinct(), ["crop", "state"])
-    paths = md.tree_forecast(s, md.tree_nodes(spark, dict(zip(CROPS, fitted))), T.SPLIT_DATE, 30, PF.SPANS)
-    return fc.dated_path(paths, cut)
+    nodes = md.fit_nodes(rows.where(F.col("ds") < cut)).toPandas()
+    codes = rows.groupBy("crop", "state").agg(F.min("state_enc").alias("state_enc"))
+    s = PO.seeds(spark, sf).join(codes, ["crop", "state"], "left")
+    return fc.dated_path(md.tree_forecast(s, nodes, T.SPLIT_DATE, 30, PF.SPANS), cut)
 
 
 def tree_grid_search(spark, sf):
-    path = md.store_features(_features(spark, sf))
-    grid = [{"rounds": 3, "depth": d, "step": s} for d in (3, 4) for s in (0.3, 0.5)]
-    return md.grid_search(spark, path, CROPS, T.SPLIT_DATE, grid)
+    """The published 27 points on the older eleven features."""
+    return md.grid_search(PF.cascade_features(spark, sf), T.SPLIT_DATE)
 
 
 def stratified_folds(spark, sf):
@@ -71,11 +67,11 @@ def stratified_folds(spark, sf):
 
 def class_probabilities(spark, sf):
     folded = md.stratified_folds(T.class_rows(spark, sf))
-    return md.class_probabilities(folded.where("fold <> 0"), folded.where("fold = 0"), COLUMNS, "vec_id", LABELS)
+    return md.class_probabilities(folded.where("fold <> 0"), folded.where("fold = 0"), COLUMNS, "vec_id")
 
 
 def classifier_cross_validation(spark, sf):
-    return md.cross_validate(md.stratified_folds(T.class_rows(spark, sf)), COLUMNS, LABELS, trees=20, depth=6)
+    return md.cross_validate(md.stratified_folds(T.class_rows(spark, sf)), COLUMNS)
 
 
 def _called(spark, sf):

@@ -1,4 +1,4 @@
-"""Models and paths against numpy and MLlib, decisions against the stated rules."""
+"""Models and paths against numpy and plain search, decisions against the stated rules."""
 
 import datetime as dt
 
@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from furrow.functions import boosting
 from furrow.functions import scoring as R
 from furrow.operators import advice as ad
 from furrow.operators import features as ft
@@ -64,25 +65,68 @@ def test_path_has_exactly_the_horizon(spark):
     assert len(rows) == 30 and rows[0]["step"] == 1 and (rows[-1]["ds"] - rows[0]["ds"]).days == 29
 
 
-def test_flattened_trees_equal_mllib(spark, encoded):
+def test_trees_by_exhaustive_search():
+    """One round of depth one takes the split that plain search over all thresholds finds best."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, (80, 3)).astype(float), rng.normal(size=80)
+    start, (tree,) = boosting.boost(x, y, rounds=1, depth=1, step=1.0)
+    r = y - y.mean()
+    gains = {}
+    for f in range(3):
+        for t in np.unique(x[:, f])[:-1] + 0.5:
+            left = x[:, f] <= t
+            gains[f, t] = r[left].sum() ** 2 / (left.sum() + 1) + r[~left].sum() ** 2 / ((~left).sum() + 1)
+    best = max(gains, key=gains.get)
+    assert (tree.feature[0], tree.threshold[0]) == best and start == pytest.approx(y.mean())
+    left = x[:, best[0]] <= best[1]
+    np.testing.assert_allclose(tree.predict(x), np.where(left, r[left].sum() / (left.sum() + 1), r[~left].sum() / ((~left).sum() + 1)))
+
+
+def test_boosting_learns_and_rounds_are_prefixes():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 4))
+    y = 5 * x[:, 0] + np.where(x[:, 1] > 0, 3.0, -3.0)
+    start, trees = boosting.boost(x[:500], y[:500], 60, 4, 0.1, 0.8, 0.8)
+    assert np.abs(boosting.predict(start, trees, x[500:]) - y[500:]).mean() < 0.3 * np.abs(y[500:] - y.mean()).mean()
+    _, fewer = boosting.boost(x[:500], y[:500], 20, 4, 0.1, 0.8, 0.8)
+    np.testing.assert_array_equal(boosting.predict(0.0, trees[:20], x), boosting.predict(0.0, fewer, x))
+    assert boosting.boost(x[:0], y[:0], 5, 3, 0.1) == (0.0, [])
+
+
+def test_tree_path_follows_the_fitted_trees(spark, encoded):
     one = encoded.where(F.col("crop") == "promo")
-    model = md.fit_trees(one, rounds=5, depth=4, step=0.3)
-    want = md.predict_trees(model, one).select("state", "ds", "yhat", *md.FEATURE_COLUMNS).toPandas()
-    trees = md._forest(md.tree_nodes(spark, {"promo": model}))["promo"]
-    np.testing.assert_allclose(md._predict(trees, want[md.FEATURE_COLUMNS].to_numpy(float)), want["yhat"], rtol=1e-10)
-    seeds = spark.createDataFrame([("promo", "NATION_1", 0, [900.0 + i for i in range(60)], 5.0), ("promo", "NATION_2", 1, [1900.0] * 30, 5.0)],
+    nodes = md.fit_nodes(one, rounds=5, depth=4, step=0.3).toPandas()
+    pdf = one.toPandas().sort_values(["ds", "state"])
+    start, trees = boosting.boost(pdf[md.FEATURE_COLUMNS].to_numpy(float), pdf["y"].to_numpy(float), 5, 4, 0.3, md.SUBSAMPLE, md.COLUMN_SHARE)
+    x = pdf[md.FEATURE_COLUMNS].to_numpy(float)
+    np.testing.assert_allclose(boosting.predict(0.0, md._forest(nodes)["promo"], x), boosting.predict(start, trees, x))
+    seeds = spark.createDataFrame([("promo", "NATION_1", 0, [900.0 + i for i in range(60)], 5.0), ("promo", "NATION_2", None, [1900.0] * 3, 5.0), ("other", "NATION_2", 1, [1900.0] * 30, 5.0)],
                                   "crop string, state string, state_enc bigint, prices array<double>, mean_range double")
-    rows = md.tree_forecast(seeds, md.tree_nodes(spark, {"promo": model}), "2001-01-01", 30).collect()
-    assert len(rows) == 2 and all(len(r["path"]) == 30 and min(r["path"]) > 0 for r in rows)
+    rows = {(r["crop"], r["state"]): r["path"] for r in md.tree_forecast(seeds, nodes, "2001-01-01", 30).collect()}
+    assert len(rows) == 3 and all(len(p) == 30 and min(p) > 0 for p in rows.values())
+    assert set(rows["promo", "NATION_2"]) == set(rows["other", "NATION_2"]) == {1900.0} and len(set(rows["promo", "NATION_1"])) > 1
 
 
 def test_grid_search_flags_one_best(spark, encoded):
-    path = md.store_features(encoded.where("crop in ('promo', 'small')"))
-    got = md.grid_search(spark, path, ["promo", "small"], "2001-01-01", [{"rounds": 2, "depth": 2, "step": 0.3}, {"rounds": 4, "depth": 3, "step": 0.3}]).collect()
-    assert len(got) == 4 and sum(r["is_best"] for r in got) == 2
+    some = encoded.where("crop in ('promo', 'small')")
+    got = md.grid_search(some, "2001-01-01", {"depth": (2, 3), "step": (0.3,), "rounds": (2, 4)}, md.FEATURE_COLUMNS).collect()
+    assert len(got) == 8 and sum(r["is_best"] for r in got) == 2
     for c in ("promo", "small"):
         mine = [r for r in got if r["crop"] == c]
-        assert min(mine, key=lambda r: r["rmse"])["is_best"]
+        assert min(mine, key=lambda r: r["mae"])["is_best"]
+
+
+def test_class_names_are_those_of_the_training_rows(spark):
+    rows = [(i, "b" if i % 2 else "c", float(i % 2), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, label string, f0 double, f1 double")
+    asked = df.union(spark.createDataFrame([(99, "a", 1.0, 2.0)], df.schema))
+    got = md.class_probabilities(df, asked, ["f0", "f1"], "vec_id", trees=5, depth=3).collect()
+    assert {r["candidate"] for r in got} == {"b", "c"}
+    assert all(r["predicted"] == ("b" if r["vec_id"] == 99 or r["vec_id"] % 2 else "c") for r in got)
+    sums = {}
+    for r in got:
+        sums[r["vec_id"]] = sums.get(r["vec_id"], 0) + r["probability"]
+    assert all(v == pytest.approx(1.0) for v in sums.values()) and len(sums) == 61
 
 
 def test_folds_are_even(spark):
