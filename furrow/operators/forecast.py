@@ -118,8 +118,8 @@ def _mean_last(prices: Column, k: int) -> Column:
     return F.aggregate(F.slice(prices, -k, k), F.lit(0.0), lambda a, x: a + x) / F.lit(float(k))
 
 
-def recursive_linear(seeds: DataFrame, horizon: int = 30) -> DataFrame:
-    """Path of a linear model on lags and means of its own output.
+def recursive_linear(seeds: DataFrame, horizon: int = 30, floor: float | None = None) -> DataFrame:
+    """Path of a linear model on lags and means of its own output, never below ``floor``.
 
     ``seeds``: crop, state, prices (at least 30), intercept, coefficients in the
     order of ``LINEAR_TERMS``.  Everything is array functions, so each series is
@@ -130,7 +130,7 @@ def recursive_linear(seeds: DataFrame, horizon: int = 30) -> DataFrame:
     def step(acc: Column, i: Column) -> Column:
         total = (F.col("intercept") + c[0] * F.element_at(acc, -1) + c[1] * F.element_at(acc, -7) + c[2] * F.element_at(acc, -14)
                  + c[3] * F.element_at(acc, -30) + c[4] * _mean_last(acc, 7) + c[5] * _mean_last(acc, 30))
-        return F.concat(acc, F.array(total))
+        return F.concat(acc, F.array(total if floor is None else F.greatest(total, F.lit(float(floor)))))
 
     path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("prices"), step)
     return seeds.withColumn("path", F.slice(path, -horizon, horizon))
@@ -221,20 +221,44 @@ def candidate_gate(forecasts: DataFrame, metrics: DataFrame, steps: int = 30, sp
 
 
 # ----------------------------------------------------------------- decisions
-def decide(outlook: DataFrame) -> DataFrame:
-    """All three named rules side by side.
+# Sentences of the reasons.  Fixed values.
+REASON_OLD = ("The latest Mandi price observation is ", " days old. Market conditions may have changed. Verify current local Mandi rates before making a transaction decision.")
+REASON_SMALL = ("The ", "-day forecast indicates a marginal movement of ", "% — within model uncertainty bounds. Prices are expected to remain relatively stable.")
+REASON_DOWN = ("The ", "-day forecast indicates a price decline of approximately ", "% from Rs.", " to Rs.", ". Selling at the current observed Mandi price may reduce downside risk.")
+REASON_UP = ("The ", "-day forecast indicates a price increase of approximately ", "% from Rs.", " to Rs.", ". Holding may provide a better expected selling price.")
+REASON_EVENT = ("An active market disruption (", ") introduces significant price uncertainty. Verify local conditions before acting.")
+
+
+def decision_reason(decision: Column, plain: Column, current: Column, predicted: Column, change: Column, age_days: Column, event: Column, horizon: int = 30) -> Column:
+    """Why the outlook says what it says; null without a decision."""
+    moved = N.round_to(change, 1)
+    days = str(horizon)
+    both = [F.lit(REASON_DOWN[2]), rupee_text(current), F.lit(REASON_DOWN[3]), rupee_text(predicted)]
+    return (F.when(decision.isNull(), F.lit(None).cast("string"))
+            .when(F.coalesce(age_days > 14, F.lit(False)), F.concat(F.lit(REASON_OLD[0]), age_days.cast("string"), F.lit(REASON_OLD[1])))
+            .when((decision == "WAIT") & (plain == "HOLD"), F.concat(F.lit(REASON_EVENT[0]), F.coalesce(event, F.lit("unnamed")), F.lit(REASON_EVENT[1])))
+            .when(decision == "WAIT", F.concat(F.lit(REASON_SMALL[0] + days + REASON_SMALL[1]), F.format_string("%+.1f", moved), F.lit(REASON_SMALL[2])))
+            .when(decision == "SELL", F.concat(F.lit(REASON_DOWN[0] + days + REASON_DOWN[1]), F.format_string("%.1f", F.abs(moved)), *both, F.lit(REASON_DOWN[4])))
+            .otherwise(F.concat(F.lit(REASON_UP[0] + days + REASON_UP[1]), F.format_string("%.1f", moved), *both, F.lit(REASON_UP[4]))))
+
+
+def decide(outlook: DataFrame, crop_name: Column | None = None) -> DataFrame:
+    """All three named rules side by side, with the reason of the first.
 
     ``outlook``: crop, state, current_price, predicted_price, data_age_days,
-    disrupted (boolean), available (boolean).
+    disrupted (boolean), event (its name), available (boolean).  ``crop_name`` is the name that
+    the rules know the crop by, if the series are called otherwise.
     """
+    name = F.col("crop") if crop_name is None else crop_name
     cur, pred = F.col("current_price"), F.col("predicted_price")
     change = N.round_to(R.change_pct(F.when(cur > 0, cur), pred), 2)
     o = outlook.withColumn("change_percent", change)
     ch, age = F.col("change_percent"), F.col("data_age_days")
-    return o.select(
-        *outlook.columns, "change_percent", F.when(F.col("available"), R.outlook_decision(F.col("crop"), ch, age, F.col("disrupted"))).alias("recommendation"),
-        F.when(F.col("available"), R.plain_decision(F.col("crop"), ch, age)).alias("expected_recommendation"),
+    rules = o.select(
+        *outlook.columns, "change_percent", F.when(F.col("available"), R.outlook_decision(name, ch, age, F.col("disrupted"))).alias("recommendation"),
+        F.when(F.col("available"), R.plain_decision(name, ch, age)).alias("plain_recommendation"),
         R.advisory_action(cur, pred, F.col("available")).alias("advisory_action"), R.storage_decision(ch).alias("storage_decision"), R.net_gain(ch).alias("net_gain_percent"))
+    return rules.withColumn("recommendation_reason", decision_reason(F.col("recommendation"), F.col("plain_recommendation"), cur, pred, ch, age, F.col("event")))
 
 
 def decision_breakdown(decisions: DataFrame) -> DataFrame:
@@ -268,8 +292,17 @@ def extreme_forecasts(decisions: DataFrame, bound: float) -> DataFrame:
     return decisions.where(F.abs("change_percent") > bound).select("crop", "state", "current_price", "predicted_price", "change_percent")
 
 
-def decision_compliance(decisions: DataFrame) -> DataFrame:
-    ok = F.col("recommendation").eqNullSafe(F.col("expected_recommendation"))
+def decision_compliance(decisions: DataFrame, wide: Sequence[str] = ()) -> DataFrame:
+    """Decisions that differ from what prices and ages alone ask for, per crop.
+
+    The expectation is worked out here from the prices; ``wide`` names the crops whose
+    threshold is five percent.
+    """
+    change = N.round_to((F.col("predicted_price") - F.col("current_price")) / F.nullif(F.col("current_price"), F.lit(0.0)) * 100.0, 2)
+    limit = F.when(F.col("crop").isin(list(wide)), 5.0).otherwise(3.0)
+    moves = F.when(F.coalesce(F.col("data_age_days") > 14, F.lit(False)), 0).when(change <= -limit, -1).when(change >= limit, 1).otherwise(0)
+    expected = F.element_at(F.array(F.lit("SELL"), F.lit("WAIT"), F.lit("HOLD")), moves + 2)
+    ok = F.col("recommendation").eqNullSafe(F.when(F.col("available"), expected))
     return decisions.groupBy("crop").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~ok).alias("mismatches"))
 
 
@@ -314,5 +347,5 @@ PUBLIC_COLUMNS = ["available", "crop", "state", "current_price", "predicted_pric
 
 
 def public_view(results: DataFrame) -> DataFrame:
-    """Only the public columns, in their fixed order."""
-    return results.select(*[c for c in PUBLIC_COLUMNS if c in results.columns])
+    """Only the public columns, in their fixed order; one that is absent is an error."""
+    return results.select(*PUBLIC_COLUMNS)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from furrow import dims
 from furrow.functions import numeric as N
 from furrow.functions import scoring as R
 from furrow.functions import text as X
@@ -22,6 +22,10 @@ INTERCEPT, COEFFICIENTS = 25.0, [0.5, 0.15, 0.1, 0.05, 0.1, 0.08]
 MODELS = {"naive_lag1": "lag_1", "moving_average_30": "rolling_30", "moving_average_7": "rolling_7", "weekly_lag": "lag_7"}
 
 
+def _cut():
+    return F.lit(T.SPLIT_DATE).cast("date")
+
+
 def holdout(spark, sf):
     f = ft.lag_features(daily(spark, sf), PF.SPANS)
     return f.where(F.col("ds") >= F.lit(T.SPLIT_DATE).cast("date"))
@@ -33,7 +37,7 @@ def metrics(spark, sf):
 
 def seeds(spark, sf):
     """Tails before the split, the last value replaced by the dearest quote of the last day."""
-    cut = F.lit(T.SPLIT_DATE).cast("date")
+    cut = _cut()
     q = T.quotes(spark, sf).where(F.col("ds") < cut)
     per = q.groupBy("crop", "state", "ds").agg(F.max("modal_cents").alias("m"))
     live = per.groupBy("crop", "state").agg(F.max_by("m", "ds").alias("m")).select("crop", "state", N.rupees(F.col("m")).alias("price"))
@@ -42,40 +46,33 @@ def seeds(spark, sf):
 
 
 def forecasts(spark, sf):
-    return fc.dated_path(fc.recursive_linear(seeds(spark, sf), 30), F.lit(T.SPLIT_DATE).cast("date"))
+    return path_rows(spark, sf)
 
 
-def relabelled(spark, sf):
-    """Last 30 rows of each series as a path, with the price before them."""
-    d = daily(spark, sf)
-    w = W.partitionBy("crop", "state").orderBy(F.col("ds").desc())
-    total = W.partitionBy("crop", "state")
-    r = d.select("crop", "state", "ds", N.rupees(F.col("y_cents")).alias("yhat"), F.row_number().over(w).alias("back"),
-                 F.sum("market_count").over(total).alias("record_count"))
-    return r.where(F.col("back") <= 31)
+#: Crops of the series whose names the rules know as uncertain.
+WIDE = [t.lower() for t, name in T.TYPE_CROPS.items() if name.lower() in dims.HIGH_UNCERTAINTY_CROPS]
 
 
-def path_rows(spark, sf):
-    r = relabelled(spark, sf).where(F.col("back") <= 30)
-    return r.select("crop", "state", (F.lit(31) - F.col("back")).cast("bigint").alias("step"), "ds", "yhat")
+def path_rows(spark, sf, horizon=30, floor=None):
+    """The forecast of every series from the day of the split on."""
+    return fc.dated_path(fc.recursive_linear(seeds(spark, sf), horizon, floor), _cut())
 
 
 def outlook(spark, sf):
-    r = relabelled(spark, sf)
-    def at(back, c):
-        return F.max(F.when(F.col("back") == back, F.col(c)))
-
-    g = r.groupBy("crop", "state").agg(
-        at(31, "yhat").alias("current_price"), at(1, "yhat").alias("predicted_price"), at(31, "ds").alias("observation_date"),
-        at(30, "ds").alias("first_ds"), at(1, "ds").alias("last_ds"), F.max("record_count").alias("record_count"))
-    return g.select(
-        "crop", "state", "current_price", "predicted_price", "observation_date", (F.dayofmonth("first_ds") % 20).cast("bigint").alias("data_age_days"),
-        (F.dayofmonth("last_ds") % 2 == 0).alias("disrupted"), (F.dayofmonth("first_ds") % 11 != 0).alias("available"),
+    """Latest price and thirty-day forecast of every series, with what the decision depends on."""
+    s = fc.recursive_linear(seeds(spark, sf), 30)
+    n = daily(spark, sf).where(F.col("ds") < _cut()).groupBy("crop", "state").agg(F.sum("market_count").alias("record_count"))
+    target = F.date_add(_cut(), 29)
+    event = F.coalesce(*[F.when(target.between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(label)) for label, a, b, _ in T.FIXTURE_DISRUPTIONS], F.lit(None).cast("string"))
+    predicted = N.round_to(F.element_at("path", -1), 2)
+    return s.join(n, ["crop", "state"]).select(
+        "crop", "state", N.round_to(F.element_at("prices", -1), 2).alias("current_price"), predicted.alias("predicted_price"), F.col("last_ds").alias("observation_date"),
+        F.datediff(_cut(), "last_ds").cast("bigint").alias("data_age_days"), event.isNotNull().alias("disrupted"), event.alias("event"), (predicted > 0).alias("available"),
         R.forecast_scope(F.col("record_count")).alias("forecast_scope"))
 
 
 def decisions(spark, sf):
-    return fc.decide(outlook(spark, sf))
+    return fc.decide(outlook(spark, sf), X.lookup(F.col("crop"), {t.lower(): n.lower() for t, n in T.TYPE_CROPS.items()}))
 
 
 def baseline_metrics(spark, sf):
@@ -99,7 +96,7 @@ def horizon_metrics(spark, sf):
 
 
 def forecast_summary(spark, sf):
-    return fc.forecast_summary(path_rows(spark, sf))
+    return fc.forecast_summary(path_rows(spark, sf, 90, 100.0))
 
 
 def trend_statistics(spark, sf):
@@ -141,7 +138,7 @@ def extreme_forecasts(spark, sf):
 
 
 def decision_compliance(spark, sf):
-    return fc.decision_compliance(decisions(spark, sf))
+    return fc.decision_compliance(decisions(spark, sf), WIDE)
 
 
 def forecast_grid(spark, sf):
@@ -201,22 +198,30 @@ walk AS (SELECT crop, state, 0 AS step, acc FROM seeds UNION ALL
 fcast AS (SELECT crop, state, CAST(step AS BIGINT) AS step, DATE '{T.SPLIT_DATE}' + CAST(step - 1 AS INTEGER) AS ds, {S.rnd('acc[-1]', 2)} AS yhat FROM walk WHERE step > 0),
 hm0 AS (SELECT f.crop, f.step AS horizon, {S.rs('y_cents')} AS y, yhat FROM fcast f JOIN daily d ON d.crop = f.crop AND d.state = f.state AND d.ds = f.ds WHERE step IN (1, 7, 15, 30)),
 hm AS (SELECT *, CASE WHEN mape < 7 THEN 'HIGH' WHEN mape < 15 THEN 'MODERATE' ELSE 'UNCERTAIN' END AS reliability_rating FROM ({_metrics('hm0', 'crop, horizon')}))"""
+_PT = "CAST(floor({} + 0.5) AS BIGINT)".format
 RECURSIVE = S.DAILY.replace("quote_lines AS", "RECURSIVE quote_lines AS", 1)
-PATH_ROWS = S.DAILY + f""", rel AS (SELECT crop, state, ds, {S.rs('y_cents')} AS yhat, row_number() OVER (PARTITION BY crop, state ORDER BY ds DESC) AS back,
- CAST(sum(market_count) OVER (PARTITION BY crop, state) AS BIGINT) AS record_count FROM daily),
-pr AS (SELECT crop, state, 31 - back AS step, ds, yhat FROM rel WHERE back <= 30)"""
-OUTLOOK = PATH_ROWS + f""", o0 AS (SELECT crop, state, max(yhat) FILTER (back = 31) AS current_price, max(yhat) FILTER (back = 1) AS predicted_price, max(ds) FILTER (back = 31) AS observation_date,
- max(ds) FILTER (back = 30) AS first_ds, max(ds) FILTER (back = 1) AS last_ds, max(record_count) AS record_count FROM rel WHERE back <= 31 GROUP BY 1, 2),
-ol AS (SELECT crop, state, current_price, predicted_price, observation_date, day(first_ds) % 20 AS data_age_days, day(last_ds) % 2 = 0 AS disrupted, day(first_ds) % 11 <> 0 AS available,
- CASE WHEN record_count >= 200 THEN 'STATE_CROP' WHEN record_count >= 50 THEN 'STATE_AWARE' ELSE 'CROP_ONLY' END AS forecast_scope FROM o0),
+PATH_ROWS = f"""{RECURSIVE}, {PATHS}, pr AS (SELECT crop, state, step, ds, yhat FROM fcast)"""
+HOLD_RECURSIVE = HOLD.replace("quote_lines AS", "RECURSIVE quote_lines AS", 1)
+HOLD_PATHS = PATH_ROWS.replace(RECURSIVE, HOLD_RECURSIVE)
+_EVENT = "CASE " + " ".join(f"WHEN DATE '{T.SPLIT_DATE}' + 29 BETWEEN DATE '{a}' AND DATE '{b}' THEN '{n}'" for n, a, b, _ in T.FIXTURE_DISRUPTIONS) + " END"
+_WIDE = "(" + ", ".join(f"'{c}'" for c in WIDE) + ")"
+OUTLOOK = PATH_ROWS + f""", last AS (SELECT crop, state, max(ds) AS last_ds, CAST(sum(market_count) AS BIGINT) AS record_count FROM pre GROUP BY 1, 2),
+ol AS (SELECT s.crop, s.state, {S.rnd('s.acc[-1]', 2)} AS current_price, f.yhat AS predicted_price, last_ds AS observation_date, date_diff('day', last_ds, DATE '{T.SPLIT_DATE}') AS data_age_days,
+ {_EVENT} IS NOT NULL AS disrupted, CAST({_EVENT} AS VARCHAR) AS event, f.yhat > 0 AS available,
+ CASE WHEN record_count >= 200 THEN 'STATE_CROP' WHEN record_count >= 50 THEN 'STATE_AWARE' ELSE 'CROP_ONLY' END AS forecast_scope
+ FROM seeds s JOIN fcast f ON f.crop = s.crop AND f.state = s.state AND f.step = 30 JOIN last l ON l.crop = s.crop AND l.state = s.state),
 d0 AS (SELECT *, {S.rnd('(predicted_price - current_price) / current_price * ' + D(100), 2)} AS change_percent, (predicted_price - current_price) / current_price * {D(100)} AS ch FROM ol),
-d1 AS (SELECT *, CASE WHEN data_age_days > 14 THEN 'WAIT' WHEN abs(change_percent) < 3 THEN 'WAIT' WHEN change_percent <= -3 THEN 'SELL' ELSE 'HOLD' END AS plain FROM d0),
-decs AS (SELECT crop, state, current_price, predicted_price, observation_date, data_age_days, disrupted, available, forecast_scope, change_percent,
- CASE WHEN available THEN CASE WHEN plain = 'HOLD' AND disrupted AND change_percent < 8 THEN 'WAIT' ELSE plain END END AS recommendation, CASE WHEN available THEN plain END AS expected_recommendation,
+d1 AS (SELECT *, CASE WHEN data_age_days > 14 THEN 'WAIT' WHEN abs(change_percent) < CASE WHEN crop IN {_WIDE} THEN 5 ELSE 3 END THEN 'WAIT' WHEN change_percent < 0 THEN 'SELL' ELSE 'HOLD' END AS plain FROM d0),
+decs0 AS (SELECT crop, state, current_price, predicted_price, observation_date, data_age_days, disrupted, event, available, forecast_scope, change_percent,
+ CASE WHEN available THEN CASE WHEN plain = 'HOLD' AND disrupted AND change_percent < 8 THEN 'WAIT' ELSE plain END END AS recommendation, CASE WHEN available THEN plain END AS plain_recommendation,
  CASE WHEN available THEN CASE WHEN ch <= -3 THEN 'SELL' WHEN ch >= 3 THEN 'HOLD' ELSE 'WAIT' END END AS advisory_action,
- CASE WHEN change_percent > 5 THEN 'HOLD' ELSE 'SELL' END AS storage_decision, {S.rnd('change_percent - ' + D(2), 2)} AS net_gain_percent FROM d1)"""
+ CASE WHEN change_percent > 5 THEN 'HOLD' ELSE 'SELL' END AS storage_decision, {S.rnd('change_percent - ' + D(2), 2)} AS net_gain_percent FROM d1),
+decs AS (SELECT *, CASE WHEN recommendation IS NULL THEN NULL WHEN data_age_days > 14 THEN 'The latest Mandi price observation is ' || data_age_days || ' days old. Market conditions may have changed. Verify current local Mandi rates before making a transaction decision.'
+ WHEN recommendation = 'WAIT' AND plain_recommendation = 'HOLD' THEN 'An active market disruption (' || event || ') introduces significant price uncertainty. Verify local conditions before acting.'
+ WHEN recommendation = 'WAIT' THEN 'The 30-day forecast indicates a marginal movement of ' || printf('%+.1f', {S.rnd('change_percent', 1)}) || '% — within model uncertainty bounds. Prices are expected to remain relatively stable.'
+ WHEN recommendation = 'SELL' THEN 'The 30-day forecast indicates a price decline of approximately ' || printf('%.1f', abs({S.rnd('change_percent', 1)})) || '% from Rs.' || format('{{:,}}', {_PT('current_price')}) || ' to Rs.' || format('{{:,}}', {_PT('predicted_price')}) || '. Selling at the current observed Mandi price may reduce downside risk.'
+ ELSE 'The 30-day forecast indicates a price increase of approximately ' || printf('%.1f', {S.rnd('change_percent', 1)}) || '% from Rs.' || format('{{:,}}', {_PT('current_price')}) || ' to Rs.' || format('{{:,}}', {_PT('predicted_price')}) || '. Holding may provide a better expected selling price.' END AS recommendation_reason FROM decs0)"""
 _MEAN = lambda k: S.rnd(f"CAST(CAST(sum({S.whole('yhat * 100.0')}) FILTER (step <= {k}) AS BIGINT) AS DOUBLE) / count(*) FILTER (step <= {k}) / {D(100)}", 2)
-_PT = "CAST(floor({} + 0.5) AS BIGINT)".format
 _HF = f"CASE WHEN horizon <= 7 THEN {D(1)} WHEN horizon <= 15 THEN {D(0.95)} WHEN horizon <= 30 THEN {D(0.9)} WHEN horizon <= 60 THEN {D(0.8)} ELSE {D(0.7)} END"
 _AF = f"CASE WHEN data_age_days < 1 THEN {D(1)} WHEN data_age_days <= 3 THEN {D(0.95)} WHEN data_age_days <= 7 THEN {D(0.85)} ELSE {D(0.7)} END"
 
@@ -227,8 +232,11 @@ ORACLES = {
     "model_comparison": f"WITH {HOLD} SELECT *, row_number() OVER (PARTITION BY crop ORDER BY mae, model) = 1 AS is_best FROM metrics",
     "recursive_forecast": f"WITH {RECURSIVE}, {PATHS} SELECT * FROM fcast",
     "horizon_metrics": f"WITH {RECURSIVE}, {PATHS} SELECT * FROM hm",
-    "forecast_summary": f"""WITH {PATH_ROWS} SELECT crop, state, min_by(yhat, step) AS starting_price, max_by(yhat, step) AS ending_price, max(yhat) AS highest_price, min(yhat) AS lowest_price,
- {_MEAN(30)} AS average_price, {', '.join(f'{_MEAN(h)} AS mean_{h}_day' for h in (7, 15, 30, 60, 90))} FROM pr GROUP BY 1, 2""",
+    "forecast_summary": f"""WITH {PATH_ROWS}, long AS (SELECT crop, state, 0 AS step, acc FROM seeds UNION ALL
+ SELECT crop, state, step + 1, list_append(acc, greatest({D(INTERCEPT)} + {_C[0]} * acc[-1] + {_C[1]} * acc[-7] + {_C[2]} * acc[-14] + {_C[3]} * acc[-30]
+  + {_C[4]} * (list_sum(acc[-7:]) / {D(7)}) + {_C[5]} * (list_sum(acc[-30:]) / {D(30)}), {D(100)})) FROM long WHERE step < 90),
+ p90 AS (SELECT crop, state, CAST(step AS BIGINT) AS step, {S.rnd('acc[-1]', 2)} AS yhat FROM long WHERE step > 0) SELECT crop, state, min_by(yhat, step) AS starting_price, max_by(yhat, step) FILTER (step <= 30) AS ending_price, max(yhat) FILTER (step <= 30) AS highest_price, min(yhat) FILTER (step <= 30) AS lowest_price,
+ {_MEAN(30)} AS average_price, {', '.join(f'{_MEAN(h)} AS mean_{h}_day' for h in (7, 15, 30, 60, 90))} FROM p90 GROUP BY 1, 2""",
     "trend_statistics": f"""WITH {OUTLOOK}, mv AS (SELECT *, abs(yhat - lag(yhat) OVER (PARTITION BY crop, state ORDER BY step)) AS move FROM pr),
  g AS (SELECT crop, state, avg(yhat) AS m, min(yhat) AS lo, max(yhat) AS hi, stddev_pop(yhat) AS sd, var_pop(yhat) AS v, regr_slope(yhat, {D('step')}) AS sl, avg(move) AS mo FROM mv GROUP BY 1, 2),
  j AS (SELECT g.*, (m - current_price) / current_price * {D(100)} AS ch, sl / current_price * {D(100)} AS sp FROM g JOIN ol ON ol.crop = g.crop AND ol.state = g.state)
@@ -236,12 +244,11 @@ ORACLES = {
  {S.rnd('mo', 2)} AS daily_average_change, {S.rnd('sd', 2)} AS forecast_std, {S.rnd('v', 2)} AS forecast_variance, {S.rnd('sd / m * ' + D(100), 2)} AS volatility_percent,
  CASE WHEN ch > 2 THEN 'UPWARD' WHEN ch < -2 THEN 'DOWNWARD' ELSE 'STABLE' END AS trend_direction,
  CASE WHEN abs(ch) >= 8 OR abs(sp) >= 0.25 THEN 'HIGH' WHEN abs(ch) >= 3 OR abs(sp) >= 0.08 THEN 'MEDIUM' ELSE 'LOW' END AS trend_strength FROM j""",
-    "forecast_bands": f"""WITH {HOLD}, rel AS (SELECT crop, state, ds, {S.rs('y_cents')} AS yhat, row_number() OVER (PARTITION BY crop, state ORDER BY ds DESC) AS back FROM daily),
- pr AS (SELECT crop, state, 31 - back AS step, yhat FROM rel WHERE back <= 30), ln AS (SELECT crop, state, regr_slope(yhat, {D('step')}) AS a, regr_intercept(yhat, {D('step')}) AS b FROM pr GROUP BY 1, 2),
+    "forecast_bands": f"""WITH {HOLD_PATHS}, ln AS (SELECT crop, state, regr_slope(yhat, {D('step')}) AS a, regr_intercept(yhat, {D('step')}) AS b FROM pr GROUP BY 1, 2),
  j AS (SELECT pr.*, a, b, CASE WHEN rmse > 0 THEN rmse * {D(1.2)} ELSE {D(50)} END AS margin FROM pr JOIN ln ON ln.crop = pr.crop AND ln.state = pr.state LEFT JOIN metrics m ON m.crop = pr.crop AND m.model = 'naive_lag1')
  SELECT crop, state, step, yhat, {S.rnd('greatest(yhat - margin, ' + D(50) + ')', 2)} AS lower_bound, {S.rnd('yhat + margin', 2)} AS upper_bound, {S.rnd('a * step + b', 2)} AS trend_line FROM j""",
-    "candidate_gate": f"""WITH {HOLD}, rel AS (SELECT crop, state, ds, {S.rs('y_cents')} AS yhat, row_number() OVER (PARTITION BY crop, state ORDER BY ds DESC) AS back FROM daily),
- ps AS (SELECT crop, state, count(*) AS n, min(yhat) AS lo, max(yhat) AS hi, max_by(yhat, back) AS f FROM rel WHERE back <= 30 GROUP BY 1, 2),
+    "candidate_gate": f"""WITH {HOLD_PATHS},
+ ps AS (SELECT crop, state, count(*) AS n, min(yhat) AS lo, max(yhat) AS hi, min_by(yhat, step) AS f FROM pr GROUP BY 1, 2),
  pc AS (SELECT crop, bool_and(n = 30) AS c, bool_and(lo > 0) AS p, bool_and(hi <= f * {D(3.5)}) AS k FROM ps GROUP BY 1),
  m AS (SELECT crop, max(mae) FILTER (model = 'moving_average_7') AS candidate_mae, max(mae) FILTER (model = 'moving_average_30') AS production_mae FROM metrics GROUP BY 1),
  r AS (SELECT m.*, CASE WHEN NOT coalesce(c, FALSE) THEN 'FORECAST_INCOMPLETE' WHEN NOT p THEN 'NON_POSITIVE_PRICE' WHEN NOT k THEN 'EXTREME_SPIKE' WHEN candidate_mae > production_mae * {D(1.1)} THEN 'WORSE_THAN_PRODUCTION' ELSE 'PASSED' END AS reason FROM m LEFT JOIN pc ON pc.crop = m.crop)
@@ -254,11 +261,11 @@ ORACLES = {
     "state_specificity": f"""WITH {OUTLOOK}, g AS (SELECT crop, count(*) AS total_predictions, count(DISTINCT {S.rnd('predicted_price', 0)}) AS unique_rounded_values, min(predicted_price) AS min_predicted, max(predicted_price) AS max_predicted FROM decs GROUP BY 1)
  SELECT *, {S.rnd('unique_rounded_values * ' + D(100) + ' / total_predictions', 1)} AS pct_state_specific, {S.rnd('max_predicted - min_predicted', 2)} AS state_price_range FROM g""",
     "extreme_forecasts": f"WITH {OUTLOOK} SELECT crop, state, current_price, predicted_price, change_percent FROM decs WHERE abs(change_percent) > 40",
-    "decision_compliance": f"WITH {OUTLOOK} SELECT crop, count(*) AS checked, count(*) FILTER (recommendation IS DISTINCT FROM expected_recommendation) AS mismatches FROM decs GROUP BY 1",
+    "decision_compliance": f"WITH {OUTLOOK} SELECT crop, count(*) AS checked, count(*) FILTER (recommendation IS DISTINCT FROM plain_recommendation) AS mismatches FROM decs GROUP BY 1",
     "forecast_grid": f"WITH {OUTLOOK} SELECT state, " + ", ".join(f"max(recommendation) FILTER (crop = '{t.lower()}') AS {t.lower()}" for t in T.TYPE_CROPS) + " FROM decs GROUP BY 1",
     "quality_matrix": f"""WITH {RECURSIVE}, {PATHS}, {PR.GRID} SELECT g.state, g.crop, record_count, CASE WHEN record_count >= 200 THEN 'STATE_CROP_MODEL' WHEN record_count >= 50 THEN 'STATE_AWARE_FALLBACK' ELSE 'CROP_LEVEL_FALLBACK' END AS forecast_tier,
  CASE WHEN record_count >= 200 THEN 'HIGH' WHEN record_count >= 50 THEN 'MODERATE' ELSE 'LOW_PROVABLY_NATIONAL' END AS confidence_level, mape AS estimated_mape FROM graded g LEFT JOIN hm ON hm.crop = g.crop AND horizon = 30""",
-    "forecast_confidence": f"""WITH {OUTLOOK.replace(S.DAILY, HOLD)}, av AS (SELECT crop, state, {S.rnd('CAST(CAST(sum(y_cents) AS BIGINT) AS DOUBLE) / count(*) / 100.0', 2)} AS mp FROM daily GROUP BY 1, 2),
+    "forecast_confidence": f"""WITH {OUTLOOK.replace(RECURSIVE, HOLD_RECURSIVE)}, av AS (SELECT crop, state, {S.rnd('CAST(CAST(sum(y_cents) AS BIGINT) AS DOUBLE) / count(*) / 100.0', 2)} AS mp FROM daily GROUP BY 1, 2),
  j AS (SELECT ol.crop, ol.state, CAST({S.pick('day(observation_date) % 5', [7, 15, 30, 60, 90])} AS BIGINT) AS horizon, data_age_days, mae, mp FROM ol JOIN metrics m ON m.crop = ol.crop AND model = 'naive_lag1' JOIN av ON av.crop = ol.crop AND av.state = ol.state),
  b AS (SELECT *, greatest({D(1)} - least(mae / mp, {D(0.5)}), {D(0.5)}) AS base, {_HF} AS hf, {_AF} AS af FROM j), s AS (SELECT *, greatest({D(0.4)}, least({D(0.95)}, base * hf * af)) AS sc FROM b)
  SELECT crop, state, horizon, data_age_days, {S.rnd('sc', 4)} AS confidence_score, {S.rnd('sc * ' + D(100), 1)} AS confidence_pct, {S.whole('base * ' + D(100))} AS model_quality, {S.whole('hf * ' + D(100))} AS horizon_penalty, {S.whole('af * ' + D(100))} AS data_freshness FROM s""",
@@ -269,5 +276,5 @@ ORACLES = {
  WHEN 'WAIT' THEN head || 'The 30-day forecast projects stable prices around Rs.' || pp || '/quintal (' || printf('%+.1f', c1) || '% change).'
  ELSE 'A reliable 30-day price forecast is currently unavailable for this crop.' END AS analysis FROM t)
  SELECT *, regexp_matches(analysis, '[0-9]+([.][0-9]+)?/[0-9]+|MAE|RMSE|STATE_CROP|CROP_ONLY|STATE_AWARE') AS forbidden FROM u""",
-    "public_results": f"WITH {OUTLOOK} SELECT available, crop, state, current_price, predicted_price, CAST(30 AS BIGINT) AS horizon_days, observation_date, state || ' Mandi' AS market_name, data_age_days, recommendation FROM decs",
+    "public_results": f"WITH {OUTLOOK} SELECT available, crop, state, current_price, predicted_price, CAST(30 AS BIGINT) AS horizon_days, observation_date, state || ' Mandi' AS market_name, data_age_days, recommendation, recommendation_reason FROM decs",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow import schemas
@@ -49,9 +49,20 @@ def series_in_cents(series: DataFrame) -> DataFrame:
 
 
 def append_series(rows: DataFrame, path: str) -> None:
-    """Append in the fixed column order; absent columns get zero.  Partitioned by crop."""
-    have = set(rows.columns)
-    ordered = [F.col(c) if c in have else F.lit(0.0).alias(c) for c in STORE_COLUMNS]
+    """Append in the fixed columns and types, partitioned by crop.
+
+    Absent measures get the zero of their type; the keys and the price must be there.  An absent
+    seven-row deviation is worked out from the rows given.
+    """
+    have, kinds = set(rows.columns), {f.name: f.dataType for f in schemas.DAILY_SERIES}
+    absent = [c for c in ("ds", "crop", "state", "y") if c not in have]
+    if absent:
+        raise ValueError(f"a stored series needs {', '.join(absent)}")
+    if "rolling_std_7" not in have:
+        seven = Window.partitionBy("crop", "state").orderBy("ds").rowsBetween(-6, 0)
+        rows = rows.withColumn("rolling_std_7", F.coalesce(F.stddev_samp("y").over(seven), F.lit(0.0)))
+        have.add("rolling_std_7")
+    ordered = [(F.col(c) if c in have else F.lit(0)).cast(kinds[c]).alias(c) for c in STORE_COLUMNS]
     rows.select(*ordered).write.mode("append").partitionBy("crop").parquet(path)
 
 

@@ -37,6 +37,12 @@ def test_series_round_trip_with_defaults(spark, tmp_path):
     back = files.read_series(spark, path)
     assert back.count() == 2 and back.first()["rolling_std_7"] == 0.0
     assert files.series_in_cents(back).first()["y_cents"] == 1250
+    # Absent measures get the zero of their type, so the file stays readable; absent keys are an error.
+    files.append_series(spark.createDataFrame([(dt.date(2020, 2, k), "rice", "Kerala", 10.0 * k) for k in (1, 2)], "ds date, crop string, state string, y double"), path)
+    more = {r["ds"].day: r for r in files.read_series(spark, path).where("state = 'Kerala'").collect()}
+    assert more[2]["market_count"] == 0 and more[2]["min_price"] == 0.0 and more[1]["rolling_std_7"] == 0.0 and more[2]["rolling_std_7"] == pytest.approx(50**0.5)
+    with pytest.raises(ValueError, match="state"):
+        files.append_series(rows.drop("state"), path)
 
 
 def test_report_is_one_document(spark, tmp_path, sf):
