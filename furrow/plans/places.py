@@ -43,9 +43,8 @@ def variants(spark, sf):
 
 
 def place_names_folded(spark, sf):
-    """Every document headline folded like a place name."""
-    a = T.articles_raw(spark, sf).select("doc_id", "title")
-    return a.select("doc_id", X.fold_place(F.col("title")).alias("folded"))
+    """Every document's whole text folded like a place name."""
+    return T.table(spark, sf, "documents").select("doc_id", X.fold_place(F.col("text")).alias("folded"))
 
 
 def alias_resolution(spark, sf):
@@ -171,7 +170,7 @@ def _contained(expr: str, table: dict, longest: bool = False) -> str:
 
 
 ORACLES = {
-    "place_names_folded": f"WITH {S.ARTICLES_RAW} SELECT doc_id, {fold_sql('title')} AS folded FROM articles_raw",
+    "place_names_folded": f"SELECT doc_id, {fold_sql('text')} AS folded FROM documents",
     "alias_resolution": f"WITH {RESOLVED} SELECT state, district, canonical_name, canonical_id, canonical_state, alias_hit FROM resolved",
     "district_containment": f"""WITH {VARIANTS}, {MASTER_SQL}, n AS (SELECT DISTINCT lower(trim(district)) AS name FROM variants),
  h AS (SELECT name, CASE WHEN name = lower(m.district) THEN 0 ELSE 1 END AS match_level, lower(m.district) AS key, canonical_id, ord

@@ -149,7 +149,7 @@ def price_source_chain(spark, sf):
 
 def current_price(spark, sf):
     q = T.quotes(spark, sf)
-    latest = prices.latest_price(q.where(F.col("market") != "Brand#1"), F.lit("2001-11-05").cast("date"), 3)
+    latest = prices.latest_price(q, F.lit("2001-11-05").cast("date"), 3)
     return prices.current_price(latest, features.series_tail(prices.daily_rollup(q)))
 
 
@@ -291,7 +291,7 @@ ORACLES = {
   CASE WHEN bp IS NOT NULL THEN 'fresh' WHEN cp IS NOT NULL THEN CASE WHEN ch < 24 THEN 'fresh' WHEN ch < 72 THEN 'stale' ELSE 'old' END
    WHEN fraw > 0 THEN 'fresh' ELSE 'estimated' END AS data_quality,
   CASE WHEN bp IS NOT NULL THEN CAST(0 AS DOUBLE) WHEN cp IS NOT NULL THEN ch WHEN fraw > 0 THEN CAST(0 AS DOUBLE) END AS data_age_hours FROM j""",
-    "current_price": f"""WITH {S.DAILY}, l AS (SELECT *, row_number() OVER (PARTITION BY crop, state ORDER BY ds DESC, market DESC, modal_cents DESC) AS rn FROM quotes WHERE market <> 'Brand#1'),
+    "current_price": f"""WITH {S.DAILY}, l AS (SELECT *, row_number() OVER (PARTITION BY crop, state ORDER BY ds DESC, market DESC, modal_cents DESC) AS rn FROM quotes),
  t AS (SELECT *, row_number() OVER (PARTITION BY crop, state ORDER BY ds DESC) AS rn FROM daily),
  j AS (SELECT t.crop, t.state, t.y_cents, t.ds AS tds, l.modal_cents, l.ds AS lds, date_diff('day', l.ds, DATE '2001-11-05') AS age
   FROM t LEFT JOIN l ON l.crop = t.crop AND l.state = t.state AND l.rn = 1 WHERE t.rn = 1)

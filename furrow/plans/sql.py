@@ -102,7 +102,7 @@ CLIMATE = """climate AS (
  SELECT CAST(year(o_orderdate) AS BIGINT) AS year, CAST(month(o_orderdate) AS BIGINT) AS month,
   CAST(CAST(sum(CAST(floor(o_totalprice * CAST(100.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS BIGINT) AS DOUBLE)
    / count(*) / CAST(1000000.0 AS DOUBLE) AS avg_temp, CAST(count(*) AS DOUBLE) AS total_rainfall
- FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1, 2)"""
+ FROM orders GROUP BY 1, 2)"""
 
 SPACES = r"[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 

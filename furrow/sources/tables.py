@@ -107,11 +107,10 @@ def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         price_text(F.col("high")).alias("Max_Price"), modal.alias("Modal_Price"))
 
 
-def climate_history(spark: SparkSession, sf_dir: str, before_year: int = 2001) -> DataFrame:
-    """Monthly climate stand-in; later years are missing so that fallbacks are used."""
+def climate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly climate stand-in: mean order value and number of orders."""
     orders = table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice")
-    return (orders.where(F.col("o_orderdate") < F.lit(f"{before_year}-01-01").cast("timestamp"))
-            .groupBy(F.year("o_orderdate").cast("bigint").alias("year"),
+    return (orders.groupBy(F.year("o_orderdate").cast("bigint").alias("year"),
                      F.month("o_orderdate").cast("bigint").alias("month"))
             .agg(F.sum(N.cents(F.col("o_totalprice"))).alias("total_cents"), F.count(F.lit(1)).alias("n"))
             .select("year", "month",

@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from furrow.operators import features as ft
@@ -105,3 +106,11 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
     df = entry.entry(spark)
     assert df.where(F.col("lag_30").isNull()).count() == 0 and "state_enc" in df.columns and df.count() > 0
+
+
+def test_climate_falls_back_to_other_years(spark):
+    climate = spark.createDataFrame([(2000, 1, 10.0, 5.0), (2001, 1, 20.0, 7.0), (2000, 2, 30.0, 9.0)], "year bigint, month bigint, avg_temp double, total_rainfall double")
+    asked = spark.createDataFrame([(2001, 1), (1999, 1), (1999, 2), (1999, 3)], "year bigint, month bigint")
+    got = {(r["year"], r["month"]): (r["avg_temp"], r["total_rainfall"]) for r in ft.climate_lookup(asked, climate).collect()}
+    assert got[2001, 1] == (20.0, 7.0) and got[1999, 1] == (15.0, 6.0) and got[1999, 2] == (30.0, 9.0)
+    assert got[1999, 3] == pytest.approx((20.0, 7.0))
