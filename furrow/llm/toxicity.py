@@ -115,9 +115,7 @@ def fit_logistic(rows: list[np.ndarray], before: np.ndarray, label: np.ndarray)
 
 def fit_chain(texts: list[bytes], labels: np.ndarray) -> list[Logistic]:
     """One model for each column of ``labels`` in order; the earlier probabilities it learns from are out-of-fold."""
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    found, ends = word_buckets(raw, np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64))
-    rows = [found[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+    rows = [word_buckets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].astype(np.int32) for t in texts]
     fold = np.random.default_rng(5).permutation(len(rows)) % FOLDS
     before, models = np.zeros((len(rows), 0)), []
     for k in range(labels.shape[1]):
