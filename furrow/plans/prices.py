@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow import dims
+from furrow import dims, schemas
 from furrow.functions import numeric as N
 from furrow.operators import clean, features, prices
 from furrow.plans import sql as S
-from furrow.session import cut_lineage
+from furrow.session import cut_lineage, scratch_path
+from furrow.sources import files
 from furrow.sources import tables as T
 
 GRID_CROPS = [t.lower() for t in T.TYPE_CROPS] + ["cotton"]
@@ -61,6 +62,36 @@ def archive_rollup(spark, sf):
     return prices.in_rupees(prices.daily_rollup(rows))
 
 
+def quote_files(spark, sf):
+    """All raw quotes landed as JSON lines, read back and cleaned."""
+    path = scratch_path(spark, "quotes-json")
+    T.raw_quotes(spark, sf).write.json(path)
+    rows = files.read_quote_json(spark, path)
+    return clean.accepted(clean.check_quotes(rows, keep=["quote_id"])).select(
+        F.col("quote_id").cast("bigint").alias("quote_id"), "ds", "crop", "state", N.rupees(F.col("modal_cents")).alias("y"))
+
+
+def archive_files(spark, sf):
+    """All raw quotes landed as yearly archive files, read back and rolled up."""
+    folder, years = scratch_path(spark, "archive"), range(2019, 2025)
+    raw = T.raw_quotes(spark, sf)
+    columns = [F.col(c) if c in raw.columns else F.lit("").alias(c) for c in schemas.ARCHIVE_COLUMNS]
+    for k, year in enumerate(years):
+        part = raw.where(F.col("quote_id") % len(years) == k).select(*columns)
+        part.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/{year}.csv")
+    return prices.in_rupees(prices.daily_rollup(clean.accepted(clean.check_archive(files.read_archive(spark, folder, years)))))
+
+
+def stored_series(spark, sf):
+    """The daily series appended to a store in two parts and read back."""
+    path = scratch_path(spark, "series")
+    rows = prices.in_rupees(daily(spark, sf))
+    early = F.col("ds") < F.lit(T.SPLIT_DATE).cast("date")
+    for part in (rows.where(early), rows.where(~early)):
+        files.append_series(part, path)
+    return files.read_series(spark, path).select(*rows.columns)
+
+
 def ingest_accounting(spark, sf):
     good = checked(spark, sf)
     known = clean.accepted(good).where(F.col("ds") < F.lit(T.SPLIT_DATE).cast("date")).select("ds", "crop", "state").distinct()
@@ -165,7 +196,7 @@ def weekly_to_daily(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    clean_quotes, reject_counts, archive_rollup, ingest_accounting, daily_rollup, append_new_keys, merged_series_std,
+    quote_files, archive_files, stored_series, clean_quotes, reject_counts, archive_rollup, ingest_accounting, daily_rollup, append_new_keys, merged_series_std,
     coverage_grid, coverage_totals, coverage_by_series, data_quality, missing_values, extreme_values, latest_batch,
     monthly_seasonality, price_distribution, price_outliers, latest_price, price_source_chain, current_price,
     weekly_prices, weekly_to_daily]}
@@ -205,6 +236,7 @@ Q = "CAST({0} AS DOUBLE)"
 CHAIN_KEYS = f"keys AS (SELECT s.state, c.crop FROM (VALUES {', '.join('(' + S.lit(s) + ')' for s in dims.ALL_STATES)}) s(state), (VALUES {', '.join('(' + S.lit(c) + ')' for c in CHAIN_CROPS)}) c(crop))"
 
 ORACLES = {
+    "quote_files": f"WITH {CHECKED} SELECT quote_id, ds, crop, state, {S.rs('modal_cents')} AS y FROM checked WHERE reject_reason IS NULL",
     "clean_quotes": f"""WITH {CHECKED} SELECT quote_id, ds, crop, state, {S.rs('modal_cents')} AS y, {S.rs('min_cents')} AS min_price,
  {S.rs('max_cents')} AS max_price, {S.rs('range_cents')} AS price_range FROM checked WHERE reject_reason IS NULL""",
     "reject_counts": f"WITH {CHECKED} SELECT coalesce(reject_reason, 'ACCEPTED') AS outcome, count(*) AS row_count FROM checked GROUP BY 1",
@@ -305,3 +337,5 @@ ORACLES = {
  r AS (SELECT *, row_number() OVER (PARTITION BY crop, state ORDER BY week_end DESC) - 1 AS step FROM w)
  SELECT crop, state, step * 7 + d.d AS day, y FROM r, (SELECT unnest(range(7)) AS d) d WHERE step < 5 AND step * 7 + d.d < 30""",
 }
+# What is landed and read back is what was there.
+ORACLES |= {"archive_files": ORACLES["archive_rollup"], "stored_series": ORACLES["daily_rollup"]}
