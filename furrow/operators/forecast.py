@@ -57,14 +57,14 @@ def comparison_table(metrics: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ linear forecasts
 def ridge_by_crop(features: DataFrame, terms: Sequence[str] = tuple(LINEAR_TERMS), penalty: float = 1.0, by: str = "crop") -> DataFrame:
-    """Ridge coefficients of every crop from one pass of cross-product sums.
+    """Ridge coefficients of every crop from one pass of means and covariances.
 
-    The rows are reduced to (terms + 1)^2 sums per crop by partial aggregation;
-    only those sums, one row per crop, reach the small solver.
+    The rows are reduced to (terms + 1)^2 moments per crop by partial aggregation, merged about
+    the running means; only those, one row per crop, reach the small solver.
     """
     cols = [*terms, "y"]
-    sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.sum(c).alias(f"s_{i}") for i, c in enumerate(cols)]
-    sums += [F.sum(F.col(a) * F.col(b)).alias(f"q_{i}_{i + j}") for i, a in enumerate(cols) for j, b in enumerate(cols[i:])]
+    sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.avg(c).alias(f"s_{i}") for i, c in enumerate(cols)]
+    sums += [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"q_{i}_{i + j}") for i, a in enumerate(cols) for j, b in enumerate(cols[i:])]
     reduced = features.groupBy(by).agg(*sums)
     k = len(terms)
 
@@ -73,8 +73,8 @@ def ridge_by_crop(features: DataFrame, terms: Sequence[str] = tuple(LINEAR_TERMS
             out = []
             for row in pdf.to_dict("records"):
                 n = row["n"]
-                mean = np.array([row[f"s_{i}"] for i in range(k + 1)]) / n
-                q = np.array([[row[f"q_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) - n * np.outer(mean, mean)
+                mean = np.array([row[f"s_{i}"] for i in range(k + 1)])
+                q = n * np.array([[row[f"q_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
                 beta = np.linalg.solve(q[:k, :k] + penalty * np.eye(k), q[:k, k])
                 out.append({by: row[by], "intercept": float(mean[k] - beta @ mean[:k]), "coefficients": [float(b) for b in beta]})
             yield pd.DataFrame(out, columns=[by, "intercept", "coefficients"])

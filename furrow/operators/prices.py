@@ -209,25 +209,14 @@ def iqr_outliers(daily: DataFrame, k: float = 1.5) -> DataFrame:
 def correlations(features: DataFrame, columns: Sequence[str], group: str = "crop") -> DataFrame:
     """Pearson correlation of every pair of columns per group, in one aggregation.
 
-    Plain sums of values and products are kept instead of one correlation buffer
-    per pair: a quarter of the state, and simple enough to stay compiled.
+    Spark merges the moments about the running means, so no digits are lost however many rows there are.
     """
     cols = list(columns)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     x = [F.col(c).cast("double") for c in cols]
-    wide = features.groupBy(group).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)],
-        *[F.sum(v * v).alias(f"q{i}") for i, v in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs])
-
-    def spread_of(i: int) -> Column:
-        return F.col("n") * F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}")
-
-    def r(i: int, j: int) -> Column:
-        under = F.sqrt(spread_of(i)) * F.sqrt(spread_of(j))
-        return (F.col("n") * F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}")) / F.nullif(under, F.lit(0.0))
-
+    wide = features.groupBy(group).agg(*[F.corr(x[i], x[j]).alias(f"r{i}_{j}") for i, j in pairs])
     entries = F.array(*[F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
-                                 N.round_to(r(i, j), 6).alias("correlation")) for i, j in pairs])
+                                 N.round_to(F.col(f"r{i}_{j}"), 6).alias("correlation")) for i, j in pairs])
     return wide.select(group, F.inline(entries))
 
 
