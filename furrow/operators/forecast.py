@@ -83,11 +83,11 @@ def ridge_by_crop(features: DataFrame, terms: Sequence[str] = tuple(LINEAR_TERMS
 
 
 def with_linear_prediction(features: DataFrame, models: DataFrame, terms: Sequence[str] = tuple(LINEAR_TERMS), by: str = "crop") -> DataFrame:
-    """Adds ``yhat``; the model table has one row per fitted crop and is broadcast."""
+    """Adds ``yhat``; the model table has one row per fitted crop."""
     total = F.col("intercept")
     for i, t in enumerate(terms):
         total = total + F.col("coefficients")[i] * F.col(t)
-    return features.join(F.broadcast(models), by).withColumn("yhat", total).drop("intercept", "coefficients")
+    return features.join(models, by).withColumn("yhat", total).drop("intercept", "coefficients")
 
 
 def seed_prices(tails: DataFrame, live: DataFrame | None = None, least: int = 15, pad_to: int = 30, base: float = 2000.0) -> DataFrame:

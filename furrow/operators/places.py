@@ -188,6 +188,12 @@ def unresolved_names(rows: DataFrame, known: DataFrame, name: str = "crop", key:
     return counts.join(known.select(F.col(key).alias("k")).distinct(), X.key(F.col("name")) == F.col("k"), "left_anti")
 
 
+def crop_label(name: Column) -> Column:
+    """Model label of a crop name: exact, then without parentheses, else null.  A constant-map look-up, no join."""
+    text = X.key(name)
+    return F.coalesce(X.lookup(text, dims.CROP_LABELS), X.lookup(X.without_parentheses(text), dims.CROP_LABELS))
+
+
 def crop_labels(names: DataFrame, name: str = "crop") -> DataFrame:
     """Model label of each distinct crop name: exact, then without parentheses, else excluded."""
     n = names.select(F.col(name).alias("crop")).distinct()

@@ -71,7 +71,7 @@ def scored(spark, sf):
     md = f.groupBy("district", "crop").agg(F.sum("production").alias("t")).where(F.col("t") >= TRADED_DISTRICT)
     ms = f.groupBy("state", "crop").agg(F.sum("production").alias("t")).where(F.col("t") >= TRADED_STATE)
     pairs = ad.expand_candidates(_requests(spark, sf), matrix(spark, sf, f))
-    return ad.score(pairs, ad.evidence(f), F.broadcast(req), CALENDAR, _news(spark, sf), md, ms, CUTS, MUCH)
+    return ad.score(pairs, ad.evidence(f), req, CALENDAR, _news(spark, sf), md, ms, CUTS, MUCH)
 
 
 def request_validation(spark, sf):
@@ -143,8 +143,7 @@ def news_for_requests(spark, sf):
 
 def suitability_top3(spark, sf):
     t = ad.top_crops(facts(spark, sf))
-    labels = pl.crop_labels(t.select("crop")).where("label IS NOT NULL").select("crop", "label")
-    lists = t.join(labels, "crop").groupBy("state", "district", "label").agg(F.min("position").alias("position"))
+    lists = t.withColumn("label", pl.crop_label(F.col("crop"))).where("label IS NOT NULL").groupBy("state", "district", "label").agg(F.min("position").alias("position"))
     r = _requests(spark, sf)
     p = r.join(lists, ["state", "district"]).withColumn("position", F.col("position") - 1)
     c = F.col
@@ -158,8 +157,8 @@ def suitability_top3(spark, sf):
 
 def labels_outside_candidates(spark, sf):
     t = facts(spark, sf).select("state", "district", "crop").distinct()
-    labels = pl.crop_labels(t.select("crop")).select("crop", "label")
-    have = _requests(spark, sf).join(t.join(labels, "crop").select("state", "district", "label"), ["state", "district"]).select("request_id", "label")
+    labelled = t.select("state", "district", pl.crop_label(F.col("crop")).alias("label")).where("label IS NOT NULL").distinct()
+    have = _requests(spark, sf).join(labelled, ["state", "district"]).select("request_id", "label")
     asked = T.requests(spark, sf).select("request_id", F.explode(F.array(*[F.lit(x) for x in ("rice", "wheat", "mungbean", "coffee")])).alias("label"))
     return ad.labels_outside(asked, have)
 

@@ -48,7 +48,7 @@ def external_event_days(spark, sf):
     ev = spark.createDataFrame(EXTERNAL_EVENTS, "event_id string, event_type string, crops array<string>, scope string, start_date string, end_date string")
     per_day = (ev.withColumn("crop", F.explode("crops"))
                .withColumn("ds", F.explode(F.sequence(F.col("start_date").cast("date"), F.col("end_date").cast("date")))))
-    hits = daily(spark, sf).join(F.broadcast(per_day), ["crop", "ds"]).where((F.col("scope") == "NATIONAL") | (F.col("scope") == F.col("state")))
+    hits = daily(spark, sf).join(per_day, ["crop", "ds"]).where((F.col("scope") == "NATIONAL") | (F.col("scope") == F.col("state")))
     return hits.groupBy("event_id", "event_type", "crop").agg(
         F.count(F.lit(1)).alias("series_days"), F.sum("market_count").alias("quotes"), F.max("y_cents").alias("peak_cents"))
 
