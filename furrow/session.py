@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` wins.  Only a local session that names none gets a
-    folder of its own; a cluster without the setting is a configuration error.
+    folder of its own, which goes when it ends; a cluster without the setting is a configuration error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -42,6 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="furrow-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
