@@ -87,8 +87,12 @@ class Profiles:
 
 def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> Profiles:
     """Profiles of the languages in ``labelled`` (doc_id, text, lang without nulls)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    sample = labelled.select("lang", "text", F.row_number().over(order).alias("n")).filter(F.col("n") <= train_docs)
+    # Hashes below a share of four times the sample come first, so that few rows meet in a language's window.
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    counts = F.broadcast(labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1))
+    near = labelled.select("lang", "doc_id", "text").join(counts, "lang").filter(key.cast("double") * F.col("count") < 4.0 * train_docs * (1 << 30))
+    order = Window.partitionBy("lang").orderBy(key, "doc_id", "text")
+    sample = near.select("lang", "text", F.row_number().over(order).alias("n")).filter(F.col("n") <= train_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in byte_steps(batches):
