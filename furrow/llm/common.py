@@ -13,11 +13,21 @@ from pyspark.sql import functions as F
 from furrow.session import shared_folder
 
 #: Text bytes that one numpy step works on; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+
+
+#: Rows of an Arrow batch.  Texts are long, and a batch is held by the executor and by its Python worker at once.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of the session hold more than ``BATCH_ROWS`` rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables."""
+    """One of the given Parquet tables, in a session with bounded Arrow batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -49,7 +49,7 @@ SEEK_MAGIC = 0x8F92EAB1
 FRAME_IDS = 1 << 16
 LEVEL = 3
 #: Words whose ids a task remembers before it starts afresh.
-REMEMBERED_WORDS = 700_000
+REMEMBERED_WORDS = 300_000
 
 #: str.split parts words at these, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
