@@ -30,6 +30,8 @@ NODE_FIELDS = ["crop", "tree", "node", "feature", "threshold", "left", "right",
 
 # The price model's parameters and the grid of the older one.  Fixed values.
 ROUNDS, DEPTH, STEP, SUBSAMPLE, COLUMN_SHARE = 250, 6, 0.04, 0.8, 0.8
+#: Tasks that fits are dealt to.  Fits are long and their rows few, so small partitions must not be merged.
+FIT_TASKS = 64
 GRID = {"depth": (3, 5, 7), "step": (0.03, 0.05, 0.1), "rounds": (100, 150, 200)}
 # The older model's eleven features, in order.  Fixed values.
 GRID_COLUMNS = ["lag_1", "lag_7", "lag_14", "lag_30", "rolling_mean_7", "rolling_mean_30", "month", "season", "monthly_avg_temp", "monthly_total_rainfall", "black_swan"]
@@ -61,7 +63,7 @@ def tree_holdout(features: DataFrame, cut: str, rounds: int = ROUNDS, depth: int
         return pd.DataFrame({"crop": test["crop"], "state": test["state"], "ds": test["ds"], "y": test["y"], "model": key[1], "yhat": boosting.predict(start, trees, x[~old])})
 
     each = features.withColumn("model", F.explode(F.array(*map(F.lit, sets))))
-    return each.groupBy("crop", "model").applyInPandas(run, "crop string, state string, ds date, y double, model string, yhat double")
+    return each.repartition(FIT_TASKS, "crop", "model").groupBy("crop", "model").applyInPandas(run, "crop string, state string, ds date, y double, model string, yhat double")
 
 
 def grid_search(features: DataFrame, cut: str, grid: dict[str, Sequence] | None = None, columns: Sequence[str] = tuple(GRID_COLUMNS)) -> DataFrame:
@@ -85,7 +87,7 @@ def grid_search(features: DataFrame, cut: str, grid: dict[str, Sequence] | None
         return pd.DataFrame(found, columns=["crop", "rounds", "depth", "step", "mae"])
 
     each = features.withColumn("point", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(float(s)).alias("step")) for d, s in points])))
-    table = each.select("*", "point.depth", "point.step").drop("point").groupBy("crop", "depth", "step").applyInPandas(run, "crop string, rounds bigint, depth bigint, step double, mae double")
+    table = each.select("*", "point.depth", "point.step").drop("point").repartition(FIT_TASKS, "crop", "depth", "step").groupBy("crop", "depth", "step").applyInPandas(run, "crop string, rounds bigint, depth bigint, step double, mae double")
     first = F.row_number().over(W.partitionBy("crop").orderBy(F.col("mae").asc_nulls_last(), "depth", "step", "rounds"))
     return table.withColumn("is_best", first == 1)
 
@@ -100,7 +102,7 @@ def fit_nodes(train: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, step:
         return pd.concat([pd.DataFrame({"crop": key[0], "tree": k, "node": np.arange(len(t.value)), "feature": t.feature, "threshold": t.threshold, "left": t.left, "right": t.right, "value": t.value})
                           for k, t in enumerate([base, *trees])], ignore_index=True)
 
-    return train.groupBy("crop").applyInPandas(run, "crop string, tree int, node int, feature int, threshold double, left int, right int, value double")
+    return train.repartition(FIT_TASKS, "crop").groupBy("crop").applyInPandas(run, "crop string, tree int, node int, feature int, threshold double, left int, right int, value double")
 
 
 def _forest(nodes: pd.DataFrame) -> dict[str, list[boosting.Tree]]:
