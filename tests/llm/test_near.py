@@ -125,6 +125,44 @@ def test_one_of_each_group_stays(spark, awkward, nothing):
     assert simhash.near_unique(nothing).count() == 0
 
 
+def unequal_texts(seed, count, size, least, most):
+    """Variants of one text with ``least`` to ``most`` of its words changed."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(9000)}" for _ in range(size)]
+    out = []
+    for k in range(count):
+        other = list(base)
+        for at in rng.sample(range(size), rng.randrange(least, most + 1)):
+            other[at] = f"n{k}x{at}"
+        out.append(" ".join(other))
+    return out
+
+
+def kept_of(texts, radius=10, similarity=0.8):
+    """Positions that comparing all pairs leaves."""
+    rows = [(slow_fingerprint(t, 5), shingle_set(t)) for t in texts]
+    return sorted(set(components(rows, lambda a, b: (a[0] ^ b[0]).bit_count() <= radius and jaccard(a[1], b[1]) >= similarity)))
+
+
+@pytest.mark.parametrize("dealt", [{}, {"block_rows": 32, "block_shingles": 4000}])
+def test_near_duplicates_are_all_verified(spark, monkeypatch, dealt):
+    texts = unequal_texts(11, 150, 300, 4, 8) + unequal_texts(12, 100, 200, 2, 5)
+    whole = simhash.further_links
+    monkeypatch.setattr(simhash, "further_links", lambda *a: whole(*a, **dealt))
+    kept = simhash.near_unique(table(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == kept_of(texts)
+
+
+def test_equal_fingerprints_are_verified(spark):
+    rng = random.Random(13)
+    line = " ".join(f"line{k}" for k in range(9))
+    own = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    texts = [" ".join([line] * 40 + [o]) for o in own + [own[0] + " end", own[3] + " end"]]
+    assert len({slow_fingerprint(t, 5) for t in texts}) < 4
+    kept = simhash.near_unique(table(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == kept_of(texts) == list(range(12))
+
+
 def plain_prints(text):
     found = minhash.Prints([text])
     return minhash.components(found.least, found.empty)[0]
