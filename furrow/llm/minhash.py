@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm import hashing
 from furrow.llm.common import byte_steps, checkpointed, connected_components, text_bytes
+from furrow.llm.simhash import BLOCK_ROWS, BLOCK_SHINGLES, Sets, grouped, united
 
 PERMUTATIONS = 128
 WORDS = 5
@@ -188,11 +189,11 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, class_id and n_links of every document whose shingle set is at least ``similarity`` like another's.
 
-    Equal shingle sets are one node.  Nodes that share a band are candidates.  Each is
-    compared with the band's centre, a node taken by a hash of node and band, so that the
-    bands of a group have different centres and no pairs are made within a group.
-    Every link is verified by the exact Jaccard similarity of the two shingle sets;
-    classes are the components of the verified links, and ``n_links`` counts these.
+    Equal shingle sets are one node.  Every two nodes that share a band are compared, in the first band that
+    they share, by the exact Jaccard similarity of their shingle sets.  A band's nodes are
+    dealt to tasks that each compare two blocks of them; a task gives out a spanning forest
+    and counts of links, no pairs.  Classes are the components of the verified links,
+    and ``n_links`` counts these.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,20 +211,58 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     rows = checkpointed(rows.filter(F.size("shingles") > 0).withColumn("node", F.xxhash64("shingles")))
     nodes = rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"), F.min("doc_id").alias("least"))
     nodes = checkpointed(nodes)
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    crowded = banded.groupBy("band", "key").agg(F.min_by("node", F.xxhash64("node", "band")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    pairs = banded.join(crowded, ["band", "key"]).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    sets = nodes.select("node", "shingles")
-    verified = (pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("shingles", "x"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("shingles", "y"), "b")
-                .withColumn("both", F.size(F.array_intersect("x", "y"))).filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
-    verified = checkpointed(verified)
-    links = verified.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    banded = nodes.select("node", F.size("shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    crowded = banded.groupBy("band", "key").agg(F.count("*").alias("several"), blocks.alias("blocks")).filter("several > 1").drop("several")
+    own = banded.drop("n").join(crowded, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    dealt = own.withColumn("pair", F.explode(others)).select("band", "key", "pair.i", "pair.j", "block", "node")
+    groups_of = ["band", "key", "i", "j"]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in grouped(batches, groups_of, 1):
+            node, known, label = rows.column("node").to_numpy(), Sets(rows.column("shingles")), np.arange(rows.num_rows)
+            count = np.zeros(rows.num_rows, np.int64)
+            a, b = [], []
+            for p, q in band_pairs(rows, group):
+                some = known.possible(p, q, similarity)
+                for x, y in zip(p[some].tolist(), q[some].tolist(), strict=True):
+                    if known.alike(x, y, similarity):
+                        count[x] += 1
+                        count[y] += 1
+                        if united(label, x, y):
+                            a.append(x)
+                            b.append(y)
+            some = np.flatnonzero(count)
+            a, b = (node[np.concatenate([np.array(x, np.int64), some])] for x in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([np.zeros(len(a) - len(some), np.int64), count[some]]))], ["a", "b", "n"])
+
+    placed = dealt.join(nodes.select("node", "bands", "shingles"), "node").select(*dealt.columns, "bands", "shingles").repartition(*groups_of).sortWithinPartitions(*groups_of)
+    # Links of a forest (n = 0), and of every node with itself the number of its links.
+    verified = checkpointed(placed.mapInArrow(check, "a long, b long, n long"))
+    links = verified.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     named = connected_components(verified)
     joined = nodes.select("node", "least").join(named, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = joined.groupBy("component").agg(F.min("least").alias("class_id"))
     return rows.select("doc_id", "node").join(joined.join(ids, "component").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "node").select("doc_id", "class_id", "n_links")
 
 
+def band_pairs(rows: pa.Table, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within groups, each in the first band it shares and one task only, in steps of at most a pair a row."""
+    lists = pa.concat_arrays(rows.column("bands").chunks)
+    bands = lists.flatten().to_numpy().reshape(len(lists), -1)
+    band, block = rows.column("band").to_numpy(), rows.column("block").to_numpy()
+    single = rows.column("i").to_numpy() == rows.column("j").to_numpy()
+    for by in range(1, int(np.bincount(group).max())):
+        p = np.flatnonzero(group[:-by] == group[by:])
+        p = p[single[p] | (block[p] != block[p + by])]
+        for at in range(0, len(p), STEP):
+            x = p[at : at + STEP]
+            own = x[np.argmax(bands[x] == bands[x + by], axis=1) == band[x]]
+            if len(own):
+                yield own, own + by
+
+
 def hash_of(band: np.ndarray) -> int:
     """A band's components as one signed long."""
     return int.from_bytes(hashlib.blake2b(band.astype("<u4").tobytes(), digest_size=8).digest(), "little", signed=True)
