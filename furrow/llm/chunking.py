@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from furrow.llm.common import byte_steps, text_bytes
 
 #: Zero bits that end a chunk: one byte in 2 to this many.
-CUT_BITS = 5
+CUT_BITS = 4
 #: Bytes of the shortest and of the longest chunk (but for a text's last, and a character that is not cut).
 LEAST_BYTES, MOST_BYTES = 16, 512
 #: Characters of the shortest passage that is reported, about 20 words.
 MIN_CHARS = 120
-#: Bytes that the gear hash remembers.
-MEMORY = 32
-GEAR = np.random.default_rng(909).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: Bytes that the gear hash remembers, and its bits: fewer, and the cuts of a passage are its own sooner after its start.
+MEMORY = 16
+GEAR = np.random.default_rng(909).integers(0, 1 << MEMORY, 256, dtype=np.uint16)
 #: Place of a null id.
 LOWEST = -(1 << 63)
 
@@ -43,19 +43,19 @@ LOWEST = -(1 << 63)
 def cut_marks(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Ascending ends of possible chunks: bytes after which the gear hash says cut, never inside a character.
 
-    The hash is built for all bytes at once by doubling: of 1, 2, 4, ... 32 bytes.  Texts
+    The hash is built for all bytes at once by doubling: of 1, 2, 4, 8, 16 bytes.  Texts
     stand ``MEMORY`` empty places apart, so none sees the one before it.
     """
     text = np.repeat(np.arange(1, len(bounds)), np.diff(bounds))
     at = np.arange(len(raw)) + MEMORY * text
-    rolled = np.zeros(len(raw) + MEMORY * len(bounds), np.uint32)
+    rolled = np.zeros(len(raw) + MEMORY * len(bounds), np.uint16)
     rolled[at] = GEAR[raw]
     step = 1
     while step < MEMORY:
         longer = rolled.copy()
-        longer[step:] += rolled[:-step] << np.uint32(step)
+        longer[step:] += rolled[:-step] << np.uint16(step)
         rolled, step = longer, step * 2
-    ends = np.flatnonzero(rolled[at] >> np.uint32(32 - CUT_BITS) == 0) + 1
+    ends = np.flatnonzero(rolled[at] >> np.uint16(MEMORY - CUT_BITS) == 0) + 1
     return ends[(ends == len(raw)) | ((raw[np.minimum(ends, len(raw) - 1)] & 0xC0) != 0x80)]
 
 

@@ -214,6 +214,17 @@ def test_minhash_classes(spark):
     assert got == {**{k: 0 for k in range(7)}, **{k: k for k in range(7, 12)}, 12: 0}
 
 
+@pytest.mark.parametrize("block_rows", [2048, 24])
+def test_minhash_links_are_all_counted(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
+    texts = unequal_texts(14, 80, 300, 4, 8) + unequal_texts(15, 80, 200, 2, 5)
+    sets = [shingle_set(t) for t in texts]
+    alike = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and jaccard(sets[i], sets[j]) >= 0.8}
+    roots = components(range(len(sets)), lambda i, j: (i, j) in alike)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash.near_duplicates(table(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])).collect()}
+    assert got == {k: (roots[k], sum(i == k for i, _ in alike)) for k in range(len(texts))}
+
+
 def test_tiles_catch_reordered_passages():
     doc, item = np.array([0, 1, 2, 20, 21]), np.array([4, 5, 6, 0, 1])
     assert tiling.tile(doc, item, 3) == [(0, 4, 5), (20, 0, 4)]
@@ -290,6 +301,19 @@ def test_repeated_passages(spark, nothing, awkward):
     assert chunking.repeated_passages(nothing).count() == 0
 
 
+def test_passages_of_51_words_are_found(spark, texts):
+    rng = random.Random(16)
+    known = [w for _, t in texts for w in t.split()]
+
+    def words(n):
+        return " ".join(rng.choice(known) for _ in range(n))
+
+    shared = [words(51) for _ in range(400)]
+    rows = [(2 * k + h, f"{words(40)} {p} {words(40)}", "en", "s") for k, p in enumerate(shared) for h in (0, 1)]
+    got = {r["doc_id"] for r in chunking.repeated_passages(table(spark, rows)).collect()}
+    assert len(got) >= 0.99 * len(rows)
+
+
 def test_chunk_query_finds_shared_windows(spark, sf, texts):
     seen = {}
     for i, t in texts:
