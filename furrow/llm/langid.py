@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import byte_steps, id_remainder, with_columns
+from furrow.llm.common import byte_steps, checkpointed, id_remainder, with_columns
 
 #: Documents of each language that its profile is counted over.
 TRAIN_DOCS = 1000
@@ -89,8 +89,10 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE
     """Profiles of the languages in ``labelled`` (doc_id, text, lang without nulls)."""
     # Hashes below a share of four times the sample come first, so that few rows meet in a language's window.
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    counts = F.broadcast(labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1))
-    near = labelled.select("lang", "doc_id", "text").join(counts, "lang").filter(key.cast("double") * F.col("count") < 4.0 * train_docs * (1 << 30))
+    counts = checkpointed(labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1))
+    if counts.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    near = labelled.select("lang", "doc_id", "text").join(F.broadcast(counts), "lang").filter(key.cast("double") * F.col("count") < 4.0 * train_docs * (1 << 30))
     order = Window.partitionBy("lang").orderBy(key, "doc_id", "text")
     sample = near.select("lang", "text", F.row_number().over(order).alias("n")).filter(F.col("n") <= train_docs)
 
@@ -102,9 +104,7 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = counted.withColumn("rank", rank).filter(F.col("rank") < size).select("lang", "gram", "rank").limit(MAX_LANGUAGES * size + 1).toPandas()
-    if len(rows) > MAX_LANGUAGES * size:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = counted.withColumn("rank", rank).filter(F.col("rank") < size).select("lang", "gram", "rank").toPandas()  # a profile of each of the languages
     languages = sorted(rows["lang"].unique())
     grams = np.unique(rows["gram"].to_numpy(np.int64))
     ranks = np.full((len(grams), len(languages)), size, np.int64)

@@ -117,3 +117,11 @@ def test_chain_feeds_out_of_fold_probabilities():
 def test_sample_is_bounded(spark):
     df = table(spark, [(i, f"some words {i}", "en", "s") for i in range(50)])
     assert langid.learn(df.filter("lang IS NOT NULL"), train_docs=3).languages == ["en"]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    df = table(spark, [(i, f"words {i}", f"l{i % 4}", "s") for i in range(20)])
+    assert langid.learn(df.filter("lang <> 'l3'")).languages == ["l0", "l1", "l2"]
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(df)
