@@ -145,7 +145,7 @@ def drop_text(scored: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame, train_docs: int = TRAIN_DOCS, least: float = 0.0) -> DataFrame:
-    """The documents of a known language: not ``und``, and with a score of at least ``least``.  Same columns as ``docs``."""
+    """The documents of a known language: not ``und``, and with a score above ``least``: a text that shares no n-gram with any profile has 0.  Same columns as ``docs``."""
     profiles = learn(training_rows(docs), train_docs)
     known = predict(docs, profiles, "_lang_pred", "_lang_score")
-    return known.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)
+    return known.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") > least)).select(*docs.columns)

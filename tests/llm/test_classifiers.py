@@ -125,3 +125,8 @@ def test_too_many_languages_are_an_error(spark, monkeypatch):
     assert langid.learn(df.filter("lang <> 'l3'")).languages == ["l0", "l1", "l2"]
     with pytest.raises(ValueError, match="languages"):
         langid.learn(df)
+
+
+def test_unlearned_scripts_are_not_a_known_language(spark):
+    df = table(spark, [(i, f"plain english words number {i}", "en", "s") for i in range(20)] + [(2000, "ქართული ტექსტი აქ არის", None, "s")])
+    assert sorted(r["doc_id"] for r in langid.with_language(df).collect()) == list(range(20))
