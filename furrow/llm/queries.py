@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from furrow.llm import chunking, langid, minhash, mixing, pii, quality, simhash, tiling, tokens, toxicity
+from furrow.llm import centroids, chunking, langid, lexical, minhash, mixing, multi_index, pii, quality, simhash, tiling, tokens, toxicity
 from furrow.llm.common import read_table
 from furrow.session import scratch_path
 
@@ -72,12 +73,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every whole vector after ten rounds with eight centroids."""
+    return centroids.clustered(read_table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    return lexical.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector."""
+    return multi_index.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_minhash": op5_minhash, "op6_tokens": op6_tokens, "op7_tiling": op7_tiling,
-        "op8_simhash": op8_simhash, "op9_chunking": op9_chunking, "op10_quality": op10_quality,
+        "op8_simhash": op8_simhash, "op9_chunking": op9_chunking, "op10_quality": op10_quality, "op11_centroids": op11_centroids, "op12_lexical": op12_lexical, "op13_multi_index": op13_multi_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.MIX_SQL}
+    return {"op1_mixing": mixing.MIX_SQL, "op11_centroids": centroids.cluster_sql(), "op12_lexical": lexical.RANKED_SQL}
