@@ -185,20 +185,6 @@ def first_event(rows: DataFrame, events: Sequence[tuple[str, str, str, float]],
     return rows.withColumn("event_label", label).withColumn("event_factor", factor)
 
 
-def interval_flags(days: DataFrame, intervals: DataFrame, day: str = "ds") -> DataFrame:
-    """Per day: flag and labels of the intervals of a table that contain it.
-
-    Intervals are expanded to their days and matched by equality, which stays an
-    ordinary hash join however many intervals there are.
-    """
-    spans = intervals.where(F.col("start_date") <= F.col("end_date"))
-    per_day = (spans.select(F.explode(F.sequence("start_date", "end_date")).alias(day), "label")
-               .groupBy(day).agg(F.array_join(F.array_sort(F.collect_set("label")), ";").alias("labels")))
-    distinct_days = days.select(day).distinct()
-    return distinct_days.join(per_day, day, "left").select(
-        day, F.col("labels").isNotNull().cast("bigint").alias("flag"), "labels")
-
-
 def strict_rolling(daily: DataFrame, windows: Sequence[int] = (7, 30), lags: Sequence[int] = LAGS) -> DataFrame:
     """Lags and means that need a full window of prior rows; incomplete rows are dropped."""
     w = series_window()

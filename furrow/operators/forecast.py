@@ -18,17 +18,31 @@ LINEAR_TERMS = ["lag_1", "lag_7", "lag_14", "lag_30", "rolling_7", "rolling_30"]
 
 
 # ------------------------------------------------------------------- metrics
+def millionths(c: Column) -> Column:
+    """Rupees as whole millionths; their sums are exact in any order."""
+    return N.whole(c * F.lit(1e6))
+
+
 def regression_metrics(rows: DataFrame, by: Sequence[str], actual: str = "y", predicted: str = "yhat") -> DataFrame:
-    """MAE, RMSE, MAPE (divisor at least one) and R2 per group in one aggregation."""
-    y, p = F.col(actual), F.col(predicted)
-    e = F.abs(y - p)
-    g = rows.where(p.isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(e).alias("mae"), F.avg(e * e).alias("mse"),
-        F.avg(e / F.greatest(y, F.lit(1.0))).alias("mape"), F.var_pop(y).alias("spread"))
+    """MAE, RMSE, MAPE (divisor at least one) and R2 per group in one aggregation.
+
+    Errors, their squares and relative errors are summed as whole numbers and divided once,
+    so the order of the rows never decides a rounding.
+    """
+    exact = lambda c: c.cast("decimal(19,0)")
+    whole = rows.where(F.col(predicted).isNotNull()).select(*by, millionths(F.col(actual)).alias("y_m"), millionths(F.col(predicted)).alias("p_m"), N.cents(F.col(actual)).alias("y_c"))
+    e = whole.select(*by, "y_c", F.abs(F.col("y_m") - F.col("p_m")).alias("e"), F.greatest("y_m", F.lit(1_000_000)).cast("double").alias("base"))
+    g = e.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(exact(F.col("e"))).cast("double").alias("e1"), F.sum(exact(F.col("e")) * exact(F.col("e"))).cast("double").alias("e2"),
+        F.sum(exact(N.whole(F.col("e").cast("double") / F.col("base") * F.lit(1e9)))).cast("double").alias("ratio"),
+        F.sum(exact(F.col("y_c"))).cast("decimal(38,0)").alias("s1"), F.sum(exact(F.col("y_c")) * exact(F.col("y_c"))).alias("s2"))
+    n = F.col("n").cast("double")
+    spread = (F.col("s2") * F.col("n").cast("decimal(18,0)") - F.col("s1") * F.col("s1")).cast("double") / (n * n) / F.lit(1e4)
+    mse = F.col("e2") / n / F.lit(1e12)
     return g.select(
-        *by, F.col("n").alias("row_count"), N.round_to(F.col("mae"), 2).alias("mae"), N.round_to(F.sqrt("mse"), 2).alias("rmse"),
-        N.round_to(F.col("mape") * F.lit(100.0), 2).alias("mape"),
-        N.round_to(F.lit(1.0) - F.col("mse") / F.nullif(F.col("spread"), F.lit(0.0)), 4).alias("r2"))
+        *by, F.col("n").alias("row_count"), N.round_to(F.col("e1") / n / F.lit(1e6), 2).alias("mae"), N.round_to(F.sqrt(mse), 2).alias("rmse"),
+        N.round_to(F.col("ratio") / n / F.lit(1e7), 2).alias("mape"),
+        N.round_to(F.lit(1.0) - mse / F.nullif(spread, F.lit(0.0)), 4).alias("r2"))
 
 
 def long_predictions(features: DataFrame, models: Mapping[str, str], keep: Sequence[str] = ("crop", "state", "ds", "y")) -> DataFrame:
@@ -143,17 +157,45 @@ def dated_path(paths: DataFrame, start: Column, keep: Sequence[str] = tuple(SERI
                        N.round_to(F.col("yhat"), 2).alias("yhat"))
 
 
-# ----------------------------------------------------------------- summaries
-def horizon_metrics(forecasts: DataFrame, actuals: DataFrame, horizons: Sequence[int] = (1, 7, 15, 30),
-                    cuts: tuple[float, float] = (7.0, 15.0)) -> DataFrame:
-    """Error at each true horizon per crop, with a rating by percentage error."""
-    f = forecasts.where(F.col("step").isin(*horizons))
-    a = actuals.select(*SERIES, "ds", N.rupees(F.col("y_cents")).alias("y"))
-    m = regression_metrics(f.join(a, SERIES + ["ds"]).withColumnRenamed("step", "horizon"), ["crop", "horizon"])
+# ----------------------------------------------------------------- back-test
+def monthly_origins(daily: DataFrame, least: int = 15, pad_to: int = 30, ahead: int = 30) -> DataFrame:
+    """A row for each series and month: the prices before the month, and the days from its first on.
+
+    A series is one ordered array, and an origin is a position in it: the first row of a month,
+    if at least ``least`` rows stand before it.  Only slices leave the array, so no origin is
+    joined back to the series.  Fewer than ``pad_to`` prior rows are filled in front with the first.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("ds", "y_cents")))
+    month = lambda i: F.trunc(F.get("rows", i)["ds"], "month")
+    starts = F.filter(F.sequence(F.lit(least), F.size("rows") - 1), lambda i: month(i) != month(i - 1))
+    series = daily.groupBy(*SERIES).agg(rows.alias("rows")).where(F.size("rows") > least)
+    at = series.select(*SERIES, "rows", F.explode(starts).alias("k"))
+    prior = F.slice("rows", F.greatest(F.col("k") - pad_to, F.lit(0)) + 1, F.least("k", F.lit(pad_to)))
+    cut = at.select(*SERIES, month(F.col("k")).alias("origin"), F.transform(prior, lambda r: N.rupees(r["y_cents"])).alias("p"), F.slice("rows", F.col("k") + 1, ahead).alias("after"))
+    return cut.select(*SERIES, "origin", F.concat(F.array_repeat(F.get("p", F.lit(0)), F.lit(pad_to) - F.size("p")), F.col("p")).alias("prices"), "after")
+
+
+def backtest(paths: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """crop, state, origin, horizon, yhat and y for every horizon whose day the series has.
+
+    ``paths`` are origins with a ``path`` that starts on the origin's day.
+    """
+    def point(h: int) -> Column:
+        day = F.date_add("origin", h - 1)
+        real = F.get(F.filter("after", lambda r: r["ds"] == day), F.lit(0))["y_cents"]
+        return F.struct(F.lit(h).cast("bigint").alias("horizon"), N.round_to(F.get("path", F.lit(h - 1)), 2).alias("yhat"), N.rupees(real).alias("y"))
+
+    return paths.select(*SERIES, "origin", F.inline(F.array(*[point(h) for h in horizons]))).where("y IS NOT NULL")
+
+
+def horizon_metrics(tested: DataFrame, cuts: tuple[float, float] = (7.0, 15.0)) -> DataFrame:
+    """Error at each true horizon per crop over all origins, with a rating by percentage error."""
+    m = regression_metrics(tested, ["crop", "horizon"])
     rating = F.when(F.col("mape") < cuts[0], "HIGH").when(F.col("mape") < cuts[1], "MODERATE").otherwise("UNCERTAIN")
     return m.withColumn("reliability_rating", rating)
 
 
+# ----------------------------------------------------------------- summaries
 def forecast_summary(forecasts: DataFrame, horizons: Sequence[int] = (7, 15, 30, 60, 90)) -> DataFrame:
     """First, last, extremes, mean of 30 days and means of the first 7 to 90 days per series."""
     y, s = F.col("yhat"), F.col("step")

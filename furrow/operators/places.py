@@ -2,8 +2,8 @@
 
 Facts carry few distinct names however many rows they have, so every matcher
 here works on the distinct names and joins its answer back by equality.
-Containment is also an equality: ``a`` lies in ``b`` exactly when ``a`` is one of
-the substrings of ``b``, which replaces a nested-loop join.
+Containment joins on the rarest three letters of the name sought, word overlap on
+each name's rarest words; what these equality joins let through is checked exactly.
 """
 
 from __future__ import annotations
@@ -17,12 +17,33 @@ from furrow import dims
 from furrow.functions import text as X
 
 
-def substrings(c: Column) -> Column:
-    """All substrings of a short text, as an array."""
-    n = F.length(c)
-    starts = F.sequence(F.lit(1), n)
-    nested = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k)))
-    return F.when(n > 0, F.array_distinct(F.flatten(nested)))
+#: Letters of a gram; a shorter name is looked up by all its letters.
+GRAM = 3
+
+
+def grams(c: Column, size: int) -> Column:
+    """The different runs of ``size`` characters of a text; found in one pass, so long texts cost in proportion."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
+
+
+def contained_pairs(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Every (text, name) where the name lies in the text; ``texts`` has one column ``text``, ``names`` one ``name``.
+
+    A text is written once for each of its grams, under a hash of it; a name only for the one gram of its own
+    that the fewest texts have.  The rows grow with the texts' lengths, and a name meets only
+    texts that share its rarest gram.  Empty names and nulls lie nowhere.
+    """
+    t = texts.where(F.col("text") != "").distinct().withColumn("at", F.xxhash64("text"))
+    n = names.where(F.col("name") != "").distinct()
+    in_text = t.select("at", F.explode(F.concat(*[grams(F.col("text"), k) for k in range(1, GRAM + 1)])).alias("gram")).distinct()
+    size = F.length("name")
+    own = F.when(size == 1, grams(F.col("name"), 1)).when(size == 2, grams(F.col("name"), 2)).otherwise(grams(F.col("name"), GRAM))
+    held = in_text.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    # A gram that no text has counts zero, and its name lies nowhere.
+    rarest = n.select("name", F.explode(own).alias("gram")).join(held, "gram", "left").groupBy("name").agg(
+        F.min(F.struct(F.coalesce("c", F.lit(0).cast("bigint")).alias("c"), "gram")).alias("m")).where(F.col("m.c") > 0).select("name", F.col("m.gram").alias("gram"))
+    near = in_text.join(rarest, "gram").select("at", "name")
+    return near.join(t, "at").where(F.col("text").contains(F.col("name"))).select("text", "name")
 
 
 def match_names(names: DataFrame, master: DataFrame, name: str = "name", key: str = "key", order: str = "ord",
@@ -35,18 +56,41 @@ def match_names(names: DataFrame, master: DataFrame, name: str = "name", key: st
     rest = [c for c in master.columns if c != key]
     n = names.select(F.col(name).alias("q")).where(F.col("q") != "").distinct()
     m = master.where(F.col(key) != "")
-    entry = F.struct(F.col(key).alias("key"), *rest)
-    equal = n.join(m, n.q == m[key]).select("q", F.lit(0).alias("level"), F.col(order).alias("o"), entry.alias("m"))
-    inner = n.select("q", F.explode(substrings(F.col("q"))).alias("part"))
-    found = equal.unionByName(inner.join(m, F.col("part") == m[key]).select(
-        "q", F.lit(1).alias("level"), F.col(order).alias("o"), entry.alias("m")))
+    queries, keys = n.select(F.col("q").alias("x")), m.select(F.col(key).alias("x"))
+    pairs = contained_pairs(queries.withColumnRenamed("x", "text"), keys.withColumnRenamed("x", "name")).select(F.col("text").alias("q"), F.col("name").alias("k"))
     if two_way:
-        outer = m.select(F.explode(substrings(F.col(key))).alias("part"), F.col(order).alias("o"), entry.alias("m"))
-        found = found.unionByName(n.join(outer, n.q == outer.part).select("q", F.lit(1).alias("level"), "o", "m"))
+        pairs = pairs.union(contained_pairs(keys.withColumnRenamed("x", "text"), queries.withColumnRenamed("x", "name")).select(F.col("name").alias("q"), F.col("text").alias("k")))
+    entry = F.struct(F.col(key).alias("key"), *rest)
+    level = F.when(F.col("q") == F.col(key), 0).otherwise(1)
+    found = pairs.join(m, F.col("k") == m[key]).select("q", level.alias("level"), F.col(order).alias("o"), entry.alias("m"))
     best = found.groupBy("q").agg(F.min_by(F.struct("level", "m"), F.struct("level", "o")).alias("b"))
     return best.select(F.col("q").alias(name), F.col("b.level").alias("match_level"), "b.m.*")
 
 
+def district_info(places: DataFrame, districts: DataFrame, states: DataFrame, district: str = "district", state: str = "state",
+                  soil: str = "Alluvial Soil") -> DataFrame:
+    """Top crops and soil of each distinct place: its district, one that contains or is contained, else its state.
+
+    ``districts``: ord, name, state, top_crops, soil_type; ``states``: ord, name, top_crops.  The state level takes
+    the first listed state that the given name equals or is part of, and keeps the asked district's name.
+    Places that neither level knows are absent.
+    """
+    asked = places.select(F.col(district).alias("q_district"), F.col(state).alias("q_state")).distinct()
+    asked = asked.withColumn("d_key", X.key(F.col("q_district"))).withColumn("s_key", X.key(F.col("q_state")))
+    by_name = match_names(asked.select(F.col("d_key").alias("name")), districts.select(X.key(F.col("name")).alias("key"), F.struct("name", "state", "top_crops", "soil_type").alias("d"), "ord"))
+    listed = states.select(F.struct("ord", "name", "top_crops").alias("s"), X.key(F.col("name")).alias("text"))
+    inside = contained_pairs(listed.select("text"), asked.select(F.col("s_key").alias("name")))
+    by_state = inside.join(listed, "text").groupBy("name").agg(F.min_by("s", "s.ord").alias("s"))
+    a = asked.join(by_name.select(F.col("name").alias("d_key"), "match_level", "d"), "d_key", "left").join(by_state.select(F.col("name").alias("s_key"), "s"), "s_key", "left")
+    hit = F.col("d").isNotNull()
+    out = a.where(hit | F.col("s").isNotNull())
+    return out.select(
+        F.col("q_district").alias(district), F.col("q_state").alias(state),
+        F.when(hit, F.when(F.col("match_level") == 0, "EXACT").otherwise("PARTIAL")).otherwise("STATE").alias("level"),
+        F.when(hit, F.col("d.name")).otherwise(F.col("q_district")).alias("district_name"), F.when(hit, F.col("d.state")).otherwise(F.col("s.name")).alias("found_state"),
+        F.when(hit, F.col("d.top_crops")).otherwise(F.col("s.top_crops")).alias("top_crops"), F.when(hit, F.col("d.soil_type")).otherwise(F.lit(soil)).alias("soil_type"))
+
+
 def alias_frame(spark: SparkSession, aliases: Sequence = tuple(dims.DISTRICT_ALIASES)) -> DataFrame:
     """Every accepted spelling of the renamed districts (a fixed, small table)."""
     rows = {}
@@ -85,27 +129,35 @@ def resolve_aliases(places: DataFrame, district: str = "district", state: str =
 
 
 def token_overlap(names: DataFrame, master: DataFrame, least: float = 0.4) -> DataFrame:
-    """Best master name by word overlap within the same state.
+    """Best master name by word overlap (Jaccard of the word sets) within the same state.
 
-    ``names``: state_key, folded; ``master``: state_key, folded, ord.  Shared
-    words are counted over an equi join on (state, word); both sides are
-    distinct names, and a state has a bounded list of districts.
+    ``names``: state_key, folded; ``master``: state_key, folded, ord.  Words are ranked by how many names
+    have them.  Two names alike in ``least`` or more share a word among the rarest
+    n - ceil(least n) + 1 of each, so only these are join keys: a word that most names have, such
+    as "east", is nearly never one.  Every pair that meets is then measured on its whole word sets.
     """
     def words(df: DataFrame, *keep: str) -> DataFrame:
         w = F.array_distinct(F.filter(F.split("folded", " "), lambda t: t != ""))
         return df.select(*keep, w.alias("words"))
 
-    n = words(names.select("state_key", "folded").distinct(), "state_key", "folded")
-    m = words(master.select("state_key", "folded", "ord"), "state_key", "ord", F.col("folded").alias("m_folded"))
-    left = n.select("state_key", "folded", F.size("words").alias("nw"), F.explode("words").alias("word"))
-    right = m.select("state_key", "m_folded", "ord", F.size("words").alias("mw"), F.explode("words").alias("word"))
-    shared = left.join(right, ["state_key", "word"]).groupBy("state_key", "folded", "ord", "m_folded", "nw", "mw").agg(
-        F.count(F.lit(1)).alias("c"))
-    score = F.col("c") / (F.col("nw") + F.col("mw") - F.col("c")).cast("double")
-    best = shared.withColumn("score", score).where(F.col("score") >= least).groupBy("state_key", "folded").agg(
-        F.min_by(F.struct("ord", "m_folded", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b"))
-    return best.select("state_key", "folded", F.col("b.ord").alias("ord"), F.col("b.m_folded").alias("matched"),
-                       F.col("b.score").alias("score"))
+    n = words(names.select("state_key", "folded").distinct(), "state_key", "folded").withColumn("n_id", F.struct("state_key", "folded"))
+    m = words(master.select("state_key", "folded", "ord").distinct(), "state_key", "ord", F.col("folded").alias("m_folded")).withColumn("m_id", F.struct("state_key", "ord", "m_folded"))
+    single = lambda df, key: df.select("state_key", F.col(key).alias("id"), "words", F.explode("words").alias("word"))
+    left, right = single(n, "n_id"), single(m, "m_id")
+    held = left.select("word").union(right.select("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+
+    def rarest(df: DataFrame, out: str) -> DataFrame:
+        ranked = df.join(held, "word").groupBy("state_key", "id").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("c", "word"))).alias("r"))
+        keep = F.size("words") - F.ceil(F.size("words") * F.lit(least) - F.lit(1e-9)).cast("int") + 1
+        return ranked.select("state_key", F.col("id").alias(out), F.col("words").alias(f"{out}_words"), F.explode(F.slice("r", F.lit(1), keep)).alias("e")).select(
+            "state_key", out, f"{out}_words", F.col("e.word").alias("word"))
+
+    met = rarest(left, "n").join(rarest(right, "m"), ["state_key", "word"]).drop("word")
+    shared = F.size(F.array_intersect("n_words", "m_words"))
+    score = shared / (F.size("n_words") + F.size("m_words") - shared).cast("double")
+    best = met.withColumn("score", score).where(F.col("score") >= least).groupBy("n").agg(
+        F.min_by(F.struct("m", "score"), F.struct(-F.col("score"), F.col("m.ord"))).alias("b"))
+    return best.select("n.state_key", "n.folded", F.col("b.m.ord").alias("ord"), F.col("b.m.m_folded").alias("matched"), F.col("b.score").alias("score"))
 
 
 def canonical_districts(places: DataFrame, master: DataFrame, district: str = "district", state: str = "state") -> DataFrame:

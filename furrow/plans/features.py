@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from furrow import dims
 from furrow.operators import features as ft
+from furrow.operators import intervals as iv
 from furrow.operators import prices
 from furrow.plans import sql as S
 from furrow.plans.prices import daily, stored_daily
@@ -46,9 +48,9 @@ def disruption_events(spark, sf):
 def external_event_days(spark, sf):
     """Series rows per external event that names their crop and covers their day and state."""
     ev = spark.createDataFrame(EXTERNAL_EVENTS, "event_id string, event_type string, crops array<string>, scope string, start_date string, end_date string")
-    per_day = (ev.withColumn("crop", F.explode("crops"))
-               .withColumn("ds", F.explode(F.sequence(F.col("start_date").cast("date"), F.col("end_date").cast("date")))))
-    hits = daily(spark, sf).join(per_day, ["crop", "ds"]).where((F.col("scope") == "NATIONAL") | (F.col("scope") == F.col("state")))
+    spans = ev.select("event_id", "event_type", "scope", F.explode("crops").alias("crop"), F.col("start_date").cast("date").alias("start_date"), F.col("end_date").cast("date").alias("end_date"))
+    held = iv.interval_join(daily(spark, sf), spans, "ds", keys=["crop"])
+    hits = held.where((F.col("scope") == "NATIONAL") | (F.col("scope") == F.col("state")))
     return hits.groupBy("event_id", "event_type", "crop").agg(
         F.count(F.lit(1)).alias("series_days"), F.sum("market_count").alias("quotes"), F.max("y_cents").alias("peak_cents"))
 
@@ -57,7 +59,19 @@ def interval_flags(spark, sf):
     spans = spark.createDataFrame([(n, a, b) for n, a, b, _ in T.FIXTURE_DISRUPTIONS] + [("overlap", "1998-06-01", "1998-06-30")],
                                   "label string, a string, b string")
     spans = spans.select("label", F.col("a").cast("date").alias("start_date"), F.col("b").cast("date").alias("end_date"))
-    return ft.interval_flags(daily(spark, sf).select("ds"), spans)
+    return iv.interval_flags(daily(spark, sf).select("ds"), spans)
+
+
+#: Years from the quotes to the published calendars.
+SHIFT_YEARS = 23
+
+
+def calendar_events(spark, sf):
+    """The published calendars over the days of the series, moved into the calendars' years."""
+    rows = [(c, i, label, a, b, f) for i, (c, label, a, b, f) in enumerate(dims.DISRUPTIONS)]
+    spans = spark.createDataFrame(rows, "calendar string, ord bigint, label string, a string, b string, factor double").select(
+        "calendar", "ord", "label", F.col("a").cast("date").alias("start_date"), F.col("b").cast("date").alias("end_date"), "factor")
+    return iv.calendar_events(daily(spark, sf).select(F.add_months("ds", 12 * SHIFT_YEARS).alias("ds")), spans)
 
 
 def strict_rolling(spark, sf):
@@ -97,7 +111,7 @@ def calendar_dense(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     series_features, leakage_check, feature_correlation, cascade_features, climate_lookup, disruption_events,
-    external_event_days, interval_flags, strict_rolling, chronological_split, positional_split, last_rows_split,
+    external_event_days, interval_flags, calendar_events, strict_rolling, chronological_split, positional_split, last_rows_split,
     series_tail, daily_change, calendar_dense]}
 
 # ------------------------------------------------------------------ check SQL
@@ -165,6 +179,9 @@ ORACLES = {
     "interval_flags": f"""WITH {S.DAILY}, {S.values('sp', 'label, a, b', [(n, a, b) for n, a, b, _ in T.FIXTURE_DISRUPTIONS] + [('overlap', '1998-06-01', '1998-06-30')])},
  d AS (SELECT DISTINCT ds FROM daily) SELECT ds, CAST(max(CASE WHEN label IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS flag, string_agg(label, ';' ORDER BY label) AS labels
  FROM d LEFT JOIN sp ON ds BETWEEN CAST(a AS DATE) AND CAST(b AS DATE) GROUP BY 1""",
+    "calendar_events": f"""WITH {S.DAILY}, {S.values('sp', 'calendar, ord, label, a, b, factor', [(c, i, n, a, b, f) for i, (c, n, a, b, f) in enumerate(dims.DISRUPTIONS)])},
+ d AS (SELECT DISTINCT CAST(ds + INTERVAL {SHIFT_YEARS} YEAR AS DATE) AS ds FROM daily)
+ SELECT ds, calendar, count(*) AS events, min_by(label, ord) AS event_label, min_by(factor, ord) AS event_factor FROM d JOIN sp ON ds BETWEEN CAST(a AS DATE) AND CAST(b AS DATE) GROUP BY 1, 2""",
     "strict_rolling": f"""WITH {S.DAILY}, w AS (SELECT *, {', '.join(f"lag(y_cents, {k}) OVER (PARTITION BY crop, state ORDER BY ds) AS l{k}" for k in (1, 7, 14, 30))},
  {_mean(7)} AS m7, {_mean(30)} AS m30, row_number() OVER (PARTITION BY crop, state ORDER BY ds) AS rn FROM daily)
  SELECT crop, state, ds, {S.rs('y_cents')} AS y, {', '.join(f"{S.rs(f'l{k}')} AS lag_{k}" for k in (1, 7, 14, 30))}, m7 AS rolling_mean_7, m30 AS rolling_mean_30 FROM w WHERE rn > 30""",

@@ -19,6 +19,7 @@ from furrow.sources import tables as T
 
 # Coefficients of the demonstration path model: fixed values.
 INTERCEPT, COEFFICIENTS = 25.0, [0.5, 0.15, 0.1, 0.05, 0.1, 0.08]
+HORIZONS = (1, 7, 15, 30)
 MODELS = {"naive_lag1": "lag_1", "moving_average_30": "rolling_30", "moving_average_7": "rolling_7", "weekly_lag": "lag_7"}
 
 
@@ -92,7 +93,9 @@ def recursive_forecast(spark, sf):
 
 
 def horizon_metrics(spark, sf):
-    return fc.horizon_metrics(forecasts(spark, sf), daily(spark, sf))
+    """Errors 1, 7, 15 and 30 days ahead, from every month of every series as origin."""
+    origins = fc.monthly_origins(daily(spark, sf)).withColumn("intercept", F.lit(INTERCEPT)).withColumn("coefficients", F.array(*[F.lit(c) for c in COEFFICIENTS]))
+    return fc.horizon_metrics(fc.backtest(fc.recursive_linear(origins, 30), HORIZONS))
 
 
 def forecast_summary(spark, sf):
@@ -146,7 +149,7 @@ def forecast_grid(spark, sf):
 
 
 def quality_matrix(spark, sf):
-    return fc.quality_matrix(PR.coverage_grid(spark, sf), fc.horizon_metrics(forecasts(spark, sf), daily(spark, sf)))
+    return fc.quality_matrix(PR.coverage_grid(spark, sf), horizon_metrics(spark, sf))
 
 
 def forecast_confidence(spark, sf):
@@ -179,8 +182,12 @@ D = "CAST({} AS DOUBLE)".format
 
 
 def _metrics(rows: str, by: str) -> str:
-    return f"""SELECT {by}, count(*) AS row_count, {S.rnd('avg(abs(y - yhat))', 2)} AS mae, {S.rnd('sqrt(avg((y - yhat) * (y - yhat)))', 2)} AS rmse,
- {S.rnd('avg(abs(y - yhat) / greatest(y, 1)) * ' + D(100), 2)} AS mape, {S.rnd(D(1) + ' - avg((y - yhat) * (y - yhat)) / nullif(var_pop(y), 0)', 4)} AS r2 FROM {rows} GROUP BY ALL"""
+    return f"""SELECT {by}, n AS row_count, {S.rnd('e1 / n / ' + D(1e6), 2)} AS mae, {S.rnd('sqrt(e2 / n / ' + D(1e12) + ')', 2)} AS rmse, {S.rnd('ratio / n / ' + D(1e7), 2)} AS mape,
+ {S.rnd(D(1) + ' - e2 / n / ' + D(1e12) + ' / nullif(spread / (CAST(n AS DOUBLE) * n) / ' + D(1e4) + ', 0)', 4)} AS r2 FROM (
+ SELECT {by}, count(*) AS n, CAST(sum(e) AS DOUBLE) AS e1, CAST(sum(e * e) AS DOUBLE) AS e2, CAST(sum({S.whole('e / CAST(greatest(y_m, 1000000) AS DOUBLE) * ' + D(1e9))}) AS DOUBLE) AS ratio,
+  CAST(sum(y_c * y_c) * count(*) - sum(y_c) * sum(y_c) AS DOUBLE) AS spread FROM (
+  SELECT {by}, y_m, CAST(y_c AS HUGEINT) AS y_c, CAST(abs(y_m - p_m) AS HUGEINT) AS e FROM (
+   SELECT {by}, {S.whole('y * ' + D(1e6))} AS y_m, {S.whole('yhat * ' + D(1e6))} AS p_m, {S.whole('y * ' + D(100))} AS y_c FROM {rows} WHERE yhat IS NOT NULL)) GROUP BY ALL)"""
 
 
 HOLD = PF.FEATURES + f""", hold AS (SELECT * FROM feats WHERE ds >= DATE '{T.SPLIT_DATE}'),
@@ -196,7 +203,13 @@ walk AS (SELECT crop, state, 0 AS step, acc FROM seeds UNION ALL
  SELECT crop, state, step + 1, list_append(acc, {D(INTERCEPT)} + {_C[0]} * acc[-1] + {_C[1]} * acc[-7] + {_C[2]} * acc[-14] + {_C[3]} * acc[-30]
   + {_C[4]} * (list_sum(acc[-7:]) / {D(7)}) + {_C[5]} * (list_sum(acc[-30:]) / {D(30)})) FROM walk WHERE step < 30),
 fcast AS (SELECT crop, state, CAST(step AS BIGINT) AS step, DATE '{T.SPLIT_DATE}' + CAST(step - 1 AS INTEGER) AS ds, {S.rnd('acc[-1]', 2)} AS yhat FROM walk WHERE step > 0),
-hm0 AS (SELECT f.crop, f.step AS horizon, {S.rs('y_cents')} AS y, yhat FROM fcast f JOIN daily d ON d.crop = f.crop AND d.state = f.state AND d.ds = f.ds WHERE step IN (1, 7, 15, 30)),
+bt_rows AS (SELECT crop, state, ds, y_cents, row_number() OVER w AS rn, lag(ds) OVER w AS before FROM daily WINDOW w AS (PARTITION BY crop, state ORDER BY ds)),
+bt_at AS (SELECT crop, state, rn, CAST(date_trunc('month', ds) AS DATE) AS origin FROM bt_rows WHERE rn > 15 AND date_trunc('month', ds) <> date_trunc('month', before)),
+bt_seeds AS (SELECT a.crop, a.state, a.origin, list({S.rs('y_cents')} ORDER BY r.rn) AS p FROM bt_at a JOIN bt_rows r ON r.crop = a.crop AND r.state = a.state AND r.rn BETWEEN a.rn - 30 AND a.rn - 1 GROUP BY ALL),
+bt_walk AS (SELECT crop, state, origin, 0 AS step, list_concat(list_transform(range(30 - len(p)), lambda i: p[1]), p) AS acc FROM bt_seeds UNION ALL
+ SELECT crop, state, origin, step + 1, list_append(acc, {D(INTERCEPT)} + {_C[0]} * acc[-1] + {_C[1]} * acc[-7] + {_C[2]} * acc[-14] + {_C[3]} * acc[-30]
+  + {_C[4]} * (list_sum(acc[-7:]) / {D(7)}) + {_C[5]} * (list_sum(acc[-30:]) / {D(30)})) FROM bt_walk WHERE step < 30),
+hm0 AS (SELECT w.crop, CAST(step AS BIGINT) AS horizon, {S.rs('y_cents')} AS y, {S.rnd('acc[-1]', 2)} AS yhat FROM bt_walk w JOIN daily d ON d.crop = w.crop AND d.state = w.state AND d.ds = w.origin + CAST(step - 1 AS INTEGER) WHERE step IN (1, 7, 15, 30)),
 hm AS (SELECT *, CASE WHEN mape < 7 THEN 'HIGH' WHEN mape < 15 THEN 'MODERATE' ELSE 'UNCERTAIN' END AS reliability_rating FROM ({_metrics('hm0', 'crop, horizon')}))"""
 _PT = "CAST(floor({} + 0.5) AS BIGINT)".format
 RECURSIVE = S.DAILY.replace("quote_lines AS", "RECURSIVE quote_lines AS", 1)

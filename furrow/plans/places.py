@@ -58,6 +58,19 @@ def district_containment(spark, sf):
     return pl.match_names(v, m).select("name", F.col("match_level").cast("bigint").alias("match_level"), "key", "canonical_id")
 
 
+# Top crops and soils by district and by state: fixed values.
+RANKED_DISTRICTS = [(1, "Mysuru", "Karnataka", "Rice,Ragi,Sugarcane", "Red Soil"), (2, "Nagpur", "Maharashtra", "Orange,Cotton,Soybean", "Black Soil"),
+                    (3, "East Godavari", "Andhra Pradesh", "Rice,Coconut", "Coastal Alluvial Soil"), (4, "Kutch", "Gujarat", "Cotton,Groundnut", "Desert Soil")]
+RANKED_STATES = [(1, "Karnataka", "Ragi,Rice,Maize"), (2, "Maharashtra", "Cotton,Sugarcane"), (3, "West Bengal", "Rice,Jute"), (4, "Punjab", "Wheat,Rice"), (5, "Assam", "Tea,Rice")]
+
+
+def district_ranking(spark, sf):
+    """Top crops of every place that customers name, down to its state's."""
+    d = spark.createDataFrame(RANKED_DISTRICTS, "ord bigint, name string, state string, top_crops string, soil_type string")
+    s = spark.createDataFrame(RANKED_STATES, "ord bigint, name string, top_crops string")
+    return pl.district_info(variants(spark, sf).withColumn("state", F.trim("state")), d, s)
+
+
 def token_overlap(spark, sf):
     v = variants(spark, sf).select(X.fold_place(F.col("state")).alias("state_key"), X.fold_place(F.col("district")).alias("folded"))
     m = master(spark).select(X.fold_place(F.col("state")).alias("state_key"), X.fold_place(F.col("district")).alias("folded"), "ord")
@@ -117,7 +130,7 @@ def sampled_districts(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    place_names_folded, alias_resolution, district_containment, token_overlap, canonical_districts, location_zone,
+    place_names_folded, alias_resolution, district_containment, district_ranking, token_overlap, canonical_districts, location_zone,
     location_soil, crop_guidance, crop_labels, unresolved_names, district_page, sampled_districts]}
 
 # ------------------------------------------------------------------ check SQL
@@ -176,6 +189,14 @@ ORACLES = {
  h AS (SELECT name, CASE WHEN name = lower(m.district) THEN 0 ELSE 1 END AS match_level, lower(m.district) AS key, canonical_id, ord
   FROM n JOIN master m ON contains(name, lower(m.district)) OR contains(lower(m.district), name))
  SELECT name, CAST(match_level AS BIGINT) AS match_level, key, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY match_level, ord) AS rn FROM h) WHERE rn = 1""",
+    "district_ranking": f"""WITH {VARIANTS}, {S.values('rd', 'ord, name, state, top_crops, soil_type', RANKED_DISTRICTS)}, {S.values('rs', 'ord, name, top_crops', RANKED_STATES)},
+ p AS (SELECT DISTINCT district, trim(state) AS state, lower(trim(district)) AS dk, lower(trim(state)) AS sk FROM variants),
+ d AS (SELECT * FROM (SELECT p.*, rd.name, rd.state AS rstate, rd.top_crops, rd.soil_type, CASE WHEN dk = lower(name) THEN 'EXACT' ELSE 'PARTIAL' END AS lv,
+  row_number() OVER (PARTITION BY p.district, p.state ORDER BY CASE WHEN dk = lower(name) THEN 0 ELSE 1 END, ord) AS rn FROM p JOIN rd ON contains(dk, lower(name)) OR contains(lower(name), dk)) WHERE rn = 1),
+ s AS (SELECT * FROM (SELECT p.*, rs.name, rs.top_crops, row_number() OVER (PARTITION BY p.district, p.state ORDER BY ord) AS rn FROM p JOIN rs ON contains(lower(name), sk)) WHERE rn = 1)
+ SELECT p.district, p.state, coalesce(d.lv, 'STATE') AS level, CASE WHEN d.lv IS NOT NULL THEN d.name ELSE p.district END AS district_name, coalesce(d.rstate, s.name) AS found_state,
+  coalesce(d.top_crops, s.top_crops) AS top_crops, coalesce(d.soil_type, 'Alluvial Soil') AS soil_type
+ FROM p LEFT JOIN d ON d.district = p.district AND d.state = p.state LEFT JOIN s ON s.district = p.district AND s.state = p.state WHERE d.lv IS NOT NULL OR s.name IS NOT NULL""",
     "token_overlap": f"WITH {VARIANTS}, {MASTER_SQL}, {OVERLAP} SELECT state_key, folded, CAST(ord AS BIGINT) AS ord, matched, score FROM overlap",
     "canonical_districts": f"""WITH {RESOLVED}, {MASTER_SQL}, {OVERLAP},
  k AS (SELECT *, lower(canonical_id) AS idk, lower(canonical_name) AS nk, lower(canonical_state) || '::' || lower(canonical_name) AS pk,

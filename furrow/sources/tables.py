@@ -7,6 +7,8 @@ Spark picks a broadcast only where its own size statistics allow it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def pick(value: Column, choices: list) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in choices]), (value + F.lit(1)).cast("int"))
 
 
-def quote_lines(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+def quote_lines(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, keep: Sequence[str] = ("l_orderkey", "l_linenumber")) -> DataFrame:
     """One row per quote with the keys the other views derive from; ``lines`` may be a stream."""
     lines = (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
@@ -65,7 +67,7 @@ def quote_lines(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None
     return (lines.join(part, lines.l_partkey == part.p_partkey)
             .join(supplier, lines.l_suppkey == supplier.s_suppkey)
             .join(nation, supplier.s_nationkey == nation.n_nationkey)
-            .select("l_orderkey", "l_linenumber", "p_type", "p_brand", "n_nationkey", "n_name",
+            .select(*keep, "p_type", "p_brand", "n_nationkey", "n_name",
                     F.col("l_shipdate").cast("date").alias("ds"), modal.alias("modal_cents"),
                     "l_discount", "l_tax")
             .withColumn("min_cents", N.whole(F.col("modal_cents") * (1 - F.col("l_discount"))))

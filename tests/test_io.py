@@ -118,6 +118,82 @@ def test_latest_prices_go_on_with_a_new_checkpoint(spark, tmp_path):
     assert got == {"Goa": ("2024-01-04", 3.0), "Kerala": ("2024-01-02", 2.0)}
 
 
+def _sent(spark, folder, rows, schema="quote_id bigint, arrived string, ds string, crop string, state string, modal_cents bigint"):
+    """One more file of delivered quotes, and the stream over all of them."""
+    df = spark.createDataFrame(rows, schema).withColumn("arrived", F.col("arrived").cast("timestamp")).withColumn("ds", F.col("ds").cast("date"))
+    df.withColumn("min_cents", F.col("modal_cents")).withColumn("max_cents", F.col("modal_cents")).coalesce(1).write.mode("append").parquet(str(folder))
+    return jobs.read_files(spark, str(folder), "*.parquet", spark.read.parquet(str(folder)).schema, 1)
+
+
+def test_quotes_sent_again_count_once_across_batches_and_restarts(spark, tmp_path):
+    folder, table, cp = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "cp")
+    empty = spark.createDataFrame([], "ds date, crop string, state string")
+
+    def ingest(rows):
+        return jobs.ingest_quotes(_sent(spark, folder, rows), lambda: empty, table, cp, identity=["quote_id"], arrived="arrived")
+
+    def stored():
+        return {(str(r["ds"]), r["crop"]): (r["y_cents"], r["market_count"]) for r in spark.read.parquet(table).collect()}
+
+    # Twice in one batch: the mean counts quote 1 once.
+    first = ingest([(1, "2024-01-10", "2024-01-09", "rice", "Goa", 100), (1, "2024-01-11", "2024-01-09", "rice", "Goa", 100), (2, "2024-01-10", "2024-01-09", "rice", "Goa", 400)])
+    assert first.repeated == 1 and first.late == 0 and stored() == {("2024-01-09", "rice"): (250, 2)}
+    # Sent again after a restart, under a day that is not stored: still known.  An old market day is not late.
+    again = ingest([(2, "2024-01-12", "2024-01-08", "rice", "Goa", 400), (3, "2024-01-12", "2019-05-05", "rice", "Goa", 700)])
+    assert again.repeated == 1 and again.late == 0 and stored() == {("2024-01-09", "rice"): (250, 2), ("2019-05-05", "rice"): (700, 1)}
+    ingest([(4, "2024-02-01", "2024-01-31", "wheat", "Goa", 900)])
+    # Delivered before the watermark: left out and counted.  Within it: taken.  Ids past it are forgotten.
+    late = ingest([(5, "2024-01-20", "2024-01-19", "wheat", "Goa", 900), (6, "2024-01-30", "2024-01-29", "wheat", "Goa", 800), (1, "2024-02-01", "2024-01-28", "rice", "Goa", 100)])
+    assert late.late == 1 and late.repeated == 0
+    assert set(stored()) == {("2024-01-09", "rice"), ("2019-05-05", "rice"), ("2024-01-31", "wheat"), ("2024-01-29", "wheat"), ("2024-01-28", "rice")}
+    assert ingest([(6, "2024-01-31", "2024-01-27", "wheat", "Goa", 800)]).repeated == 1
+
+
+def test_latest_price_state_is_kept_and_expires(spark, tmp_path):
+    folder, table, cp = tmp_path / "a", str(tmp_path / "latest"), str(tmp_path / "cp")
+
+    def changes():
+        return sorted((r["state"], str(r["ds"]), r["change"]) for r in spark.read.parquet(table).collect())
+
+    def run(rows, ttl_ms):
+        jobs.latest_prices(_quotes(spark, folder, rows)(), table, cp, ttl_ms)
+
+    run([("rice", "Goa", "2024-01-05", "m", 100), ("rice", "Goa", "2024-01-04", "m", 900)], 600_000)
+    assert changes() == [("Goa", "2024-01-05", "UPDATED")]
+    # A restart knows the key: an older quote and the same quote change nothing.
+    run([("rice", "Goa", "2024-01-03", "m", 700)], 600_000)
+    assert changes() == [("Goa", "2024-01-05", "UPDATED")]
+    # Confirmed with a short time to live, the key leaves the state in the next run ...
+    run([("rice", "Goa", "2024-01-05", "m", 100), ("rice", "Kerala", "2024-01-06", "m", 300)], 1)
+    run([("wheat", "Punjab", "2024-01-07", "m", 500)], 600_000)
+    assert [c for c in changes() if c[2] == "EXPIRED"] == [("Goa", "2024-01-05", "EXPIRED"), ("Kerala", "2024-01-06", "EXPIRED")]
+    # ... so an older quote is a change again, which the reader does not take for the latest.
+    run([("rice", "Goa", "2024-01-01", "m", 50)], 600_000)
+    assert ("Goa", "2024-01-01", "UPDATED") in changes()
+    got = {r["state"]: (str(r["ds"]), r["price"], r["expired"]) for r in jobs.read_latest(spark, table, F.lit("2024-01-08").cast("date")).collect()}
+    assert got == {"Goa": ("2024-01-05", 1.0, True), "Kerala": ("2024-01-06", 3.0, False), "Punjab": ("2024-01-07", 5.0, False)}
+
+
+def test_sketches_merge_to_nearly_the_exact_number_of_sources(spark, tmp_path):
+    table = str(tmp_path / "sketches")
+    whole = None
+    for k in range(2):
+        folder = str(tmp_path / f"in{k}")
+        df = spark.range(k * 3000, k * 3000 + 6000).select(
+            F.lit("2024-01-02").cast("timestamp").alias("ts"), F.when(F.col("id") % 3 == 0, "Goa").otherwise("Kerala").alias("state"), F.lit("rice").alias("crop"),
+            F.when(F.col("id") < 5, "DOWN").otherwise("UP").alias("direction"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source_name"))
+        df.write.parquet(folder)
+        whole = df if whole is None else whole.union(df)
+        jobs.cluster_sketches(jobs.read_files(spark, folder, "*.parquet", df.schema), table, str(tmp_path / f"cp{k}"))
+    keys = ["state", "crop", "direction"]
+    per_batch = spark.read.parquet(table).groupBy("run", "batch_id", *keys).count()
+    assert per_batch.where("count > 1").count() == 0
+    exact = {tuple(r[:3]): (r[3], r[4]) for r in whole.groupBy(*keys).agg(F.count("*"), F.countDistinct("source_name")).collect()}
+    got = {(r["state"], r["crop"], r["direction"]): (r["event_count"], r["estimated_sources"]) for r in jobs.read_sketches(spark, table).collect()}
+    assert got.keys() == exact.keys() and all(got[k][0] == exact[k][0] for k in exact)
+    assert all(abs(got[k][1] - exact[k][1]) <= 0.05 * exact[k][1] for k in exact) and got[("Goa", "rice", "DOWN")][1] == 2
+
+
 def test_an_old_article_is_not_stored_again(spark, sf, tmp_path):
     table = str(tmp_path / "articles")
     docs = T.table(spark, sf, "documents")

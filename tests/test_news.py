@@ -45,7 +45,7 @@ def test_clusters_verify_two_sources(spark):
     got = {r["cluster_key"]: r for r in news.clusters(ev).collect()}
     assert got["Assam::Rice::FLOOD"]["verification_status"] == "VERIFIED" and got["Assam::Rice::FLOOD"]["sample_title"] == "t1"
     assert got["Punjab::Wheat::OTHER"]["verification_status"] == "SINGLE_SOURCE"
-    tagged = {r["article_id"]: r["verification_status"] for r in news.tag_events(ev, lexicon_clusters=10).collect()}
+    tagged = {r["article_id"]: r["verification_status"] for r in news.tag_events(ev).collect()}
     assert tagged == {"1": "VERIFIED", "2": "VERIFIED", "3": "SINGLE_SOURCE"}
 
 
