@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,30 +68,50 @@ def comparison_table(metrics: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ linear forecasts
+#: Moments are sums of whole thousandths of a rupee, exact in any order.
+UNIT = 1000.0
+
+
+def eliminated(matrix: Column, size: int) -> Column:
+    """Gauss-Jordan elimination of an array of rows without row exchange: for positive definite matrices.
+
+    After step p the p-th column is that of the unit matrix; what stands beyond ``size`` is the solution.
+    """
+    def step(m: Column, p: Column) -> Column:
+        pivot = F.get(m, p)
+        norm = F.transform(pivot, lambda x: x / F.get(pivot, p))
+        return F.transform(m, lambda row, i: F.when(i == p, norm).otherwise(F.zip_with(row, norm, lambda x, y: x - F.get(row, p) * y)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), matrix, step)
+
+
 def ridge_by_crop(features: DataFrame, terms: Sequence[str] = tuple(LINEAR_TERMS), penalty: float = 1.0, by: str = "crop") -> DataFrame:
-    """Ridge coefficients of every crop from one pass of means and covariances.
+    """Ridge coefficients of every crop from one pass of sums, solved by array expressions.
 
-    The rows are reduced to (terms + 1)^2 moments per crop by partial aggregation, merged about
-    the running means; only those, one row per crop, reach the small solver.
+    The rows are reduced to (terms + 1)^2 whole-number sums per crop by partial aggregation, so the
+    result depends neither on the order nor on the partitions of the rows.  A price must be
+    below three million rupees, or the products do not fit and the query fails.
     """
     cols = [*terms, "y"]
-    sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.avg(c).alias(f"s_{i}") for i, c in enumerate(cols)]
-    sums += [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"q_{i}_{i + j}") for i, a in enumerate(cols) for j, b in enumerate(cols[i:])]
-    reduced = features.groupBy(by).agg(*sums)
     k = len(terms)
+    scaled = features.select(by, *[N.whole(F.col(c) * F.lit(UNIT)).alias(f"v_{i}") for i, c in enumerate(cols)])
+    sums = [F.count(F.lit(1)).cast("decimal(18,0)").alias("n")] + [F.sum(F.col(f"v_{i}").cast("decimal(19,0)")).cast("decimal(28,0)").alias(f"s_{i}") for i in range(k + 1)]
+    sums += [F.sum((F.col(f"v_{i}") * F.col(f"v_{j}")).cast("decimal(19,0)")).cast("decimal(28,0)").alias(f"q_{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+    reduced = scaled.groupBy(by).agg(*sums)
+    n = F.col("n").cast("double")
 
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for row in pdf.to_dict("records"):
-                n = row["n"]
-                mean = np.array([row[f"s_{i}"] for i in range(k + 1)])
-                q = n * np.array([[row[f"q_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
-                beta = np.linalg.solve(q[:k, :k] + penalty * np.eye(k), q[:k, k])
-                out.append({by: row[by], "intercept": float(mean[k] - beta @ mean[:k]), "coefficients": [float(b) for b in beta]})
-            yield pd.DataFrame(out, columns=[by, "intercept", "coefficients"])
-
-    return reduced.mapInPandas(solve, f"{by} string, intercept double, coefficients array<double>")
+    def spread(i: int, j: int) -> Column:
+        """Sum of the products of what is left of two columns without their means."""
+        exact = F.col("n").cast("decimal(10,0)") * F.col(f"q_{min(i, j)}_{max(i, j)}") - F.col(f"s_{i}").cast("decimal(19,0)") * F.col(f"s_{j}").cast("decimal(19,0)")
+        return exact.cast("double") / n / F.lit(UNIT * UNIT)
+
+    rows = F.array(*[F.array(*[spread(i, j) + F.lit(penalty if i == j else 0.0) for j in range(k + 1)]) for i in range(k)])
+    mean = lambda i: F.col(f"s_{i}").cast("double") / n / F.lit(UNIT)
+    solved = reduced.select(by, F.array(*[mean(i) for i in range(k + 1)]).alias("means"), F.transform(eliminated(rows, k), lambda r: F.get(r, F.lit(k))).alias("coefficients"))
+    intercept = F.get("means", F.lit(k))
+    for i in range(k):
+        intercept = intercept - F.get("coefficients", F.lit(i)) * F.get("means", F.lit(i))
+    return solved.select(by, intercept.alias("intercept"), "coefficients")
 
 
 def with_linear_prediction(features: DataFrame, models: DataFrame, terms: Sequence[str] = tuple(LINEAR_TERMS), by: str = "crop") -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from furrow.functions import numeric as N
 from furrow.operators import features as ft
 from furrow.operators import forecast as fc
 from furrow.operators import models as md
 from furrow.plans import features as PF
 from furrow.plans import outlook as PO
 from furrow.plans import sql as S
-from furrow.plans.prices import stored_daily
+from furrow.plans.prices import daily, stored_daily
+from furrow.session import cut_lineage
 from furrow.sources import tables as T
 
 LABELS = [str(i) for i in range(10)]
@@ -22,10 +24,17 @@ def _features(spark, sf):
 
 
 def _ridge(spark, sf):
-    f = ft.lag_features(stored_daily(spark, sf), PF.SPANS)
+    """The features, windowed once and stored, and the models fitted on those before the split."""
+    f = cut_lineage(ft.lag_features(daily(spark, sf), PF.SPANS), "ridge")
     return f, fc.ridge_by_crop(f.where(F.col("ds") < F.lit(T.SPLIT_DATE).cast("date")))
 
 
+def ridge_models(spark, sf):
+    """Coefficients of every crop, rounded to eight digits."""
+    m = _ridge(spark, sf)[1]
+    return m.select("crop", N.round_to(F.col("intercept"), 6).alias("intercept"), *[N.round_to(F.get("coefficients", F.lit(i)), 8).alias(f"w_{t}") for i, t in enumerate(fc.LINEAR_TERMS)])
+
+
 def ridge_holdout(spark, sf):
     """Multi-lag ridge per crop against the naive forecast on the holdout days."""
     f, models = _ridge(spark, sf)
@@ -36,9 +45,7 @@ def ridge_holdout(spark, sf):
 
 def ridge_forecast(spark, sf):
     """Thirty days by the fitted ridge of every series."""
-    _, models = _ridge(spark, sf)
-    s = PO.seeds(spark, sf).drop("intercept", "coefficients").join(models, "crop")
-    return fc.dated_path(fc.recursive_linear(s, 30), F.lit(T.SPLIT_DATE).cast("date"))
+    return PO.path_rows(spark, sf)
 
 
 def tree_holdout(spark, sf):
@@ -94,7 +101,7 @@ def confusion_matrix(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    ridge_holdout, ridge_forecast, tree_holdout, tree_forecast, tree_grid_search, stratified_folds, class_probabilities,
+    ridge_models, ridge_holdout, ridge_forecast, tree_holdout, tree_forecast, tree_grid_search, stratified_folds, class_probabilities,
     classifier_cross_validation, classification_report, classification_summary, confusion_matrix]}
 
 # ------------------------------------------------------------------ check SQL
@@ -107,6 +114,10 @@ rep0 AS (SELECT coalesce(s.class, c.class) AS class, coalesce(support, 0) AS sup
 rep AS (SELECT class, support, hit, precision, recall, coalesce(CAST(2.0 AS DOUBLE) * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM rep0)"""
 
 ORACLES = {
+    "ridge_models": f"""WITH {PO.FITTED} SELECT crop, {S.rnd('intercept', 6)} AS intercept, {', '.join(f"{S.rnd(f'c[{i + 1}]', 8)} AS w_{t}" for i, t in enumerate(fc.LINEAR_TERMS))} FROM beta""",
+    "ridge_holdout": f"""WITH {PO.FITTED}, rp AS (SELECT f.crop, 'multi_lag_ridge' AS model, y, intercept + {PO.TERMS} AS yhat FROM feats f JOIN beta b ON b.crop = f.crop WHERE ds >= DATE '{T.SPLIT_DATE}'
+ UNION ALL SELECT f.crop, 'naive_lag1', y, lag_1 FROM feats f JOIN beta b ON b.crop = f.crop WHERE ds >= DATE '{T.SPLIT_DATE}') {PO._metrics('rp', 'crop, model')}""",
+    "ridge_forecast": f"WITH {PO.FITTED}, {PO.PATHS} SELECT * FROM fcast",
     "stratified_folds": """WITH b AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 12) AS BIGINT) AS mark FROM embeddings)
  SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY mark, vec_id) - 1) % 5 AS fold FROM b""",
     "classification_report": f"WITH {_CALLED} SELECT * FROM rep",

@@ -14,10 +14,11 @@ from furrow.operators import prices
 from furrow.plans import features as PF
 from furrow.plans import prices as PR
 from furrow.plans import sql as S
-from furrow.plans.prices import daily
+from furrow.plans.prices import daily, stored_daily
+from furrow.session import cut_lineage
 from furrow.sources import tables as T
 
-# Coefficients of the demonstration path model: fixed values.
+# Coefficients of the model that the back-test runs over all months, so that no month was fitted on: fixed values.
 INTERCEPT, COEFFICIENTS = 25.0, [0.5, 0.15, 0.1, 0.05, 0.1, 0.08]
 HORIZONS = (1, 7, 15, 30)
 MODELS = {"naive_lag1": "lag_1", "moving_average_30": "rolling_30", "moving_average_7": "rolling_7", "weekly_lag": "lag_7"}
@@ -36,14 +37,23 @@ def metrics(spark, sf):
     return fc.regression_metrics(fc.long_predictions(holdout(spark, sf), MODELS), ["crop", "model"])
 
 
-def seeds(spark, sf):
-    """Tails before the split, the last value replaced by the dearest quote of the last day."""
-    cut = _cut()
-    q = T.quotes(spark, sf).where(F.col("ds") < cut)
+def fitted(spark, sf, d):
+    """Ridge model of every crop on the days before the split."""
+    features = ft.lag_features(d, PF.SPANS)
+    return fc.ridge_by_crop(features.where(F.col("ds") < _cut()))
+
+
+def seeds(spark, sf, d=None):
+    """Tails before the split, the last value replaced by the dearest quote of the last day, with the crop's fitted model.
+
+    ``d`` is the stored daily series, if there is one already.  A crop without a model keeps its series, without a forecast.
+    """
+    d = stored_daily(spark, sf) if d is None else d
+    q = T.quotes(spark, sf).where(F.col("ds") < _cut())
     per = q.groupBy("crop", "state", "ds").agg(F.max("modal_cents").alias("m"))
     live = per.groupBy("crop", "state").agg(F.max_by("m", "ds").alias("m")).select("crop", "state", N.rupees(F.col("m")).alias("price"))
-    s = fc.seed_prices(ft.series_tail(daily(spark, sf).where(F.col("ds") < cut)), live)
-    return s.withColumn("intercept", F.lit(INTERCEPT)).withColumn("coefficients", F.array(*[F.lit(c) for c in COEFFICIENTS]))
+    s = fc.seed_prices(ft.series_tail(d.where(F.col("ds") < _cut())), live)
+    return s.join(fitted(spark, sf, d), "crop", "left")
 
 
 def forecasts(spark, sf):
@@ -59,16 +69,17 @@ def path_rows(spark, sf, horizon=30, floor=None):
     return fc.dated_path(fc.recursive_linear(seeds(spark, sf), horizon, floor), _cut())
 
 
-def outlook(spark, sf):
+def outlook(spark, sf, d=None, paths=None):
     """Latest price and thirty-day forecast of every series, with what the decision depends on."""
-    s = fc.recursive_linear(seeds(spark, sf), 30)
-    n = daily(spark, sf).where(F.col("ds") < _cut()).groupBy("crop", "state").agg(F.sum("market_count").alias("record_count"))
+    d = stored_daily(spark, sf) if d is None else d
+    s = fc.recursive_linear(seeds(spark, sf, d), 30) if paths is None else paths
+    n = d.where(F.col("ds") < _cut()).groupBy("crop", "state").agg(F.sum("market_count").alias("record_count"))
     target = F.date_add(_cut(), 29)
     event = F.coalesce(*[F.when(target.between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(label)) for label, a, b, _ in T.FIXTURE_DISRUPTIONS], F.lit(None).cast("string"))
     predicted = N.round_to(F.element_at("path", -1), 2)
     return s.join(n, ["crop", "state"]).select(
         "crop", "state", N.round_to(F.element_at("prices", -1), 2).alias("current_price"), predicted.alias("predicted_price"), F.col("last_ds").alias("observation_date"),
-        F.datediff(_cut(), "last_ds").cast("bigint").alias("data_age_days"), event.isNotNull().alias("disrupted"), event.alias("event"), (predicted > 0).alias("available"),
+        F.datediff(_cut(), "last_ds").cast("bigint").alias("data_age_days"), event.isNotNull().alias("disrupted"), event.alias("event"), F.coalesce(predicted > 0, F.lit(False)).alias("available"),
         R.forecast_scope(F.col("record_count")).alias("forecast_scope"))
 
 
@@ -103,7 +114,9 @@ def forecast_summary(spark, sf):
 
 
 def trend_statistics(spark, sf):
-    return fc.trend_statistics(path_rows(spark, sf), outlook(spark, sf))
+    d = stored_daily(spark, sf)
+    paths = cut_lineage(fc.recursive_linear(seeds(spark, sf, d), 30), "paths")
+    return fc.trend_statistics(fc.dated_path(paths, _cut()), outlook(spark, sf, d, paths))
 
 
 def forecast_bands(spark, sf):
@@ -193,15 +206,36 @@ def _metrics(rows: str, by: str) -> str:
 HOLD = PF.FEATURES + f""", hold AS (SELECT * FROM feats WHERE ds >= DATE '{T.SPLIT_DATE}'),
 preds AS ({' UNION ALL '.join(f"SELECT crop, '{m}' AS model, y, {c} AS yhat FROM hold" for m, c in MODELS.items())}),
 metrics AS ({_metrics('preds', 'crop, model')})"""
+_K = len(fc.LINEAR_TERMS)
+_V = [*fc.LINEAR_TERMS, "y"]
+_EXACT = "CAST(CAST({} AS VARCHAR) AS DOUBLE)".format  # a whole number of any length to the nearest double
+
+
+def _spread(i: int, j: int) -> str:
+    q = f"q_{min(i, j)}_{max(i, j)}"
+    return f"{_EXACT(f'n * {q} - s_{i} * s_{j}')} / CAST(n AS DOUBLE) / {D(1e6)} + {D(1.0 if i == j else 0.0)}"
+
+
+#: Moments, elimination step by step, and ``beta`` (crop, intercept, c); after FEATURES or HOLD.
+RIDGE = f"""rscaled AS (SELECT crop, {', '.join(f"CAST({S.whole(f'{c} * ' + D(1000))} AS HUGEINT) AS v_{i}" for i, c in enumerate(_V))} FROM feats WHERE ds < DATE '{T.SPLIT_DATE}'),
+rsums AS (SELECT crop, CAST(count(*) AS HUGEINT) AS n, {', '.join(f'CAST(sum(v_{i}) AS HUGEINT) AS s_{i}' for i in range(_K + 1))},
+ {', '.join(f'CAST(sum(v_{i} * v_{j}) AS HUGEINT) AS q_{i}_{j}' for i in range(_K + 1) for j in range(i, _K + 1))} FROM rscaled GROUP BY 1),
+rmat AS (SELECT crop, [{', '.join(f"{_EXACT(f's_{i}')} / CAST(n AS DOUBLE) / {D(1000)}" for i in range(_K + 1))}] AS means,
+ [{', '.join('[' + ', '.join(_spread(i, j) for j in range(_K + 1)) + ']' for i in range(_K))}] AS m FROM rsums),
+elim AS (SELECT crop, means, 1 AS p, m FROM rmat UNION ALL
+ SELECT crop, means, p + 1, list_transform(m, lambda r, i: CASE WHEN i = p THEN list_transform(r, lambda x: x / r[p]) ELSE list_transform(r, lambda x, j: x - r[p] * (m[p][j] / m[p][p])) END) FROM elim WHERE p <= {_K}),
+beta AS (SELECT crop, means[{_K + 1}]{''.join(f' - m[{i + 1}][{_K + 1}] * means[{i + 1}]' for i in range(_K))} AS intercept, list_transform(m, lambda r: r[{_K + 1}]) AS c FROM elim WHERE p = {_K + 1})"""
+TERMS = " + ".join(f"c[{i + 1}] * {t}" for i, t in enumerate(fc.LINEAR_TERMS))
+FITTED = PF.FEATURES.replace("quote_lines AS", "RECURSIVE quote_lines AS", 1) + ", " + RIDGE
 _C = [D(c) for c in COEFFICIENTS]
 PATHS = f"""pre AS (SELECT * FROM daily WHERE ds < DATE '{T.SPLIT_DATE}'),
 tails AS (SELECT crop, state, list({S.rs('y_cents')} ORDER BY ds) AS p FROM (SELECT *, row_number() OVER (PARTITION BY crop, state ORDER BY ds DESC) AS b FROM pre) WHERE b <= 60 GROUP BY 1, 2),
 lives AS (SELECT crop, state, {S.rs('max(modal_cents)')} AS live FROM (SELECT *, rank() OVER (PARTITION BY crop, state ORDER BY ds DESC) AS r FROM quotes WHERE ds < DATE '{T.SPLIT_DATE}') WHERE r = 1 GROUP BY 1, 2),
 seeds AS (SELECT t.crop, t.state, CASE WHEN len(p) >= 15 THEN list_concat(list_transform(range(greatest(30 - len(p), 0)), lambda i: p[1]), list_append(p[:len(p) - 1], live))
   ELSE list_transform(range(30), lambda i: live) END AS acc FROM tails t JOIN lives l ON l.crop = t.crop AND l.state = t.state),
-walk AS (SELECT crop, state, 0 AS step, acc FROM seeds UNION ALL
- SELECT crop, state, step + 1, list_append(acc, {D(INTERCEPT)} + {_C[0]} * acc[-1] + {_C[1]} * acc[-7] + {_C[2]} * acc[-14] + {_C[3]} * acc[-30]
-  + {_C[4]} * (list_sum(acc[-7:]) / {D(7)}) + {_C[5]} * (list_sum(acc[-30:]) / {D(30)})) FROM walk WHERE step < 30),
+walk AS (SELECT s.crop, s.state, 0 AS step, acc, intercept, c FROM seeds s LEFT JOIN beta b ON b.crop = s.crop UNION ALL
+ SELECT crop, state, step + 1, list_append(acc, intercept + c[1] * acc[-1] + c[2] * acc[-7] + c[3] * acc[-14] + c[4] * acc[-30]
+  + c[5] * (list_sum(acc[-7:]) / {D(7)}) + c[6] * (list_sum(acc[-30:]) / {D(30)})), intercept, c FROM walk WHERE step < 30),
 fcast AS (SELECT crop, state, CAST(step AS BIGINT) AS step, DATE '{T.SPLIT_DATE}' + CAST(step - 1 AS INTEGER) AS ds, {S.rnd('acc[-1]', 2)} AS yhat FROM walk WHERE step > 0),
 bt_rows AS (SELECT crop, state, ds, y_cents, row_number() OVER w AS rn, lag(ds) OVER w AS before FROM daily WINDOW w AS (PARTITION BY crop, state ORDER BY ds)),
 bt_at AS (SELECT crop, state, rn, CAST(date_trunc('month', ds) AS DATE) AS origin FROM bt_rows WHERE rn > 15 AND date_trunc('month', ds) <> date_trunc('month', before)),
@@ -212,15 +246,14 @@ bt_walk AS (SELECT crop, state, origin, 0 AS step, list_concat(list_transform(ra
 hm0 AS (SELECT w.crop, CAST(step AS BIGINT) AS horizon, {S.rs('y_cents')} AS y, {S.rnd('acc[-1]', 2)} AS yhat FROM bt_walk w JOIN daily d ON d.crop = w.crop AND d.state = w.state AND d.ds = w.origin + CAST(step - 1 AS INTEGER) WHERE step IN (1, 7, 15, 30)),
 hm AS (SELECT *, CASE WHEN mape < 7 THEN 'HIGH' WHEN mape < 15 THEN 'MODERATE' ELSE 'UNCERTAIN' END AS reliability_rating FROM ({_metrics('hm0', 'crop, horizon')}))"""
 _PT = "CAST(floor({} + 0.5) AS BIGINT)".format
-RECURSIVE = S.DAILY.replace("quote_lines AS", "RECURSIVE quote_lines AS", 1)
-PATH_ROWS = f"""{RECURSIVE}, {PATHS}, pr AS (SELECT crop, state, step, ds, yhat FROM fcast)"""
-HOLD_RECURSIVE = HOLD.replace("quote_lines AS", "RECURSIVE quote_lines AS", 1)
-HOLD_PATHS = PATH_ROWS.replace(RECURSIVE, HOLD_RECURSIVE)
+PATH_ROWS = f"""{FITTED}, {PATHS}, pr AS (SELECT crop, state, step, ds, yhat FROM fcast)"""
+HOLD_FITTED = HOLD.replace("quote_lines AS", "RECURSIVE quote_lines AS", 1) + ", " + RIDGE
+HOLD_PATHS = PATH_ROWS.replace(FITTED, HOLD_FITTED)
 _EVENT = "CASE " + " ".join(f"WHEN DATE '{T.SPLIT_DATE}' + 29 BETWEEN DATE '{a}' AND DATE '{b}' THEN '{n}'" for n, a, b, _ in T.FIXTURE_DISRUPTIONS) + " END"
 _WIDE = "(" + ", ".join(f"'{c}'" for c in WIDE) + ")"
 OUTLOOK = PATH_ROWS + f""", last AS (SELECT crop, state, max(ds) AS last_ds, CAST(sum(market_count) AS BIGINT) AS record_count FROM pre GROUP BY 1, 2),
 ol AS (SELECT s.crop, s.state, {S.rnd('s.acc[-1]', 2)} AS current_price, f.yhat AS predicted_price, last_ds AS observation_date, date_diff('day', last_ds, DATE '{T.SPLIT_DATE}') AS data_age_days,
- {_EVENT} IS NOT NULL AS disrupted, CAST({_EVENT} AS VARCHAR) AS event, f.yhat > 0 AS available,
+ {_EVENT} IS NOT NULL AS disrupted, CAST({_EVENT} AS VARCHAR) AS event, coalesce(f.yhat > 0, FALSE) AS available,
  CASE WHEN record_count >= 200 THEN 'STATE_CROP' WHEN record_count >= 50 THEN 'STATE_AWARE' ELSE 'CROP_ONLY' END AS forecast_scope
  FROM seeds s JOIN fcast f ON f.crop = s.crop AND f.state = s.state AND f.step = 30 JOIN last l ON l.crop = s.crop AND l.state = s.state),
 d0 AS (SELECT *, {S.rnd('(predicted_price - current_price) / current_price * ' + D(100), 2)} AS change_percent, (predicted_price - current_price) / current_price * {D(100)} AS ch FROM ol),
@@ -243,11 +276,11 @@ ORACLES = {
     "best_model": f"""WITH {HOLD}, o AS (SELECT crop, model, mae, row_number() OVER (PARTITION BY crop ORDER BY mae, model) AS rn FROM metrics WHERE model <> 'naive_lag1'),
  p AS (SELECT crop, mae FROM metrics WHERE model = 'naive_lag1') SELECT o.crop, CASE WHEN p.mae < o.mae THEN 'naive_lag1' ELSE o.model END AS best_model, least(p.mae, o.mae) AS best_mae FROM o JOIN p ON p.crop = o.crop WHERE rn = 1""",
     "model_comparison": f"WITH {HOLD} SELECT *, row_number() OVER (PARTITION BY crop ORDER BY mae, model) = 1 AS is_best FROM metrics",
-    "recursive_forecast": f"WITH {RECURSIVE}, {PATHS} SELECT * FROM fcast",
-    "horizon_metrics": f"WITH {RECURSIVE}, {PATHS} SELECT * FROM hm",
-    "forecast_summary": f"""WITH {PATH_ROWS}, long AS (SELECT crop, state, 0 AS step, acc FROM seeds UNION ALL
- SELECT crop, state, step + 1, list_append(acc, greatest({D(INTERCEPT)} + {_C[0]} * acc[-1] + {_C[1]} * acc[-7] + {_C[2]} * acc[-14] + {_C[3]} * acc[-30]
-  + {_C[4]} * (list_sum(acc[-7:]) / {D(7)}) + {_C[5]} * (list_sum(acc[-30:]) / {D(30)}), {D(100)})) FROM long WHERE step < 90),
+    "recursive_forecast": f"WITH {FITTED}, {PATHS} SELECT * FROM fcast",
+    "horizon_metrics": f"WITH {FITTED}, {PATHS} SELECT * FROM hm",
+    "forecast_summary": f"""WITH {PATH_ROWS}, long AS (SELECT s.crop, s.state, 0 AS step, acc, intercept, c FROM seeds s LEFT JOIN beta b ON b.crop = s.crop UNION ALL
+ SELECT crop, state, step + 1, list_append(acc, greatest(intercept + c[1] * acc[-1] + c[2] * acc[-7] + c[3] * acc[-14] + c[4] * acc[-30]
+  + c[5] * (list_sum(acc[-7:]) / {D(7)}) + c[6] * (list_sum(acc[-30:]) / {D(30)}), {D(100)})), intercept, c FROM long WHERE step < 90),
  p90 AS (SELECT crop, state, CAST(step AS BIGINT) AS step, {S.rnd('acc[-1]', 2)} AS yhat FROM long WHERE step > 0) SELECT crop, state, min_by(yhat, step) AS starting_price, max_by(yhat, step) FILTER (step <= 30) AS ending_price, max(yhat) FILTER (step <= 30) AS highest_price, min(yhat) FILTER (step <= 30) AS lowest_price,
  {_MEAN(30)} AS average_price, {', '.join(f'{_MEAN(h)} AS mean_{h}_day' for h in (7, 15, 30, 60, 90))} FROM p90 GROUP BY 1, 2""",
     "trend_statistics": f"""WITH {OUTLOOK}, mv AS (SELECT *, abs(yhat - lag(yhat) OVER (PARTITION BY crop, state ORDER BY step)) AS move FROM pr),
@@ -276,9 +309,9 @@ ORACLES = {
     "extreme_forecasts": f"WITH {OUTLOOK} SELECT crop, state, current_price, predicted_price, change_percent FROM decs WHERE abs(change_percent) > 40",
     "decision_compliance": f"WITH {OUTLOOK} SELECT crop, count(*) AS checked, count(*) FILTER (recommendation IS DISTINCT FROM plain_recommendation) AS mismatches FROM decs GROUP BY 1",
     "forecast_grid": f"WITH {OUTLOOK} SELECT state, " + ", ".join(f"max(recommendation) FILTER (crop = '{t.lower()}') AS {t.lower()}" for t in T.TYPE_CROPS) + " FROM decs GROUP BY 1",
-    "quality_matrix": f"""WITH {RECURSIVE}, {PATHS}, {PR.GRID} SELECT g.state, g.crop, record_count, CASE WHEN record_count >= 200 THEN 'STATE_CROP_MODEL' WHEN record_count >= 50 THEN 'STATE_AWARE_FALLBACK' ELSE 'CROP_LEVEL_FALLBACK' END AS forecast_tier,
+    "quality_matrix": f"""WITH {FITTED}, {PATHS}, {PR.GRID} SELECT g.state, g.crop, record_count, CASE WHEN record_count >= 200 THEN 'STATE_CROP_MODEL' WHEN record_count >= 50 THEN 'STATE_AWARE_FALLBACK' ELSE 'CROP_LEVEL_FALLBACK' END AS forecast_tier,
  CASE WHEN record_count >= 200 THEN 'HIGH' WHEN record_count >= 50 THEN 'MODERATE' ELSE 'LOW_PROVABLY_NATIONAL' END AS confidence_level, mape AS estimated_mape FROM graded g LEFT JOIN hm ON hm.crop = g.crop AND horizon = 30""",
-    "forecast_confidence": f"""WITH {OUTLOOK.replace(RECURSIVE, HOLD_RECURSIVE)}, av AS (SELECT crop, state, {S.rnd('CAST(CAST(sum(y_cents) AS BIGINT) AS DOUBLE) / count(*) / 100.0', 2)} AS mp FROM daily GROUP BY 1, 2),
+    "forecast_confidence": f"""WITH {OUTLOOK.replace(FITTED, HOLD_FITTED)}, av AS (SELECT crop, state, {S.rnd('CAST(CAST(sum(y_cents) AS BIGINT) AS DOUBLE) / count(*) / 100.0', 2)} AS mp FROM daily GROUP BY 1, 2),
  j AS (SELECT ol.crop, ol.state, CAST({S.pick('day(observation_date) % 5', [7, 15, 30, 60, 90])} AS BIGINT) AS horizon, data_age_days, mae, mp FROM ol JOIN metrics m ON m.crop = ol.crop AND model = 'naive_lag1' JOIN av ON av.crop = ol.crop AND av.state = ol.state),
  b AS (SELECT *, greatest({D(1)} - least(mae / mp, {D(0.5)}), {D(0.5)}) AS base, {_HF} AS hf, {_AF} AS af FROM j), s AS (SELECT *, greatest({D(0.4)}, least({D(0.95)}, base * hf * af)) AS sc FROM b)
  SELECT crop, state, horizon, data_age_days, {S.rnd('sc', 4)} AS confidence_score, {S.rnd('sc * ' + D(100), 1)} AS confidence_pct, {S.whole('base * ' + D(100))} AS model_quality, {S.whole('hf * ' + D(100))} AS horizon_penalty, {S.whole('af * ' + D(100))} AS data_freshness FROM s""",
