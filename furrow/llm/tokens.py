@@ -91,6 +91,8 @@ class WordEncoder:
 
     def part(self, text: str) -> bytes:
         """Ids of a word's part, 4 bytes each.  Plain lower-case letters need no more than the tokenizer's model."""
+        if text.isascii() and text.isalpha() and text.islower():
+            return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         if PLAIN_LETTERS.fullmatch(text):
             return array("I", [t.id for t in self.model.tokenize(text.translate(BYTE_LETTERS))]).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -98,17 +100,20 @@ class WordEncoder:
     def new_words(self, words: list[str]) -> list[bytes]:
         if len(self.parts) > REMEMBERED_WORDS:
             self.parts = {}
-        known, out = self.parts, []
+        known, out, part = self.parts, [], self.part
         for word in words:
-            match = LETTERS_THEN_MARKS.fullmatch(word)
-            letters, marks = (match[1].lower(), match[2]) if match else (word, "")
+            if word.isascii() and word.isalpha():
+                letters, marks = word.lower(), ""
+            else:
+                match = LETTERS_THEN_MARKS.fullmatch(word)
+                letters, marks = (match[1].lower(), match[2]) if match else (word, "")
             ids = known.get(letters)
             if ids is None:
-                ids = known[letters] = self.part(letters)
+                ids = known[letters] = part(letters)
             if marks:
                 more = known.get(marks)
                 if more is None:
-                    more = known[marks] = self.part(marks)
+                    more = known[marks] = part(marks)
                 ids += more
             out.append(ids)
         return out
@@ -276,6 +281,11 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
     return manifest
 
 
+def one_task_a_file(manifest: DataFrame) -> DataFrame:
+    """The manifest's rows dealt to as many tasks as there are files; a range of numbers with a count is not merged again."""
+    return manifest.repartitionByRange(max(1, manifest.count()), "number")
+
+
 def read_tokens(session: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files below ``folder``.
 
@@ -283,7 +293,7 @@ def read_tokens(session: SparkSession, folder: str) -> DataFrame:
     """
     manifest = session.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = F.coalesce(F.sum("ids").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.withColumn("before", before).select("file", "before", "ids")
+    placed = one_task_a_file(manifest.withColumn("before", before).select("number", "file", "before", "ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(folder)
@@ -295,12 +305,12 @@ def read_tokens(session: SparkSession, folder: str) -> DataFrame:
                 crc = [zlib.crc32(ids.tobytes()) for _, ids in file.documents()]
                 yield pa.RecordBatch.from_pydict({"doc_id": file.doc_ids, "start": row["before"] + file.bounds[:-1], "n_tokens": file.counts, "ids_crc32": pa.array(crc, pa.int64())})
 
-    return placed.repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(session: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """(doc_id, ids) of the documents named by ``wanted`` (doc_id); only their frames are decompressed."""
-    manifest = session.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file")
+    manifest = session.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("number", "file")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(folder)
@@ -317,6 +327,6 @@ def read_documents(session: SparkSession, folder: str, wanted: DataFrame) -> Dat
                 for i, ids in file.documents(np.array(row["positions"])):
                     yield pa.RecordBatch.from_pydict({"doc_id": file.doc_ids.slice(i, 1), "ids": pa.array([ids.tolist()], pa.list_(pa.int64()))})
 
-    places = manifest.repartition("file").mapInArrow(index, "file string, position long, doc_id long")
+    places = one_task_a_file(manifest).mapInArrow(index, "file string, position long, doc_id long")
     asked = places.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("file").agg(F.collect_list("position").alias("positions"))
     return asked.mapInArrow(fetch, "doc_id long, ids array<long>")
