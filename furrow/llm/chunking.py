@@ -7,8 +7,9 @@ chunks that several documents have form a passage; passages of at least ``MIN_CH
 characters are reported.  Every digest belongs to the document of the least id that has
 it; the other occurrences are repeats.
 
-A digest that very many documents share is one row after the map-side count, and
-the join back spreads its occurrences by Spark's own skew handling.
+A digest that very many documents share is one row a task after the map-side count.  The shared
+digests are written out, so that the join back has a plain exchange on both sides, and Spark
+splits the occurrences of a frequent digest over several tasks.
 
 Defined cases: null and empty texts have no chunks; a null id counts as the least; repeated rows
 (same id and text) count as one document; rows of one id with different texts are
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import byte_steps, text_bytes
+from furrow.session import cut_lineage
 
 #: Zero bits that end a chunk: one byte in 2 to this many.
 CUT_BITS = 4
@@ -146,8 +148,9 @@ def repeated_passages(docs: DataFrame, across: bool = True) -> DataFrame:
     """
     found = chunks(docs)
     owner = F.xxhash64("place", "text_hash") if across else F.xxhash64("place", "text_hash", "start")
-    shared = found.groupBy("high", "low").agg(F.min("place").alias("first"), F.min(owner).alias("a"), F.max(owner).alias("b")).filter("a <> b").drop("a", "b")
-    own = (found.join(shared, ["high", "low"]).groupBy("place", "text_hash")
+    shared = cut_lineage(found.groupBy("high", "low").agg(F.min("place").alias("first"), F.min(owner).alias("a"), F.max(owner).alias("b")).filter("a <> b").drop("a", "b"), "shared")
+    # A merge join at every size: the join that adaptive execution splits.
+    own = (found.join(shared.hint("merge"), ["high", "low"]).groupBy("place", "text_hash")
            .agg(F.collect_set(F.struct("start", "stop", "first", "high", "low")).alias("parts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +177,12 @@ def repeated_passages(docs: DataFrame, across: bool = True) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with every passage to remove cut out of ``text``; all other columns and all rows stay."""
     cuts = (repeated_passages(docs).filter("action = 'remove'").groupBy(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"))
-            .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts")))
-    joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(cuts["cut_id"]) & (F.xxhash64(docs["text"]) == cuts["cut_hash"]), "left")
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("_cuts", lambda c: F.array(c["start"], c["stop"]))), F.array(F.length(docs["text"])))
-    kept = F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda k: F.substring(docs["text"], F.element_at(edges, k * 2 + 1) + 1, F.element_at(edges, k * 2 + 2) - F.element_at(edges, k * 2 + 1)))
-    text = F.when(F.col("_cuts").isNull(), docs["text"]).otherwise(F.array_join(kept, "")).alias("text")
-    return joined.select(*[text if c == "text" else docs[c] for c in docs.columns])
+            .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts")))
+    # The document's row is one struct, so that no name of its columns can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.col("doc")["text"]
+    joined = packed.join(cuts, F.col("doc")["doc_id"].cast("long").eqNullSafe(cuts["cut_id"]) & (F.xxhash64(text) == cuts["cut_hash"]), "left")
+    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("cuts", lambda c: F.array(c["start"], c["stop"]))), F.array(F.length(text)))
+    kept = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda k: F.substring(text, F.element_at(edges, k * 2 + 1) + 1, F.element_at(edges, k * 2 + 2) - F.element_at(edges, k * 2 + 1)))
+    whole = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(kept, "")).alias("text")
+    return joined.select(*[whole if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
