@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go with the last reference to them; without this Spark keeps them for good.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -64,6 +66,18 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that ``cut_lineage`` wrote for ``df``, once nothing will read it again."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        remove_path(df.sparkSession, folder)
+
+
 def local_parallelism() -> int:
     """Cores to use for local test and bench sessions."""
     return int(os.environ.get("BENCH_CPUS", "8"))

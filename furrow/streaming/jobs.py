@@ -37,11 +37,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def run_id(spark: SparkSession, checkpoint: str) -> str:
     """The run that a checkpoint belongs to, made with the checkpoint."""
     path = f"{checkpoint}/run"
