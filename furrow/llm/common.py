@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.session import shared_folder
+from furrow.session import remove_path, shared_folder
 
 #: Text bytes that one numpy step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -32,13 +32,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; Spark removes it with its last reader."""
+    """``df`` computed once and kept in the shared folder.
+
+    Sessions of ``build_session`` delete the files when nothing refers to them; elsewhere they
+    stay until ``forget`` or the folder's owner removes them.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpointed frame, once nothing will read it again."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove_path(df.sparkSession, file.get())
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
@@ -101,6 +112,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the least of these.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        state = checkpointed(small.select("e.u", "e.v").filter("u <> v").distinct())
+        before, state = state, checkpointed(small.select("e.u", "e.v").filter("u <> v").distinct())
+        forget(before)
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         state.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
