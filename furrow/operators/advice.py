@@ -63,42 +63,45 @@ def candidate_matrix(facts: DataFrame, span_years: int, least_facts: int = 25) -
         F.when(F.col("n") >= least_facts, N.round_to(F.least(F.col("n") / F.lit(100.0), F.lit(1.0)), 4)).alias("data_confidence"))
 
 
-def _lists(matrix: DataFrame, *by: Column) -> DataFrame:
-    """Distinct crops per key (smallest scores first seen win), as one ordered array."""
-    named = [c.alias(f"k{i}") for i, c in enumerate(by)]
-    one = matrix.select(*named, "crop", "evidence_score", "data_confidence", "season").groupBy(
-        *[f"k{i}" for i in range(len(by))], "crop").agg(
-        F.min_by(F.struct("evidence_score", "data_confidence"), F.col("season")).alias("v"))
-    entry = F.struct("crop", F.col("v.evidence_score").alias("evidence_score"), F.col("v.data_confidence").alias("data_confidence"))
-    return one.groupBy(*[f"k{i}" for i in range(len(by))]).agg(F.array_sort(F.collect_list(entry)).alias("crops"))
+def _key(kind: int, *parts: Column) -> Column:
+    """A key of the long look-up table: its kind and up to three parts in lower case."""
+    texts = [F.lower(p) for p in parts] + [F.lit("")] * (3 - len(parts))
+    return F.struct(F.lit(kind).alias("kind"), *[t.alias(f"k{i}") for i, t in enumerate(texts)])
+
+
+KEY = ["kind", "k0", "k1", "k2"]
+
+
+def by_level(asked: DataFrame, probes: Sequence[Column], table: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """``asked`` with ``level`` and ``found``, the value of the first probe that the long key table has; null if none has.
+
+    ``table``: the columns of ``KEY`` and ``on``, and ``value``; one row a key.  ``asked`` is written once per probe and
+    meets the table in one equality join, however many levels there are.
+    """
+    columns = asked.columns
+    wide = asked.select(*columns, F.posexplode(F.array(*probes)).alias("n", "probe")).select(*columns, (F.col("n") + 1).alias("n"), "probe.*")
+    hits = wide.join(table, [*KEY, *on], "left")
+    best = hits.groupBy(*columns).agg(F.min_by(F.struct(F.col("n").alias("level"), F.col("value").alias("found")), F.when(F.col("value").isNotNull(), F.col("n"))).alias("b"))
+    return best.select(*columns, F.col("b.level").cast("bigint").alias("level"), F.col("b.found").alias("found"))
 
 
 def candidates(requests: DataFrame, matrix: DataFrame) -> DataFrame:
     """Candidate crops of each distinct place and season, by the first level that has any.
 
     Levels: id and season (canonical, then as asked), state and district with
-    season (both), id in any season, state and district in any season.
+    season (both), id in any season, state and district in any season.  A key's crops are
+    distinct; of several seasons the first one's scores count.
     """
     c = F.col
+    keys = F.array(_key(1, c("canonical_id"), c("season")), _key(2, c("state"), c("district"), c("season")), _key(3, c("canonical_id")), _key(4, c("state"), c("district")))
+    long = matrix.select(F.explode(keys).alias("k"), "crop", "evidence_score", "data_confidence", "season").select("k.*", "crop", "evidence_score", "data_confidence", "season")
+    one = long.groupBy(*KEY, "crop").agg(F.min_by(F.struct("evidence_score", "data_confidence"), c("season")).alias("v"))
+    entry = F.struct("crop", c("v.evidence_score").alias("evidence_score"), c("v.data_confidence").alias("data_confidence"))
+    table = one.groupBy(*KEY).agg(F.array_sort(F.collect_list(entry)).alias("value"))
     asked = requests.select("canonical_id", *PLACE, "season", "canonical_season").distinct()
-    by_id = _lists(matrix, F.lower("canonical_id"), F.lower("season"))
-    by_name = _lists(matrix, F.lower("state"), F.lower("district"), F.lower("season"))
-    any_id = _lists(matrix, F.lower("canonical_id"))
-    any_name = _lists(matrix, F.lower("state"), F.lower("district"))
-    j = asked.select("*", F.lower("canonical_id").alias("i"), F.lower("state").alias("s"), F.lower("district").alias("d"),
-                     F.lower("canonical_season").alias("cs"), F.lower("season").alias("rs"))
-
-    def probe(df: DataFrame, table: DataFrame, tag: str, *keys: str) -> DataFrame:
-        t = table.select(*[c(f"k{n}").alias(f"{tag}{n}") for n in range(len(keys))], c("crops").alias(tag))
-        on = [c(k) == c(f"{tag}{n}") for n, k in enumerate(keys)]
-        return df.join(t, on, "left").drop(*[f"{tag}{n}" for n in range(len(keys))])
-
-    for tag, table, keys in [("l1", by_id, ("i", "cs")), ("l2", by_id, ("i", "rs")), ("l3", by_name, ("s", "d", "cs")),
-                             ("l4", by_name, ("s", "d", "rs")), ("l5", any_id, ("i",)), ("l6", any_name, ("s", "d"))]:
-        j = probe(j, table, tag, *keys)
-    level = F.coalesce(*[F.when(c(f"l{n}").isNotNull(), F.lit(n)) for n in range(1, 7)])
-    return j.select("canonical_id", *PLACE, "season", "canonical_season", level.cast("bigint").alias("level"),
-                    F.coalesce(*[c(f"l{n}") for n in range(1, 7)]).alias("crops"))
+    i, s, d, cs, rs = (c(x) for x in ("canonical_id", "state", "district", "canonical_season", "season"))
+    probes = [_key(1, i, cs), _key(1, i, rs), _key(2, s, d, cs), _key(2, s, d, rs), _key(3, i), _key(4, s, d)]
+    return by_level(asked, probes, table).withColumnRenamed("found", "crops")
 
 
 def prepare_requests(requests: DataFrame) -> DataFrame:
@@ -191,23 +194,20 @@ def market_quote(requests: DataFrame, quotes: DataFrame, latest: DataFrame) -> D
     """Quote of each distinct (place, crop): by id, state and district, district, state, then the keyed cache.
 
     ``quotes``: canonical_id, state, district, crop, price, ds (any key column
-    may be null).  Newest wins per key, by map-side maximum.
+    may be null).  The newest day wins per key, of a day the dearest quote.  Raw quotes become one number per
+    place, crop and day by a hash aggregation before anything else.
     """
+    c = F.col
+    days = quotes.groupBy("canonical_id", *PLACE, "crop", "ds").agg(F.max("price").alias("price"))
+    keys = F.array(_key(1, c("canonical_id")), _key(2, c("state"), c("district")), _key(3, c("district")), _key(4, c("state")))
+    long = days.select(F.explode(keys).alias("k"), "crop", "ds", "price").select("k.*", "crop", "ds", "price")
+    cached = latest.select(_key(5, c("state")).alias("k"), "crop", "ds", "price").select("k.*", "crop", "ds", "price")
+    whole = long.union(cached).where("k0 IS NOT NULL AND k1 IS NOT NULL")
+    table = whole.groupBy(*KEY, "crop").agg(F.max(F.struct("ds", "price")).alias("value"))
     asked = requests.select("canonical_id", *PLACE, "crop").distinct()
-    entry = F.struct("ds", "price")
-
-    def best(*keys: str) -> DataFrame:
-        return (quotes.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys, "crop")
-                .agg(F.max(entry).alias("q")))
-
-    j = asked
-    for n, keys in enumerate([("canonical_id",), ("state", "district"), ("district",), ("state",)], 1):
-        j = j.join(best(*keys).withColumnRenamed("q", f"q{n}"), [*keys, "crop"], "left")
-    j = j.join(latest.select("state", "crop", F.struct("ds", "price").alias("q5")), ["state", "crop"], "left")
-    level = F.coalesce(*[F.when(F.col(f"q{n}").isNotNull(), F.lit(n)) for n in range(1, 6)])
-    q = F.coalesce(*[F.col(f"q{n}") for n in range(1, 6)])
-    return j.select("canonical_id", *PLACE, "crop", F.coalesce(level, F.lit(0)).cast("bigint").alias("level"),
-                    q["price"].alias("price"), q["ds"].alias("ds"))
+    probes = [_key(1, c("canonical_id")), _key(2, c("state"), c("district")), _key(3, c("district")), _key(4, c("state")), _key(5, c("state"))]
+    found = by_level(asked, probes, table, ["crop"])
+    return found.select("canonical_id", *PLACE, "crop", F.coalesce("level", F.lit(0).cast("bigint")).alias("level"), c("found.price").alias("price"), c("found.ds").alias("ds"))
 
 
 def news_for_crops(requests: DataFrame, events: DataFrame, crop: str = "previous_crop") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from furrow import dims
 from furrow.functions import dates as D
 from furrow.functions import numeric as N
+from furrow.session import cut_lineage
 
 SERIES = ["crop", "state"]
 KEYS = ["ds", "crop", "state"]
@@ -150,30 +151,32 @@ def monthly_seasonality(daily: DataFrame) -> DataFrame:
     return per.select("crop", "month", (F.col("s").cast("double") / F.col("n") / F.lit(100.0)).alias("avg_price"))
 
 
+#: Neighbouring values that are counted together to find where a quantile lies.
+QUANTILE_BIN = 1024
+
+
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, as ``q<percent>`` columns.
+    """Exact linear-interpolated quantiles per group of whole numbers, as ``q<percent>`` columns.
 
-    A value histogram is built first (partial aggregation), so the ordered
-    window sees distinct values only; for prices in cents their number is
-    bounded by the price range, not by the row count.
+    Values are counted, and the counts added up per bin of neighbouring values.  Only these bin totals are
+    put in order, to find the bin that holds a wished position; then the values of that bin alone
+    are.  So no task sorts a group's values, however large the group, and hot groups are counted on the map side.
     """
-    hist = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = hist.select(group, value, F.sum("c").over(upto).alias("hi"),
-                         (F.sum("c").over(upto) - F.col("c")).alias("lo"),
-                         F.sum("c").over(W.partitionBy(group)).alias("n"))
-    aggs = []
-    for p in probs:
-        at = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        below, above = F.floor(at), F.ceil(at)
-        tag = int(round(p * 100))
-        aggs += [F.max(F.when((F.col("lo") <= below) & (below < F.col("hi")), F.col(value))).alias(f"b{tag}"),
-                 F.max(F.when((F.col("lo") <= above) & (above < F.col("hi")), F.col(value))).alias(f"a{tag}"),
-                 F.max(at - below).alias(f"f{tag}")]
-    wide = ranked.groupBy(group).agg(*aggs)
-    return wide.select(group, *[
-        (F.col(f"b{t}") + (F.col(f"a{t}") - F.col(f"b{t}")) * F.col(f"f{t}")).alias(f"q{t}")
-        for t in (int(round(p * 100)) for p in probs)])
+    hist = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("bigint").alias("v")).agg(F.count(F.lit(1)).alias("c")), "histogram")
+    hist = hist.withColumn("bin", F.floor(F.col("v") / F.lit(QUANTILE_BIN)).cast("bigint"))
+    bins = hist.groupBy("g", "bin").agg(F.sum("c").alias("c"))
+    upto = W.partitionBy("g").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    placed = bins.select("g", "bin", (F.sum("c").over(upto) - F.col("c")).alias("lo"), F.sum("c").over(upto).alias("hi"), F.sum("c").over(W.partitionBy("g")).alias("n"))
+    tags = [int(round(p * 100)) for p in probs]
+    at = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs]
+    wished = F.array(*[F.struct(F.lit(f"{side}{t}").alias("name"), f(x).cast("bigint").alias("position")) for t, x in zip(tags, at) for side, f in (("b", F.floor), ("a", F.ceil))])
+    found = placed.select("g", "bin", "lo", "hi", "n", F.inline(wished)).where((F.col("lo") <= F.col("position")) & (F.col("position") < F.col("hi")))
+    inside = W.partitionBy("g", "name").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = hist.join(found, ["g", "bin"]).withColumn("end", F.col("lo") + F.sum("c").over(inside))
+    exact = ranked.where((F.col("end") - F.col("c") <= F.col("position")) & (F.col("position") < F.col("end")))
+    wide = exact.groupBy("g").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == f"{side}{t}", F.col("v"))).alias(f"{side}{t}") for t in tags for side in "ba"])
+    return wide.select(F.col("g").alias(group), *[
+        (F.col(f"b{t}") + (F.col(f"a{t}") - F.col(f"b{t}")) * (x - F.floor(x))).alias(f"q{t}") for t, x in zip(tags, at)])
 
 
 def distribution(daily: DataFrame) -> DataFrame:

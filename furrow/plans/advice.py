@@ -120,17 +120,16 @@ def advice_rejected(spark, sf):
 
 
 def market_quotes(spark, sf):
+    """The newest quote of every crop for every place that customers name."""
     c = F.col
     base = T.cultivation(spark, sf).join(_spots(spark, sf), ["state", "district"]).select(
-        F.col("c_state").alias("state"), F.col("c_district").alias("district"), "crop", "crop_year", "production")
-    base = base.select("state", "district", "crop", F.make_date(c("crop_year").cast("int"), F.lit(1), F.lit(1)).alias("ds"), c("production").cast("double").alias("price"))
-    q = base.where(c("crop").isin("Rice", "Wheat", "Maize", "Onion")).select(
-        F.when(c("crop") == "Rice", F.concat("state", F.lit("::"), "district")).alias("canonical_id"),
-        F.when(c("crop").isin("Wheat", "Onion"), c("state")).alias("state"), F.when(c("crop").isin("Wheat", "Maize"), c("district")).alias("district"), "crop", "ds", "price")
-    latest = base.where(c("crop") == "Potato").groupBy("state", "crop").agg(F.max(F.struct("ds", "price")).alias("m")).select("state", "crop", "m.ds", "m.price")
+        F.concat("c_state", F.lit("::"), "c_district").alias("canonical_id"), c("c_state").alias("state"), c("c_district").alias("district"), "crop",
+        F.make_date(c("crop_year").cast("int"), F.lit(1), F.lit(1)).alias("ds"), c("production").cast("double").alias("price"))
+    days = base.groupBy("state", "crop", "ds").agg(F.max("price").alias("price"))
+    latest = days.groupBy("state", "crop").agg(F.max(F.struct("ds", "price")).alias("m")).select("state", "crop", "m.ds", "m.price")
     crops = F.explode(F.array(*[F.lit(x) for x in T.TYPE_CROPS.values()]))
     asked = _requests(spark, sf).select("canonical_id", "state", "district").distinct().select("*", crops.alias("crop"))
-    return ad.market_quote(asked, q, latest)
+    return ad.market_quote(asked, base, latest)
 
 
 def news_for_requests(spark, sf):
@@ -472,10 +471,9 @@ ORACLES = {
     "advice_rejected": f"WITH {SCORED} SELECT request_id, rank, crop, rejection_stage, rejection_reason FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY crop) AS rank FROM scored WHERE rejection_stage IS NOT NULL) WHERE rank <= 5",
     "market_quotes": f"""WITH {FACTS}, {REQ}, a AS (SELECT DISTINCT canonical_id, state, district, c.crop FROM req, (VALUES {', '.join('(' + S.lit(c) + ')' for c in T.TYPE_CROPS.values())}) c(crop)),
  q AS (SELECT *, make_date(crop_year, 1, 1) AS ds, {D('production')} AS price FROM facts),
- h AS (SELECT a.*, q.ds, q.price, CASE q.crop WHEN 'Rice' THEN 1 WHEN 'Wheat' THEN 2 WHEN 'Maize' THEN 3 WHEN 'Onion' THEN 4 WHEN 'Potato' THEN 5 END AS level FROM a JOIN q ON q.crop = a.crop AND
-  CASE q.crop WHEN 'Rice' THEN q.state = a.state AND q.district = a.district WHEN 'Wheat' THEN q.state = a.state AND q.district = a.district WHEN 'Maize' THEN q.district = a.district
-  WHEN 'Onion' THEN q.state = a.state WHEN 'Potato' THEN q.state = a.state ELSE FALSE END),
- b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical_id, crop ORDER BY ds DESC, price DESC) AS rn FROM h) WHERE rn = 1)
+ h AS (SELECT a.*, q.ds, q.price, CASE WHEN q.state = a.state AND q.district = a.district THEN 1 WHEN q.district = a.district THEN 3 ELSE 4 END AS level
+  FROM a JOIN q ON q.crop = a.crop AND (q.district = a.district OR q.state = a.state)),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical_id, crop ORDER BY level, ds DESC, price DESC) AS rn FROM h) WHERE rn = 1)
  SELECT a.canonical_id, a.state, a.district, a.crop, CAST(coalesce(level, 0) AS BIGINT) AS level, price, ds FROM a LEFT JOIN b ON b.canonical_id = a.canonical_id AND b.crop = a.crop""",
     "news_for_requests": f"""WITH {REQ.replace(S.REQUESTS, S.REQUESTS + ', ' + _AL)}, {S.SIGNALS}, {S.values('sigst', 's, name', SIGNAL_STATES)},
  e AS (SELECT event_id, name AS state, CASE WHEN crop = 'Rice' THEN 'rice (basmati)' ELSE lower(crop) END AS crop FROM signals JOIN sigst ON s = state),

@@ -118,3 +118,31 @@ def test_error_sums_do_not_depend_on_the_order(spark):
     assert n == 500 and abs(mae - sum(e) / n) < 0.006 and abs(rmse - (sum(x * x for x in e) / n) ** 0.5) < 0.006
     assert abs(mape - 100 * sum(x / max(y, 1) for x, (_, y, _) in zip(e, rows)) / n) < 0.006
     assert abs(r2 - (1 - sum(x * x for x in e) / sum((y - mean) ** 2 for _, y, _ in rows))) < 1e-3
+
+
+def test_quotes_fall_back_level_by_level(spark):
+    from furrow.operators import advice as ad
+
+    quotes = [("A::x", "A", "x", "rice", 10.0, 1), ("A::x", "A", "x", "rice", 30.0, 2), ("A::x", "A", "x", "rice", 20.0, 2), (None, "A", "y", "rice", 5.0, 1),
+              (None, None, "Z", "rice", 6.0, 1), (None, "b", None, "rice", 7.0, 1), (None, None, None, "rice", 9.0, 9)]
+    q = spark.createDataFrame([(i, s, d, c, p, DAY + dt.timedelta(k)) for i, s, d, c, p, k in quotes], "canonical_id string, state string, district string, crop string, price double, ds date")
+    latest = spark.createDataFrame([("D", "rice", DAY, 8.0), ("A", "wheat", DAY, 4.0)], "state string, crop string, ds date, price double")
+    asked = [("a::X", "a", "X"), ("A::y", "A", "y"), ("Q::z", "Q", "z"), ("B::n", "B", "n"), ("D::n", "D", "n"), ("E::n", "E", "n"), ("B::n", "B", "n")]
+    r = spark.createDataFrame([(i, s, d, "rice") for i, s, d in asked], "canonical_id string, state string, district string, crop string")
+    got = {x["canonical_id"]: (x["level"], x["price"]) for x in ad.market_quote(r, q, latest).collect()}
+    assert got == {"a::X": (1, 30.0), "A::y": (2, 5.0), "Q::z": (3, 6.0), "B::n": (4, 7.0), "D::n": (5, 8.0), "E::n": (0, None)}
+
+
+def test_quantiles_equal_numpy_with_a_hot_group(spark):
+    import numpy as np
+
+    from furrow.operators import prices
+
+    rng = np.random.default_rng(8)
+    rows = [("hot", int(v)) for v in rng.integers(-50_000, 900_000, 4000)] + [("flat", 7)] * 500 + [("one", -3)] + [("none", None)]
+    got = {r["g"]: r for r in prices.exact_quantiles(spark.createDataFrame(rows, "g string, v bigint"), "g", "v", [0.0, 0.25, 0.5, 0.99, 1.0]).collect()}
+    assert set(got) == {"hot", "flat", "one"}
+    for g in got:
+        values = [v for h, v in rows if h == g]
+        for p in (0.0, 0.25, 0.5, 0.99, 1.0):
+            assert abs(got[g][f"q{int(round(p * 100))}"] - np.quantile(values, p)) < 1e-6
