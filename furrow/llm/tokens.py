@@ -31,6 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -51,8 +52,6 @@ LEVEL = 3
 #: Words whose ids a task remembers before it starts afresh.
 REMEMBERED_WORDS = 300_000
 
-#: str.split parts words at these, the tokenizer does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Letters that lower-casing and normalizing keep single, then ASCII punctuation.
 LETTERS_THEN_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 PLAIN_LETTERS = re.compile("[a-zß-öø-ÿ]+")
@@ -61,7 +60,6 @@ PLAIN_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELLED = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 BYTE_LETTERS = {c: "".join(SPELLED[b] for b in chr(c).encode()) for c in range(0xDF, 0x100) if chr(c).isalpha()}
-ASCII_WORD = re.compile(r"[^ \t-\r]+")
 
 MANIFEST = "file string, number int, docs long, ids long, bytes long"
 
@@ -118,29 +116,33 @@ class WordEncoder:
             out.append(ids)
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and the n + 1 bounds."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the n + 1 bounds.  Null counts as empty."""
         if len(self.place) > REMEMBERED_WORDS:
             self.forget()
-        words = [ASCII_WORD.findall(t) if SEPARATORS.search(t) else t.split() for t in (t or "" for t in texts)]
-        flat = [w for of in words for w in of]
-        known = self.place
-        at = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
+        # Words between ASCII white space; the empty ones at a text's ends go.
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat = lists.flatten()
+        solid = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+        words = flat.filter(pa.array(solid)).dictionary_encode()
+        known, different = self.place, words.dictionary.to_pylist()
+        at = np.fromiter(map(known.get, different, repeat(-1)), np.int64, len(different))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            new = list(dict.fromkeys(flat[i] for i in missing))
+            new = [different[i] for i in missing]
             found = self.new_words(new)
+            at[missing] = np.arange(len(known), len(known) + len(new))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
             self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
-            at[missing] = [known[flat[i]] for i in missing]
+        at = at[words.indices.to_numpy()]
         start, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(start - (ends - size), size)]
-        last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        return ids, np.concatenate(([0], np.concatenate(([0], ends))[last]))
+        last = np.concatenate(([0], np.cumsum(solid)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return ids, np.concatenate(([0], ends))[last]
 
 
 @lru_cache(maxsize=1)
@@ -258,7 +260,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
             if writer is None:
                 sink = store.open_output_stream(f"{base}/{name}", compression=None)
                 writer = FrameWriter(sink)
-            ids, bounds = encoder.encode(piece.column("text").to_pylist())
+            ids, bounds = encoder.encode(piece.column("text"))
             raw = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4").tobytes()
             ends = (bounds + np.arange(len(bounds))).tolist()
             for k, doc_id in enumerate(piece.column("doc_id").to_pylist()):

@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import zstandard
@@ -23,7 +24,7 @@ def test_words_encode_as_whole_texts(texts):
     encoder = tokens.WordEncoder(Q.vocabulary())
     sample = [t for _, t in texts] + ODD
     for _ in range(2):  # new words, then remembered ones
-        ids, bounds = encoder.encode(sample)
+        ids, bounds = encoder.encode(pa.array(sample, pa.string()))
         assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:], strict=True)] == ids_of(sample)
 
 
