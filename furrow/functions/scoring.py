@@ -133,6 +133,7 @@ def growable(crop: Column, zone: Column, ndvi: Column | None = None, moisture: C
             .when(dry & thirsty, verdict(False, F.lit("high"), "TOO_DRY")).otherwise(verdict(True, known, "SUITABLE")))
 
 
+# The limits of the soil rules below are fixed values.
 def soil_type(ph: Column, clay: Column, sand: Column, carbon: Column, lat: Column, lon: Column) -> Column:
     """Soil type from measured properties; ordered rules, first that holds."""
     return (F.when((lat >= 28.5) & (clay < 25) & (sand < 50), "Mountain Soil")

@@ -155,3 +155,20 @@ def validate_outlook_requests(requests: DataFrame, crops: Sequence[str] = tuple(
     rules = [("CROP_NOT_SUPPORTED", ~X.key(F.col("crop")).isin(*crops)),
              ("HORIZON_NOT_SUPPORTED", ~F.col("horizon_days").isin(*horizons))]
     return requests.withColumn("invalid_reason", _reason(rules))
+
+
+def latest_plain_batch(raw: DataFrame, as_of: Column, by: Sequence[str] = ("commodity",)) -> DataFrame:
+    """Mean of the readable prices of the latest arrival day per key, with the age of that day.
+
+    Only texts of digits with at most one dot are prices; a key whose latest day has none is
+    absent, as is one without a readable day.  Days are summed first, so a key with very many records is one row a
+    task and day.
+    """
+    r = unify_fields(raw)
+    parsed = settle(r, *[F.trim(k).alias(k) for k in by], D.parse_date(F.col("arrival_date"), dims.OBSERVATION_DATE_FORMATS).alias("ds"),
+                    F.when(N.plain_number(F.col("modal_price")), N.cents(F.col("modal_price").try_cast("double"))).alias("cents"))
+    days = parsed.where(F.col("ds").isNotNull()).groupBy(*by, "ds").agg(F.sum("cents").alias("s"), F.count("cents").alias("n"))
+    last = days.groupBy(*by).agg(F.max_by(F.struct("ds", "s", "n"), "ds").alias("b")).where("b.n > 0")
+    age = D.age_days(as_of, F.col("b.ds"))
+    return last.select(*by, F.col("b.ds").alias("ds"), F.col("b.n").alias("prices"), N.round_to(F.col("b.s").cast("double") / F.col("b.n") / F.lit(100.0), 2).alias("avg_price"),
+                       age.cast("bigint").alias("data_age_days"), D.ladder(age, "market").alias("freshness_label"))

@@ -321,6 +321,57 @@ def decide(outlook: DataFrame, crop_name: Column | None = None) -> DataFrame:
     return rules.withColumn("recommendation_reason", decision_reason(F.col("recommendation"), F.col("plain_recommendation"), cur, pred, ch, age, F.col("event")))
 
 
+# Sentences of the advisory action, the storage decision and the reasons list.  Fixed values.
+ADVICE_NONE = "A reliable 30-day price forecast is currently unavailable for this crop."
+ADVICE_NO_PRICE = "Current mandi price is unavailable. Cannot generate a market decision without a confirmed price reference."
+ADVICE_DOWN = ("Forecast indicates a price decline of approximately ", "% over the next 30 days. Selling now minimizes downside risk.")
+ADVICE_UP = ("Prices are forecast to appreciate by approximately ", "% over the next 30 days. Holding may capture higher value.")
+ADVICE_FLAT = ("Price is expected to remain stable within ±", "%. Monitor market developments.")
+STORAGE_UP = ("Predicted price increase (", "%) significantly exceeds estimated 30-day storage costs (", "%). Holding inventory is profitable.")
+STORAGE_DOWN = ("Predicted price decrease (", "%) indicates an downward market. Selling immediately is recommended to lock in current market prices.")
+STORAGE_FLAT = ("Predicted price change (", "%) does not yield net gain after accounting for estimated 30-day holding and storage decay costs (", "%). Selling recommended.")
+TREND_UP = ("Historical trend analysis indicates an UPWARD trajectory (+", "% expected over 30 days).")
+TREND_DOWN = ("Historical trend analysis indicates a DOWNWARD trajectory (", "% expected over 30 days).")
+TREND_FLAT = ("Historical trend analysis indicates a STABLE price pattern (", "% 30-day forecast variance).")
+GAIN_HOLD = ("Net gain after 30-day storage costs (", "%) is estimated at +", "%.")
+GAIN_SELL = ("Holding crop for 30 days incurs an estimated ", "% storage & shrink cost, yielding net gain of ", "%.")
+SEASON_TEXTS = {("Wheat", "Potato"): " pricing reflects Winter Season harvest market patterns based on 6-year history.",
+                ("Rice", "Maize"): " pricing reflects Rainy Season crop arrival cycles based on 6-year history."}
+SEASON_OTHER = " displays historical seasonal trading behavior in national agricultural markets."
+CLIMATE_TEXT = ("Regional climate proxy conditions (", "°C avg temp, ", "mm monthly rainfall) align with standard seasonal supply expectations.")
+
+
+def _sentence(parts: Sequence[str], *values: Column) -> Column:
+    """Texts and values in turn."""
+    pieces = [x for pair in zip(map(F.lit, parts), values) for x in pair]
+    return F.concat(*pieces, *map(F.lit, parts[len(values):]))
+
+
+def decision_reasons(decisions: DataFrame, crop_name: Column, storage: float = 2.0) -> DataFrame:
+    """Why the advisory action and the storage decision are what they are, and the list of reasons.
+
+    ``decisions`` as ``decide`` returns them, with ``avg_temp`` and ``total_rainfall`` of the target month (null: no
+    climate reason).  Without a forecast there is no storage reason and no list.
+    """
+    ch, gain, action = F.col("change_percent"), F.col("net_gain_percent"), F.col("advisory_action")
+    plain, signed = (lambda c: F.format_string("%.1f", N.round_to(c, 1))), (lambda c: F.format_string("%+.1f", N.round_to(c, 1)))
+    cost = F.lit(f"{storage:.1f}")
+    moved = plain(F.abs(R.change_pct(F.when(F.col("current_price") > 0, F.col("current_price")), F.col("predicted_price"))))
+    advice = (F.when(~F.col("available"), F.lit(ADVICE_NONE)).when(action.isNull(), F.lit(ADVICE_NO_PRICE)).when(action == "SELL", _sentence(ADVICE_DOWN, moved))
+              .when(action == "HOLD", _sentence(ADVICE_UP, moved)).otherwise(_sentence(ADVICE_FLAT, moved)))
+    keep = (F.when(ch > 5.0, _sentence(STORAGE_UP, signed(ch), cost)).when(ch < -5.0, _sentence(STORAGE_DOWN, plain(ch))).otherwise(_sentence(STORAGE_FLAT, signed(ch), cost)))
+    direction = R.trend_direction(ch)
+    trend = F.when(direction == "UPWARD", _sentence(TREND_UP, plain(ch))).when(direction == "DOWNWARD", _sentence(TREND_DOWN, plain(ch))).otherwise(_sentence(TREND_FLAT, signed(ch)))
+    held = F.when(F.col("storage_decision") == "HOLD", _sentence(GAIN_HOLD, cost, plain(gain))).otherwise(_sentence(GAIN_SELL, cost, signed(gain)))
+    season = F.lit(SEASON_OTHER)
+    for crops, text in SEASON_TEXTS.items():
+        season = F.when(crop_name.isin(*crops), F.lit(text)).otherwise(season)
+    climate = _sentence(CLIMATE_TEXT, plain(F.col("avg_temp")), plain(F.col("total_rainfall")))
+    reasons = F.array_compact(F.array(trend, held, F.concat(crop_name, season), climate))
+    known = F.col("available") & ch.isNotNull()
+    return decisions.select("crop", "state", "advisory_action", advice.alias("advisory_reason"), "storage_decision", F.when(known, keep).alias("storage_reason"), F.when(known, reasons).alias("reasons"))
+
+
 def decision_breakdown(decisions: DataFrame) -> DataFrame:
     """Decisions and scopes per crop."""
     d, s = F.col("recommendation"), F.col("forecast_scope")
@@ -352,6 +403,13 @@ def extreme_forecasts(decisions: DataFrame, bound: float) -> DataFrame:
     return decisions.where(F.abs("change_percent") > bound).select("crop", "state", "current_price", "predicted_price", "change_percent")
 
 
+def forecast_spikes(forecasts: DataFrame, factor: float = 3.5) -> DataFrame:
+    """First and highest step of each series, and whether any step is beyond ``factor`` times the first or not positive."""
+    y = F.col("yhat")
+    g = forecasts.groupBy(*SERIES).agg(F.min_by(y, "step").alias("first_price"), F.max(y).alias("highest_price"), F.min(y).alias("lowest_price"))
+    return g.select(*SERIES, "first_price", "highest_price", "lowest_price", (F.col("highest_price") > F.col("first_price") * F.lit(factor)).alias("spike"), (F.col("lowest_price") <= 0).alias("not_positive"))
+
+
 def decision_compliance(decisions: DataFrame, wide: Sequence[str] = ()) -> DataFrame:
     """Decisions that differ from what prices and ages alone ask for, per crop.
 
@@ -385,19 +443,24 @@ def rupee_text(c: Column) -> Column:
     return F.format_number(N.whole(c), 0)
 
 
+# Sentences of the price analysis.  Fixed values.
+PRICE_HEAD = ("Mandi price at ", " was Rs.", "/quintal (", "). ")
+PRICE_SELL = ("The 30-day forecast projects a price decline of ", "% to Rs.", "/quintal. Selling now minimizes downside price risk.")
+PRICE_HOLD = ("The 30-day forecast projects price appreciation of ", "% to Rs.", "/quintal. Holding may capture higher value.")
+PRICE_WAIT = ("The 30-day forecast projects stable prices around Rs.", "/quintal (", "% change).")
+PRICE_NONE = "A reliable 30-day price forecast is currently unavailable for this crop."
+
+
 def price_texts(decisions: DataFrame, market: str = "market") -> DataFrame:
     """Plain sentence for each outlook; no scores or model names."""
     cur, pred = F.col("current_price"), F.col("predicted_price")
     ch = N.round_to(F.col("change_percent"), 1)
-    head = F.concat(F.lit("Mandi price at "), F.col(market), F.lit(" was Rs."), rupee_text(cur), F.lit("/quintal ("), F.date_format("observation_date", "dd-MM-yyyy"), F.lit("). "))
+    head = _sentence(PRICE_HEAD, F.col(market), rupee_text(cur), F.date_format("observation_date", "dd-MM-yyyy"))
     action = F.col("recommendation")
-    text = (F.when(action == "SELL", F.concat(head, F.lit("The 30-day forecast projects a price decline of "), F.format_string("%.1f", F.abs(ch)), F.lit("% to Rs."),
-                                              rupee_text(pred), F.lit("/quintal. Selling now minimizes downside price risk.")))
-            .when(action == "HOLD", F.concat(head, F.lit("The 30-day forecast projects price appreciation of "), F.format_string("%+.1f", ch), F.lit("% to Rs."),
-                                             rupee_text(pred), F.lit("/quintal. Holding may capture higher value.")))
-            .when(action == "WAIT", F.concat(head, F.lit("The 30-day forecast projects stable prices around Rs."), rupee_text(pred), F.lit("/quintal ("),
-                                             F.format_string("%+.1f", ch), F.lit("% change).")))
-            .otherwise(F.lit("A reliable 30-day price forecast is currently unavailable for this crop.")))
+    text = (F.when(action == "SELL", F.concat(head, _sentence(PRICE_SELL, F.format_string("%.1f", F.abs(ch)), rupee_text(pred))))
+            .when(action == "HOLD", F.concat(head, _sentence(PRICE_HOLD, F.format_string("%+.1f", ch), rupee_text(pred))))
+            .when(action == "WAIT", F.concat(head, _sentence(PRICE_WAIT, rupee_text(pred), F.format_string("%+.1f", ch))))
+            .otherwise(F.lit(PRICE_NONE)))
     return decisions.withColumn("analysis", text)
 
 

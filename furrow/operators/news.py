@@ -253,3 +253,9 @@ def price_queries(pairs: DataFrame) -> DataFrame:
                       F.concat(st, lit(" "), cr, lit(" market arrival")), F.concat(cr, lit(" export import policy India")),
                       F.concat(cr, lit(" MSP weather risk "), st))
     return pairs.select(*pairs.columns, F.posexplode(phrases).alias("position", "query"))
+
+
+def signal_freshness(signals: DataFrame) -> DataFrame:
+    """Signals per source and freshness class, with the youngest age of each."""
+    fresh = D.ladder(F.greatest(F.col("age_days"), F.lit(0)), "signal")
+    return signals.groupBy("source_name", fresh.alias("freshness_status")).agg(F.count(F.lit(1)).alias("signals"), F.min("age_days").alias("youngest_days"))

@@ -128,6 +128,24 @@ def resolve_aliases(places: DataFrame, district: str = "district", state: str =
                     r["alias_state"].alias("canonical_state"), hit.isNotNull().alias("alias_hit"))
 
 
+#: Names that differ only in case or accents are equal, in any script; letters of other scripts stay what they are.
+SAME_NAME = "UNICODE_CI_AI"
+
+
+def resolve_spellings(places: DataFrame, spellings: DataFrame, district: str = "district") -> DataFrame:
+    """Canonical id of each distinct name whose spelling is listed, whatever its case, accents or script.
+
+    ``spellings``: spelling, canonical_id, ord.  Names are compared by collation, so nothing is dropped or
+    rewritten, and an equality join does it; of several listed spellings the least ``ord`` counts.
+    Unlisted, blank and null names have a null id.
+    """
+    n = places.select(F.col(district).alias("q")).distinct()
+    on = F.collate(F.trim("q"), SAME_NAME) == F.collate(F.trim("spelling"), SAME_NAME)
+    listed = spellings.where(F.trim("spelling") != "")
+    best = n.join(listed, on).groupBy("q").agg(F.min_by("canonical_id", "ord").alias("canonical_id")).withColumnRenamed("q", "b")
+    return n.join(best, F.col("q").eqNullSafe(F.col("b")), "left").select(F.col("q").alias(district), "canonical_id")
+
+
 def token_overlap(names: DataFrame, master: DataFrame, least: float = 0.4) -> DataFrame:
     """Best master name by word overlap (Jaccard of the word sets) within the same state.
 

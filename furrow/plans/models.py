@@ -73,12 +73,19 @@ def stratified_folds(spark, sf):
 
 
 def class_probabilities(spark, sf):
-    folded = md.stratified_folds(T.class_rows(spark, sf))
+    folded = cut_lineage(md.stratified_folds(T.class_rows(spark, sf)), "folds")
     return md.class_probabilities(folded.where("fold <> 0"), folded.where("fold = 0"), COLUMNS, "vec_id")
 
 
 def classifier_cross_validation(spark, sf):
-    return md.cross_validate(md.stratified_folds(T.class_rows(spark, sf)), COLUMNS)
+    """The ten scans of the fold table read it as stored."""
+    return md.cross_validate(cut_lineage(md.stratified_folds(T.class_rows(spark, sf)), "folds"), COLUMNS)
+
+
+def forest_report(spark, sf):
+    """Precision, recall, F1 and support per class of the fitted forest on the fold it was not fitted on."""
+    called = class_probabilities(spark, sf).where(F.col("candidate") == F.col("predicted"))
+    return md.class_report(called)
 
 
 def _called(spark, sf):
@@ -102,7 +109,7 @@ def confusion_matrix(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     ridge_models, ridge_holdout, ridge_forecast, tree_holdout, tree_forecast, tree_grid_search, stratified_folds, class_probabilities,
-    classifier_cross_validation, classification_report, classification_summary, confusion_matrix]}
+    classifier_cross_validation, forest_report, classification_report, classification_summary, confusion_matrix]}
 
 # ------------------------------------------------------------------ check SQL
 _CALLED = """called AS (SELECT CAST(label AS VARCHAR) AS label, CAST((label + CASE WHEN CAST(embedding[1] AS DOUBLE) > 0.05 AND embedding[2] < 0 THEN 1

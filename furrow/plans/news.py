@@ -121,6 +121,10 @@ def signal_verification(spark, sf):
     return news.verify_signals(T.signals(spark, sf))
 
 
+def signal_freshness(spark, sf):
+    return news.signal_freshness(T.signals(spark, sf))
+
+
 def signal_verification_by_day(spark, sf):
     """Finer groups, so that single-source and stale groups occur too."""
     s = T.signals(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
@@ -147,23 +151,34 @@ def price_search_queries(spark, sf):
 
 
 def feed_items(spark, sf):
-    """Pages wrapped as feed payloads of both dialects, parsed back and cleaned."""
+    """Whole pages wrapped as feed payloads of both dialects, an item per paragraph, parsed back and cleaned."""
+    def safe(c):
+        return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    safe = F.replace(F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    link = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
-    rss = F.concat(F.lit("<rss><channel><item><title>"), safe, F.lit("</title><link>"), link, F.lit("</link></item></channel></rss>"))
-    atom = F.concat(F.lit("<feed><entry><title>"), safe, F.lit("</title><link href=\""), link, F.lit("\"/></entry></feed>"))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 90).cast("int")), "yyyy-MM-dd")
+
+    def numbered(c, k, before):
+        return F.when(k == 0, c).otherwise(F.concat(c, F.lit(before), k.cast("string")))
+
+    def item(part, k):
+        head, link, body = safe(numbered(title, k, " ")), safe(numbered(F.col("url"), k, "#p")), safe(part)
+        rss = F.concat(F.lit("<item><title>"), head, F.lit("</title><description>"), body, F.lit("</description><link>"), link, F.lit("</link><pubDate>"), day, F.lit("</pubDate></item>"))
+        atom = F.concat(F.lit("<entry><title>"), head, F.lit("</title><summary>"), body, F.lit("</summary><link href=\""), link, F.lit("\"/><published>"), day, F.lit("</published></entry>"))
+        return F.when(F.col("page_id") % 3 == 0, atom).otherwise(rss)
+
+    items = F.array_join(F.transform(F.split("html", "<p>", -1), item), "")
+    rss, atom = F.concat(F.lit("<rss><channel>"), items, F.lit("</channel></rss>")), F.concat(F.lit("<feed>"), items, F.lit("</feed>"))
     p = T.table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, atom).otherwise(rss).alias("payload"))
-    items = news.feed_items(p, keep=["page_id"])
-    t = X.strip_markup(F.col("title"))
-    return items.select("page_id", t.alias("title"), "link").where(F.col("title") != "").select(
-        "page_id", "title", "link", X.content_id("ART_", F.col("title"), F.col("link")).alias("article_id"))
+    parsed = news.feed_items(p, keep=["page_id"])
+    clean = parsed.select("page_id", X.strip_markup(F.col("title")).alias("title"), X.strip_markup(F.col("description")).alias("description"), "link", "pub_date")
+    return clean.where(F.col("title") != "").withColumn("article_id", X.content_id("ART_", F.col("title"), F.col("link")))
 
 
 QUERIES = {f.__name__: f for f in [
     clean_articles, article_store, event_classes, news_events, event_clusters, tagged_events, verification_totals,
     current_intelligence, source_targets, source_audit, source_audit_totals, source_credibility, signal_verification,
-    signal_verification_by_day, signal_scope_weights, search_queries, price_search_queries, feed_items]}
+    signal_verification_by_day, signal_freshness, signal_scope_weights, search_queries, price_search_queries, feed_items]}
 
 # ------------------------------------------------------------------ check SQL
 ARTICLES = S.ARTICLES_RAW + f""",
@@ -277,6 +292,11 @@ ORACLES = {
     "price_search_queries": f"""WITH {S.REQUESTS}, p AS (SELECT DISTINCT state, previous_crop AS crop FROM requests),
  q AS (SELECT *, trim(state) AS st, coalesce(trim(crop), 'crop') AS cr FROM p)
  {' UNION ALL '.join(f"SELECT state, crop, CAST({i} AS BIGINT) AS position, {e} AS query FROM q" for i, e in enumerate(["st || ' ' || cr || ' price news'", "st || ' ' || cr || ' mandi rates'", "st || ' ' || cr || ' market arrival'", "cr || ' export import policy India'", "cr || ' MSP weather risk ' || st"]))}""",
-    "feed_items": f"""WITH p AS (SELECT page_id, {S.strip_markup("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, url AS link FROM pages)
- SELECT page_id, title, link, 'ART_' || substr(sha256(title || link), 1, 16) AS article_id FROM p WHERE title <> ''""",
+    "signal_freshness": f"""WITH {S.SIGNALS} SELECT source_name, CASE WHEN greatest(age_days, 0) <= 14 THEN 'FRESH' WHEN greatest(age_days, 0) <= 60 THEN 'RECENT' ELSE 'STALE' END AS freshness_status,
+ count(*) AS signals, min(age_days) AS youngest_days FROM signals GROUP BY 1, 2""",
+    "feed_items": f"""WITH q AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t, url, string_split(html, '<p>') AS parts FROM pages),
+ u AS (SELECT page_id, t, url, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS k FROM q),
+ p AS (SELECT page_id, {S.strip_markup("CASE WHEN k = 0 THEN t ELSE t || ' ' || k END")} AS title, {S.strip_markup('part')} AS description, CASE WHEN k = 0 THEN url ELSE url || '#p' || k END AS link,
+  strftime(DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER), '%Y-%m-%d') AS pub_date FROM u)
+ SELECT page_id, title, description, link, pub_date, 'ART_' || substr(sha256(title || link), 1, 16) AS article_id FROM p WHERE title <> ''""",
 }

@@ -135,6 +135,13 @@ def price_decisions(spark, sf):
     return decisions(spark, sf)
 
 
+def decision_reasons(spark, sf):
+    """Reasons of the advisory action and the storage decision, with the climate of the forecast's last month."""
+    d = decisions(spark, sf).withColumn("year", F.year(F.date_add(_cut(), 29)).cast("bigint")).withColumn("month", F.month(F.date_add(_cut(), 29)).cast("bigint"))
+    r = fc.decision_reasons(ft.climate_lookup(d, T.climate_history(spark, sf)), X.lookup(F.col("crop"), {t.lower(): n for t, n in T.TYPE_CROPS.items()}))
+    return r.withColumn("reasons", F.array_join("reasons", " | "))
+
+
 def decision_breakdown(spark, sf):
     return fc.decision_breakdown(decisions(spark, sf))
 
@@ -153,6 +160,10 @@ def extreme_forecasts(spark, sf):
     return fc.extreme_forecasts(decisions(spark, sf), 40.0)
 
 
+def forecast_spikes(spark, sf):
+    return fc.forecast_spikes(path_rows(spark, sf))
+
+
 def decision_compliance(spark, sf):
     return fc.decision_compliance(decisions(spark, sf), WIDE)
 
@@ -187,7 +198,7 @@ def public_results(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     baseline_metrics, best_model, model_comparison, recursive_forecast, horizon_metrics, forecast_summary, trend_statistics, forecast_bands,
-    candidate_gate, price_decisions, decision_breakdown, identical_forecasts, state_specificity, extreme_forecasts, decision_compliance,
+    candidate_gate, price_decisions, decision_reasons, decision_breakdown, identical_forecasts, state_specificity, extreme_forecasts, forecast_spikes, decision_compliance,
     forecast_grid, quality_matrix, forecast_confidence, price_texts, public_results]}
 
 # ------------------------------------------------------------------ check SQL
@@ -271,6 +282,22 @@ _MEAN = lambda k: S.rnd(f"CAST(CAST(sum({S.whole('yhat * 100.0')}) FILTER (step
 _HF = f"CASE WHEN horizon <= 7 THEN {D(1)} WHEN horizon <= 15 THEN {D(0.95)} WHEN horizon <= 30 THEN {D(0.9)} WHEN horizon <= 60 THEN {D(0.8)} ELSE {D(0.7)} END"
 _AF = f"CASE WHEN data_age_days < 1 THEN {D(1)} WHEN data_age_days <= 3 THEN {D(0.95)} WHEN data_age_days <= 7 THEN {D(0.85)} ELSE {D(0.7)} END"
 
+def _text(parts, *values) -> str:
+    return " || ".join([x for pair in zip(map(S.lit, parts), values) for x in pair] + [S.lit(x) for x in parts[len(values):]])
+
+
+_p1, _s1 = (lambda e: f"printf('%.1f', {S.rnd(e, 1)})"), (lambda e: f"printf('%+.1f', {S.rnd(e, 1)})")
+_TITLE = S.case_map("crop", {t.lower(): n for t, n in T.TYPE_CROPS.items()})
+_REASONS = f"""WITH {OUTLOOK}, {PF._LEVELS}, x AS (SELECT *, {_TITLE} AS title, CAST(year(DATE '{T.SPLIT_DATE}' + 29) AS BIGINT) AS year, CAST(month(DATE '{T.SPLIT_DATE}' + 29) AS BIGINT) AS month,
+  abs((predicted_price - current_price) / current_price * {D(100)}) AS moved, change_percent AS cp, net_gain_percent AS ng FROM decs), y AS (SELECT x.*, {PF._CLIMATE_COLS} FROM x {PF._CLIMATE_JOIN})
+ SELECT crop, state, advisory_action, CASE WHEN NOT available THEN {S.lit(fc.ADVICE_NONE)} WHEN advisory_action IS NULL THEN {S.lit(fc.ADVICE_NO_PRICE)} WHEN advisory_action = 'SELL' THEN {_text(fc.ADVICE_DOWN, _p1('moved'))}
+  WHEN advisory_action = 'HOLD' THEN {_text(fc.ADVICE_UP, _p1('moved'))} ELSE {_text(fc.ADVICE_FLAT, _p1('moved'))} END AS advisory_reason, storage_decision,
+ CASE WHEN NOT available OR cp IS NULL THEN NULL WHEN cp > 5 THEN {_text(fc.STORAGE_UP, _s1('cp'), "'2.0'")} WHEN cp < -5 THEN {_text(fc.STORAGE_DOWN, _p1('cp'))} ELSE {_text(fc.STORAGE_FLAT, _s1('cp'), "'2.0'")} END AS storage_reason,
+ CASE WHEN available AND cp IS NOT NULL THEN array_to_string([CASE WHEN cp > 2 THEN {_text(fc.TREND_UP, _p1('cp'))} WHEN cp < -2 THEN {_text(fc.TREND_DOWN, _p1('cp'))} ELSE {_text(fc.TREND_FLAT, _s1('cp'))} END,
+  CASE WHEN storage_decision = 'HOLD' THEN {_text(fc.GAIN_HOLD, "'2.0'", _p1('ng'))} ELSE {_text(fc.GAIN_SELL, "'2.0'", _s1('ng'))} END,
+  title || CASE {' '.join(f"WHEN title IN ({', '.join(map(S.lit, c))}) THEN {S.lit(t)}" for c, t in reversed(fc.SEASON_TEXTS.items()))} ELSE {S.lit(fc.SEASON_OTHER)} END,
+  {_text(fc.CLIMATE_TEXT, _p1('avg_temp'), _p1('total_rainfall'))}], ' | ') END AS reasons FROM y"""
+
 ORACLES = {
     "baseline_metrics": f"WITH {HOLD} SELECT * FROM metrics",
     "best_model": f"""WITH {HOLD}, o AS (SELECT crop, model, mae, row_number() OVER (PARTITION BY crop ORDER BY mae, model) AS rn FROM metrics WHERE model <> 'naive_lag1'),
@@ -300,6 +327,7 @@ ORACLES = {
  r AS (SELECT m.*, CASE WHEN NOT coalesce(c, FALSE) THEN 'FORECAST_INCOMPLETE' WHEN NOT p THEN 'NON_POSITIVE_PRICE' WHEN NOT k THEN 'EXTREME_SPIKE' WHEN candidate_mae > production_mae * {D(1.1)} THEN 'WORSE_THAN_PRODUCTION' ELSE 'PASSED' END AS reason FROM m LEFT JOIN pc ON pc.crop = m.crop)
  SELECT crop, CASE WHEN reason = 'PASSED' THEN 'PROMOTE' ELSE 'REJECT' END AS decision, reason, candidate_mae, production_mae FROM r""",
     "price_decisions": f"WITH {OUTLOOK} SELECT * FROM decs",
+    "decision_reasons": _REASONS,
     "decision_breakdown": f"""WITH {OUTLOOK} SELECT crop, count(*) AS total, count(*) FILTER (recommendation = 'SELL') AS sell, count(*) FILTER (recommendation = 'HOLD') AS hold, count(*) FILTER (recommendation = 'WAIT') AS wait,
  count(*) FILTER (forecast_scope = 'STATE_CROP') AS state_crop, count(*) FILTER (forecast_scope <> 'STATE_CROP') AS fallback FROM decs GROUP BY 1""",
     "identical_forecasts": f"""WITH {OUTLOOK} SELECT crop, {S.rnd(S.rnd('predicted_price / ' + D(100), 0) + ' * ' + D(100), 1)} AS price, count(*) AS state_count, string_agg(state, ',' ORDER BY state) AS states,
@@ -307,6 +335,7 @@ ORACLES = {
     "state_specificity": f"""WITH {OUTLOOK}, g AS (SELECT crop, count(*) AS total_predictions, count(DISTINCT {S.rnd('predicted_price', 0)}) AS unique_rounded_values, min(predicted_price) AS min_predicted, max(predicted_price) AS max_predicted FROM decs GROUP BY 1)
  SELECT *, {S.rnd('unique_rounded_values * ' + D(100) + ' / total_predictions', 1)} AS pct_state_specific, {S.rnd('max_predicted - min_predicted', 2)} AS state_price_range FROM g""",
     "extreme_forecasts": f"WITH {OUTLOOK} SELECT crop, state, current_price, predicted_price, change_percent FROM decs WHERE abs(change_percent) > 40",
+    "forecast_spikes": f"WITH {PATH_ROWS}, g AS (SELECT crop, state, min_by(yhat, step) AS first_price, max(yhat) AS highest_price, min(yhat) AS lowest_price FROM pr GROUP BY 1, 2) SELECT *, highest_price > first_price * {D(3.5)} AS spike, lowest_price <= 0 AS not_positive FROM g",
     "decision_compliance": f"WITH {OUTLOOK} SELECT crop, count(*) AS checked, count(*) FILTER (recommendation IS DISTINCT FROM plain_recommendation) AS mismatches FROM decs GROUP BY 1",
     "forecast_grid": f"WITH {OUTLOOK} SELECT state, " + ", ".join(f"max(recommendation) FILTER (crop = '{t.lower()}') AS {t.lower()}" for t in T.TYPE_CROPS) + " FROM decs GROUP BY 1",
     "quality_matrix": f"""WITH {FITTED}, {PATHS}, {PR.GRID} SELECT g.state, g.crop, record_count, CASE WHEN record_count >= 200 THEN 'STATE_CROP_MODEL' WHEN record_count >= 50 THEN 'STATE_AWARE_FALLBACK' ELSE 'CROP_LEVEL_FALLBACK' END AS forecast_tier,

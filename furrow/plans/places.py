@@ -58,6 +58,21 @@ def district_containment(spark, sf):
     return pl.match_names(v, m).select("name", F.col("match_level").cast("bigint").alias("match_level"), "key", "canonical_id")
 
 
+# Spellings in two scripts: fixed values.
+SPELLINGS = [(1, "Nagpur", "Maharashtra::Nagpur"), (2, "नागपुर", "Maharashtra::Nagpur"), (3, "Kutch", "Gujarat::Kutch"), (4, "कच्छ", "Gujarat::Kutch"),
+             (5, "East Godavari", "Andhra Pradesh::East Godavari"), (6, "पूर्वी गोदावरी", "Andhra Pradesh::East Godavari"), (7, "Mysore District", "Karnataka::Mysuru"), (8, "मैसूर", "Karnataka::Mysuru")]
+DEVANAGARI = {"Nagpur": "नागपुर", "Kutch": "कच्छ", "East Godavari": "पूर्वी गोदावरी", "Mysore District": "मैसूर"}
+
+
+def district_spellings(spark, sf):
+    """District names as spelled, accented or in Devanagari, with their canonical ids."""
+    s = spark.createDataFrame(SPELLINGS, "ord bigint, spelling string, canonical_id string")
+    r = T.requests(spark, sf)
+    native = X.lookup(F.col("district"), DEVANAGARI)
+    v = variants(spark, sf).select("district").union(r.select(F.coalesce(native, "district")))
+    return pl.resolve_spellings(v, s)
+
+
 # Top crops and soils by district and by state: fixed values.
 RANKED_DISTRICTS = [(1, "Mysuru", "Karnataka", "Rice,Ragi,Sugarcane", "Red Soil"), (2, "Nagpur", "Maharashtra", "Orange,Cotton,Soybean", "Black Soil"),
                     (3, "East Godavari", "Andhra Pradesh", "Rice,Coconut", "Coastal Alluvial Soil"), (4, "Kutch", "Gujarat", "Cotton,Groundnut", "Desert Soil")]
@@ -130,7 +145,7 @@ def sampled_districts(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    place_names_folded, alias_resolution, district_containment, district_ranking, token_overlap, canonical_districts, location_zone,
+    place_names_folded, alias_resolution, district_containment, district_spellings, district_ranking, token_overlap, canonical_districts, location_zone,
     location_soil, crop_guidance, crop_labels, unresolved_names, district_page, sampled_districts]}
 
 # ------------------------------------------------------------------ check SQL
@@ -189,6 +204,9 @@ ORACLES = {
  h AS (SELECT name, CASE WHEN name = lower(m.district) THEN 0 ELSE 1 END AS match_level, lower(m.district) AS key, canonical_id, ord
   FROM n JOIN master m ON contains(name, lower(m.district)) OR contains(lower(m.district), name))
  SELECT name, CAST(match_level AS BIGINT) AS match_level, key, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY match_level, ord) AS rn FROM h) WHERE rn = 1""",
+    "district_spellings": f"""WITH {VARIANTS}, {S.values('sp', 'ord, spelling, canonical_id', SPELLINGS)},
+ v AS (SELECT district FROM variants UNION SELECT {S.case_map('district', DEVANAGARI, 'district')} FROM requests)
+ SELECT district, (SELECT min_by(canonical_id, ord) FROM sp WHERE lower(trim(district)) = lower(spelling) OR strip_accents(lower(trim(district))) = lower(spelling)) AS canonical_id FROM v""",
     "district_ranking": f"""WITH {VARIANTS}, {S.values('rd', 'ord, name, state, top_crops, soil_type', RANKED_DISTRICTS)}, {S.values('rs', 'ord, name, top_crops', RANKED_STATES)},
  p AS (SELECT DISTINCT district, trim(state) AS state, lower(trim(district)) AS dk, lower(trim(state)) AS sk FROM variants),
  d AS (SELECT * FROM (SELECT p.*, rd.name, rd.state AS rstate, rd.top_crops, rd.soil_type, CASE WHEN dk = lower(name) THEN 'EXACT' ELSE 'PARTIAL' END AS lv,

@@ -9,13 +9,14 @@ from furrow.functions import numeric as N
 from furrow.operators import clean, features, prices
 from furrow.plans import sql as S
 from furrow.session import cut_lineage, scratch_path
-from furrow.sources import files
+from furrow.sources import files, store
 from furrow.sources import tables as T
 
 GRID_CROPS = [t.lower() for t in T.TYPE_CROPS] + ["cotton"]
 CHAIN_CROPS = ["wheat", "rice", "maize", "potato", "onion", "soybean", "cotton", "barley"]
 FUTURES = [("wheat", 560.25), ("soybean", 1040.5), ("maize", 0.0)]
 BATCH_CROPS = ["rice", "wheat"]
+BATCH_SEEN = "2001-12-05"
 BATCH_FROM, CACHE_FROM, RUN_TS = "2001-10-20", "2001-11-01", "2001-11-05 00:00:00"
 
 
@@ -107,6 +108,20 @@ def append_new_keys(spark, sf):
     return prices.in_rupees(fresh)
 
 
+def latest_batch_prices(spark, sf):
+    """Mean price text of the latest day of each commodity and state, seen half a year later."""
+    return clean.latest_plain_batch(T.raw_quotes(spark, sf), F.lit(BATCH_SEEN).cast("date"), ("commodity", "state"))
+
+
+def monthly_store(spark, sf):
+    """The stored series after its history, an increment and a replay of that increment."""
+    table = scratch_path(spark, "months")
+    store.write_months(history(spark, sf), table)
+    store.merge_increment(increment(spark, sf), table)
+    store.merge_increment(increment(spark, sf), table)
+    return prices.in_rupees(store.read_months(spark, table))
+
+
 def merged_series_std(spark, sf):
     """Deviation recomputed over history plus increment, not defaulted to zero."""
     merged = prices.merge_series(history(spark, sf), increment(spark, sf))
@@ -196,7 +211,7 @@ def weekly_to_daily(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    quote_files, archive_files, stored_series, clean_quotes, reject_counts, archive_rollup, ingest_accounting, daily_rollup, append_new_keys, merged_series_std,
+    quote_files, archive_files, stored_series, clean_quotes, reject_counts, archive_rollup, ingest_accounting, daily_rollup, append_new_keys, latest_batch_prices, monthly_store, merged_series_std,
     coverage_grid, coverage_totals, coverage_by_series, data_quality, missing_values, extreme_values, latest_batch,
     monthly_seasonality, price_distribution, price_outliers, latest_price, price_source_chain, current_price,
     weekly_prices, weekly_to_daily]}
@@ -260,6 +275,15 @@ ORACLES = {
   (SELECT count(*) FROM good) - (SELECT count(*) FROM added) AS duplicate, (SELECT count(*) FROM added) AS added""",
     "daily_rollup": f"WITH {S.DAILY} SELECT {RUPEES} FROM daily",
     "append_new_keys": f"WITH {HISTORY} SELECT {RUPEES} FROM fresh",
+    "latest_batch_prices": f"""WITH {S.RAW_QUOTES}, p AS (SELECT trim(Commodity) AS commodity, trim(State) AS state,
+  CAST(coalesce(try_strptime(Arrival_Date, '%Y-%m-%d'), try_strptime(Arrival_Date, '%d/%m/%Y'), try_strptime(Arrival_Date, '%d-%m-%Y')) AS DATE) AS ds,
+  CASE WHEN regexp_full_match(Modal_Price, '[0-9]+[.]?[0-9]*|[.][0-9]+') THEN {S.whole('CAST(Modal_Price AS DOUBLE) * 100.0')} END AS cents FROM raw_quotes),
+ d AS (SELECT commodity, state, ds, CAST(sum(cents) AS BIGINT) AS s, count(cents) AS n, row_number() OVER (PARTITION BY commodity, state ORDER BY ds DESC) AS rn FROM p GROUP BY 1, 2, 3),
+ a AS (SELECT *, greatest(date_diff('day', ds, DATE '{BATCH_SEEN}'), 0) AS data_age_days FROM d WHERE rn = 1 AND n > 0)
+ SELECT commodity, state, ds, n AS prices, {S.rnd('CAST(s AS DOUBLE) / n / 100.0', 2)} AS avg_price, data_age_days,
+  CASE WHEN data_age_days <= 3 THEN 'VERY_FRESH' WHEN data_age_days <= 14 THEN 'FRESH' WHEN data_age_days <= 30 THEN 'RECENT' WHEN data_age_days <= 60 THEN 'BACKGROUND'
+   WHEN data_age_days <= 180 THEN 'STALE' ELSE 'VERY_STALE' END AS freshness_label FROM a""",
+    "monthly_store": f"WITH {HISTORY} SELECT {RUPEES} FROM history UNION ALL SELECT {RUPEES} FROM fresh",
     "merged_series_std": f"""WITH {HISTORY}, merged AS (SELECT * FROM history UNION ALL SELECT * FROM fresh),
  w AS (SELECT crop, state, ds, CAST(count(y_cents) OVER f AS DOUBLE) AS n, CAST(sum(y_cents) OVER f AS DOUBLE) AS s,
   CAST(sum(y_cents * y_cents) OVER f AS DOUBLE) AS q FROM merged

@@ -253,3 +253,28 @@ def test_query_agrees_with_sql(spark, sf, duck, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns)
     assert got == rows_of(names, cur.fetchall())
+
+
+def test_an_increment_touches_its_own_months_only(spark, tmp_path):
+    from furrow.sources import store
+
+    table = str(tmp_path / "months")
+    quotes = lambda rows: spark.createDataFrame(rows, "ds string, crop string, state string, modal_cents bigint, min_cents bigint, max_cents bigint").withColumn("ds", F.col("ds").cast("date"))
+    months = [f"20{y:02d}-{m:02d}" for y in range(10, 14) for m in range(1, 13)]
+    store.merge_increment(quotes([(f"{m}-05", "rice", "Goa", 100, 90, 110) for m in months]), table)
+    files_of = lambda rows: {f.split("/month=")[1] for f in rows.inputFiles()}
+    before = files_of(store.read_months(spark, table))
+    assert len(before) == len(months)
+    new = quotes([("2013-12-05", "rice", "Goa", 500, 1, 1), ("2013-12-06", "rice", "Goa", 200, 1, 1), ("2013-12-06", "rice", "Goa", 300, 1, 1), ("2014-01-01", "rice", "Goa", 700, 1, 1)])
+    # What an increment of these months reads is one file a month, however long the history.
+    assert {f.split("/")[0] for f in files_of(store.read_months(spark, table, ["2013-12", "2014-01"]))} == {"2013-12"}
+    assert store.merge_increment(new, table) == ["2013-12", "2014-01"]
+    after = files_of(store.read_months(spark, table))
+    assert {f.split("/")[0] for f in before - after} == {"2013-12"} and len(after) == len(months) + 1
+    got = {str(r["ds"]): r["y_cents"] for r in store.read_months(spark, table, ["2013-12", "2014-01"]).collect()}
+    assert got == {"2013-12-05": 100, "2013-12-06": 250, "2014-01-01": 700}
+    # A replay writes nothing, and many small increments leave one file a month.
+    assert store.merge_increment(new, table) == [] and files_of(store.read_months(spark, table)) == after
+    for d in range(10, 14):
+        store.merge_increment(quotes([(f"2014-01-{d}", "rice", "Goa", d, 1, 1)]), table)
+    assert len(files_of(store.read_months(spark, table))) == len(after) and store.read_months(spark, table, ["2014-01"]).count() == 5
