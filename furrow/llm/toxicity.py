@@ -7,8 +7,10 @@ earlier probabilities come from models fitted without its fold, so the chain
 learns how far to trust them.  The models are fitted in numpy, on a bounded sample of
 ``TRAIN_DOCS`` labelled documents taken by a hash, equal texts once; whole texts are scored.
 
-``labels.toxic`` marks the last category.  The two before it split toxic
-documents by what they say, with the fixed words below: abuse of a person, and contempt.
+``labels.toxic`` marks the last category.  The two before it are the two kinds of toxic documents that
+the training rows themselves show: the words that tell toxic from other documents are
+found, and the toxic documents parted in two by which of these words they hold together
+(Lloyd's rounds on unit vectors, started from the two most unlike documents).  No word is given.
 
 Defined cases: a null text counts as empty; a category without positive (or without
 negative) training rows has the mean label as its constant probability (0 without any rows); rows
@@ -35,16 +37,16 @@ TRAIN_DOCS = 10000
 BUCKET_BITS = 18
 FOLDS = 3
 #: Words of a model: how many at most, in how many documents at least, and how many standard errors apart between the classes.
-MOST_WORDS, LEAST_DOCS, APART = 300, 4, 8.0
+MOST_WORDS, LEAST_DOCS, APART = 300, 3, 5.0
 #: L2 penalty and most Newton steps of a model.
 L2, STEPS = 0.1, 40
 #: Probability from which a category counts as present.
 PRESENT = 0.5
 
-# Fixed words that define the categories before the last.
-ABUSE = ("idiot", "moron", "stupid", "loser", "clown", "scum")
-CONTEMPT = ("trash", "pathetic", "worthless", "disgusting")
-CATEGORIES = ("abuse", "contempt", "toxic")
+#: The kinds that the training rows show, the larger one first, and the labelled category.
+CATEGORIES = ("kind_1", "kind_2", "toxic")
+#: Rounds that part the toxic documents.
+KIND_ROUNDS = 20
 
 
 def word_buckets(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +115,13 @@ def fit_logistic(rows: list[np.ndarray], before: np.ndarray, label: np.ndarray)
     return Logistic(words, w[len(picked) : -1], float(w[-1]))
 
 
-def fit_chain(texts: list[bytes], labels: np.ndarray) -> list[Logistic]:
+def buckets_of(texts: list[bytes]) -> list[np.ndarray]:
+    """The different word buckets of each text."""
+    return [word_buckets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].astype(np.int32) for t in texts]
+
+
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray) -> list[Logistic]:
     """One model for each column of ``labels`` in order; the earlier probabilities it learns from are out-of-fold."""
-    rows = [word_buckets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].astype(np.int32) for t in texts]
     fold = np.random.default_rng(5).permutation(len(rows)) % FOLDS
     before, models = np.zeros((len(rows), 0)), []
     for k in range(labels.shape[1]):
@@ -139,11 +145,34 @@ def chain_scores(models: list[Logistic], raw: np.ndarray, bounds: np.ndarray) ->
     return before
 
 
-def category_labels(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
-    """0 or 1 of abuse, contempt and toxic; the first two only where the label says toxic."""
-    said = [set(PLAIN[np.frombuffer(t, np.uint8)].tobytes().lower().split()) for t in texts]
-    named = [[bool(s.intersection(w.encode() for w in words)) for words in (ABUSE, CONTEMPT)] for s in said]
-    return np.column_stack([np.array(named, dtype=float).reshape(-1, 2) * toxic[:, None], toxic])
+def category_labels(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """0 or 1 of the two kinds and of toxic; a toxic row without a telling word is of neither kind.
+
+    ``rows`` are the word buckets of the texts.  With fewer than two different sets of telling words there is one kind.
+    """
+    labels = np.column_stack([np.zeros((len(rows), 2)), toxic])
+    if len(rows) == 0 or toxic.min() == toxic.max():
+        return labels
+    picked = telling_words(rows, toxic)
+    held = np.zeros((len(rows), len(picked)))
+    for i, r in enumerate(rows):
+        held[i, np.searchsorted(picked, np.intersect1d(r, picked, assume_unique=True))] = 1.0
+    mine = toxic > 0
+    held = held[:, held[mine].mean(axis=0) > held[~mine].mean(axis=0)]
+    some = np.flatnonzero(mine & held.any(axis=1))
+    unit = held[some] / np.sqrt(held[some].sum(axis=1, keepdims=True)) if len(some) else held[some]
+    kind = np.zeros(len(some), np.int64)
+    if len(some):
+        first = int((unit @ unit.sum(axis=0)).argmin())
+        centres = unit[[first, int((unit @ unit[first]).argmin())]]
+        for _ in range(KIND_ROUNDS):
+            kind = (unit @ centres.T).argmax(axis=1)
+            sums = np.array([unit[kind == k].sum(axis=0) for k in (0, 1)])
+            centres = np.where((kind[:, None] == [0, 1]).any(axis=0)[:, None], sums / np.maximum(np.sqrt((sums**2).sum(axis=1, keepdims=True)), 1e-12), centres)
+    if (kind == 1).sum() > (kind == 0).sum():
+        kind = 1 - kind
+    labels[some, kind] = 1.0
+    return labels
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> list[Logistic]:
@@ -156,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> lis
     def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "label", "text"])
         pdf = pdf.drop_duplicates("text")
-        texts = [t.encode() for t in pdf["text"]]
-        models = fit_chain(texts, category_labels(texts, pdf["label"].to_numpy(float)))
+        found = buckets_of([t.encode() for t in pdf["text"]])
+        models = fit_chain(found, category_labels(found, pdf["label"].to_numpy(float)))
         return pd.DataFrame({"category": range(len(models)), "words": [m.words.astype("<f4").tobytes() for m in models],
                              "earlier": [m.earlier.tolist() for m in models], "bias": [m.bias for m in models]})
 
@@ -168,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> lis
 
 
 def score(docs: DataFrame, models: list[Logistic], present: float = PRESENT) -> DataFrame:
-    """``docs`` with p_abuse, p_contempt, p_toxic and the flag toxic."""
+    """``docs`` with p_kind_1, p_kind_2, p_toxic and the flag toxic."""
     new = [f"p_{c}" for c in CATEGORIES]
     names = [c for c in docs.columns if c not in (*new, "toxic")]
     slim = docs.select(*names)
@@ -184,5 +213,5 @@ def score(docs: DataFrame, models: list[Logistic], present: float = PRESENT) ->
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, p_abuse, p_contempt, p_toxic, toxic of every document."""
+    """doc_id, p_kind_1, p_kind_2, p_toxic, toxic of every document."""
     return score(docs.select("doc_id", "text"), fit(docs, labels, train_docs)).drop("text")
