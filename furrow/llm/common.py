@@ -50,6 +50,14 @@ def forget(df: DataFrame) -> None:
         remove_path(df.sparkSession, file.get())
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import byte_steps, checkpointed, id_remainder, with_columns
+from furrow.llm.common import byte_steps, checkpointed, id_remainder, unused, with_columns
 
 #: Documents of each language that its profile is counted over.
 TRAIN_DOCS = 1000
@@ -147,5 +147,6 @@ def drop_text(scored: DataFrame) -> DataFrame:
 def with_language(docs: DataFrame, train_docs: int = TRAIN_DOCS, least: float = 0.0) -> DataFrame:
     """The documents of a known language: not ``und``, and with a score above ``least``: a text that shares no n-gram with any profile has 0.  Same columns as ``docs``."""
     profiles = learn(training_rows(docs), train_docs)
-    known = predict(docs, profiles, "_lang_pred", "_lang_score")
-    return known.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") > least)).select(*docs.columns)
+    label, score = unused(docs.columns, "lang_pred"), unused(docs.columns, "lang_score")
+    known = predict(docs, profiles, label, score)
+    return known.filter((F.col(label) != UNKNOWN) & (F.col(score) > least)).select(*[F.col(f"`{c}`") for c in docs.columns])

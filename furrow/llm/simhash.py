@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm import hashing
@@ -431,7 +431,9 @@ def near_unique(docs: DataFrame, words: int = 5, radius: int = 10, similarity: f
     A spanning forest of the radius is verified first, which connects most; then all near pairs
     that are not connected by that.  Of rows alike in id and text one stays.
     """
-    keyed = docs.withColumns({"_place": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_text": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    # The document's row is one struct, so that no name of its columns can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = packed.select("row", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(LOWEST)).alias("_place"), F.coalesce(F.xxhash64(F.col("row")["text"]), F.lit(0)).alias("_text"), F.col("row")["text"].alias("text"))
     prints = checkpointed(nodes_of(keyed, words))
     nodes = checkpointed(prints.groupBy("fp", "node", "n").agg(F.min("_place").alias("_place")))
     classes = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("several")))
@@ -454,5 +456,6 @@ def near_unique(docs: DataFrame, words: int = 5, radius: int = 10, similarity: f
     rooted = prints.join(named, "node", "left").select("_place", "_text", F.coalesce("component", "node").alias("component"))
     least = rooted.groupBy("component").agg(F.min("_place").alias("_place"))
     stay = rooted.join(least, ["component", "_place"]).groupBy("component", "_place").agg(F.min("_text").alias("_text")).select("_place", "_text")
-    only = F.row_number().over(Window.partitionBy("_place", "_text").orderBy("_place"))
-    return keyed.join(stay.distinct(), ["_place", "_text"]).withColumn("_only", only).filter("_only = 1").select(*docs.columns)
+    # Rows alike in id and text: any one, picked on the map side already.
+    one = keyed.join(stay, ["_place", "_text"]).groupBy("_place", "_text").agg(F.first("row").alias("row"))
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -5,12 +5,12 @@ LONG = " ".join(f"word{i % 977} tail{i % 31}," for i in range(40_000))
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("n_chars", T.LongType()), *[T.StructField(n, T.StringType()) for n in (
-        "size", "key", "name", "taken", "row", "words", "score", "lang_pred", "fp", "component", "base", "spans", "range", "guest", "label", "place", "cuts", "leak_id", "text_hash", "held_out")]])
+        "size", "key", "name", "taken", "row", "words", "score", "lang_pred", "fp", "component", "base", "spans", "range", "guest", "label", "place", "cuts", "leak_id", "text_hash", "held_out", "_place", "_text", "_only", "_lang_pred", "lang_score", "doc")]])
 
 
 def table(spark, rows):
     """Documents (doc_id, text, lang, source) with extra columns whose names clash with inner ones."""
-    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), *(f"x{k}" for k in range(20))) for i, t, lang, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), *(f"x{k}" for k in range(26))) for i, t, lang, s in rows], SCHEMA)
 
 
 AWKWARD = [

@@ -46,6 +46,22 @@ def test_planted_rows(spark, sf):
     assert sorted(r["doc_id"] for r in now.collect()) == list(range(12))
 
 
+def test_stages_keep_every_column_and_take_an_empty_table(spark, sf, nothing, awkward):
+    """Columns that are called as inner ones come back with their values; an empty table goes through all stages."""
+    now = awkward
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, now, sf)
+        assert now.columns == awkward.columns
+        now = spark.createDataFrame(now.collect(), awkward.schema)
+        assert now.count() and now.filter("_place <> 'x20' OR _lang_pred <> 'x23' OR row <> 'x4' OR doc <> 'x25'").count() == 0
+    empty = nothing
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf)
+        assert empty.count() == 0
+        assert name == "token_output" or empty.columns == nothing.columns
+        empty = empty if name == "token_output" else spark.createDataFrame([], nothing.schema)
+
+
 def test_entry_works_without_the_subpackage(monkeypatch):
     class Missing:
         def find_spec(self, name, path=None, target=None):
