@@ -125,6 +125,12 @@ def current_intelligence(events: DataFrame, order: str = "article_id", k: int =
     return events.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def signal_pages(intelligence: DataFrame, k: int = 5) -> DataFrame:
+    """First k signals of each state over all its crops, in the order of crops and ranks."""
+    place = F.row_number().over(W.partitionBy("state").orderBy("crop", "rank"))
+    return intelligence.withColumn("position", place.cast("bigint")).where(F.col("position") <= k)
+
+
 def source_targets(registry: DataFrame) -> DataFrame:
     """One row per source of a registry with its feed address, search address or none."""
     src = registry.select(F.explode("tiers").alias("tier_key", "info")).select("tier_key", F.explode("info.sources").alias("s"))

@@ -81,6 +81,11 @@ def current_intelligence(spark, sf):
     return e.select("state", "crop", F.col("rank").cast("bigint").alias("rank"), "event_type", "title", "source_name", "tier")
 
 
+def signal_pages(spark, sf):
+    p = news.signal_pages(news.current_intelligence(corpus_events(spark, sf), "doc_id"))
+    return p.select("state", "position", "crop", "event_type", "title", "source_name")
+
+
 def _registry(spark):
     tiers = {k: (v,) for k, v in REGISTRY}
     schema = ("tiers map<string, struct<sources: array<struct<source_id: string, source_name: string, tier: string, "
@@ -177,7 +182,7 @@ def feed_items(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     clean_articles, article_store, event_classes, news_events, event_clusters, tagged_events, verification_totals,
-    current_intelligence, source_targets, source_audit, source_audit_totals, source_credibility, signal_verification,
+    current_intelligence, signal_pages, source_targets, source_audit, source_audit_totals, source_credibility, signal_verification,
     signal_verification_by_day, signal_freshness, signal_scope_weights, search_queries, price_search_queries, feed_items]}
 
 # ------------------------------------------------------------------ check SQL
@@ -272,6 +277,8 @@ ORACLES = {
  count(*) FILTER (verification_status = 'VERIFIED') AS verified_clusters_count, count(*) FILTER (verification_status = 'SINGLE_SOURCE') AS single_source_clusters_count FROM clusters""",
     "current_intelligence": f"""WITH {EVENTS} SELECT state, crop, rank, event_type, title, source_name, tier FROM
  (SELECT *, row_number() OVER (PARTITION BY state, crop ORDER BY doc_id) AS rank FROM evs) WHERE rank <= 5""",
+    "signal_pages": f"""WITH {EVENTS}, ci AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state, crop ORDER BY doc_id) AS rank FROM evs) WHERE rank <= 5)
+ SELECT state, position, crop, event_type, title, source_name FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY crop, rank) AS position FROM ci) WHERE position <= 5""",
     "source_targets": f"WITH {_TARGETS}, n AS (SELECT source, count(*) AS articles FROM documents GROUP BY 1) SELECT t.*, articles FROM targets t LEFT JOIN n ON n.source = t.source_id",
     "source_audit": f"WITH {_AUDIT} SELECT * FROM audit",
     "source_audit_totals": f"""WITH {_AUDIT} SELECT count(*) AS total_sources_audited, count(*) FILTER (status = 'SUCCESS') AS sources_active,

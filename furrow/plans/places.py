@@ -140,13 +140,18 @@ def district_page(spark, sf):
     return pl.list_districts(_seen_master(spark, sf), None, 20)
 
 
+def state_district_page(spark, sf):
+    """First 100 districts of one state, whatever the case of its name."""
+    return pl.list_districts(_seen_master(spark, sf), "MAHARASHTRA", 100)
+
+
 def sampled_districts(spark, sf):
     return pl.sampled_districts(_seen_master(spark, sf), 20, 42)
 
 
 QUERIES = {f.__name__: f for f in [
     place_names_folded, alias_resolution, district_containment, district_spellings, district_ranking, token_overlap, canonical_districts, location_zone,
-    location_soil, crop_guidance, crop_labels, unresolved_names, district_page, sampled_districts]}
+    location_soil, crop_guidance, crop_labels, unresolved_names, district_page, state_district_page, sampled_districts]}
 
 # ------------------------------------------------------------------ check SQL
 
@@ -243,6 +248,8 @@ ORACLES = {
  SELECT crop AS name, count(*) AS row_count FROM cultivation WHERE lower(trim(crop)) NOT IN (SELECT k FROM labels_map) GROUP BY 1""",
     "district_page": f"""WITH {S.REQUESTS} SELECT min(request_id) AS ord, {S.initcap('trim(state)')} || '::' || district AS canonical_id, {S.initcap('trim(state)')} AS state, district
  FROM requests GROUP BY ALL ORDER BY ord LIMIT 20""",
+    "state_district_page": f"""WITH {S.REQUESTS} SELECT min(request_id) AS ord, {S.initcap('trim(state)')} || '::' || district AS canonical_id, {S.initcap('trim(state)')} AS state, district
+ FROM requests WHERE lower(trim(state)) = 'maharashtra' GROUP BY ALL ORDER BY ord LIMIT 100""",
     "sampled_districts": f"""WITH {S.REQUESTS}, d AS (SELECT DISTINCT {S.initcap('trim(state)')} || '::' || district AS canonical_id, {S.initcap('trim(state)')} AS state, district FROM requests),
  t AS (SELECT *, row_number() OVER (ORDER BY md5(canonical_id || '#42'), canonical_id) - 1 AS position FROM d)
  SELECT canonical_id, state, district, CASE position % 4 WHEN 0 THEN 'Kharif' WHEN 1 THEN 'Rabi' WHEN 2 THEN 'Summer' ELSE 'Whole Year' END AS season, position FROM t WHERE position < 20""",
