@@ -417,6 +417,8 @@ def further_links(nodes: DataFrame, sets: DataFrame, radius: int, similarity: fl
                         b.append(y)
                 flatten(label)
             yield pa.RecordBatch.from_arrays([pa.array(node[np.array(x, np.int64)]) for x in (a, b)], ["a", "b"])
+            del rows, group, node, label, known
+            pa.default_memory_pool().release_unused()
 
     marked = checkpointed(dealt.repartition(*groups_of).sortWithinPartitions(*groups_of).mapInArrow(mark, dealt.schema))
     placed = marked.join(sets, "node").select(*dealt.columns, "shingles").repartition(*groups_of).sortWithinPartitions(*groups_of)

@@ -83,10 +83,17 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
+        """Drop the remembered words; those of one task's documents save nearly all work that remembering more would."""
         self.place: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.bounds = np.zeros(1, np.int64)
 
+    def finish(self) -> None:
+        """End of a task: a Python worker lives on, and what it holds would count against the stages after this one."""
+        self.forget()
+        self.parts = {}
+        pa.default_memory_pool().release_unused()
+
     def part(self, text: str) -> bytes:
         """Ids of a word's part, 4 bytes each.  Plain lower-case letters need no more than the tokenizer's model."""
         if text.isascii() and text.isalpha() and text.islower():
@@ -147,7 +154,7 @@ class WordEncoder:
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> WordEncoder:
-    """The encoder of this Python worker, which keeps what it remembers from task to task."""
+    """The encoder of this Python worker: the vocabulary is read once."""
     return WordEncoder(path)
 
 
@@ -265,6 +272,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
             ends = (bounds + np.arange(len(bounds))).tolist()
             for k, doc_id in enumerate(piece.column("doc_id").to_pylist()):
                 writer.add(doc_id, raw[4 * ends[k] : 4 * ends[k + 1]])
+        encoder.finish()
         if writer is not None:
             writer.finish()
             size = sink.tell()
