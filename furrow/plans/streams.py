@@ -15,7 +15,7 @@ from furrow.streaming import jobs
 
 def _stream(spark, sf, name: str):
     """One of the given tables as a stream of its files."""
-    return jobs.read_files(spark, sf, f"{name}.parquet", T.table(spark, sf, name).schema)
+    return jobs.read_table(spark, f"{sf.rstrip('/')}/{name}.parquet", T.table(spark, sf, name).schema)
 
 
 def _paths(spark, label):

@@ -32,9 +32,24 @@ def read_files(spark: SparkSession, folder: str, pattern: str, schema, files_per
             .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _located(spark: SparkSession, path: str):
+    """The file system of a path, and the path on it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    store, p = _located(spark, path)
+    return store.exists(p)
+
+
+def read_table(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
+    """Stream of a stored parquet table, be it one file or a folder of files."""
+    store, p = _located(spark, path)
+    if store.getFileStatus(p).isDirectory():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    folder, name = path.rsplit("/", 1)
+    return read_files(spark, folder, name, schema, files_per_batch)
 
 
 def run_id(spark: SparkSession, checkpoint: str) -> str:

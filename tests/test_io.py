@@ -207,6 +207,23 @@ def test_an_old_article_is_not_stored_again(spark, sf, tmp_path):
     assert rows.where("fetched_at > '2024-02-01' AND doc_id < 40").count() == 0 and rows.where("doc_id >= 40").count() > 0
 
 
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    from furrow.plans import streams
+
+    rows = [(k, f"Headline {k}\nbody of {k}", "en", f"src{k % 3}", 20) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, files in (("several", 20), ("one", 1)):
+        folder = tmp_path / name / "documents.parquet"
+        docs.repartition(files).write.parquet(str(folder))
+        if files == 1:
+            part, = folder.glob("part-*.parquet")
+            (tmp_path / "file").mkdir()
+            part.rename(tmp_path / "file" / "documents.parquet")
+    for name in ("several", "file"):
+        got = streams.streaming_article_ingest(spark, str(tmp_path / name)).collect()
+        assert sorted((r["doc_id"], r["title"]) for r in got) == [(k, f"Headline {k}") for k in range(60)]
+
+
 def test_clusters_add_up_over_batches_and_runs(spark, tmp_path):
     table = str(tmp_path / "clusters")
     for k, rows in enumerate(([("2024-01-01", "a"), ("2024-01-02", "a")], [("2024-01-03", "b"), ("2023-01-01", "c")])):
