@@ -13,7 +13,7 @@ from furrow.operators import clean, news
 from furrow.operators import places as pl
 from furrow.plans import places as PP
 from furrow.plans import sql as S
-from furrow.session import cut_lineage
+from furrow.session import cut_lineage, spread
 from furrow.sources import tables as T
 
 # Soil pH ranges, calendars, tolerances and soils used as inputs here: fixed values.
@@ -199,7 +199,8 @@ def _live(spark, sf):
 
     t = F.when(k % 10 == 0, F.array().cast("array<double>")).otherwise(series(17, 160))
     doc = F.struct(F.struct(t.alias("temperature_2m"), series(13, 400).alias("relativehumidity_2m"), series(7, 12).alias("precipitation")).alias("hourly"))
-    return T.requests(spark, sf).select(k.alias("point_id"), F.trim("state").alias("state"), F.to_json(doc).alias("payload"))
+    points = spread(T.requests(spark, sf).select("request_id", "state"))
+    return points.select(k.alias("point_id"), F.trim("state").alias("state"), F.to_json(doc).alias("payload"))
 
 
 def weather_summary(spark, sf):

@@ -66,6 +66,15 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to as many tasks as the session shuffles to, before work that is heavy per row.
+
+    A file of one row group is read by one task, however many small rows it holds; and
+    partitions whose number is stated are not merged again for being small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of any file system that Spark reads."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

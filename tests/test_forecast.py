@@ -158,6 +158,17 @@ def test_missing_weather_stays_null(spark):
     assert got[3]["avg_temp"] is None
 
 
+def test_weather_payloads_are_parsed_by_more_than_one_task(spark, tmp_path):
+    from furrow.plans import advice as PA
+
+    rows = [(k, k % 25, 1.0, "BUILDING") for k in range(400)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey long, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = PA.weather_summary(spark, str(tmp_path)).select("point_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r["point_id"] for r in got) == list(range(400))
+    per_task = [sum(r["task"] == t for r in got) for t in range(4)]
+    assert min(per_task) >= 80
+
+
 def test_unknown_soil_is_never_suitable(spark):
     c = R.soil_status(F.lit(None).cast("double"), F.lit(5.5), F.lit(7.5))
     assert spark.range(1).select(c.alias("v")).first()["v"] == "UNKNOWN"
