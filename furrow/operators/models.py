@@ -175,8 +175,20 @@ def stratified_folds(df: DataFrame, label: str = "label", key: str = "vec_id", f
     return fold_position(df, label, key).withColumn("fold", (F.col("position") - 1) % folds).drop("position")
 
 
+def dealt(rows: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """``rows`` in one task for each ``rows_per_task`` of them; no more than that stay as they lie.
+
+    Narrow rows fill few files, and a forest makes a pass over all of them for every few thousand nodes.  The number
+    of tasks follows the rows alone, since the forest's bags depend on how rows are dealt; every task holds a
+    pass's statistics, so it is not larger than needed.
+    """
+    tasks = -(-rows.count() // rows_per_task)
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def _fit_classes(train: DataFrame, columns: Sequence[str], label: str, trees: int, depth: int, seed: int):
     """Fitted forest and the names of the classes it was trained on, in the order of its probabilities."""
+    train = dealt(train)
     indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
     stages = [indexer, VectorAssembler(inputCols=list(columns), outputCol="features"),
               RandomForestClassifier(featuresCol="features", labelCol="label_index", numTrees=trees, maxDepth=depth, seed=seed)]
@@ -198,7 +210,7 @@ def class_probabilities(train: DataFrame, rows: DataFrame, columns: Sequence[str
 
 
 def cross_validate(folded: DataFrame, columns: Sequence[str], label: str = "label", folds: int = 5, trees: int = 100,
-                   depth: int = 12, seed: int = 42, parallel: int = 3) -> DataFrame:
+                   depth: int = 12, seed: int = 42, parallel: int = 5) -> DataFrame:
     """Accuracy per fold, then mean and deviation, as one row."""
     def one(k: int) -> tuple:
         model, names = _fit_classes(folded.where(F.col("fold") != k), columns, label, trees, depth, seed)

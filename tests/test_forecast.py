@@ -169,6 +169,20 @@ def test_weather_payloads_are_parsed_by_more_than_one_task(spark, tmp_path):
     assert min(per_task) >= 80
 
 
+def test_forests_are_fitted_by_more_than_one_task(spark, monkeypatch):
+    rows = spark.range(45_000, numPartitions=1)
+    got = [r["n"] for r in md.dealt(rows).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(got) == 3 and sum(got) == 45_000 and min(got) >= 14_000
+    few = spark.range(500, numPartitions=1)
+    assert md.dealt(few) is few
+    # Every fit of the cross validation goes through it, and all rows take part.
+    seen = []
+    monkeypatch.setattr(md, "dealt", lambda df: seen.append(df.count()) or df.repartition(3))
+    folded = spark.range(60).selectExpr("id", "cast(id % 2 as string) AS label", "double(id % 2) AS x", "id % 5 AS fold")
+    got = md.cross_validate(folded, ["x"], trees=3, depth=2).first()
+    assert seen == [48] * 5 and (got["folds"], got["cv_mean"], got["cv_std"]) == (5, 1.0, 0.0)
+
+
 def test_unknown_soil_is_never_suitable(spark):
     c = R.soil_status(F.lit(None).cast("double"), F.lit(5.5), F.lit(7.5))
     assert spark.range(1).select(c.alias("v")).first()["v"] == "UNKNOWN"
