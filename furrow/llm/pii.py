@@ -2,20 +2,23 @@
 
 Generators with a high recall propose spans that may overlap.  Boosted trees score
 each from its format (digits, groups, separators, checksum, octets) and its context (the text
-before it, the characters around it).  Per kind, the least score at which a calibration part of
-the sample still has the wanted precision is the threshold; candidates above it are
+before it, the characters around it).  Per kind, the least score at which the calibration part of
+the documents still has the wanted precision is the threshold; candidates above it are
 added to the base spans, which always stay.
 
 Only candidates that no base span touches are learned from, since only these can be added.  In
-a bounded sample of ``TRAIN_DOCS`` documents taken by a hash, every base span is rewritten in its own
+all documents (two thirds of them by a hash of the id fit, the others calibrate), every base span is rewritten in its own
 context the ways in which people write around such patterns ("(at)", "00" for "+", other separators,
 a line break, the same value twice side by side); where the base patterns lose it, candidates on it are the
 positive rows.  The negative ones are the candidates of the texts as they are: dates, versions, ids, numbers of
 failed checksums.  A number that no base span touches but that has a card's checksum may be either, and teaches nothing.  The fitted trees become one column expression, so all texts are
 scanned, scored and joined to results inside Spark's own functions, without a shuffle.
 
+What is learned from is counted: rows alike in kind, features and label are one row with their summed weight, so the
+table that the trees are fitted on grows with the different candidates and not with the documents.
+
 Defined cases: a null text is empty and has no spans; a text without candidates has empty ``spans``;
-if the sample has candidates of one class only, nothing is added; repeated rows give one
+if the documents have candidates of one class only, nothing is added; repeated rows give one
 result row each; an empty table gives an empty result; other columns are ignored.
 Positions are code points, ends exclusive.
 """
@@ -29,8 +32,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents whose candidates the trees are fitted and calibrated on.
-TRAIN_DOCS = 20_000
 TREES, DEPTH, STEP = 20, 3, 0.2
 #: Precision that a threshold must reach on the calibration part.
 PRECISION = 0.9
@@ -207,34 +208,35 @@ def plain_node(node) -> tuple | float:
 def learned_from(texts: DataFrame) -> DataFrame:
     """rank, f, label, weight, calibrates of the candidates that no base span touches: of rewritten spans (1) and of the texts as they are (0).
 
-    ``texts`` has doc_id and a text that is not null.  All ways to rewrite a span weigh as much as one candidate together.
+    ``texts`` has doc_id and a text that is not null; of rows alike in both, one teaches.  All ways to rewrite a span weigh as much
+    as one candidate together, and rows alike in all but the weight are one row with their sum.
     """
     third = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == 0).alias("calibrates")
-    based = texts.select("text", third, base_spans(F.col("text")).alias("base"))
+    based = texts.select("doc_id", F.xxhash64("text").alias("h"), "text", third, base_spans(F.col("text")).alias("base"))
     open_case = lambda c: (c["rank"] == KINDS.index("card")) & (F.get(c["f"], F.lit(CHECKSUM)) == 1.0)
-    plain = based.select("calibrates", F.explode(F.filter(candidates(F.col("text")), lambda c: untouched(c, F.col("base")) & ~open_case(c))).alias("c")).select("c.rank", "c.f", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"), "calibrates")
-    spans = based.select("text", "calibrates", F.explode("base").alias("b"))
+    fresh = F.filter(candidates(F.col("text")), lambda c: untouched(c, F.col("base")) & ~open_case(c))
+    plain = based.select("doc_id", "h", "calibrates", F.lit(0).alias("at"), F.lit(-1).alias("way"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("label"), F.explode(fresh).alias("c"))
+    spans = based.select("doc_id", "h", "text", "calibrates", F.explode("base").alias("b"))
     ways = lambda value: rewritten(F.col("b.rank"), value)
     around = lambda start, size: F.substring(F.col("text"), start, size)
     before = around(F.greatest(F.col("b.start") - F.lit(2 * CONTEXT), F.lit(0)) + 1, F.least(F.col("b.start"), F.lit(2 * CONTEXT)))
     value = around(F.col("b.start") + 1, F.col("b.stop") - F.col("b.start"))
-    snippets = spans.select("calibrates", F.col("b.rank").alias("rank"), before.alias("before"), around(F.col("b.stop") + 1, F.lit(CONTEXT)).alias("after"),
-                            (F.lit(1.0) / F.size(ways(value))).alias("weight"), F.explode(ways(value)).alias("w"))
-    shown = snippets.select("calibrates", "rank", "weight", F.length("before").alias("from"), (F.length("before") + F.length("w.text")).alias("to"), "w.size", F.concat("before", "w.text", "after").alias("text"))
+    snippets = spans.select("doc_id", "h", "calibrates", F.col("b.start").alias("at"), F.col("b.rank").alias("rank"), before.alias("before"), around(F.col("b.stop") + 1, F.lit(CONTEXT)).alias("after"),
+                            (F.lit(1.0) / F.size(ways(value))).alias("weight"), F.posexplode(ways(value)).alias("way", "w"))
+    shown = snippets.select("doc_id", "h", "calibrates", "at", "way", "rank", "weight", F.length("before").alias("from"), (F.length("before") + F.length("w.text")).alias("to"), "w.size", F.concat("before", "w.text", "after").alias("text"))
     masked = shown.select("*", base_spans(F.col("text")).alias("base"))
     # On it: within the rewritten text, and no less than most of one value.
     mine = F.filter(candidates(F.col("text")), lambda c: (c["rank"] == F.col("rank")) & (c["start"] >= F.col("from")) & (c["stop"] <= F.col("to")) & ((c["stop"] - c["start"]) * 10 >= F.col("size") * 9) & untouched(c, F.col("base")))
-    return plain.union(masked.select("calibrates", "weight", F.explode(mine).alias("c")).select("c.rank", "c.f", F.lit(1.0).alias("label"), "weight", "calibrates"))
+    hidden = masked.select("doc_id", "h", "calibrates", "at", "way", "weight", F.lit(1.0).alias("label"), F.explode(mine).alias("c"))
+    # A candidate has one place in its document, so equal places come from equal rows; no texts are moved for that.
+    each = plain.union(hidden).distinct()
+    counted = each.groupBy("c.rank", "c.f", "label", "weight", "calibrates").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("rank", "f", "label", (F.col("weight") * F.col("n")).alias("weight"), "calibrates")
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Trees:
-    """Trees and thresholds from the candidates of a bounded sample of documents; those of a third of it calibrate."""
-    order = F.xxhash64("doc_id", F.lit(4))
-    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    # Short rows are put in order, no texts; rows alike in id and text count once.
-    few = F.broadcast(named.select("doc_id", "h").distinct().orderBy(order, "doc_id", "h").limit(train_docs))
-    picked = named.join(few, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
-    rows = learned_from(picked).persist()
+def fit(docs: DataFrame) -> Trees:
+    """Trees and thresholds from the candidates of all documents; those of a third of them calibrate."""
+    rows = learned_from(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).persist()
     try:
         classes = {r["label"] for r in rows.filter("NOT calibrates").select("label").distinct().collect()}
         if len(classes) < 2:
@@ -269,9 +271,9 @@ def detect(docs: DataFrame, trees: Trees) -> DataFrame:
     return proposed.withColumn("spans", F.array_sort(F.array_distinct(F.concat(F.col("base"), added)))).drop("proposed")
 
 
-def personal_data(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans of every document."""
-    found = detect(docs.select("doc_id", "text"), fit(docs, train_docs))
+    found = detect(docs.select("doc_id", "text"), fit(docs))
 
     def count(rank: int) -> Column:
         return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{KINDS[rank]}")

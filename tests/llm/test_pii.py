@@ -128,6 +128,21 @@ def test_trees_are_used_as_fitted(spark):
         assert r["p"] == pytest.approx(1 / (1 + exp(-2 * sum(w * walk(t, r["f"]) for t, w in zip(trees.roots, trees.weights, strict=True)))))
 
 
+def test_every_document_teaches_once(spark, monkeypatch):
+    taught, learn = [], pii.learned_from
+    monkeypatch.setattr(pii, "learned_from", lambda texts: taught.append(texts.count()) or learn(texts))
+    assert not pii.fit(spark.range(20_050).selectExpr("id AS doc_id", "concat('item ', id) AS text")).thresholds
+    assert taught == [20_050]
+    # Rows alike in id and text teach once; another id with the same text teaches again.
+    texts = [t for t, _ in planted(4, 40)]
+    df = lambda rows: table(spark, [(k, t, "en", "s") for k, t in rows]).select("doc_id", "text")
+    weighed = lambda df: sorted((r["rank"], tuple(r["f"]), r["label"], r["calibrates"], r["weight"]) for r in learn(df).collect())
+    once = weighed(df(list(enumerate(texts))))
+    assert {r[2] for r in once} == {0.0, 1.0}
+    assert weighed(df(list(enumerate(texts)) * 2)) == once
+    assert sum(r[-1] for r in weighed(df([(k % 40, t) for k, t in enumerate(texts)] + [(0, t) for t in texts[1:]] + [(None, texts[0])]))) > sum(r[-1] for r in once)
+
+
 def test_redaction(spark):
     df = table(spark, [(1, "write to a@b.cc or +1 (717) 555-0202!", "en", "s"), (2, None, "en", "s"), (3, "nothing", "en", "s")])
     got = pii.redacted(df, pii.Trees())
